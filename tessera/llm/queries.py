@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality_rules, token_counts, url_filters
+from tessera.llm import line_dedup, minhash, mixing, quality_rules, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": line_dedup.query,
         "op2_token_counts": token_counts.query,
         "op3_url_filters": url_filters.query,
         "op6_mixing": mixing.query,
         "op9_quality_rules": quality_rules.query,
+        "op10_minhash": minhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
