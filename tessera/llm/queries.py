@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_rules, token_counts, url_filters
+from tessera.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": token_counts.query,
         "op3_url_filters": url_filters.query,
         "op4_language_id": language_id.query,
+        "op5_quality_classifier": quality_classifier.query,
         "op6_mixing": mixing.query,
         "op7_decontamination": decontamination.query,
         "op9_quality_rules": quality_rules.query,
