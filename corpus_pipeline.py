@@ -1,10 +1,66 @@
-"""A training corpus from raw documents in stages; each one's rows are written and read again by the next."""
+"""A training corpus from raw documents in five stages; each one's rows are written as Parquet and read again by the next.
+
+Each stage takes (spark, docs, sf_dir) and returns documents with all their columns; the last one adds `copy`, which
+numbers the copies that the mix takes of a document.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, decontamination, line_dedup, minhash, mixing, quality_rules
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep."""
+    return quality_rules.filter_documents(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more of them hold; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the smallest doc_id."""
+    return minhash.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash", near_duplicates),
+    ("decontamination", benchmark),
+    ("mixing", mixture),
+]
+
+#: SQL expresses neither the fitted rules nor signatures nor seeds; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what lies between them is in the shared folder, one stage at a time."""
+    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    docs = common.table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            old = path(f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return docs
