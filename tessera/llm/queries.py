@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, token_counts, url_filters
+from tessera.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_classifier": quality_classifier.query,
         "op6_mixing": mixing.query,
         "op7_decontamination": decontamination.query,
+        "op8_suffix_dedup": suffix_dedup.query,
         "op9_quality_rules": quality_rules.query,
         "op10_minhash": minhash.query,
     }
