@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -67,8 +68,10 @@ def renamed(df: DataFrame) -> Renamed:
     return Renamed(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files and checkpoints of steps that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def per_worker() -> dict:

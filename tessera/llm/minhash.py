@@ -5,10 +5,10 @@ A document's set holds its distinct 5-word shingles. One permutation (a 64-bit m
 minimum: two permutations serve all coordinates. BANDS bands of ROWS coordinates make buckets: a pair at the threshold
 0.75 shares none with a chance of (1 - 0.75**4)**32 = 5e-6.
 
-Documents with equal sets form a class with its smallest doc_id for a name; only names go on. In a bucket, not all pairs
-are compared: a pivot is compared with the other members, links found that way are joined into components, and only a
+Documents with equal sets form a class with its smallest doc_id for a name; only names go on. Shingles that a single candidate holds bound its similarity to any other, which
+rules out most texts that are merely related, without a comparison. In a bucket, not all pairs are compared: a pivot is compared with the other members, links found that way are joined into components, and only a
 bucket whose untried members still lie in different components gets further pivots (those with most links first,
-twice as many each round) until every pair of its members is either connected or was compared. So no link between
+four times as many each round) until every pair of its members is either connected or was compared. So no link between
 different components is lost, yet a group of a million near copies costs a million comparisons, not their square; only
 a bucket of texts that mostly are *not* alike nears the square of its size, as pairs spread over all tasks.
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.llm.common import free
 from tessera.llm.components import stars
 
 BANDS, ROWS = 32, 4
@@ -138,6 +139,18 @@ def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, "doc long, shingles binary")
 
 
+def elements(sets: DataFrame) -> DataFrame:
+    """A row (doc, shingle) for each element of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+            docs = np.repeat(b.column("doc").to_numpy(), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], ["doc", "shingle"])
+
+    return sets.mapInArrow(run, "doc long, shingle long")
+
+
 def alike(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
     if not len(x) or not len(y):
@@ -167,33 +180,42 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     members = named.select("doc", "n", F.coalesce("name", "doc").alias("name"))
 
     spread = sketch.join(classes, ["f1", "f2"]).where("doc = name").select("name", "n", F.explode("buckets").alias("bucket")).distinct()
-    shared = spread.groupBy("bucket").agg(F.min("name").alias("pivot"), F.count("*").alias("many")).where("many > 1")
-    inside = common.cut(spread.join(shared, "bucket").select("bucket", "name", "n", "pivot"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
+    inside = common.cut(spread.join(shared, "bucket"))
 
-    fits = f"100 * least(n, pivot_n) >= {percent} * greatest(n, pivot_n)"  # the similarity is at most the ratio of the sizes
     ids = inside.select(F.col("name").alias("doc")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     sets = common.cut(shingle_sets(texts.join(ids, "doc", "left_semi"), shingle).distinct())
 
-    sizes = inside.where("name = pivot").select("bucket", F.col("n").alias("pivot_n")).distinct()
-    first = inside.where("name <> pivot").join(sizes, "bucket").where(fits)
+    # Shingles that one candidate alone holds are in no intersection; what is left of the sets bounds every similarity.
+    only = elements(sets).groupBy("shingle").agg(F.min("doc").alias("name"), F.max("doc").alias("high")).where("name = high").groupBy("name").agg(F.count("*").alias("alone"))
+    inside = inside.join(only, "name", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    inside = common.cut(inside.where(f"100 * common >= {percent} * n"))
+    free(docs.sparkSession)
+    fits = f"100 * least(common, pivot_common) >= {percent} * (n + pivot_n - least(common, pivot_common))"
+
+    lowest = inside.groupBy("bucket").agg(F.min(F.struct("name", "n", "common")).alias("p"), F.count("*").alias("many")).where("many > 1")
+    lowest = lowest.select("bucket", F.col("p.name").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"))
+    inside = common.cut(inside.join(lowest, "bucket"))
+    first = inside.where("name <> pivot").where(fits)
     tried = common.cut(first.select(F.col("pivot").alias("u"), F.col("name").alias("v")).distinct())
     links = common.cut(compare(tried, sets, percent).distinct())
     found = stars(links)
 
     # Members that were never a pivot in their bucket; a bucket is settled once these lie in one component.
-    fresh, many = inside.where("name <> pivot").select("bucket", "name", "n"), 1
+    fresh, many = inside.where("name <> pivot").select("bucket", "name", "n", "common"), 1
     while True:
+        free(docs.sparkSession)
         now = fresh.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").withColumn("component", F.coalesce("component", "name"))
         open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         now = common.cut(now.join(open_, "bucket"))
         if now.isEmpty():
             break
         degree = links.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
-        ranked = now.join(degree, "name", "left").select("bucket", "name", "n", "component", F.coalesce("links", F.lit(0)).alias("links"))
+        ranked = now.join(degree, "name", "left").select("bucket", "name", "n", "common", "component", F.coalesce("links", F.lit(0)).alias("links"))
         # The best `many` of each bucket; the inner aggregate keeps that many and no more, from each task on.
-        best = ranked.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.struct("links", "name", "n", "component")), False), 1, many).alias("best")) if many > 1 else ranked.groupBy("bucket").agg(F.array(F.max(F.struct("links", "name", "n", "component"))).alias("best"))
-        pivots = common.cut(best.select("bucket", F.explode("best").alias("p")).select("bucket", F.col("p.name").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.component").alias("pivot_component")))
+        best = ranked.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.struct("links", "name", "n", "common", "component")), False), 1, many).alias("best")) if many > 1 else ranked.groupBy("bucket").agg(F.array(F.max(F.struct("links", "name", "n", "common", "component"))).alias("best"))
+        pivots = common.cut(best.select("bucket", F.explode("best").alias("p")).select("bucket", F.col("p.name").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"), F.col("p.component").alias("pivot_component")))
         pairs = now.join(pivots, "bucket").where("name <> pivot AND component <> pivot_component").where(fits)
         pairs = pairs.select(F.least("pivot", "name").alias("u"), F.greatest("pivot", "name").alias("v")).distinct()
         pairs = common.cut(pairs.join(tried, ["u", "v"], "left_anti"))
@@ -201,8 +223,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
         tried, links = tried.union(pairs), links.union(new)
         if not new.isEmpty():
             found = stars(found.union(new))
-        fresh = common.cut(now.select("bucket", "name", "n").join(pivots.select("bucket", F.col("pivot").alias("name")), ["bucket", "name"], "left_anti"))
-        many *= 2
+        fresh = common.cut(now.select("bucket", "name", "n", "common").join(pivots.select("bucket", F.col("pivot").alias("name")), ["bucket", "name"], "left_anti"))
+        many *= 4
 
     return members.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").select("doc", "n", F.coalesce("component", "name").alias("component"))
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
+from tessera.llm.common import free
 
 LENGTH = 50
 #: A perfect difference set: every residue is the difference of two members.
@@ -312,13 +313,5 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of steps whose results are already in the shared folder."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(common.table(spark, sf_dir, "documents"))
