@@ -5,10 +5,11 @@ A document's set holds its distinct 5-word shingles. One permutation (a 64-bit m
 minimum: two permutations serve all coordinates. BANDS bands of ROWS coordinates make buckets: a pair at the threshold
 0.75 shares none with a chance of (1 - 0.75**4)**32 = 5e-6.
 
-Documents with equal sets form a class with its smallest doc_id for a name; only names go on. Shingles that a single candidate holds bound its similarity to any other, which
-rules out most texts that are merely related, without a comparison. In a bucket, not all pairs are compared: a pivot is compared with the other members, links found that way are joined into components, and only a
+Documents with equal sets form a class with its smallest doc_id for a name; only names go on. Bitmaps of the sets bound the similarity of a pair
+from above (two sets differ in at least as many elements as their bitmaps in bits), which rules out most texts that are
+merely related, losing none, before a pair becomes a row. In a bucket, not all pairs are compared: a pivot is compared with the other members, links found that way are joined into components, and only a
 bucket whose untried members still lie in different components gets further pivots (those with most links first,
-four times as many each round) until every pair of its members is either connected or was compared. So no link between
+eight times as many each round) until every pair of its members is either connected or was compared. So no link between
 different components is lost, yet a group of a million near copies costs a million comparisons, not their square; only
 a bucket of texts that mostly are *not* alike nears the square of its size, as pairs spread over all tasks.
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -36,6 +37,7 @@ from tessera.llm.components import stars
 BANDS, ROWS = 32, 4
 SHINGLE, PERCENT = 5, 75
 NO_ID = -(1 << 63)
+BITS = 2048
 U64 = np.uint64
 
 
@@ -129,26 +131,20 @@ def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, shingle: i
 
 
 def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc and its set (sorted 64-bit hashes, as bytes)."""
+    """doc, its set (sorted 64-bit hashes, as bytes) and a bitmap of them of BITS bits, as longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler(shingle)
         for b in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([sets(t).tobytes() for t in common.column_bytes(b.column("text"))], pa.binary())], ["doc", "shingles"])
+            each = [sets(t) for t in common.column_bytes(b.column("text"))]
+            bits = np.zeros((len(each), BITS), bool)
+            for i, x in enumerate(each):
+                bits[i, (x >> U64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+            maps = np.packbits(bits, axis=1).view(np.int64)
+            ends = np.arange(0, maps.size + 1, maps.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([x.tobytes() for x in each], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(maps.ravel()))], ["doc", "shingles", "bits"])
 
-    return docs.mapInArrow(run, "doc long, shingles binary")
-
-
-def elements(sets: DataFrame) -> DataFrame:
-    """A row (doc, shingle) for each element of each set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            each = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
-            docs = np.repeat(b.column("doc").to_numpy(), [len(x) for x in each])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(each) if each else np.empty(0, np.int64))], ["doc", "shingle"])
-
-    return sets.mapInArrow(run, "doc long, shingle long")
+    return docs.mapInArrow(run, "doc long, shingles binary, bits array<long>")
 
 
 def alike(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
@@ -187,23 +183,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     sets = common.cut(shingle_sets(texts.join(ids, "doc", "left_semi"), shingle).distinct())
 
-    # Shingles that one candidate alone holds are in no intersection; what is left of the sets bounds every similarity.
-    only = elements(sets).groupBy("shingle").agg(F.min("doc").alias("name"), F.max("doc").alias("high")).where("name = high").groupBy("name").agg(F.count("*").alias("alone"))
-    inside = inside.join(only, "name", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
-    inside = common.cut(inside.where(f"100 * common >= {percent} * n"))
+    # What decides, inside a join, whether a pair is worth a row: the bitmap's words and the names of all buckets.
+    words, places = BITS // 64, range(n_bands)
+    facts = sets.select(F.col("doc").alias("name"), *[F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"w{i}") for i in range(words)])
+    where = sketch.where("n > 0").select(F.col("doc").alias("name"), *[F.coalesce(F.col("buckets")[i], F.lit(0)).alias(f"k{i}") for i in places])
+    facts = common.cut(facts.join(where.join(ids.withColumnRenamed("doc", "name"), "name", "left_semi"), "name").distinct())
     free(docs.sparkSession)
-    fits = f"100 * least(common, pivot_common) >= {percent} * (n + pivot_n - least(common, pivot_common))"
-
-    lowest = inside.groupBy("bucket").agg(F.min(F.struct("name", "n", "common")).alias("p"), F.count("*").alias("many")).where("many > 1")
-    lowest = lowest.select("bucket", F.col("p.name").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"))
-    inside = common.cut(inside.join(lowest, "bucket"))
-    first = inside.where("name <> pivot").where(fits)
-    tried = common.cut(first.select(F.col("pivot").alias("u"), F.col("name").alias("v")).distinct())
+    # Similar sets differ in few elements, and in no fewer than their bitmaps differ in bits.
+    far = "(" + " + ".join(f"bit_count(w{i} ^ p_w{i})" for i in range(words)) + ")"
+    sizes = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
+    fits = f"{100 + percent} * {far} <= {100 - percent} * (n + p_n)"
+    # Of the buckets that two members share, the first one makes their pair.
+    here = "CASE " + " ".join(f"WHEN k{i} = p_k{i} THEN k{i}" for i in places) + " END = bucket"
+    pivot_facts = facts.select(*[F.col(c).alias(f"p_{c}") for c in facts.columns])
+
+    lowest = inside.groupBy("bucket").agg(F.min(F.struct("name", "n")).alias("p"))
+    inside = common.cut(inside.join(lowest.select("bucket", F.col("p.name").alias("p_name"), F.col("p.n").alias("p_n")), "bucket"))
+    first = inside.where("name <> p_name").where(sizes).select("name", "n", "p_name", "p_n").distinct()
+    first = first.join(facts, "name").join(pivot_facts, "p_name").where(fits)
+    tried = common.cut(first.select(F.col("p_name").alias("u"), F.col("name").alias("v")).distinct())
     links = common.cut(compare(tried, sets, percent).distinct())
     found = stars(links)
 
     # Members that were never a pivot in their bucket; a bucket is settled once these lie in one component.
-    fresh, many = inside.where("name <> pivot").select("bucket", "name", "n", "common"), 1
+    fresh, many = inside.where("name <> p_name").select("bucket", "name", "n"), 1
     while True:
         free(docs.sparkSession)
         now = fresh.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").withColumn("component", F.coalesce("component", "name"))
@@ -212,19 +215,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
         if now.isEmpty():
             break
         degree = links.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
-        ranked = now.join(degree, "name", "left").select("bucket", "name", "n", "common", "component", F.coalesce("links", F.lit(0)).alias("links"))
-        # The best `many` of each bucket; the inner aggregate keeps that many and no more, from each task on.
-        best = ranked.groupBy("bucket").agg(F.slice(F.sort_array(F.collect_set(F.struct("links", "name", "n", "common", "component")), False), 1, many).alias("best")) if many > 1 else ranked.groupBy("bucket").agg(F.array(F.max(F.struct("links", "name", "n", "common", "component"))).alias("best"))
-        pivots = common.cut(best.select("bucket", F.explode("best").alias("p")).select("bucket", F.col("p.name").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.common").alias("pivot_common"), F.col("p.component").alias("pivot_component")))
-        pairs = now.join(pivots, "bucket").where("name <> pivot AND component <> pivot_component").where(fits)
-        pairs = pairs.select(F.least("pivot", "name").alias("u"), F.greatest("pivot", "name").alias("v")).distinct()
+        order = Window.partitionBy("bucket").orderBy(F.coalesce("links", F.lit(0)).desc(), "name")  # with the limit, each task sends `many` of a bucket
+        best = now.join(degree, "name", "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
+        pivots = common.cut(best.select("bucket", F.col("name").alias("p_name"), F.col("n").alias("p_n"), F.col("component").alias("p_component")))
+        pairs = now.join(facts, "name").join(pivots.join(pivot_facts, "p_name"), "bucket").where("name <> p_name AND component <> p_component").where(sizes).where(here).where(fits)
+        pairs = pairs.select(F.least("p_name", "name").alias("u"), F.greatest("p_name", "name").alias("v")).distinct()
         pairs = common.cut(pairs.join(tried, ["u", "v"], "left_anti"))
         new = common.cut(compare(pairs, sets, percent).distinct())
         tried, links = tried.union(pairs), links.union(new)
         if not new.isEmpty():
             found = stars(found.union(new))
-        fresh = common.cut(now.select("bucket", "name", "n", "common").join(pivots.select("bucket", F.col("pivot").alias("name")), ["bucket", "name"], "left_anti"))
-        many *= 4
+        fresh = common.cut(now.select("bucket", "name", "n").join(pivots.select("bucket", F.col("p_name").alias("name")), ["bucket", "name"], "left_anti"))
+        many *= 8
 
     return members.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").select("doc", "n", F.coalesce("component", "name").alias("component"))
 
