@@ -4,15 +4,16 @@ A byte goes if it is covered by a string of LENGTH bytes that also starts in a d
 prefixes of LENGTH bytes ever matter, so suffixes are sorted by that much and no further, and one level of names is
 enough where a full suffix array would recurse:
 
+0. A text that a smaller doc_id has whole loses all its bytes; such copies (by 128-bit names) take no further part.
 1. Documents are ordered by doc_id (range partitions) and packed into slices; a slice's *order* says which come first.
 2. Offsets whose residue modulo PERIOD lies in COVER are sampled. For any two offsets i, j some shift below PERIOD takes
    both to sampled ones, so equal strings of LENGTH bytes share a sampled tuple of TUPLE = LENGTH - PERIOD + 1 bytes at
    equal places. The tuples' names (hashes) are sorted; a name that occurs once in the corpus is dropped here.
 3. The remaining suffixes are merged back: only starts with a repeated sampled tuple within the next PERIOD places
-   are kept, sampled or not. They are sorted by the name of their LENGTH-byte prefix (64 bits beside those of the bucket).
+   are kept, sampled or not. They are sorted by the name of their LENGTH-byte prefix (56 or 64 bits beside those of the bucket, so that no false match is to be expected).
 4. Neighbours with equal prefixes are compared by order: a start is marked if an earlier order has the same prefix.
 
-Sorting happens in buckets of names. A slice sends each distinct name of a bucket once, sorted and packed (2 to 8 bytes), so
+Sorting happens in buckets of names. A slice sends each distinct name of a bucket once, sorted and packed (2 to 8 bytes each), so
 a passage of a third of all documents arrives once a slice, not once a document; the bucket answers with one bit a name.
 The number of buckets follows the bytes of the corpus, so a bucket's size doesn't. Texts move twice for the answers.
 
@@ -47,34 +48,67 @@ MULTIPLIERS = [U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB1
 ANSWERS = "slice long, piece int, bucket int, bits binary"
 
 
+PACKED = "slice long, n_bytes long, ids binary, lengths binary, copies binary, data binary"
+
+
+def text_names(docs: DataFrame) -> DataFrame:
+    """doc (NO_ID: null), text and its 128-bit name x, y."""
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
+    return rows.select("doc", F.xxhash64(F.lit(1), "text").alias("x"), F.xxhash64(F.lit(2), "text").alias("y"), "text")
+
+
+def whole_copies(named: DataFrame) -> DataFrame:
+    """doc, x, y of each row whose whole text a smaller doc_id has: all its bytes go."""
+    narrow = named.where(F.octet_length("text") >= LENGTH).select("doc", "x", "y")
+    classes = narrow.groupBy("x", "y").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    return narrow.join(classes, ["x", "y"]).where("doc > low").select("doc", "x", "y").distinct()
+
+
 def pack_documents(docs: DataFrame, size: int = SLICE) -> DataFrame:
-    """slice, n_bytes, ids, lengths, data (compressed): documents in order of doc_id; equal ids share a slice."""
+    """slice, n_bytes, ids, lengths, data (compressed): documents in order of doc_id; equal ids share a slice.
+
+    Whole copies stay out of data; `copies` has their ids and lengths. Their marks travel with the texts, in one shuffle.
+    """
+    named = text_names(docs)
+    marks = common.cut(whole_copies(named)).select("doc", "x", "y", F.lit(None).cast("string").alias("text"), F.lit(False).alias("real"))
+    rows = marks.unionByName(named.withColumn("real", F.lit(True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         part, k = TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        ids, texts, held = [], [], 0
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        ids, texts, copies, held, last, known = [], [], [], 0, None, set()
 
         def packed() -> pa.RecordBatch:
-            row = {"slice": (part << 32) + k, "n_bytes": held, "ids": np.array(ids, np.int64).tobytes(), "lengths": np.array([len(t) for t in texts], np.int64).tobytes(), "data": squeeze(b"".join(texts))}
-            return pa.RecordBatch.from_pylist([row], pa.schema([("slice", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())]))
+            of = [pa.array([(part << 32) + k]), pa.array([held]), *[pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (ids, [len(t) for t in texts], copies)], pa.array([squeeze(b"".join(texts))], pa.binary())]
+            return pa.RecordBatch.from_arrays(of, ["slice", "n_bytes", "ids", "lengths", "copies", "data"])
 
         for b in common.slices(batches):
-            for doc, text in zip(b.column("doc").to_pylist(), common.column_bytes(b.column("text")), strict=True):
+            columns = [b.column(c).to_pylist() for c in ("doc", "x", "y", "real")]
+            for doc, x, y, real, text in zip(*columns, common.column_bytes(b.column("text")), strict=True):
+                if doc != last:
+                    last, known = doc, set()
+                    if held > size or len(copies) > 100_000:
+                        yield packed()
+                        ids, texts, copies, held, k = [], [], [], 0, k + 1
+                if not real:
+                    known.add((x, y))
+                    continue
                 text = text or b""
+                if (x, y) in known:
+                    copies += [doc, len(text)]
+                    continue
                 if ids and doc != ids[-1] and held + len(text) > size:
                     yield packed()
-                    ids, texts, held, k = [], [], 0, k + 1
+                    ids, texts, copies, held, k = [], [], [], 0, k + 1
                 ids.append(doc)
                 texts.append(text)
                 held += len(text)
-        if ids:
+        if ids or copies:
             yield packed()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    return rows.repartitionByRange("doc").sortWithinPartitions("doc").mapInArrow(run, "slice long, n_bytes long, ids binary, lengths binary, data binary")
+    return rows.repartitionByRange("doc").sortWithinPartitions("doc", "real").mapInArrow(run, PACKED)
 
 
 class Piece:
@@ -129,10 +163,11 @@ def pieces(row: dict, size: int = SLICE) -> Iterator[tuple[int, Piece]]:
         yield i, Piece(part, np.array([len(part)]), ids, i, min(size, len(part)))
 
 
-def unpack(ids: bytes, lengths: bytes, data: bytes) -> dict:
+def unpack(r: dict) -> dict:
     import zstandard
 
-    return {"ids": np.frombuffer(ids, np.int64), "lengths": np.frombuffer(lengths, np.int64), "data": zstandard.ZstdDecompressor().decompress(data) if data else b""}
+    numbers = {c: np.frombuffer(r[c], np.int64) for c in ("ids", "lengths", "copies")}
+    return numbers | {"data": zstandard.ZstdDecompressor().decompress(r["data"])}
 
 
 def encode(keys: np.ndarray, low: int, high_bits: int) -> bytes:
@@ -156,19 +191,19 @@ class Names:
     """The distinct names at some places of a piece, by bucket; for each place which name it has."""
 
     def __init__(self, bucket: np.ndarray, key: np.ndarray, row: np.ndarray, ids: np.ndarray):
-        order = np.lexsort((key, bucket)) if len(key) else np.empty(0, np.int64)
+        order = np.argsort(key)
+        order = order[np.argsort(bucket[order].astype(np.uint16 if len(bucket) and bucket.max() < 1 << 16 else np.int32), kind="stable")]
         b, k = bucket[order], key[order]
         new = np.ones(len(order), bool)
         new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
         first = np.flatnonzero(new)
-        self.group = np.empty(len(order), np.int64)
+        self.group = np.empty(len(order), np.int32)
         self.group[order] = np.cumsum(new) - 1
         self.keys, self.buckets = k[first], b[first]
-        # lexsort is stable: places, hence documents in order of their ids, ascend within a name.
-        docs = ids[row[order]]
-        self.first_doc = docs[first]
-        last = np.append(first[1:], len(order)) - 1
-        self.several = self.first_doc != docs[last] if len(order) else np.empty(0, bool)
+        # Documents stand in order of their ids, so rows can stand for ids, but for rows that share one.
+        docs = row[order]
+        self.first_doc = ids[np.minimum.reduceat(docs, first)] if len(first) else ids[:0]
+        self.several = self.first_doc != ids[np.maximum.reduceat(docs, first)] if len(first) else np.empty(0, bool)
         edges = np.flatnonzero(np.append(True, self.buckets[1:] != self.buckets[:-1])) if len(first) else np.empty(0, np.int64)
         self.ranges = {int(self.buckets[a]): (int(a), int(z)) for a, z in zip(edges, np.append(edges[1:], len(first)), strict=True)}
 
@@ -185,23 +220,27 @@ def to_bucket(g: np.ndarray, buckets: int) -> np.ndarray:
     return ((g >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
 
 
+def width(starts: int, buckets: int) -> int:
+    """Bytes of a name, beside its bucket's number: enough that among so many starts a false match is not to be expected."""
+    return 7 if starts**2 < buckets << 51 else 8
+
+
 def tuple_names(piece: Piece, buckets: int) -> tuple[np.ndarray, Names]:
     at = piece.sampled()
     h, g = piece.names(at, TUPLE)
     return at, Names(to_bucket(g, buckets), h >> U64(34), piece.row[at], piece.ids)
 
 
-def start_names(piece: Piece, at: np.ndarray, names: Names, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, Names]:
+def start_names(piece: Piece, at: np.ndarray, names: Names, answers: dict[int, bytes], buckets: int, wide: int) -> tuple[np.ndarray, Names]:
     alive = (names.several | names.answer(answers))[names.group]
     starts = piece.starts(at[alive])
     h, g = piece.names(starts, LENGTH)
-    return starts, Names(to_bucket(g, buckets), h, piece.row[starts], piece.ids)
+    return starts, Names(to_bucket(g, buckets), h >> U64(64 - 8 * wide), piece.row[starts], piece.ids)
 
 
-def sent(slice_id: int, order: int, k: int, names: Names, exact: bool) -> list[dict]:
+def sent(slice_id: int, k: int, names: Names, low: int, high: int) -> list[dict]:
     out = []
     for b, (a, z) in names.ranges.items():
-        low, high = ((6, 16) if z - a > 30_000 else (7, 8)) if exact else (2, 14)
         out.append({"bucket": b, "slice": slice_id, "piece": k, "names": encode(names.keys[a:z], low, high)})
     return out
 
@@ -219,7 +258,7 @@ def meet(exact: bool):
         del each
         rank = np.unique(slices, return_inverse=True)[1].astype(np.int32)
         of = np.repeat(rank, sizes)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         k = keys[order]
         del keys
         new = np.ones(len(k), bool)
@@ -249,7 +288,7 @@ def by_piece(table: pa.Table) -> dict[int, dict[int, bytes]]:
 
 def slice_of(table: pa.Table) -> tuple[int, dict]:
     r = table.to_pylist()[0]
-    return r["slice"], unpack(r["ids"], r["lengths"], r["data"])
+    return r["slice"], unpack(r)
 
 
 def spans(covered: np.ndarray) -> int:
@@ -264,16 +303,18 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     packed = common.cut(pack_documents(docs))
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4, int(total * len(COVER) / PERIOD / NAMES_IN_BUCKET))
+    wide = width(total, buckets)
     free(spark)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                for k, (_, piece) in enumerate(pieces(unpack(r["ids"], r["lengths"], r["data"]))):
-                    yield pa.RecordBatch.from_pylist(sent(r["slice"], 0, k, tuple_names(piece, buckets)[1], False), SENT)
+                for k, (_, piece) in enumerate(pieces(unpack(r))):
+                    yield pa.RecordBatch.from_pylist(sent(r["slice"], k, tuple_names(piece, buckets)[1], 2, 14), SENT)
 
     names = packed.mapInArrow(sample, "bucket int, slice long, piece int, names binary")
     alive = common.cut(names.groupBy("bucket").applyInArrow(meet(False), ANSWERS))
+    del names
     free(spark)
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -281,11 +322,12 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         answers, out = by_piece(right), []
         for k, (_, piece) in enumerate(pieces(row)):
             at, names = tuple_names(piece, buckets)
-            out += sent(number, 0, k, start_names(piece, at, names, answers.get(k, {}), buckets)[1], True)
+            out += sent(number, k, start_names(piece, at, names, answers.get(k, {}), buckets, wide)[1], wide - 1, 8)
         return pa.Table.from_pylist(out, SENT)
 
     starts = packed.groupBy("slice").cogroup(alive.groupBy("slice")).applyInArrow(merge, "bucket int, slice long, piece int, names binary")
     marks = common.cut(starts.groupBy("bucket").applyInArrow(meet(True), ANSWERS))
+    del starts
     free(spark)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -295,13 +337,15 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         change = np.zeros(len(row["data"]) + LENGTH + 1, np.int32)
         for k, (begin, piece) in enumerate(pieces(row)):
             at, names = tuple_names(piece, buckets)
-            where, names = start_names(piece, at, names, alive.get(k, {}), buckets)
+            where, names = start_names(piece, at, names, alive.get(k, {}), buckets, wide)
             own = piece.ids[piece.row[where]]
             hit = where[names.answer(marks.get(k, {}))[names.group] | (names.first_doc[names.group] < own)] + begin
             change[hit] += 1
             change[hit + LENGTH] -= 1
         gone = np.cumsum(change)[: len(row["data"])] > 0
         data, out, start = np.frombuffer(row["data"], np.uint8), [], 0
+        for doc, n in row["copies"].reshape(-1, 2).tolist():
+            out.append({"doc": doc, "n_bytes": n, "n_removed": n, "n_spans": 1, "kept_sha256": hashlib.sha256(b"").hexdigest()})
         for doc, n in zip(row["ids"].tolist(), row["lengths"].tolist(), strict=True):
             g = gone[start : start + n]
             out.append({"doc": doc, "n_bytes": n, "n_removed": int(g.sum()), "n_spans": spans(g), "kept_sha256": hashlib.sha256(data[start : start + n][~g].tobytes()).hexdigest()})
