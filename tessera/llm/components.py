@@ -15,7 +15,7 @@ from tessera.llm import common
 def _large(e: DataFrame) -> DataFrame:
     both = e.union(e.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(e: DataFrame) -> DataFrame:
@@ -33,6 +33,7 @@ def stars(links: DataFrame) -> DataFrame:
     e = common.cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _sum(e)
     while before[0]:
+        common.free(links.sparkSession)
         e = common.cut(_small(_large(e)))
         now = _sum(e)
         if now == before:
