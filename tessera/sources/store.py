@@ -16,9 +16,9 @@ def chunk_key(source: Column, chunk_id: Column, text: Column) -> Column:
     return F.concat_ws("_", source, chunk_id, F.substring(F.md5(F.concat_ws("|", source, chunk_id, text)), 1, 8))
 
 
-def stored_chunks(chunks: DataFrame, source: str = "source") -> DataFrame:
-    """Chunks as they are stored: key, source, preview and time beside what they have; once each."""
-    out = chunks.withColumn("chunk_key", chunk_key(F.col(source).cast("string"), F.col("chunk_id").cast("string"), F.col("text")))
+def stored_chunks(chunks: DataFrame, document: str = "source") -> DataFrame:
+    """Chunks as they are stored (`document` is the column that names theirs): key, preview and time beside what they have; once each."""
+    out = chunks.withColumn("chunk_key", chunk_key(F.col(document).cast("string"), F.col("chunk_id").cast("string"), F.col("text")))
     return out.withColumn("chunk_preview", T.preview(F.col("text"))).withColumn("added_timestamp", F.current_timestamp()).dropDuplicates(["chunk_key"])
 
 
