@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import types
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,10 +69,18 @@ def renamed(df: DataFrame) -> Renamed:
     return Renamed(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files and checkpoints of steps that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def free(spark: SparkSession, wait: bool = False) -> None:
+    """Let Spark's cleaner delete the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    The listeners hold on to the last query until the next one; `wait` runs one and gives the cleaner its time, for steps
+    whose files would otherwise stand beside the next step's.
+    """
+    if wait:
+        spark.range(2).repartition(2).count()
+    for _ in range(1 + wait):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5 * wait)
 
 
 def per_worker() -> dict:

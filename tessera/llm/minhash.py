@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     facts = sets.select(F.col("doc").alias("name"), *[F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"w{i}") for i in range(words)])
     where = sketch.where("n > 0").select(F.col("doc").alias("name"), *[F.coalesce(F.col("buckets")[i], F.lit(0)).alias(f"k{i}") for i in places])
     facts = common.cut(facts.join(where.join(ids.withColumnRenamed("doc", "name"), "name", "left_semi"), "name").distinct())
-    free(docs.sparkSession)
+    free(docs.sparkSession, wait=True)
     # Similar sets differ in few elements, and in no fewer than their bitmaps differ in bits.
     far = "(" + " + ".join(f"bit_count(w{i} ^ p_w{i})" for i in range(words)) + ")"
     sizes = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     # Members that were never a pivot in their bucket; a bucket is settled once these lie in one component.
     fresh, many = inside.where("name <> p_name").select("bucket", "name", "n"), 16
     while True:
-        free(docs.sparkSession)
+        free(docs.sparkSession, wait=True)
         now = fresh.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").withColumn("component", F.coalesce("component", "name"))
         open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         now = common.cut(now.join(open_, "bucket"))

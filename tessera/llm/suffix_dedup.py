@@ -304,7 +304,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4, int(total * len(COVER) / PERIOD / NAMES_IN_BUCKET))
     wide = width(total, buckets)
-    free(spark)
+    free(spark, wait=True)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,7 +315,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     names = packed.mapInArrow(sample, "bucket int, slice long, piece int, names binary")
     alive = common.cut(names.groupBy("bucket").applyInArrow(meet(False), ANSWERS))
     del names
-    free(spark)
+    free(spark, wait=True)
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         number, row = slice_of(left)
@@ -328,7 +328,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     starts = packed.groupBy("slice").cogroup(alive.groupBy("slice")).applyInArrow(merge, "bucket int, slice long, piece int, names binary")
     marks = common.cut(starts.groupBy("bucket").applyInArrow(meet(True), ANSWERS))
     del starts
-    free(spark)
+    free(spark, wait=True)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         number, row = slice_of(left)
