@@ -40,8 +40,8 @@ LENGTH = 50
 #: A perfect difference set: every residue is the difference of two members.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 TUPLE = LENGTH - PERIOD + 1
-SLICE = 2 << 20
-NAMES_IN_BUCKET = 2_000_000
+SLICE = 1 << 20
+NAMES_IN_BUCKET = 1_500_000
 NO_ID = -(1 << 63)
 U64 = np.uint64
 MULTIPLIERS = [U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53), U64(0x2545F4914F6CDD1D)]
@@ -122,26 +122,31 @@ class Piece:
         total = len(data)
         ends = np.cumsum(lengths)
         self.row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.room = np.repeat(ends, lengths) - np.arange(total)
-        self.offset = np.arange(total) - np.repeat(ends - lengths, lengths) + first
-
-    def names(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of the `length` bytes at each place."""
-        h = np.full(len(at), length, U64)
-        g = np.zeros(len(at), U64)
-        for k, i in enumerate([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]):
-            w = self.words[at + i]
-            h = (h ^ w) * MULTIPLIERS[k % 7]
-            h ^= h >> U64(29)
-            g += (w ^ (w >> U64(32))) * MULTIPLIERS[(k + 3) % 7]
-        h *= MULTIPLIERS[2]
-        g ^= g >> U64(31)
-        return h ^ (h >> U64(32)), g * MULTIPLIERS[5]
+        place = np.arange(total, dtype=np.int32)
+        self.room = np.repeat(ends.astype(np.int32), lengths) - place
+        self.residue = ((place - np.repeat((ends - lengths).astype(np.int32), lengths) + np.int32(first % PERIOD)) % PERIOD).astype(np.int8)
+
+    def names(self, at: np.ndarray, length: int, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the `length` bytes at each place; worked out a block at a time."""
+        out_h, out_g = np.empty(len(at), U64), np.empty(len(at), U64)
+        for a in range(0, len(at), block):
+            part = at[a : a + block]
+            h = np.full(len(part), length, U64)
+            g = np.zeros(len(part), U64)
+            for k, i in enumerate([*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]):
+                w = self.words[part + i]
+                h = (h ^ w) * MULTIPLIERS[k % 7]
+                h ^= h >> U64(29)
+                g += (w ^ (w >> U64(32))) * MULTIPLIERS[(k + 3) % 7]
+            h *= MULTIPLIERS[2]
+            g ^= g >> U64(31)
+            out_h[a : a + block], out_g[a : a + block] = h ^ (h >> U64(32)), g * MULTIPLIERS[5]
+        return out_h, out_g
 
     def sampled(self) -> np.ndarray:
         within = np.zeros(PERIOD, bool)
         within[list(COVER)] = True
-        return np.flatnonzero(within[self.offset % PERIOD] & (self.room >= TUPLE))
+        return np.flatnonzero(within[self.residue] & (self.room >= TUPLE))
 
     def starts(self, alive: np.ndarray) -> np.ndarray:
         """The starts with one of the places `alive` among the next PERIOD."""
@@ -198,7 +203,7 @@ class Names:
         new[1:] = (b[1:] != b[:-1]) | (k[1:] != k[:-1])
         first = np.flatnonzero(new)
         self.group = np.empty(len(order), np.int32)
-        self.group[order] = np.cumsum(new) - 1
+        self.group[order] = np.cumsum(new, dtype=np.int32) - 1
         self.keys, self.buckets = k[first], b[first]
         # Documents stand in order of their ids, so rows can stand for ids, but for rows that share one.
         docs = row[order]
@@ -228,7 +233,7 @@ def width(starts: int, buckets: int) -> int:
 def tuple_names(piece: Piece, buckets: int) -> tuple[np.ndarray, Names]:
     at = piece.sampled()
     h, g = piece.names(at, TUPLE)
-    return at, Names(to_bucket(g, buckets), h >> U64(34), piece.row[at], piece.ids)
+    return at, Names(to_bucket(g, buckets), h >> U64(36), piece.row[at], piece.ids)
 
 
 def start_names(piece: Piece, at: np.ndarray, names: Names, answers: dict[int, bytes], buckets: int, wide: int) -> tuple[np.ndarray, Names]:
@@ -264,7 +269,7 @@ def meet(exact: bool):
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
+        group = np.cumsum(new, dtype=np.int32) - 1
         del k
         if exact:
             bit_sorted = of[order] > np.minimum.reduceat(of[order], first)[group]
@@ -310,7 +315,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 for k, (_, piece) in enumerate(pieces(unpack(r))):
-                    yield pa.RecordBatch.from_pylist(sent(r["slice"], k, tuple_names(piece, buckets)[1], 2, 14), SENT)
+                    yield pa.RecordBatch.from_pylist(sent(r["slice"], k, tuple_names(piece, buckets)[1], 2, 12), SENT)
 
     names = packed.mapInArrow(sample, "bucket int, slice long, piece int, names binary")
     alive = common.cut(names.groupBy("bucket").applyInArrow(meet(False), ANSWERS))
