@@ -75,12 +75,13 @@ def free(spark: SparkSession, wait: bool = False) -> None:
     The listeners hold on to the last query until the next one; `wait` runs one and gives the cleaner its time, for steps
     whose files would otherwise stand beside the next step's.
     """
-    if wait:
+    for _ in range(3 if wait else 0):
         spark.range(2).repartition(2).count()
-    for _ in range(1 + wait):
         gc.collect()
         spark._jvm.System.gc()
-        time.sleep(0.5 * wait)
+        time.sleep(0.7)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def per_worker() -> dict:

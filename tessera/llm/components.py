@@ -1,7 +1,8 @@
 """Connected components of a graph held as rows of links, by alternating large and small stars.
 
 Every step is a grouped minimum (combined before the shuffle, so a hub costs no more than a leaf) and a join that
-Spark may split where a hub has many rows. Nothing is brought to the driver but a row count and a checksum.
+Spark may split where a hub has many rows. Nothing is brought to the driver but a row count and a checksum. A graph of at
+most SMALL links is one partition, which saves the shuffles of a few rows each; a larger one is spread.
 """
 
 from __future__ import annotations
@@ -11,27 +12,33 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common
 
+SMALL = 100_000
+
 
 def _large(e: DataFrame) -> DataFrame:
-    both = e.union(e.select("v", "u"))
+    pairs = F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))
+    both = e.select(F.inline(pairs)).withColumnsRenamed({"a": "u", "b": "v"})
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(e: DataFrame) -> DataFrame:
+    """Each link u > v becomes (v, least neighbour of u), and u is linked with that neighbour."""
     least = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = F.array(F.struct(F.col("v").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b")))
+    return e.join(least, "u").select(F.inline(moved)).where("a <> b").withColumnsRenamed({"a": "u", "b": "v"}).distinct()
 
 
 def _sum(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.shiftright(F.xxhash64("u", "v"), 24)), F.lit(0))).first())
 
 
-def stars(links: DataFrame) -> DataFrame:
+def stars(links: DataFrame, small: int = SMALL) -> DataFrame:
     """u, v for each node u of links (columns u, v, any order, repeats allowed) that isn't its component's smallest, v."""
     e = common.cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _sum(e)
+    if before[0] <= small:
+        e = e.coalesce(1)
     while before[0]:
         common.free(links.sparkSession)
         e = common.cut(_small(_large(e)))
@@ -39,4 +46,6 @@ def stars(links: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
+        if before[0] <= small:
+            e = e.coalesce(1)
     return e

@@ -9,7 +9,7 @@ Documents with equal sets form a class with its smallest doc_id for a name; only
 from above (two sets differ in at least as many elements as their bitmaps in bits), which rules out most texts that are
 merely related, losing none, before a pair becomes a row. In a bucket, not all pairs are compared: a pivot is compared with the other members, links found that way are joined into components, and only a
 bucket whose untried members still lie in different components gets further pivots (those with most links first,
-sixteen at first and sixteen times as many each round) until every pair of its members is either connected or was compared. So no link between
+sixteen at first and 64 times as many each round) until every pair of its members is either connected or was compared. So no link between
 different components is lost, yet a group of a million near copies costs a million comparisons, not their square; only
 a bucket of texts that mostly are *not* alike nears the square of its size, as pairs spread over all tasks.
 
@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     # Members that were never a pivot in their bucket; a bucket is settled once these lie in one component.
     fresh, many = inside.where("name <> p_name").select("bucket", "name", "n"), 16
     while True:
-        free(docs.sparkSession, wait=True)
+        free(docs.sparkSession)
         now = fresh.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").withColumn("component", F.coalesce("component", "name"))
         open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         now = common.cut(now.join(open_, "bucket"))
@@ -222,13 +222,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
         pairs = now.join(facts, "name").join(pivots.join(pivot_facts, "p_name"), "bucket").where("name <> p_name AND component <> p_component").where(sizes).where(here).where(fits)
         pairs = pairs.select(F.least("p_name", "name").alias("u"), F.greatest("p_name", "name").alias("v")).distinct()
         pairs = common.cut(pairs.join(tried, ["u", "v"], "left_anti"))
-        free(docs.sparkSession)
         new = common.cut(compare(pairs, sets, percent).distinct())
         tried, links = tried.union(pairs), links.union(new)
         if not new.isEmpty():
             found = stars(found.union(new))
         fresh = common.cut(now.select("bucket", "name", "n").join(pivots.select("bucket", F.col("p_name").alias("name")), ["bucket", "name"], "left_anti"))
-        many *= 16
+        many *= 64
 
     return members.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").select("doc", "n", F.coalesce("component", "name").alias("component"))
 

@@ -320,6 +320,7 @@ def test_signature_estimates_similarity():
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, j) for j in range(101, 140)] + [(200, 201), (201, 200), (5, 5)], "u long, v long")
     got = {x.u: x.v for x in components.stars(links).collect()}
+    assert got == {x.u: x.v for x in components.stars(links, small=0).collect()}
     assert got == {i: 0 for i in range(1, 31)} | {j: 100 for j in range(101, 140)} | {201: 200}
     assert components.stars(links.limit(0)).count() == 0
 
