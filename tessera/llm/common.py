@@ -69,6 +69,11 @@ def renamed(df: DataFrame) -> Renamed:
     return Renamed(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns)
 
 
+def compact(df: DataFrame, few: int = 100_000) -> DataFrame:
+    """A table that has been cut, as one partition if it has few rows: joins among such tables need no shuffle."""
+    return df.coalesce(1) if df.count() <= few else df
+
+
 def free(spark: SparkSession, wait: bool = False) -> None:
     """Let Spark's cleaner delete the shuffle files and checkpoints of steps that nothing refers to any more.
 

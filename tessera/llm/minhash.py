@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.common import free
+from tessera.llm.common import compact, free
 from tessera.llm.components import stars
 
 BANDS, ROWS = 32, 4
@@ -201,13 +201,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
     inside = common.cut(inside.join(lowest.select("bucket", F.col("p.name").alias("p_name"), F.col("p.n").alias("p_n")), "bucket"))
     first = inside.where("name <> p_name").where(sizes).select("name", "n", "p_name", "p_n").distinct()
     first = first.join(facts, "name").join(pivot_facts, "p_name").where(fits)
-    tried = common.cut(first.select(F.col("p_name").alias("u"), F.col("name").alias("v")).distinct())
+    tried = compact(common.cut(first.select(F.col("p_name").alias("u"), F.col("name").alias("v")).distinct()))
     free(docs.sparkSession)
-    links = common.cut(compare(tried, sets, percent).distinct())
+    links = compact(common.cut(compare(tried, sets, percent).distinct()))
     found = stars(links)
 
     # Members that were never a pivot in their bucket; a bucket is settled once these lie in one component.
-    fresh, many = inside.where("name <> p_name").select("bucket", "name", "n"), 16
+    fresh, many = compact(inside.where("name <> p_name").select("bucket", "name", "n")), 16
     while True:
         free(docs.sparkSession)
         now = fresh.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").withColumn("component", F.coalesce("component", "name"))
@@ -221,12 +221,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BAND
         pivots = common.cut(best.select("bucket", F.col("name").alias("p_name"), F.col("n").alias("p_n"), F.col("component").alias("p_component")))
         pairs = now.join(facts, "name").join(pivots.join(pivot_facts, "p_name"), "bucket").where("name <> p_name AND component <> p_component").where(sizes).where(here).where(fits)
         pairs = pairs.select(F.least("p_name", "name").alias("u"), F.greatest("p_name", "name").alias("v")).distinct()
-        pairs = common.cut(pairs.join(tried, ["u", "v"], "left_anti"))
-        new = common.cut(compare(pairs, sets, percent).distinct())
+        pairs = compact(common.cut(pairs.join(tried, ["u", "v"], "left_anti")))
+        new = compact(common.cut(compare(pairs, sets, percent).distinct()))
         tried, links = tried.union(pairs), links.union(new)
         if not new.isEmpty():
             found = stars(found.union(new))
-        fresh = common.cut(now.select("bucket", "name", "n").join(pivots.select("bucket", F.col("p_name").alias("name")), ["bucket", "name"], "left_anti"))
+        fresh = compact(common.cut(now.select("bucket", "name", "n").join(pivots.select("bucket", F.col("p_name").alias("name")), ["bucket", "name"], "left_anti")))
         many *= 64
 
     return members.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").select("doc", "n", F.coalesce("component", "name").alias("component"))
