@@ -210,7 +210,7 @@ class Names:
         self.first_doc = ids[np.minimum.reduceat(docs, first)] if len(first) else ids[:0]
         self.several = self.first_doc != ids[np.maximum.reduceat(docs, first)] if len(first) else np.empty(0, bool)
         edges = np.flatnonzero(np.append(True, self.buckets[1:] != self.buckets[:-1])) if len(first) else np.empty(0, np.int64)
-        self.ranges = {int(self.buckets[a]): (int(a), int(z)) for a, z in zip(edges, np.append(edges[1:], len(first)), strict=True)}
+        self.ranges = {int(self.buckets[a]): (int(a), int(z)) for a, z in zip(edges, np.append(edges[1:], len(first))[: len(edges)], strict=True)}
 
     def answer(self, answers: dict[int, bytes]) -> np.ndarray:
         """The bit of each name."""
