@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
-A seed is a fixed mask over SPAN consecutive tokens that looks at some positions and ignores the others, so a hit
-survives substitutions at ignored places; several masks leave few places unprotected. The hashes of all seeds of the
-test items are joined with those of every token position of the training texts, and round each hit the two texts
-are laid side by side: the stretch with the best score (+1 for an equal token, -2 for another) must hold
-enough equal tokens. Tokens are words lower-cased and stripped of what is neither letter nor digit.
+A seed is a fixed mask over consecutive tokens that looks at some positions and ignores the others, so a hit
+survives substitutions at ignored places. The hashes of all seeds of the test items are joined with those of every token
+position of the training texts, and round each hit the two texts are laid side by side: the stretch with the best
+score (+1 for an equal token, -2 for another) must hold enough equal tokens. Its score is above 0 from its first token on, so
+the masks can be, and are, all the ways in which such a stretch can begin: none is missed. Masks with the same first
+ROOT positions share one hash that rules out nearly all places. Tokens are words lower-cased and stripped of what is neither
+letter nor digit.
 
 The join is a lookup in the items' hashes, which are broadcast in blocks of at most BLOCK_TOKENS tokens, however large the
 benchmark is (a stated query set against all rows, in blocks): texts are neither shuffled nor sorted, and a
@@ -28,10 +30,27 @@ from tessera.llm import common
 
 U64 = np.uint64
 SPAN = 11
-#: Weight 7 of 11; no two agree, and each position but the ends is ignored by one of them at least.
-MASKS = ("11101100101", "11010011011", "10111010011", "11001101101")
 LEAST, ENOUGH, SHARE = 5, 12, 0.8
 BLOCK_TOKENS = 1_000_000
+#: Hits looked at together.
+HITS = 1_000_000
+
+
+def beginnings(weight: int) -> tuple[str, ...]:
+    """How a stretch whose score stays above 0 can begin, up to its weight-th equal token."""
+    out = [("1", 1)]
+    for _ in range(weight - 1):
+        out = [(m + "0" * k + "1", score - 2 * k + 1) for m, score in out for k in range((score + 1) // 2)]
+    return tuple(m for m, _ in out)
+
+
+#: Weight 7, at most the equal tokens that any item of SPAN tokens must have.
+MASKS, ROOT = beginnings(7), 4
+
+
+def root(mask: str) -> str:
+    """The mask up to its ROOT-th position looked at."""
+    return mask[: [i for i, c in enumerate(mask) if c == "1"][:ROOT][-1] + 1]
 
 
 class Words:
@@ -66,19 +85,31 @@ class Words:
         return out[out != 0]
 
 
-def seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of each place's seed under the mask."""
-    n = len(tokens) - len(mask) + 1
-    if n <= 0:
-        return np.empty(0, U64)
-    h = np.full(n, int(mask, 2) * 0x9E3779B97F4A7C15 % (1 << 64), U64)
+def seeds(tokens: np.ndarray, mask: str, at: np.ndarray | None = None, grown: tuple[str, np.ndarray] | None = None) -> np.ndarray:
+    """The hash of each place's seed under the mask, or of the places `at`; `grown` is a beginning of the mask and its hashes there."""
+    n = max(0, len(tokens) - len(mask) + 1)
+    done, h = grown or ("", np.full(n if at is None else len(at), 0x9E3779B97F4A7C15, U64))
     for i, c in enumerate(mask):
-        if c == "1":
-            h = (h ^ tokens[i : i + n]) * U64(0xFF51AFD7ED558CCD)
+        if c == "1" and i >= len(done):
+            h = (h ^ (tokens[i : i + n] if at is None else tokens[at + i])) * U64(0xFF51AFD7ED558CCD)
             h ^= h >> U64(32)
     return h
 
 
+class Table:
+    """Sorted hashes, and a small table that rules out nearly all others."""
+
+    def __init__(self, h: np.ndarray):
+        self.order = np.argsort(h, kind="stable")
+        self.h = h[self.order]
+        bits = max(16, int(len(h)).bit_length() + 5)
+        self.there, self.shift = np.zeros(1 << bits, bool), U64(64 - bits)
+        self.there[h >> self.shift] = True
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        return self.there[h >> self.shift]
+
+
 class Items:
     """One block of test items, ready to be searched for."""
 
@@ -89,19 +120,17 @@ class Items:
         for i, t in enumerate(tokens):
             for m in MASKS if len(t) >= SPAN else ["1" * len(t)]:
                 masks.setdefault(m, []).append(i)
-        self.seeds = []
+        self.seeds, roots = {}, {}
         for m, own in masks.items():
-            if not own:
-                continue
             each = [seeds(tokens[i], m) for i in own]
-            h = np.concatenate(each)
+            if not sum(map(len, each)):
+                continue
+            roots.setdefault(root(m), []).extend(seeds(tokens[i], root(m)) for i in own)
             item = np.repeat(own, [len(x) for x in each])
             place = np.concatenate([np.arange(len(x)) for x in each])
-            order = np.argsort(h, kind="stable")
-            bits = max(16, int(len(h)).bit_length() + 5)  # a small table that rules out nearly all places
-            there = np.zeros(1 << bits, bool)
-            there[h >> U64(64 - bits)] = True
-            self.seeds.append((m, h[order], item[order], place[order], there, U64(64 - bits)))
+            t = Table(np.concatenate(each))
+            self.seeds.setdefault(root(m), []).append((m, t, item[t.order], place[t.order]))
+        self.roots = {m: Table(np.unique(np.concatenate(each))) for m, each in roots.items()}
 
     def best(self, doc: np.ndarray, item: np.ndarray, shift: int) -> int:
         """Equal tokens in the best stretch when the item's first token lies at `shift` in the document."""
@@ -123,27 +152,42 @@ class Items:
         starts = np.cumsum([0, *map(len, docs)])
         every = np.concatenate(docs) if docs else np.empty(0, U64)
         seen, found = set(), {}
-        for m, h, item, place, there, shift in self.seeds:
-            s = seeds(every, m)
-            at = np.flatnonzero(there[s >> shift])
-            if not len(at):
-                continue
-            lo = np.searchsorted(h, s[at], "left")
-            hi = np.searchsorted(h, s[at], "right")
-            for p, a, b in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                row = int(np.searchsorted(starts, p, "right")) - 1
-                for k in range(a, b):
-                    key = (row, int(item[k]), p - int(starts[row]) - int(place[k]))
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    equal = self.best(docs[row], self.tokens[key[1]], key[2])
-                    if equal >= self.enough[key[1]]:
-                        own = found.setdefault(row, {})
-                        own[key[1]] = max(own.get(key[1], 0), equal)
+        for first, table in self.roots.items():
+            s = seeds(every, first)
+            at = np.flatnonzero(table.maybe(s))
+            s = s[at]
+            for mask, t, item, place in self.seeds[first]:
+                inside = at <= len(every) - len(mask)
+                p = at[inside]
+                h = seeds(every, mask, p, (first, s[inside]))
+                p, h = p[t.maybe(h)], h[t.maybe(h)]
+                lo, n = np.searchsorted(t.h, h, "left"), np.searchsorted(t.h, h, "right")
+                n -= lo
+                for a, b in parts(n):
+                    k = np.repeat(lo[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b]) + np.arange(n[a:b].sum())
+                    here = np.repeat(p[a:b], n[a:b])
+                    row = np.searchsorted(starts, here, "right") - 1
+                    keys = np.unique(np.stack([row, item[k], here - starts[row] - place[k]], 1), axis=0)
+                    for key in map(tuple, keys.tolist()):
+                        if key in seen:
+                            continue
+                        seen.add(key)
+                        equal = self.best(docs[key[0]], self.tokens[key[1]], key[2])
+                        if equal >= self.enough[key[1]]:
+                            own = found.setdefault(key[0], {})
+                            own[key[1]] = max(own.get(key[1], 0), equal)
         return found
 
 
+def parts(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of n whose sums are about HITS at most."""
+    ends, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, "right")))
+        yield a, b
+        a = b
+
+
 def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[Items]:
     """The items in blocks of about `most` tokens; only one block is on the driver at a time."""
     rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")

@@ -226,6 +226,30 @@ def test_decontamination(spark, nothing):
     assert len(many) > 2 and sorted(i for b in many for i in b.ids) == [0, 1, 2, 4]
 
 
+def brute_force(items, doc):
+    """{item: equal tokens} with all shifts verified."""
+    best = {k: max((items.best(doc, t, s) for s in range(-len(t), len(doc))), default=0) for k, t in enumerate(items.tokens)}
+    return {k: n for k, n in best.items() if n >= items.enough[k]}
+
+
+def test_decontamination_finds_all_that_verification_accepts():
+    r = np.random.default_rng(6)
+    token = lambda n: r.integers(1, 1 << 63, n, dtype=np.uint64)
+    tokens = [token(n) for n in (11, 12, 13, 14, 15, 15, 16, 20, 20, 30, 45, 59)]
+    items = decontamination.Items(list(range(len(tokens))), tokens)
+    docs = []
+    for t in tokens:
+        for period in (3, 4, 5, 6):
+            for offset in range(period):
+                docs.append(np.where(np.arange(len(t)) % period == offset, token(len(t)), t))
+        for _ in range(150):
+            changed = t.copy()
+            changed[r.permutation(len(t))[: r.integers(0, len(t) * 2 // 5)]] = r.integers(1, 1 << 63)
+            docs.append(np.concatenate([token(r.integers(0, 4)), changed, token(r.integers(0, 4))]))
+    want = {i: x for i, d in enumerate(docs) if (x := brute_force(items, d))}
+    assert len(want) > 800 and items.search(docs) == want
+
+
 def test_difference_cover():
     d = suffix_dedup.COVER
     assert {(a - b) % suffix_dedup.PERIOD for a in d for b in d} == set(range(suffix_dedup.PERIOD))
