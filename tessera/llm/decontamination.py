@@ -4,7 +4,8 @@ A seed is a fixed mask over consecutive tokens that looks at some positions and
 survives substitutions at ignored places. The hashes of all seeds of the test items are joined with those of every token
 position of the training texts, and round each hit the two texts are laid side by side: the stretch with the best
 score (+1 for an equal token, -2 for another) must hold enough equal tokens. Its score is above 0 from its first token on, so
-the masks can be, and are, all the ways in which such a stretch can begin: none is missed. Masks with the same first
+the masks can be, and are, all the ways in which such a stretch can begin: none is missed. Of an item of which SHARE is enough,
+equal tokens count in all places, however the others lie, and it has masks of its own (SHORT). Masks with the same first
 ROOT positions share one hash that rules out nearly all places. Tokens are words lower-cased and stripped of what is neither
 letter nor digit.
 
@@ -13,7 +14,7 @@ benchmark is (a stated query set against all rows, in blocks): texts are neither
 passage that a third of all documents share costs no more than any other.
 
 Cases: null or empty text holds nothing; an item under LEAST tokens is too short to be told from chance and is not
-searched; an item shorter than a seed is searched by all its tokens; very long texts are searched whole; repeated
+searched; of a short item any SHARE of the tokens is enough, in their places; very long texts are searched whole; repeated
 rows and items give repeated hits; with an empty table nothing is found; other columns stay, whatever their names.
 """
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 U64 = np.uint64
-SPAN = 11
 LEAST, ENOUGH, SHARE = 5, 12, 0.8
 BLOCK_TOKENS = 1_000_000
 #: Hits looked at together.
@@ -44,8 +44,9 @@ def beginnings(weight: int) -> tuple[str, ...]:
     return tuple(m for m, _ in out)
 
 
-#: Weight 7, at most the equal tokens that any item of SPAN tokens must have.
 MASKS, ROOT = beginnings(7), 4
+#: For items of which SHARE is enough: with so few tokens replaced, wherever, one of these fits between them.
+SHORT = (*beginnings(5), "110111", "101111", "1111001")
 
 
 def root(mask: str) -> str:
@@ -116,9 +117,10 @@ class Items:
     def __init__(self, ids: list[int], tokens: list[np.ndarray], enough: int = ENOUGH, share: float = SHARE):
         self.ids, self.tokens = ids, tokens
         self.enough = [max(LEAST, min(enough, int(np.ceil(share * len(t))))) for t in tokens]
-        masks: dict[str, list[int]] = {m: [] for m in MASKS}
+        self.short = [share * len(t) <= enough for t in tokens]
+        masks: dict[str, list[int]] = {}
         for i, t in enumerate(tokens):
-            for m in MASKS if len(t) >= SPAN else ["1" * len(t)]:
+            for m in SHORT if self.short[i] else MASKS:
                 masks.setdefault(m, []).append(i)
         self.seeds, roots = {}, {}
         for m, own in masks.items():
@@ -132,12 +134,14 @@ class Items:
             self.seeds.setdefault(root(m), []).append((m, t, item[t.order], place[t.order]))
         self.roots = {m: Table(np.unique(np.concatenate(each))) for m, each in roots.items()}
 
-    def best(self, doc: np.ndarray, item: np.ndarray, shift: int) -> int:
-        """Equal tokens in the best stretch when the item's first token lies at `shift` in the document."""
+    def best(self, doc: np.ndarray, item: np.ndarray, shift: int, short: bool = False) -> int:
+        """Equal tokens in the best stretch, or in all of a short item, when its first token lies at `shift` in the document."""
         a, b = max(0, -shift), min(len(item), len(doc) - shift)
         if a >= b:
             return 0
         same = (item[a:b] == doc[a + shift : b + shift]).tolist()
+        if short:
+            return sum(same)
         score = equal = top = top_equal = 0
         for x in same:
             score, equal = (score + 1, equal + 1) if x else (score - 2, equal)
@@ -172,7 +176,7 @@ class Items:
                         if key in seen:
                             continue
                         seen.add(key)
-                        equal = self.best(docs[key[0]], self.tokens[key[1]], key[2])
+                        equal = self.best(docs[key[0]], self.tokens[key[1]], key[2], self.short[key[1]])
                         if equal >= self.enough[key[1]]:
                             own = found.setdefault(key[0], {})
                             own[key[1]] = max(own.get(key[1], 0), equal)

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -228,7 +229,7 @@ def test_decontamination(spark, nothing):
 
 def brute_force(items, doc):
     """{item: equal tokens} with all shifts verified."""
-    best = {k: max((items.best(doc, t, s) for s in range(-len(t), len(doc))), default=0) for k, t in enumerate(items.tokens)}
+    best = {k: max((items.best(doc, t, s, items.short[k]) for s in range(-len(t), len(doc))), default=0) for k, t in enumerate(items.tokens)}
     return {k: n for k, n in best.items() if n >= items.enough[k]}
 
 
@@ -250,6 +251,24 @@ def test_decontamination_finds_all_that_verification_accepts():
     assert len(want) > 800 and items.search(docs) == want
 
 
+def test_decontamination_of_short_items():
+    r = np.random.default_rng(7)
+    token = lambda n: r.integers(1, 1 << 63, n, dtype=np.uint64)
+    for n in range(5, 16):
+        t = token(n)
+        items = decontamination.Items([0], [t])
+        enough = min(12, max(5, -(-8 * n // 10)))
+        for few in range(n - enough + 1):
+            docs = []
+            for at in itertools.combinations(range(n), few):
+                changed = t.copy()
+                changed[list(at)] = token(few)
+                docs.append(np.concatenate([token(2), changed, token(1)]))
+            assert items.search(docs) == {i: {0: n - few} for i in range(len(docs))}
+        docs = [np.where(np.isin(np.arange(n), at), token(n), t) for at in itertools.combinations(range(n), n - enough + 1)]
+        assert items.search(docs) == {}
+
+
 def test_difference_cover():
     d = suffix_dedup.COVER
     assert {(a - b) % suffix_dedup.PERIOD for a in d for b in d} == set(range(suffix_dedup.PERIOD))
