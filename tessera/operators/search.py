@@ -6,6 +6,7 @@ Arrow batch keeps its own k best a query by one matrix product, and only those r
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,14 @@ def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray,
         yield np.array(ids, np.int64), np.array(vectors, np.float64)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Run df once and keep its rows in the shared folder; a folder of our own only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(1, keepdims=True))
     return m / np.where(n == 0, 1, n)
@@ -77,11 +86,17 @@ def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str,
 
 
 def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", bucket: float = 0.6, tables: int = 8, near: float = 1.2, seed: int = 42) -> DataFrame:
-    """query_id, rank, row_id, score by locality-sensitive hashing of unit vectors (|a - b|^2 = 2 - 2 cos)."""
+    """query_id, rank, row_id, score by locality-sensitive hashing of unit vectors (|a - b|^2 = 2 - 2 cos).
+
+    Only pairs nearer than `near` are ranked; queries that find fewer than k of them are completed by the exact search.
+    """
     to_vector = lambda df, key: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
     a, b = to_vector(rows, row_id), to_vector(queries, query_id)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(a)
     pairs = model.approxSimilarityJoin(a, b, near, distCol="distance")
     found = pairs.select(F.col("datasetB.id").alias(query_id), F.col("datasetA.id").alias(row_id), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score"))
     best = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "score")
+    ranked = cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "score"))
+    whole = ranked.groupBy(query_id).count().where(F.col("count") >= k)
+    rest = top_k(rows, queries.join(whole, query_id, "left_anti"), k, row_id=row_id, query_id=query_id, vector=vector)
+    return ranked.join(whole.select(query_id), query_id, "left_semi").select(*ranked.columns).unionByName(rest.withColumn("score", F.round("score", 6)))

@@ -26,6 +26,16 @@ def test_top_k(blobs):
     assert search.top_k(df, q.where("query_id < 0"), 4).count() == 0
 
 
+def test_approximate_top_k_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = e.select(F.col("vec_id").alias("query_id"), "embedding")
+    pairs = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    want, got = pairs(search.top_k(e, q)), pairs(search.approximate_top_k(e, q))
+    assert len(got) == len(want) and len(got & want) >= 0.99 * len(want)
+    far = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert pairs(search.approximate_top_k(far, far.withColumnRenamed("vec_id", "query_id").where("query_id = 0"), 3)) == {(0, 0), (0, 1), (0, 2)}
+
+
 def test_mixture(blobs):
     x, df = blobs
     model, ll, history = C.fit_diagonal(df, 3, starts=3, rounds=30)
