@@ -97,9 +97,9 @@ def stored_chunks(spark, d):
 # ---- cleaning and string functions
 
 
-def latex(spark, d):
-    """Documents with LaTeX round their first 300 characters."""
-    head = F.substring("text", 1, 300)
+def latex(spark, d, whole=False):
+    """Documents with LaTeX round their first 300 characters (as the SQL has it), or round the whole text."""
+    head = F.col("text") if whole else F.substring("text", 1, 300)
     return documents(spark, d).select(
         "doc_id",
         F.concat(
@@ -124,12 +124,27 @@ def clean_latex_classic(spark, d):
     return latex(spark, d).select("doc_id", T.clean_latex_plain(F.col("text")).alias("clean"))
 
 
+@query("clean_latex_improved_whole")
+def clean_latex_improved_whole(spark, d):
+    return latex(spark, d, whole=True).select("doc_id", T.clean_latex(F.col("text")).alias("clean"))
+
+
+@query("clean_latex_classic_whole")
+def clean_latex_classic_whole(spark, d):
+    return latex(spark, d, whole=True).select("doc_id", T.clean_latex_plain(F.col("text")).alias("clean"))
+
+
 @query("detect_type", O.DETECT)
-def detect_type(spark, d):
-    both = latex(spark, d).select(F.lit("marked").alias("kind"), "text").unionByName(documents(spark, d).select(F.lit("raw").alias("kind"), "text"))
+def detect_type(spark, d, whole=False):
+    both = latex(spark, d, whole).select(F.lit("marked").alias("kind"), "text").unionByName(documents(spark, d).select(F.lit("raw").alias("kind"), "text"))
     return both.groupBy("kind", T.file_type(F.col("text")).alias("file_type")).agg(F.count("*").alias("n"))
 
 
+@query("detect_type_whole")
+def detect_type_whole(spark, d):
+    return detect_type(spark, d, whole=True)
+
+
 @query("sentence_split", O.SENTENCES)
 def sentence_split(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
