@@ -411,8 +411,10 @@ def history_improvement(spark, d):
 # ---- retrieval and answers
 
 
-def hits(spark, d, k=5):
-    docs = documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), F.substring("text", 1, 120).alias("text"))
+def hits(spark, d, k=5, whole=False):
+    """Rows found with their documents' first 120 characters (as the SQL has it), or with the whole texts."""
+    text = F.col("text") if whole else F.substring("text", 1, 120).alias("text")
+    docs = documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), text)
     e = embeddings(spark, d)
     found = search.top_k(e, questions(spark, d), k).join(e.select("vec_id", F.col("label").alias("cluster_id")), "vec_id")
     return found.join(docs, "vec_id", "left")
@@ -429,11 +431,16 @@ def topic_summaries(spark, d):
 
 
 @query("retrieve_context", O.CONTEXT)
-def retrieve_context(spark, d):
-    c = retrieval.contexts(asked(spark, d), hits(spark, d), topic_summaries(spark, d))
+def retrieve_context(spark, d, whole=False):
+    c = retrieval.contexts(asked(spark, d), hits(spark, d, whole=whole), topic_summaries(spark, d))
     return c.select("query_id", "question", "success", "message", "n_chunks", F.array_join("sources", ",").alias("sources"), F.array_join(F.transform("chunks", lambda x: x["text"]), "|").alias("texts"), F.coalesce(F.size("topics"), F.lit(0)).alias("n_topics"))
 
 
+@query("retrieve_context_whole")
+def retrieve_context_whole(spark, d):
+    return retrieve_context(spark, d, whole=True)
+
+
 @query("attach_summaries", O.ATTACH)
 def attach_summaries(spark, d):
     return retrieval.cluster_summaries(hits(spark, d), topic_summaries(spark, d))
@@ -445,11 +452,16 @@ def attach_summaries_level(spark, d):
 
 
 @query("build_prompt", O.PROMPT)
-def build_prompt(spark, d):
-    c = retrieval.contexts(asked(spark, d), hits(spark, d), topic_summaries(spark, d))
+def build_prompt(spark, d, whole=False):
+    c = retrieval.contexts(asked(spark, d), hits(spark, d, whole=whole), topic_summaries(spark, d))
     return c.select("query_id", retrieval.prompt().alias("prompt"))
 
 
+@query("build_prompt_whole")
+def build_prompt_whole(spark, d):
+    return build_prompt(spark, d, whole=True)
+
+
 @query("prompt_with_history", O.PROMPT_HISTORY)
 def prompt_with_history(spark, d):
     """The prompt of a conversation's last question without any context but its history."""
@@ -477,12 +489,17 @@ def answer_display(spark, d):
 
 
 @query("answer_batch", O.ANSWERS)
-def answer_batch(spark, d):
-    c = retrieval.contexts(asked(spark, d), hits(spark, d))
+def answer_batch(spark, d, whole=False):
+    c = retrieval.contexts(asked(spark, d), hits(spark, d, whole=whole))
     out = retrieval.answers(c)
     return out.select("query_id", "question", "answer", F.array_join("sources", ",").alias("sources"), "context_chunks", "tokens_generated")
 
 
+@query("answer_batch_whole")
+def answer_batch_whole(spark, d):
+    return answer_batch(spark, d, whole=True)
+
+
 # ---- evaluation
 
 
