@@ -221,6 +221,14 @@ def l2_top1(spark, d):
     return search.top_k(embeddings(spark, d).where("vec_id % 100 <> 0"), questions(spark, d), 1, "l2").select("query_id", "vec_id", F.round(-F.col("score"), 6).alias("distance"))
 
 
+@query("l2_top1_whole")
+def l2_top1_whole(spark, d):
+    """The nearest of all rows but the query's own; l2_top1 searches what its SQL has."""
+    two = search.top_k(embeddings(spark, d), questions(spark, d), 2, "l2").where("vec_id <> query_id")
+    first = two.groupBy("query_id").agg(F.min(F.struct("rank", "vec_id", "score")).alias("x"))
+    return first.select("query_id", "x.vec_id", F.round(-F.col("x.score"), 6).alias("distance"))
+
+
 @query("cosine_pairs", O.PAIRS)
 def cosine_pairs(spark, d):
     e = embeddings(spark, d)
@@ -348,6 +356,13 @@ def cluster_full_text(spark, d):
     return reports.with_full_text(clustered(spark, d), texts).select("vec_id", "cluster_id", "full_text")
 
 
+@query("cluster_full_text_whole")
+def cluster_full_text_whole(spark, d):
+    """All documents' whole texts; cluster_full_text looks up what its SQL has."""
+    texts = documents(spark, d).select(F.col("doc_id").alias("chunk_index"), "text")
+    return reports.with_full_text(clustered(spark, d), texts).select("vec_id", "cluster_id", "full_text")
+
+
 @query("mapping_table", O.MAPPING)
 def mapping_table(spark, d):
     return reports.mapping_table(clustered(spark, d))
