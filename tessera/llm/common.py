@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import sys
 import tempfile
-import time
 import types
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own on a single machine (tests)."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     now = sc._jsc.sc().getCheckpointDir()
+    if named is None and now.isEmpty() and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if now.isEmpty():
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
@@ -45,6 +46,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Work:
+    """The tables between the steps of one run, as Parquet in the shared folder.
+
+    Lineage ends at each; Spark knows their sizes, so it broadcasts the small ones by its own threshold; the shuffle
+    files of a step go when its table is written, and a table that is no longer read is dropped by its path.
+    """
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        path, before = f"{self.folder}/{name}", self.spark.conf.get(self.CLEANUP)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @dataclass
 class Renamed:
     """A DataFrame under neutral column names, so that columns an operator adds can't clash with a user's."""
@@ -69,26 +97,6 @@ def renamed(df: DataFrame) -> Renamed:
     return Renamed(df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns)
 
 
-def compact(df: DataFrame, few: int = 100_000) -> DataFrame:
-    """A table that has been cut, as one partition if it has few rows: joins among such tables need no shuffle."""
-    return df.coalesce(1) if df.count() <= few else df
-
-
-def free(spark: SparkSession, wait: bool = False) -> None:
-    """Let Spark's cleaner delete the shuffle files and checkpoints of steps that nothing refers to any more.
-
-    The listeners hold on to the last query until the next one; `wait` runs one and gives the cleaner its time, for steps
-    whose files would otherwise stand beside the next step's.
-    """
-    for _ in range(3 if wait else 0):
-        spark.range(2).repartition(2).count()
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def per_worker() -> dict:
     """A dict that lives as long as the Python worker (functions shipped by value have no module of their own)."""
     return sys.modules.setdefault("_tessera_worker", types.ModuleType("_tessera_worker")).__dict__

@@ -5,20 +5,27 @@ A document's set holds its distinct 5-word shingles. One permutation (a 64-bit m
 minimum: two permutations serve all coordinates. BANDS bands of ROWS coordinates make buckets: a pair at the threshold
 0.75 shares none with a chance of (1 - 0.75**4)**32 = 5e-6.
 
-Documents with equal sets form a class with its smallest doc_id for a name; only names go on. Bitmaps of the sets bound the similarity of a pair
-from above (two sets differ in at least as many elements as their bitmaps in bits), which rules out most texts that are
-merely related, losing none, before a pair becomes a row. In a bucket, not all pairs are compared: a pivot is compared with the other members, links found that way are joined into components, and only a
-bucket whose untried members still lie in different components gets further pivots (those with most links first,
-sixteen at first and 64 times as many each round) until every pair of its members is either connected or was compared. So no link between
-different components is lost, yet a group of a million near copies costs a million comparisons, not their square; only
-a bucket of texts that mostly are *not* alike nears the square of its size, as pairs spread over all tasks.
+Rows with equal sets form a class, a node of the graph; only one row of a class goes on. Two passes find all links that
+matter for the components:
 
-Links, components and sets stay in tables; every round's tables are in the shared folder.
+1. Pivots: every member of a bucket is compared with the bucket's first member. A group of a million near copies costs a
+   million comparisons a bucket, not their square, and is mostly connected after it.
+2. The rest: in buckets whose members still lie in several components, those outside the bucket's largest component are
+   laid side by side with all members, in cells of bounded size (a hot bucket becomes a grid of cells, dealt by hash). Bitmaps
+   of the sets bound the similarity of a pair from above (two sets differ in at least as many elements as their bitmaps in
+   bits), so most texts that are merely related are ruled out, losing none, before a set moves. Members of what is left
+   meet with their full sets, and each pair in different components is compared unless links already connect it.
+
+So every pair that shares a bucket is either compared or connected; a pair is seen in the first bucket it shares. Only a bucket of very many
+texts that are related but *not* alike nears the square of its size, spread over its cells.
+
+Sets, links and components stay in tables in the shared folder, a fixed number of them, whatever the data.
 
 Cases: null text, or text without words, has an empty set and is linked with nothing; with 1 to 4 words the whole
-sequence is the one shingle; very long texts are hashed whole; repeated rows belong to one component; all null doc_ids
-together are one document, and so are rows that share a doc_id; an empty table gives an empty result; other columns are
-not read.
+sequence is the one shingle; very long texts are hashed whole; rows that share a doc_id are one document, whose links are
+those of all its texts. A row with a null doc_id is a document without a number, and those with equal sets are one: it links others
+but never names a component; a component without any doc_id has a null component_id, and its first class is kept. An empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,17 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.common import compact, free
 from tessera.llm.components import stars
 
 BANDS, ROWS = 32, 4
 SHINGLE, PERCENT = 5, 75
-NO_ID = -(1 << 63)
+#: Bits of a set's bitmap.
 BITS = 2048
+#: A cell holds about so many shingles a side; a set counts as LIGHTEST at least, which bounds the members too.
+CELL, LIGHTEST = 1 << 20, 512
+#: Rows of a class or a doc_id go to so many places before they meet.
+SALTS = 32
+HOME, AWAY, ASKS = 0, 1, 2
 U64 = np.uint64
 
 
@@ -108,8 +119,13 @@ def bands(sign: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def text_name() -> list[Column]:
+    """A 128-bit name of the text, null for null."""
+    return [F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(i), "text")).alias(c) for i, c in ((1, "x"), (2, "y"))]
+
+
 def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc, n (set size), f1, f2 (128-bit name of the set) and buckets of each row; NO_ID stands for a null doc_id."""
+    """row (a number of its own), doc, x, y (128-bit name of the text), n (set size), f1, f2 (128-bit name of the set) and buckets of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -124,127 +140,277 @@ def sketches(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS, shingle: i
                 buckets.append(bands(signature(s, n_bands * rows), rows) if len(s) else np.empty(0, np.int64))
             f = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
             ends = np.cumsum([0, *map(len, buckets)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(f[:, 0])), pa.array(np.ascontiguousarray(f[:, 1])), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(buckets)))], ["doc", "n", "f1", "f2", "buckets"])
+            made = [pa.array(n, pa.int64()), pa.array(np.ascontiguousarray(f[:, 0])), pa.array(np.ascontiguousarray(f[:, 1])), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(buckets)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], *made], ["row", "doc", "x", "y", "n", "f1", "f2", "buckets"])
+
+    rows_in = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc"), *text_name(), "text")
+    return rows_in.mapInArrow(run, "row long, doc long, x long, y long, n long, f1 long, f2 long, buckets array<long>")
+
+
+def classes(sketch: DataFrame) -> DataFrame:
+    """doc, x, y, n, node (the first row of its class), low (the smallest doc_id of the class) of each row; buckets only of the node's row.
+
+    A class may hold a third of all rows: its rows are grouped by salt first and meet again by salt.
+    """
+    salt = F.pmod("row", F.lit(SALTS))
+    parts = sketch.where("n > 0").groupBy("f1", "f2", salt.alias("salt")).agg(F.min("row").alias("first"), F.min("doc").alias("low"))
+    whole = Window.partitionBy("f1", "f2")  # at most SALTS rows
+    parts = parts.select("f1", "f2", "salt", F.min("first").over(whole).alias("node"), F.min("low").over(whole).alias("low"))
+    both = sketch.withColumn("salt", salt).join(parts, ["f1", "f2", "salt"], "left")
+    own = F.when((F.col("row") == F.col("node")) & (F.col("n") > 0), F.col("buckets"))
+    return both.select("doc", "x", "y", "n", F.when(F.col("n") > 0, F.col("node")).otherwise(F.col("row")).alias("node"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc")).alias("low"), own.alias("buckets"))
+
+
+def same_document(members: DataFrame) -> DataFrame:
+    """Links u, v between the classes of rows that share a doc_id."""
+    several = members.where("doc IS NOT NULL").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("doc", "a")
+    return members.join(several, "doc").where("node > a").select(F.col("node").alias("u"), F.col("a").alias("v")).distinct()
+
 
-    rows_in = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    return rows_in.mapInArrow(run, "doc long, n long, f1 long, f2 long, buckets array<long>")
+def buckets_shared(members: DataFrame) -> DataFrame:
+    """bucket, node, n and pivot (the first node) of each member of a bucket that several classes share."""
+    spread = members.where("buckets IS NOT NULL").select("node", "n", F.explode("buckets").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("many"), F.min("node").alias("pivot")).where("many > 1")
+    return spread.join(shared, "bucket").select("bucket", "node", "n", "pivot")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc, its set (sorted 64-bit hashes, as bytes) and a bitmap of them of BITS bits, as longs."""
+def shingle_sets(docs: DataFrame, members: DataFrame, inside: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """node, n, its set (sorted 64-bit hashes, as bytes), a bitmap of it and its buckets, for each node in a shared bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Shingler(shingle)
+        sets, had = Shingler(shingle), set()
         for b in common.slices(batches):
+            nodes = b.column("node").to_pylist()
+            new = [i for i, x in enumerate(nodes) if not (x in had or had.add(x))]  # rows alike in doc_id and text
+            b = b.take(pa.array(new, pa.int64()))
             each = [sets(t) for t in common.column_bytes(b.column("text"))]
             bits = np.zeros((len(each), BITS), bool)
             for i, x in enumerate(each):
                 bits[i, (x >> U64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
-            maps = np.packbits(bits, axis=1).view(np.int64)
-            ends = np.arange(0, maps.size + 1, maps.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([x.tobytes() for x in each], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(maps.ravel()))], ["doc", "shingles", "bits"])
+            maps = np.packbits(bits, axis=1)
+            places = [np.array(x, np.int64).tobytes() for x in b.column("buckets").to_pylist()]
+            made = [pa.array([len(x) for x in each], pa.int64()), *[pa.array(x, pa.binary()) for x in ([x.tobytes() for x in each], [m.tobytes() for m in maps], places)]]
+            yield pa.RecordBatch.from_arrays([b.column("node"), *made], ["node", "n", "shingles", "bits", "buckets"])
+
+    ids = inside.select("node").distinct()
+    wanted = members.where("buckets IS NOT NULL").join(ids, "node").select(F.col("doc").alias("w_doc"), F.col("x").alias("w_x"), F.col("y").alias("w_y"), "node", "buckets")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), *text_name(), "text")
+    on = (F.col("x") == F.col("w_x")) & (F.col("y") == F.col("w_y")) & F.col("doc").eqNullSafe(F.col("w_doc"))
+    rows = texts.join(wanted, on).select("node", "buckets", "text")
+    return rows.repartition("node").mapInArrow(run, "node long, n long, shingles binary, bits binary, buckets binary")
+
 
-    return docs.mapInArrow(run, "doc long, shingles binary, bits array<long>")
+def matrix(column: pa.Array, kind=U64) -> np.ndarray:
+    """A column of equally long byte strings as a matrix."""
+    blobs = column.to_pylist()
+    return np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1)
 
 
-def alike(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
-    x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
+def may_be_alike(n: np.ndarray, m: np.ndarray, bits: np.ndarray, other: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of n and m elements with these bitmaps can reach the threshold (never false for those that do)."""
+    far = np.bitwise_count(bits ^ other).sum(-1, dtype=np.int64)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * far <= (100 - percent) * (n + m))
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
     if not len(x) or not len(y):
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def compare(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs u, v whose full sets are alike. Spark may split either join where one document is in many pairs."""
+def with_pivots(inside: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links u, v between the members of a bucket and its pivot. Spark may split the joins where one pivot is in many pairs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [alike(x, y, percent) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
+            if b.num_rows:
+                n, m = b.column("n").to_numpy(), b.column("p_n").to_numpy()
+                ok = may_be_alike(n, m, matrix(b.column("bits")), matrix(b.column("p_bits")), percent)
+                yield b.select(["u", "v"]).filter(pa.array(ok))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [alike(np.frombuffer(x, U64), np.frombuffer(y, U64), percent) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    with_v = pairs.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b")), "v")
-    both = with_v.join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    facts = sets.select(F.col("node").alias("u"), "n", "bits")
+    pivots = sets.select(F.col("node").alias("v"), F.col("n").alias("p_n"), F.col("bits").alias("p_bits"))
+    # Dealt by the member, whose pairs are few: repeated ones meet, and so does what is known of it.
+    pairs = inside.where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).repartition("u").distinct()
+    near = pairs.join(facts, "u").join(pivots, "v").select("u", "v", "n", "p_n", "bits", "p_bits").mapInArrow(possible, "u long, v long")
+    both = near.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+
+
+def cells(inside: DataFrame, found: DataFrame) -> DataFrame:
+    """bucket, i, j, role, node, component: what is left to compare after `found` (u, v: a node and its component).
+
+    Those outside a bucket's largest component are dealt over i and stand in all j, in role ASKS; the members the other
+    way round, in role HOME or AWAY. There are as many parts as keep a cell's sets to about CELL shingles a side.
+    """
+    weight = F.greatest(F.col("n"), F.lit(LIGHTEST))
+    now = inside.join(found.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = now.groupBy("bucket", "component").agg(F.sum(weight).alias("weight"))
+    open_ = parts.groupBy("bucket").agg(F.count("*").alias("many"), F.sum("weight").alias("all"), F.max("weight").alias("most"), F.max_by("component", "weight").alias("home")).where("many > 1")
+    open_ = open_.select("bucket", "home", F.ceil(F.col("all") / CELL).cast("int").alias("js"), F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("is"))
+    rows = now.join(open_, "bucket")
+    deal = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(parts)).cast("int")
+    every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    role = F.when(F.col("component") == F.col("home"), F.lit(HOME)).otherwise(F.lit(AWAY))
+    asking = rows.where("component <> home").select("bucket", deal(1, "is").alias("i"), F.explode(every("js")).alias("j"), F.lit(ASKS).alias("role"), "node", "component")
+    return asking.unionByName(rows.select("bucket", F.explode(every("is")).alias("i"), deal(2, "js").alias("j"), role.alias("role"), "node", "component"))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The runs of rows with equal keys in sorted batches; a run is held until it ends."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in keys])
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for a, z in zip(edges[:-1], edges[1:], strict=True):
+            if held and tuple(k[a]) != last:
+                yield pa.concat_batches(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(b.slice(a, z - a))
+            last = tuple(k[a])
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+
+
+def pairs_of(cell: pa.RecordBatch, percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a cell: one that asks and those it may be alike, in other components, if this is their first common bucket.
+
+    Of two outside the largest component, which meet in both roles, the larger one asks.
+    """
+    node, component, n, role = (cell.column(c).to_numpy() for c in ("node", "component", "n", "role"))
+    asking, members = np.flatnonzero(role == ASKS), np.flatnonzero(role != ASKS)
+    if not len(asking) or not len(members):
+        return
+    bits, places, bucket = matrix(cell.column("bits")), matrix(cell.column("buckets"), np.int64), cell.column("bucket")[0].as_py()
+    home = role[members] == HOME
+    for o in asking.tolist():
+        at = members[(component[members] != component[o]) & (home | (node[members] < node[o]))]
+        at = at[may_be_alike(n[o], n[at], bits[o], bits[at], percent)]
+        if len(at):
+            at = at[places[o][(places[at] == places[o]).argmax(1)] == bucket]
+        if len(at):
+            yield o, at
+
+
+def rest(inside: DataFrame, found: DataFrame, sets: DataFrame, work: common.Work, percent: int = PERCENT) -> DataFrame | None:
+    """Links u, v that connect what `found` leaves apart; None if no pair is left."""
+    grid, keys = "bucket long, i int, j int, role int, node long, component long", ("bucket", "i", "j")
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(*keys).sortWithinPartitions(*keys)
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, keys):
+            keep = np.zeros(cell.num_rows, bool)
+            for o, at in pairs_of(cell, percent):
+                keep[o] = True
+                keep[at] = True
+            if keep.any():
+                yield cell.select([*keys, "role", "node", "component"]).filter(pa.array(keep))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, keys):
+            node, component = cell.column("node").to_pylist(), cell.column("component").to_pylist()
+            sets = [np.frombuffer(x, U64) for x in cell.column("shingles").to_pylist()]
+            root, found = {c: c for c in component}, []
+
+            def find(c, root=root):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            for o, at in pairs_of(cell, percent):
+                for k in at.tolist():
+                    a, b = find(component[o]), find(component[k])
+                    if a != b and alike(sets[o], sets[k], percent):
+                        root[max(a, b)] = min(a, b)
+                        found.append((node[o], node[k]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    facts = sets.select("node", "n", "bits", "buckets")
+    left = work.keep("cells", dealt(cells(inside, found).join(facts, "node").select(*keys, "role", "node", "component", "n", "bits", "buckets")).mapInArrow(possible, grid))
+    if not left.count():
+        return None
+    full = left.join(sets, "node").select(*keys, "role", "node", "component", "n", "bits", "buckets", "shingles")
+    return dealt(full).mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """doc (NO_ID: null), n and component (the smallest doc that links lead to) of each row of docs."""
-    sketch = common.cut(sketches(docs, n_bands, rows, shingle))
-    classes = sketch.where("n > 0").groupBy("f1", "f2").agg(F.min("doc").alias("name"))
-    named = sketch.join(classes, ["f1", "f2"], "left")
-    members = named.select("doc", "n", F.coalesce("name", "doc").alias("name"))
-
-    spread = sketch.join(classes, ["f1", "f2"]).where("doc = name").select("name", "n", F.explode("buckets").alias("bucket")).distinct()
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1").select("bucket")
-    inside = common.cut(spread.join(shared, "bucket"))
-
-    ids = inside.select(F.col("name").alias("doc")).distinct()
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
-    sets = common.cut(shingle_sets(texts.join(ids, "doc", "left_semi"), shingle).distinct())
-
-    # What decides, inside a join, whether a pair is worth a row: the bitmap's words and the names of all buckets.
-    words, places = BITS // 64, range(n_bands)
-    facts = sets.select(F.col("doc").alias("name"), *[F.coalesce(F.col("bits")[i], F.lit(0)).alias(f"w{i}") for i in range(words)])
-    where = sketch.where("n > 0").select(F.col("doc").alias("name"), *[F.coalesce(F.col("buckets")[i], F.lit(0)).alias(f"k{i}") for i in places])
-    facts = common.cut(facts.join(where.join(ids.withColumnRenamed("doc", "name"), "name", "left_semi"), "name").distinct())
-    free(docs.sparkSession, wait=True)
-    # Similar sets differ in few elements, and in no fewer than their bitmaps differ in bits.
-    far = "(" + " + ".join(f"bit_count(w{i} ^ p_w{i})" for i in range(words)) + ")"
-    sizes = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
-    fits = f"{100 + percent} * {far} <= {100 - percent} * (n + p_n)"
-    # Of the buckets that two members share, the first one makes their pair.
-    here = "CASE " + " ".join(f"WHEN k{i} = p_k{i} THEN k{i}" for i in places) + " END = bucket"
-    pivot_facts = facts.select(*[F.col(c).alias(f"p_{c}") for c in facts.columns])
-
-    lowest = inside.groupBy("bucket").agg(F.min(F.struct("name", "n")).alias("p"))
-    inside = common.cut(inside.join(lowest.select("bucket", F.col("p.name").alias("p_name"), F.col("p.n").alias("p_n")), "bucket"))
-    first = inside.where("name <> p_name").where(sizes).select("name", "n", "p_name", "p_n").distinct()
-    first = first.join(facts, "name").join(pivot_facts, "p_name").where(fits)
-    tried = compact(common.cut(first.select(F.col("p_name").alias("u"), F.col("name").alias("v")).distinct()))
-    free(docs.sparkSession)
-    links = compact(common.cut(compare(tried, sets, percent).distinct()))
-    found = stars(links)
-
-    # Members that were never a pivot in their bucket; a bucket is settled once these lie in one component.
-    fresh, many = compact(inside.where("name <> p_name").select("bucket", "name", "n")), 16
-    while True:
-        free(docs.sparkSession)
-        now = fresh.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").withColumn("component", F.coalesce("component", "name"))
-        open_ = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        now = common.cut(now.join(open_, "bucket"))
-        if now.isEmpty():
-            break
-        degree = links.select(F.explode(F.array("u", "v")).alias("name")).groupBy("name").agg(F.count("*").alias("links"))
-        order = Window.partitionBy("bucket").orderBy(F.coalesce("links", F.lit(0)).desc(), "name")  # with the limit, each task sends `many` of a bucket
-        best = now.join(degree, "name", "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= many)
-        pivots = common.cut(best.select("bucket", F.col("name").alias("p_name"), F.col("n").alias("p_n"), F.col("component").alias("p_component")))
-        pairs = now.join(facts, "name").join(pivots.join(pivot_facts, "p_name"), "bucket").where("name <> p_name AND component <> p_component").where(sizes).where(here).where(fits)
-        pairs = pairs.select(F.least("p_name", "name").alias("u"), F.greatest("p_name", "name").alias("v")).distinct()
-        pairs = compact(common.cut(pairs.join(tried, ["u", "v"], "left_anti")))
-        new = compact(common.cut(compare(pairs, sets, percent).distinct()))
-        tried, links = tried.union(pairs), links.union(new)
-        if not new.isEmpty():
-            found = stars(found.union(new))
-        fresh = compact(common.cut(now.select("bucket", "name", "n").join(pivots.select("bucket", F.col("p_name").alias("name")), ["bucket", "name"], "left_anti")))
-        many *= 64
-
-    return members.join(found.select(F.col("u").alias("name"), F.col("v").alias("component")), "name", "left").select("doc", "n", F.coalesce("component", "name").alias("component"))
+    """doc, x, y (128-bit name of the text), n, component (the smallest doc_id that links lead to) and kept of each row of docs."""
+    work = common.Work(docs.sparkSession, "minhash")
+    members = work.keep("members", classes(work.keep("sketches", sketches(docs, n_bands, rows, shingle))))
+    work.drop("sketches")
+    inside = work.keep("inside", buckets_shared(members))
+    sets = work.keep("sets", shingle_sets(docs, members, inside, shingle))
+    found = stars(work.keep("links", same_document(members).union(with_pivots(inside, sets, percent))), work, "found")
+    more = rest(inside, found, sets, work, percent)
+    if more is not None:
+        found = stars(work.keep("more", found.union(more)), work, "all")
+    work.drop("inside", "sets", "links", "cells", "more")
+
+    # A component's smallest doc_id, by its nodes; of rows, only members are joined, once.
+    nodes = found.select(F.col("u").alias("node"), F.col("v").alias("root")).union(found.select("v", "v").distinct())
+    lowest = nodes.join(members.where("buckets IS NOT NULL OR n = 0").select("node", "low"), "node").groupBy("root").agg(F.min("low").alias("lowest"))
+    named = work.keep("named", nodes.join(lowest, "root").select("node", "root", "lowest"))
+    out = members.join(named, "node", "left").withColumn("component", F.coalesce("lowest", "low"))
+    nameless = F.col("doc").isNull() & F.col("component").isNull() & F.coalesce(F.col("node") == F.col("root"), F.lit(True))
+    return out.select("doc", "x", "y", "n", "component", (F.coalesce(F.col("doc") == F.col("component"), F.lit(False)) | nameless).alias("kept"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
-    out = near_duplicates(docs, **options)
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(shown("doc").alias("doc_id"), F.col("n").alias("n_shingles"), shown("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+    return near_duplicates(docs, **options).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is the smallest of its component, with all their columns."""
-    gone = near_duplicates(docs, **options).where("doc <> component").select(F.col("doc").alias("gone_doc")).distinct()
+    """The rows of docs whose document stands for its component, with all their columns."""
+    work = common.Work(docs.sparkSession, "minhash-kept")
+    gone = work.keep("gone", near_duplicates(docs, **options).where("NOT kept").select("doc", "x", "y").distinct())
     inner = common.renamed(docs)
-    return inner.df.join(gone, F.coalesce(inner.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("gone_doc"), "left_anti").select(*inner.restored())
+    numbered = work.keep("numbered", gone.where("doc IS NOT NULL").select("doc").distinct())
+    nameless = work.keep("nameless", gone.where("doc IS NULL").select("x", "y"))
+    text, doc = inner.of("text"), inner.col("doc_id").cast("long")
+    out = inner.df.join(numbered, doc == F.col("doc"), "left_anti")
+    named = [F.when(doc.isNull(), F.xxhash64(F.lit(i), text)) for i in (1, 2)]
+    out = out.join(nameless, (named[0] == F.col("x")) & (named[1] == F.col("y")), "left_anti")
+    return out.select(*inner.restored())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(common.table(spark, sf_dir, "documents"))
+
+
+#: Sets of shingle strings, joined on equal shingles; components by recursion.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT p.u, p.v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  JOIN sizes x ON x.doc_id = p.u JOIN sizes y ON y.doc_id = p.v
+  WHERE 100 * p.both >= 75 * (x.n + y.n - p.both)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents
+  UNION
+  SELECT r.doc_id, l.v FROM reached r JOIN links l ON r.other = l.u
+), lowest AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN lowest l USING (doc_id) LEFT JOIN sizes s USING (doc_id)
+"""

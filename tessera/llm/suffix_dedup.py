@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
-from tessera.llm.common import free
 
 LENGTH = 50
 #: A perfect difference set: every residue is the difference of two members.
@@ -64,13 +63,13 @@ def whole_copies(named: DataFrame) -> DataFrame:
     return narrow.join(classes, ["x", "y"]).where("doc > low").select("doc", "x", "y").distinct()
 
 
-def pack_documents(docs: DataFrame, size: int = SLICE) -> DataFrame:
+def pack_documents(docs: DataFrame, work: common.Work, size: int = SLICE) -> DataFrame:
     """slice, n_bytes, ids, lengths, data (compressed): documents in order of doc_id; equal ids share a slice.
 
     Whole copies stay out of data; `copies` has their ids and lengths. Their marks travel with the texts, in one shuffle.
     """
     named = text_names(docs)
-    marks = common.cut(whole_copies(named)).select("doc", "x", "y", F.lit(None).cast("string").alias("text"), F.lit(False).alias("real"))
+    marks = work.keep("copies", whole_copies(named)).select("doc", "x", "y", F.lit(None).cast("string").alias("text"), F.lit(False).alias("real"))
     rows = marks.unionByName(named.withColumn("real", F.lit(True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,11 +304,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length != LENGTH:
         raise ValueError(f"the cover is made for {LENGTH} bytes")
     spark = docs.sparkSession
-    packed = common.cut(pack_documents(docs))
+    work = common.Work(spark, "suffix-dedup")
+    packed = work.keep("packed", pack_documents(docs, work))
     total = packed.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(4, int(total * len(COVER) / PERIOD / NAMES_IN_BUCKET))
     wide = width(total, buckets)
-    free(spark, wait=True)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -318,9 +317,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(sent(r["slice"], k, tuple_names(piece, buckets)[1], 2, 12), SENT)
 
     names = packed.mapInArrow(sample, "bucket int, slice long, piece int, names binary")
-    alive = common.cut(names.groupBy("bucket").applyInArrow(meet(False), ANSWERS))
-    del names
-    free(spark, wait=True)
+    alive = work.keep("alive", names.groupBy("bucket").applyInArrow(meet(False), ANSWERS))
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
         number, row = slice_of(left)
@@ -331,9 +328,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return pa.Table.from_pylist(out, SENT)
 
     starts = packed.groupBy("slice").cogroup(alive.groupBy("slice")).applyInArrow(merge, "bucket int, slice long, piece int, names binary")
-    marks = common.cut(starts.groupBy("bucket").applyInArrow(meet(True), ANSWERS))
-    del starts
-    free(spark, wait=True)
+    marks = work.keep("marks", starts.groupBy("bucket").applyInArrow(meet(True), ANSWERS))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         number, row = slice_of(left)

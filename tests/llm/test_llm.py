@@ -299,6 +299,7 @@ def test_suffix_dedup(docs, rows, nothing, monkeypatch, size):
 
 
 def components_of(rows):
+    """(doc_id, n, component_id) of each row: rows are linked by alike sets or by their doc_id."""
     sets, names = {}, {}
     for i, (d, t, *_) in enumerate(rows):
         w = (t or "").encode().lower().split()
@@ -313,23 +314,65 @@ def components_of(rows):
     for i in sets:
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 75 * len(a | b):
+            if (a and b and 100 * len(a & b) >= 75 * len(a | b)) or (names[i] is not None and names[i] == names[j]):
                 group[find(i)] = find(j)
     low = {}
     for i in sets:
         if names[i] is not None:
             low[find(i)] = min(low.get(find(i), names[i]), names[i])
-    return {(names[i], len(sets[i]), low.get(find(i))) for i in sets if names[i] is not None}
+    return collections.Counter((names[i], len(sets[i]), low.get(find(i))) for i in sets)
+
+
+def minhash_rows(df):
+    return collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in minhash.report(df).collect())
 
 
 def test_minhash(spark, docs, rows, nothing):
     got = minhash.report(docs).collect()
-    assert len(got) == len(rows)
-    assert {(x.doc_id, x.n_shingles, x.component_id) for x in got if x.doc_id is not None} == components_of(rows)
-    assert all(x.kept == (x.doc_id == x.component_id) for x in got)
+    assert collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == components_of(rows)
+    assert all(x.kept == (x.doc_id == x.component_id) for x in got if x.doc_id is not None)
     kept = minhash.keep_one(docs)
-    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect() if x.doc_id is not None} == {x.doc_id for x in got if x.kept and x.doc_id is not None}
-    assert minhash.report(nothing).count() == 0
+    assert kept.columns == docs.columns
+    assert collections.Counter(x.doc_id for x in kept.collect()) == collections.Counter(x.doc_id for x in got if x.kept)
+    assert minhash.report(nothing).count() == 0 and minhash.keep_one(nothing).count() == 0
+
+
+def test_minhash_null_and_repeated_ids(spark):
+    r = random.Random(12)
+    a, b, c, d, e = (prose(r, 80) for _ in range(5))
+    near = lambda t: " ".join(["other", *t.split()[1:]])
+    rows = [(3, a), (None, near(a)), (9, near(near(a))), (2, b), (2, c), (7, near(c)), (None, d), (None, d), (None, near(d)), (5, ""), (5, e), (6, near(e)), (None, ""), (None, None), (1, None)]
+    got = minhash.report(make(spark, rows)).collect()
+    assert collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == components_of(rows)
+    kept = minhash.keep_one(make(spark, rows)).collect()
+    assert sorted(x.doc_id for x in kept if x.doc_id is not None) == [1, 2, 2, 3, 5, 5]
+    texts = [x.text for x in kept if x.doc_id is None]
+    assert sorted(t or "" for t in texts if not t) == ["", ""] and len({t for t in texts if t}) == 1 and near(a) not in texts
+
+
+def test_minhash_at_the_threshold(spark):
+    """Two sets of 7 with 6 in common are at exactly 6/8; of 7 and 6 with 5, below it."""
+    words = [f"w{i}" for i in range(12)]
+    at, below = (" ".join(words), " ".join([*words[:10], "x1"])), (" ".join(f"v{i}" for i in range(10)), " ".join([*[f"v{i}" for i in range(9)], "y1", "y2"]))
+    rows = [(1, at[0]), (2, at[1]), (11, below[0]), (12, below[1])]
+    assert minhash_rows(make(spark, rows)) == components_of(rows)
+    assert minhash.alike(np.arange(7, dtype=np.uint64), np.arange(1, 8, dtype=np.uint64)) and not minhash.alike(np.arange(7, dtype=np.uint64), np.arange(2, 8, dtype=np.uint64))
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 2000])
+def test_minhash_groups_that_no_pivot_joins(spark, monkeypatch, cell):
+    """Families whose members differ much, so that pivots leave work to the cells, whole or as a grid."""
+    monkeypatch.setattr(minhash, "CELL", cell)
+    r = random.Random(13)
+    rows = []
+    for f in range(3):
+        base = prose(r, 120).split()
+        for i in range(30):
+            w = list(base)
+            for _ in range(r.randint(0, 7)):
+                w[r.randrange(len(w))] = r.choice(VOCABULARY)
+            rows.append((f * 100 + r.choice((0, 1000)) + i, " ".join(w)))
+    assert minhash_rows(make(spark, rows)) == components_of(rows)
 
 
 def test_minhash_group_without_centre(spark):
@@ -347,8 +390,7 @@ def test_minhash_group_without_centre(spark):
     for i in range(8):
         chain[i * 12] = f"link{i}"
         rows.append((600 + i, " ".join(chain)))
-    got = {(x.doc_id, x.n_shingles, x.component_id) for x in minhash.report(make(spark, rows)).collect()}
-    assert got == components_of(rows)
+    assert minhash_rows(make(spark, rows)) == components_of(rows)
 
 
 def test_signature_estimates_similarity():
@@ -363,11 +405,24 @@ def test_signature_estimates_similarity():
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, j) for j in range(101, 140)] + [(200, 201), (201, 200), (5, 5)], "u long, v long")
     got = {x.u: x.v for x in components.stars(links).collect()}
-    assert got == {x.u: x.v for x in components.stars(links, small=0).collect()}
     assert got == {i: 0 for i in range(1, 31)} | {j: 100 for j in range(101, 140)} | {201: 200}
     assert components.stars(links.limit(0)).count() == 0
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(components, "CHUNK", 3)
+    r = random.Random(3)
+    pairs = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)]
+    links = spark.createDataFrame(pairs, "u long, v long").repartition(7)
+    want = {}
+    for a, b in pairs:
+        x, y = want.setdefault(a, {a}), want.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            want.update(dict.fromkeys(y, x))
+    assert {x.u: x.v for x in components.stars(links).collect()} == {k: min(x) for k, x in want.items() if k != min(x)}
+
+
 def test_quality_rules(spark, docs, rows, nothing):
     got = quality_rules.quality_rules(docs).collect()
     assert len(got) == len(rows)
