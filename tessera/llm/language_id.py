@@ -4,7 +4,8 @@ A text is cut into windows of WINDOW bytes (the last one ends with the text), so
 small vector; filters of several widths slide over the window; each filter's maximum over the window goes through a
 rectifier into a softmax over the languages. The windows' log-probabilities, weighted by their bytes, are averaged over
 the document. The network is trained here, in numpy, on the driver, from a bounded sample of labelled documents
-(`per_lang` of each language, `windows` windows each; the smallest hashes of doc_id, so reruns agree).
+(`per_lang` of each language, fewer where there are so many languages that they would pass MOST together, at least one;
+WINDOWS windows each; the smallest hashes of doc_id, ties by doc_id and text hash, so reruns agree).
 
 Cases: null text, or text without a letter, is `und` with score 0; a null lang is never learned; a null doc_id is never
 learned from and never held out; very long texts are read whole, in bounded pieces; repeated rows get equal results;
@@ -17,14 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
 WINDOW, WIDTHS, FILTERS, EMBED = 192, (2, 3, 4, 5), 12, 8
 WIDEST = max(WIDTHS)
-PER_LANG, WINDOWS, MOST_LANGS = 400, 6, 200
+PER_LANG, WINDOWS, MOST = 400, 6, 80_000
 
 
 class Network:
@@ -118,25 +119,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, n: int = WINDOWS) -> list[tuple[str, list[str]]]:
-    """lang and n pieces of text of about per_lang documents of each language, the smallest hashes of doc_id."""
+    """lang and n pieces of text of at most per_lang documents of each language, the smallest hashes of doc_id."""
     learn = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     draw = F.xxhash64(F.lit(5), F.col("doc_id").cast("long"))
-    langs = sorted(tuple(r) for r in learn.groupBy("lang").count().sort(F.desc("count"), "lang").limit(MOST_LANGS).collect())
+    langs = sorted(tuple(r) for r in learn.groupBy("lang").count().collect())  # one row a language
     if not langs:
         return []
-    # A share of all hashes that holds twice the wanted number; then the smallest of those.
-    share = {a: min(1.0, 2 * per_lang / c) for a, c in langs}
+    wanted = min(per_lang, max(1, MOST // len(langs)))
+    # A share of all hashes that holds four times the wanted number or so; then the smallest of those.
+    share = {a: min(1.0, (4 * wanted + 100) / c) for a, c in langs}
     bound = F.create_map(*[F.lit(v) for a, s in share.items() for v in (a, min(int((2 * s - 1) * (1 << 63)), (1 << 63) - 1))])
     start = lambda i: F.pmod(F.xxhash64(F.lit(i), F.col("doc_id").cast("long")), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
     pieces = F.array(*[F.substring(F.col("text"), start(i).cast("int"), F.lit(WINDOW)) for i in range(n)])
-    rows = learn.where(draw <= F.element_at(bound, F.col("lang"))).select("lang", draw.alias("draw"), "doc_id", pieces.alias("pieces"))
-    rows = rows.limit(4 * per_lang * len(langs)).collect()
-    out, had = [], dict.fromkeys(share, 0)
-    for r in sorted(rows, key=lambda r: (r["lang"], r["draw"], r["doc_id"])):
-        had[r["lang"]] += 1
-        if had[r["lang"]] <= per_lang:
-            out.append((r["lang"], r["pieces"]))
-    return out
+    rows = learn.where(draw <= F.element_at(bound, F.col("lang"))).select("lang", draw.alias("draw"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("name"), pieces.alias("pieces"))
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "name")  # with the limit, a task sends no more than `wanted` of a language
+    rows = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= wanted).collect()
+    return [(r["lang"], r["pieces"]) for r in sorted(rows, key=lambda r: (r["lang"], r["rank"]))]
 
 
 def train(rows: list[tuple[str, list[str]]]) -> tuple[list[str], Network | None]:
@@ -169,7 +167,7 @@ def predict(network: Network, texts: list[bytes]) -> np.ndarray:
 def language_id(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs. One narrow pass over the texts."""
     langs, network = train(sample(docs, per_lang))
-    shared = docs.sparkSession.sparkContext.broadcast((langs, network))  # fixed size: 256 bytes, 48 filters, MOST_LANGS outputs
+    shared = docs.sparkSession.sparkContext.broadcast((langs, network))  # 256 bytes, 48 filters, an output a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, network = shared.value
