@@ -1,21 +1,26 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is a fixed mask over consecutive tokens that looks at some positions and ignores the others, so a hit
-survives substitutions at ignored places. The hashes of all seeds of the test items are joined with those of every token
-position of the training texts, and round each hit the two texts are laid side by side: the stretch with the best
-score (+1 for an equal token, -2 for another) must hold enough equal tokens. Its score is above 0 from its first token on, so
-the masks can be, and are, all the ways in which such a stretch can begin: none is missed. Of an item of which SHARE is enough,
-equal tokens count in all places, however the others lie, and it has masks of its own (SHORT). Masks with the same first
-ROOT positions share one hash that rules out nearly all places. Tokens are words lower-cased and stripped of what is neither
-letter nor digit.
-
-The join is a lookup in the items' hashes, which are broadcast in blocks of at most BLOCK_TOKENS tokens, however large the
-benchmark is (a stated query set against all rows, in blocks): texts are neither shuffled nor sorted, and a
-passage that a third of all documents share costs no more than any other.
-
-Cases: null or empty text holds nothing; an item under LEAST tokens is too short to be told from chance and is not
-searched; of a short item any SHARE of the tokens is enough, in their places; very long texts are searched whole; repeated
-rows and items give repeated hits; with an empty table nothing is found; other columns stay, whatever their names.
+survives substitutions at ignored places. Seeds of the test items and of the training texts are joined on their hashes; the
+texts round a hit are laid side by side in all ways, and a stretch (+1 for an equal token, -2 for another, above 0
+from its first token on) must hold enough equal tokens. The masks are all the ways in which such a stretch can begin: none is
+missed. Of an item of which SHARE is enough, equal tokens count in all places, however the others lie, and it has masks of its
+own (SHORT); an item of fewer than LEAST tokens must occur as it is. Tokens are words lower-cased and stripped of what is
+neither letter nor digit.
+
+1. Items, cut into overlapping pieces that any stretch's deciding part fits in, become a table of pieces and seeds.
+2. A bitmap of the seeds' hashes, of 2**MOST_BITS bits at most however large the benchmark, goes to all tasks. A text's
+   place goes on only if the bitmap has its seed; masks with the same first ROOT positions share one hash that rules out
+   nearly all places first. What goes on are regions: some tokens round near hits, with the hits' hashes.
+3. Regions and pieces are joined on hashes and their pairs verified, each pair once. Spark may split the joins where a passage
+   is in many texts.
+
+Texts are neither shuffled nor sorted. A pair costs at most REGION x PIECE steps, in numpy, whatever repeats in it.
+
+Cases: null or empty text holds nothing; an item without tokens is not searched; very long texts and items are searched whole;
+repeated rows and items give repeated hits; several items in one text are all found; rows with a null doc_id are reported together
+but dropped by their own text; with an empty table nothing is found; other columns of either table stay or are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,9 +36,13 @@ from tessera.llm import common
 
 U64 = np.uint64
 LEAST, ENOUGH, SHARE = 5, 12, 0.8
-BLOCK_TOKENS = 1_000_000
-#: Hits looked at together.
-HITS = 1_000_000
+#: Tokens of a piece of an item, and of those that it shares with the next one.
+PIECE, SHARED = 512, 32
+#: A region begins BACK tokens before its first hit, ends AHEAD after its last, and spans REGION places of hits; hits farther
+#: apart than AHEAD are in different ones. ENOUGH equal tokens with a score above 0 lie within 17; a short item has 15.
+BACK, AHEAD, REGION = 15, 32, 4096
+#: Bits of the bitmap: 16 a seed, between these powers of 2.
+LEAST_BITS, MOST_BITS = 16, 28
 
 
 def beginnings(weight: int) -> tuple[str, ...]:
@@ -97,135 +106,178 @@ def seeds(tokens: np.ndarray, mask: str, at: np.ndarray | None = None, grown: tu
     return h
 
 
-class Table:
-    """Sorted hashes, and a small table that rules out nearly all others."""
-
-    def __init__(self, h: np.ndarray):
-        self.order = np.argsort(h, kind="stable")
-        self.h = h[self.order]
-        bits = max(16, int(len(h)).bit_length() + 5)
-        self.there, self.shift = np.zeros(1 << bits, bool), U64(64 - bits)
-        self.there[h >> self.shift] = True
-
-    def maybe(self, h: np.ndarray) -> np.ndarray:
-        return self.there[h >> self.shift]
-
-
-class Items:
-    """One block of test items, ready to be searched for."""
-
-    def __init__(self, ids: list[int], tokens: list[np.ndarray], enough: int = ENOUGH, share: float = SHARE):
-        self.ids, self.tokens = ids, tokens
-        self.enough = [max(LEAST, min(enough, int(np.ceil(share * len(t))))) for t in tokens]
-        self.short = [share * len(t) <= enough for t in tokens]
-        masks: dict[str, list[int]] = {}
-        for i, t in enumerate(tokens):
-            for m in SHORT if self.short[i] else MASKS:
-                masks.setdefault(m, []).append(i)
-        self.seeds, roots = {}, {}
-        for m, own in masks.items():
-            each = [seeds(tokens[i], m) for i in own]
-            if not sum(map(len, each)):
-                continue
-            roots.setdefault(root(m), []).extend(seeds(tokens[i], root(m)) for i in own)
-            item = np.repeat(own, [len(x) for x in each])
-            place = np.concatenate([np.arange(len(x)) for x in each])
-            t = Table(np.concatenate(each))
-            self.seeds.setdefault(root(m), []).append((m, t, item[t.order], place[t.order]))
-        self.roots = {m: Table(np.unique(np.concatenate(each))) for m, each in roots.items()}
-
-    def best(self, doc: np.ndarray, item: np.ndarray, shift: int, short: bool = False) -> int:
-        """Equal tokens in the best stretch, or in all of a short item, when its first token lies at `shift` in the document."""
-        a, b = max(0, -shift), min(len(item), len(doc) - shift)
-        if a >= b:
-            return 0
-        same = (item[a:b] == doc[a + shift : b + shift]).tolist()
-        if short:
-            return sum(same)
-        score = equal = top = top_equal = 0
-        for x in same:
-            score, equal = (score + 1, equal + 1) if x else (score - 2, equal)
-            if score <= 0:
-                score = equal = 0
-            if score > top:
-                top, top_equal = score, equal
-        return top_equal
-
-    def search(self, docs: list[np.ndarray]) -> dict[int, dict[int, int]]:
-        """{row: {item: equal tokens}} of the docs that hold enough of an item."""
-        starts = np.cumsum([0, *map(len, docs)])
+def salt(mask: str, kind: str = "seed") -> np.uint64:
+    import xxhash
+
+    return U64(xxhash.xxh3_64_intdigest(f"{kind}:{mask}"))
+
+
+def scattered(h: np.ndarray, by: np.uint64) -> np.ndarray:
+    """The hash that is looked up and joined: it knows its mask, and all its bits are worth the same."""
+    h = (h ^ by) * U64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> U64(29))) * U64(0xBF58476D1CE4E5B9)
+
+
+def short(n: int, enough: int = ENOUGH, share: float = SHARE) -> bool:
+    return share * n <= enough
+
+
+def needed(n: int, enough: int = ENOUGH, share: float = SHARE) -> int:
+    """Equal tokens that tell an item of n tokens."""
+    return n if n < LEAST else max(LEAST, min(enough, int(np.ceil(share * n))))
+
+
+def masks_for(n: int) -> tuple[str, ...]:
+    return ("1" * n,) if n < LEAST else SHORT if short(n) else MASKS
+
+
+def all_masks() -> dict[str, list[str]]:
+    """root: its masks, of items of any length."""
+    out: dict[str, list[str]] = {}
+    for m in dict.fromkeys([*("1" * n for n in range(1, LEAST)), *SHORT, *MASKS]):
+        out.setdefault(root(m), []).append(m)
+    return out
+
+
+def pieces_of(tokens: np.ndarray) -> list[np.ndarray]:
+    """An item's tokens in pieces; each run of SHARED tokens lies in one."""
+    return [tokens[i : i + PIECE] for i in range(0, max(1, len(tokens) - SHARED), PIECE - SHARED)]
+
+
+def keys_of(piece: np.ndarray, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of a piece's seeds, and those of their roots."""
+    whole = [scattered(seeds(piece, m), salt(m)) for m in masks]
+    first = [scattered(seeds(piece, r), salt(r, "root")) for r in dict.fromkeys(map(root, masks))]
+    return np.unique(np.concatenate(whole)), np.unique(np.concatenate(first))
+
+
+def equal_tokens(doc: np.ndarray, piece: np.ndarray, is_short: bool) -> int:
+    """The most equal tokens in a stretch whose score stays above 0, or in a whole short item, over all ways to lay both side by side."""
+    n, m = len(doc), len(piece)
+    padded = np.concatenate([np.zeros(m - 1, U64), doc, np.zeros(m - 1, U64)])
+    ways = n + m - 1
+    score, equal, best = (np.zeros(ways, np.int32) for _ in range(3))
+    for i in range(m):
+        same = padded[i : i + ways] == piece[i]
+        if is_short:
+            best += same
+            continue
+        score += np.where(same, 1, -2).astype(np.int32)
+        equal += same
+        ended = score <= 0
+        score[ended] = 0
+        equal[ended] = 0
+        np.maximum(best, equal, out=best)
+    return int(best.max())
+
+
+class Finder:
+    """Looks for places of texts whose seeds a bitmap of 2**bits bits has."""
+
+    def __init__(self, bitmap: np.ndarray, bits: int):
+        self.bitmap, self.shift = bitmap, U64(64 - bits)
+        self.masks = [(r, salt(r, "root"), [(m, salt(m)) for m in own]) for r, own in all_masks().items()]
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> self.shift
+        return (self.bitmap[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+
+    def regions(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row, first token's place in it, tokens, distinct hashes of the hits) of each region."""
+        ends = np.cumsum([len(d) for d in docs])
         every = np.concatenate(docs) if docs else np.empty(0, U64)
-        seen, found = set(), {}
-        for first, table in self.roots.items():
+        places, keys = [], []
+        for first, by, own in self.masks:
             s = seeds(every, first)
-            at = np.flatnonzero(table.maybe(s))
-            s = s[at]
-            for mask, t, item, place in self.seeds[first]:
-                inside = at <= len(every) - len(mask)
+            at = np.flatnonzero(self.maybe(scattered(s, by)))
+            s, row = s[at], np.searchsorted(ends, at, "right")
+            for mask, seed_by in own:
+                inside = at + len(mask) <= ends[row] if len(at) else np.zeros(0, bool)
                 p = at[inside]
-                h = seeds(every, mask, p, (first, s[inside]))
-                p, h = p[t.maybe(h)], h[t.maybe(h)]
-                lo, n = np.searchsorted(t.h, h, "left"), np.searchsorted(t.h, h, "right")
-                n -= lo
-                for a, b in parts(n):
-                    k = np.repeat(lo[a:b] - np.cumsum(n[a:b]) + n[a:b], n[a:b]) + np.arange(n[a:b].sum())
-                    here = np.repeat(p[a:b], n[a:b])
-                    row = np.searchsorted(starts, here, "right") - 1
-                    keys = np.unique(np.stack([row, item[k], here - starts[row] - place[k]], 1), axis=0)
-                    for key in map(tuple, keys.tolist()):
-                        if key in seen:
-                            continue
-                        seen.add(key)
-                        equal = self.best(docs[key[0]], self.tokens[key[1]], key[2], self.short[key[1]])
-                        if equal >= self.enough[key[1]]:
-                            own = found.setdefault(key[0], {})
-                            own[key[1]] = max(own.get(key[1], 0), equal)
-        return found
-
-
-def parts(n: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of n whose sums are about HITS at most."""
-    ends, a = np.cumsum(n), 0
-    while a < len(n):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + HITS, "right")))
-        yield a, b
-        a = b
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[Items]:
-    """The items in blocks of about `most` tokens; only one block is on the driver at a time."""
-    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = 1 + total // (4 * most)
-    words = Words()
-    for k in range(n):
-        ids, tokens = [], []
-        for r in rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).sort("item_id", "text").toLocalIterator():
-            t = words(r["text"].encode())
-            if len(t) >= LEAST:
-                ids.append(r["item_id"])
-                tokens.append(t)
-        yield Items(ids, tokens)
+                k = scattered(seeds(every, mask, p, (first, s[inside])), seed_by)
+                there = self.maybe(k)
+                places.append(p[there])
+                keys.append(k[there])
+        p, k = np.concatenate(places), np.concatenate(keys)
+        if not len(p):
+            return
+        order = np.argsort(p, kind="stable")
+        p, k = p[order], k[order]
+        row = np.searchsorted(ends, p, "right")
+        new = np.append(True, (row[1:] != row[:-1]) | (p[1:] - p[:-1] > AHEAD))
+        run = np.cumsum(new) - 1
+        part = (p - p[new][run]) // REGION
+        starts = np.flatnonzero(new | np.append(True, part[1:] != part[:-1]))
+        for a, z in zip(starts, np.append(starts[1:], len(p)), strict=True):
+            r = int(row[a])
+            begin = int(ends[r]) - len(docs[r])
+            low, high = max(begin, int(p[a]) - BACK), min(int(ends[r]), int(p[z - 1]) + AHEAD)
+            yield r, low - begin, every[low:high], np.unique(k[a:z])
+
+
+def items(benchmark: DataFrame, work: common.Work) -> DataFrame:
+    """k, item_id, tokens, is_short, enough, seeds, roots of each piece of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in common.slices(batches):
+            out = []
+            for i, text in zip(b.column("item_id").to_pylist(), common.column_bytes(b.column("text")), strict=True):
+                tokens = words(text)
+                for piece in pieces_of(tokens) if len(tokens) else ():
+                    found = keys_of(piece, masks_for(len(tokens)))
+                    out.append((i, piece.tobytes(), short(len(tokens)), needed(len(tokens)), *[x.view(np.int64) for x in found]))
+            kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["item_id", "tokens", "is_short", "enough", "seeds", "roots"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], names)
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    made = rows.mapInArrow(run, "item_id long, tokens binary, is_short boolean, enough int, seeds array<long>, roots array<long>")
+    return work.keep("items", made.select(F.monotonically_increasing_id().alias("k"), "*"))
+
+
+def finder(pieces: DataFrame) -> Finder:
+    """The bitmap of all seeds and roots, made by the executors in blocks of 4 KB."""
+    n = pieces.agg(F.sum(F.size("seeds") + F.size("roots"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(16 * n).bit_length()))
+    at = pieces.select(F.explode(F.concat("seeds", "roots")).alias("key")).select(F.shiftrightunsigned("key", 64 - bits).alias("at"))
+    block = at.groupBy(F.shiftright("at", 15).alias("block")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(1 << 15))).alias("bits"))
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for r in block.collect():  # at most 2**(MOST_BITS - 15) blocks
+        bitmap[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return Finder(bitmap, bits)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_equal for each document and each item of which it holds enough."""
-    spark, out = docs.sparkSession, None
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, items = Words(), shared.value
-            for b in common.slices(batches):
-                found = items.search([words(t) for t in common.column_bytes(b.column("text"))])
-                hits = [(i, items.ids[k], n) for i, own in sorted(found.items()) for k, n in sorted(own.items())]
-                docs = b.column("doc_id").take(pa.array([h[0] for h in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([docs, pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64())], ["doc_id", "item_id", "n_equal"])
-
-        part = rows.mapInArrow(run, "doc_id long, item_id long, n_equal long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """doc_id, x, y (128-bit name of the text), item_id, n_equal (in one region) for each text and each item of which it holds enough."""
+    work = common.Work(docs.sparkSession, "decontamination")
+    pieces = items(benchmark, work)
+    shared = docs.sparkSession.sparkContext.broadcast(finder(pieces))  # 2**(MOST_BITS - 3) bytes at most
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, finder = Words(), shared.value
+        for b in common.slices(batches):
+            found = list(finder.regions([words(t) for t in common.column_bytes(b.column("text"))]))
+            if found:
+                own = b.select(["row", "doc_id", "x", "y"]).take(pa.array([f[0] for f in found], pa.int64()))
+                ends = np.cumsum([0, *[len(f[3]) for f in found]], dtype=np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f[3] for f in found]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2].tobytes() for f in found], pa.binary()), keys], [*own.schema.names, "at", "region", "keys"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("region", "tokens", "is_short")]
+            n = pa.array([equal_tokens(np.frombuffer(r, U64), np.frombuffer(t, U64), s) for r, t, s in zip(*columns, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.select(["doc_id", "x", "y", "item_id", "enough"]).columns, n], ["doc_id", "x", "y", "item_id", "enough", "n_equal"])
+
+    names = [F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(i), "text")).alias(c) for i, c in ((1, "x"), (2, "y"))]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *names, "text")
+    regions = work.keep("regions", rows.mapInArrow(look, "row long, doc_id long, x long, y long, at long, region binary, keys array<long>"))
+    hits = regions.select("row", "at", F.explode("keys").alias("key")).join(pieces.select("k", F.explode("seeds").alias("key")), "key")
+    pairs = hits.select("row", "at", "k").distinct()
+    both = pairs.join(regions.drop("keys"), ["row", "at"]).join(pieces.select("k", "item_id", "tokens", "is_short", "enough"), "k")
+    checked = both.select("doc_id", "x", "y", "item_id", "enough", "region", "tokens", "is_short").mapInArrow(verify, "doc_id long, x long, y long, item_id long, enough int, n_equal long")
+    return work.keep("leaks", checked.where("n_equal >= enough").groupBy("doc_id", "x", "y", "item_id").agg(F.max("n_equal").alias("n_equal")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -234,20 +286,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no test item, with all their columns. One narrow pass for each block of items."""
-    inner, spark = common.renamed(docs), docs.sparkSession
-    out, text = inner.df, inner.of("text")
-    for items in blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            words, items = Words(), shared.value
-            for b in common.slices(batches, text):
-                found = items.search([words(t) for t in common.column_bytes(b.column(text))])
-                yield b.filter(pa.array([i not in found for i in range(b.num_rows)], pa.bool_()))
-
-        out = out.mapInArrow(run, inner.ddl())
-    return out.select(*inner.restored())
+    """The rows of docs that hold no test item, with all their columns."""
+    gone = leaks(docs, benchmark).select(F.col("doc_id").alias("g_doc"), "x", "y").distinct()
+    gone = common.Work(docs.sparkSession, "decontaminated").keep("gone", gone)
+    inner = common.renamed(docs)
+    doc, text = inner.col("doc_id").cast("long"), inner.col("text")
+    on = doc.eqNullSafe(F.col("g_doc")) & (F.xxhash64(F.lit(1), text) == F.col("x")) & (F.xxhash64(F.lit(2), text) == F.col("y"))
+    return inner.df.join(gone, on, "left_anti").select(*inner.restored())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
