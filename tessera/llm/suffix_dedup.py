@@ -5,7 +5,8 @@ prefixes of LENGTH bytes ever matter, so suffixes are sorted by that much and no
 enough where a full suffix array would recurse:
 
 0. A text that a smaller doc_id has whole loses all its bytes; such copies (by 128-bit names) take no further part.
-1. Documents are ordered by doc_id (range partitions) and packed into slices; a slice's *order* says which come first.
+1. Texts are ordered by doc_id (range partitions over doc_id and text) and packed into slices. A doc_id with many rows is many
+   slices; a name's *order* is the first doc_id that has it in a slice, or what stands for those that no other slice has.
 2. Offsets whose residue modulo PERIOD lies in COVER are sampled. For any two offsets i, j some shift below PERIOD takes
    both to sampled ones, so equal strings of LENGTH bytes share a sampled tuple of TUPLE = LENGTH - PERIOD + 1 bytes at
    equal places. The tuples' names (hashes) are sorted; a name that occurs once in the corpus is dropped here.
@@ -18,8 +19,8 @@ a passage of a third of all documents arrives once a slice, not once a document;
 The number of buckets follows the bytes of the corpus, so a bucket's size doesn't. Texts move twice for the answers.
 
 Cases: null or empty text has no bytes; texts shorter than LENGTH lose nothing; a null doc_id comes before all others, as one
-document; rows that repeat a doc_id never remove each other's bytes; a document longer than a slice is worked on in
-overlapping pieces; an empty table gives an empty result; other columns are not read.
+document; rows that repeat a doc_id never remove each other's bytes, wherever they stand; a document longer than a slice is
+worked on in overlapping pieces; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,10 +45,13 @@ NAMES_IN_BUCKET = 1_500_000
 NO_ID = -(1 << 63)
 U64 = np.uint64
 MULTIPLIERS = [U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53), U64(0x2545F4914F6CDD1D)]
-ANSWERS = "slice long, piece int, bucket int, bits binary"
+ANSWERS = "slice long, piece int, class int, bucket int, bits binary"
 
 
-PACKED = "slice long, n_bytes long, ids binary, lengths binary, copies binary, data binary"
+PACKED = "slice long, n_bytes long, edges int, ids binary, lengths binary, copies binary, data binary"
+#: What a slice may share with its neighbours, and the classes of its names: of its first doc_id, of its last, of others.
+FIRST_SHARED, LAST_SHARED = 1, 2
+OTHERS, FIRST, LAST = 0, 1, 2
 
 
 def text_names(docs: DataFrame) -> DataFrame:
@@ -64,9 +68,10 @@ def whole_copies(named: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, work: common.Work, size: int = SLICE) -> DataFrame:
-    """slice, n_bytes, ids, lengths, data (compressed): documents in order of doc_id; equal ids share a slice.
+    """slice, n_bytes, edges, ids, lengths, data (compressed): texts in order of doc_id.
 
-    Whole copies stay out of data; `copies` has their ids and lengths. Their marks travel with the texts, in one shuffle.
+    `edges` says whether the first or last doc_id may be in other slices too. Whole copies stay out of data; `copies` has
+    their ids and lengths. Their marks travel with the texts, in one shuffle.
     """
     named = text_names(docs)
     marks = work.keep("copies", whole_copies(named)).select("doc", "x", "y", F.lit(None).cast("string").alias("text"), F.lit(False).alias("real"))
@@ -77,37 +82,35 @@ def pack_documents(docs: DataFrame, work: common.Work, size: int = SLICE) -> Dat
 
         part, k = TaskContext.get().partitionId(), 0
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        ids, texts, copies, held, last, known = [], [], [], 0, None, set()
+        ids, texts, copies, held, marked, before = [], [], [], 0, None, None
 
-        def packed() -> pa.RecordBatch:
-            of = [pa.array([(part << 32) + k]), pa.array([held]), *[pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (ids, [len(t) for t in texts], copies)], pa.array([squeeze(b"".join(texts))], pa.binary())]
-            return pa.RecordBatch.from_arrays(of, ["slice", "n_bytes", "ids", "lengths", "copies", "data"])
+        def packed(following: int | None) -> pa.RecordBatch:
+            # At a partition's ends, what the neighbour holds is not known: an id there may be shared.
+            edges = FIRST_SHARED * (k == 0 or before == ids[0]) + LAST_SHARED * (following is None or following == ids[-1]) if ids else 0
+            of = [pa.array([(part << 32) + k]), pa.array([held]), pa.array([edges], pa.int32()), *[pa.array([np.array(x, np.int64).tobytes()], pa.binary()) for x in (ids, [len(t) for t in texts], copies)], pa.array([squeeze(b"".join(texts))], pa.binary())]
+            return pa.RecordBatch.from_arrays(of, ["slice", "n_bytes", "edges", "ids", "lengths", "copies", "data"])
 
         for b in common.slices(batches):
             columns = [b.column(c).to_pylist() for c in ("doc", "x", "y", "real")]
             for doc, x, y, real, text in zip(*columns, common.column_bytes(b.column("text")), strict=True):
-                if doc != last:
-                    last, known = doc, set()
-                    if held > size or len(copies) > 100_000:
-                        yield packed()
-                        ids, texts, copies, held, k = [], [], [], 0, k + 1
                 if not real:
-                    known.add((x, y))
+                    marked = (doc, x, y)
                     continue
                 text = text or b""
-                if (x, y) in known:
+                if (ids and held + len(text) > size) or len(copies) > 100_000:
+                    yield packed(doc)
+                    before = ids[-1] if ids else before
+                    ids, texts, copies, held, k = [], [], [], 0, k + 1
+                if (doc, x, y) == marked:
                     copies += [doc, len(text)]
                     continue
-                if ids and doc != ids[-1] and held + len(text) > size:
-                    yield packed()
-                    ids, texts, copies, held, k = [], [], [], 0, k + 1
                 ids.append(doc)
                 texts.append(text)
                 held += len(text)
         if ids or copies:
-            yield packed()
+            yield packed(None)
 
-    return rows.repartitionByRange("doc").sortWithinPartitions("doc", "real").mapInArrow(run, PACKED)
+    return rows.repartitionByRange("doc", "x", "y").sortWithinPartitions("doc", "x", "y", "real").mapInArrow(run, PACKED)
 
 
 class Piece:
@@ -171,7 +174,7 @@ def unpack(r: dict) -> dict:
     import zstandard
 
     numbers = {c: np.frombuffer(r[c], np.int64) for c in ("ids", "lengths", "copies")}
-    return numbers | {"data": zstandard.ZstdDecompressor().decompress(r["data"])}
+    return numbers | {"edges": r["edges"], "data": zstandard.ZstdDecompressor().decompress(r["data"])}
 
 
 def encode(keys: np.ndarray, low: int, high_bits: int) -> bytes:
@@ -192,9 +195,12 @@ def decode(blob: bytes) -> np.ndarray:
 
 
 class Names:
-    """The distinct names at some places of a piece, by bucket; for each place which name it has."""
+    """The distinct names at some places of a piece, by bucket; for each place which name it has.
+
+    Names whose first doc_id may be in other slices too are classes of their own: their order is that very doc_id.
+    """
 
-    def __init__(self, bucket: np.ndarray, key: np.ndarray, row: np.ndarray, ids: np.ndarray):
+    def __init__(self, bucket: np.ndarray, key: np.ndarray, row: np.ndarray, ids: np.ndarray, edges: int = 0):
         order = np.argsort(key)
         order = order[np.argsort(bucket[order].astype(np.uint16 if len(bucket) and bucket.max() < 1 << 16 else np.int32), kind="stable")]
         b, k = bucket[order], key[order]
@@ -208,15 +214,31 @@ class Names:
         docs = row[order]
         self.first_doc = ids[np.minimum.reduceat(docs, first)] if len(first) else ids[:0]
         self.several = self.first_doc != ids[np.maximum.reduceat(docs, first)] if len(first) else np.empty(0, bool)
-        edges = np.flatnonzero(np.append(True, self.buckets[1:] != self.buckets[:-1])) if len(first) else np.empty(0, np.int64)
-        self.ranges = {int(self.buckets[a]): (int(a), int(z)) for a, z in zip(edges, np.append(edges[1:], len(first))[: len(edges)], strict=True)}
-
-    def answer(self, answers: dict[int, bytes]) -> np.ndarray:
+        changes = np.flatnonzero(np.append(True, self.buckets[1:] != self.buckets[:-1])) if len(first) else np.empty(0, np.int64)
+        self.ranges = {int(self.buckets[a]): (int(a), int(z)) for a, z in zip(changes, np.append(changes[1:], len(first))[: len(changes)], strict=True)}
+        shared = [(c, ids[at]) for c, flag, at in ((LAST, LAST_SHARED, -1), (FIRST, FIRST_SHARED, 0)) if edges & flag and len(ids)]
+        self.classes = np.zeros(len(self.keys), np.int8) if shared else None
+        for c, doc in shared:
+            self.classes[self.first_doc == doc] = c
+        own = ids[~np.isin(ids, [doc for _, doc in shared])] if shared else ids
+        self.order = {c: int(doc) for c, doc in shared} | ({OTHERS: int(own[0])} if len(own) else {})
+
+    def parts(self) -> Iterator[tuple[int, int, slice | np.ndarray, int]]:
+        """bucket, class, where its names are, how many."""
+        for b, (a, z) in self.ranges.items():
+            if self.classes is None:
+                yield b, OTHERS, slice(a, z), z - a
+                continue
+            for c in np.unique(self.classes[a:z]).tolist():
+                at = a + np.flatnonzero(self.classes[a:z] == c)
+                yield b, c, at, len(at)
+
+    def answer(self, answers: dict[tuple[int, int], bytes]) -> np.ndarray:
         """The bit of each name."""
         out = np.zeros(len(self.keys), bool)
-        for b, (a, z) in self.ranges.items():
-            if b in answers:
-                out[a:z] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=z - a)
+        for b, c, at, n in self.parts():
+            if (b, c) in answers:
+                out[at] = np.unpackbits(np.frombuffer(answers[b, c], np.uint8), count=n)
         return out
 
 
@@ -235,32 +257,31 @@ def tuple_names(piece: Piece, buckets: int) -> tuple[np.ndarray, Names]:
     return at, Names(to_bucket(g, buckets), h >> U64(36), piece.row[at], piece.ids)
 
 
-def start_names(piece: Piece, at: np.ndarray, names: Names, answers: dict[int, bytes], buckets: int, wide: int) -> tuple[np.ndarray, Names]:
+def start_names(piece: Piece, at: np.ndarray, names: Names, answers: dict[tuple[int, int], bytes], buckets: int, wide: int, edges: int) -> tuple[np.ndarray, Names]:
     alive = (names.several | names.answer(answers))[names.group]
     starts = piece.starts(at[alive])
     h, g = piece.names(starts, LENGTH)
-    return starts, Names(to_bucket(g, buckets), h >> U64(64 - 8 * wide), piece.row[starts], piece.ids)
+    return starts, Names(to_bucket(g, buckets), h >> U64(64 - 8 * wide), piece.row[starts], piece.ids, edges)
 
 
 def sent(slice_id: int, k: int, names: Names, low: int, high: int) -> list[dict]:
-    out = []
-    for b, (a, z) in names.ranges.items():
-        out.append({"bucket": b, "slice": slice_id, "piece": k, "names": encode(names.keys[a:z], low, high)})
-    return out
+    """A message a bucket and class."""
+    return [{"bucket": b, "slice": slice_id, "piece": k, "class": c, "order": names.order[c], "names": encode(names.keys[at], low, high)} for b, c, at, _ in names.parts()]
 
 
-SENT = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("piece", pa.int32()), ("names", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("slice", pa.int64()), ("piece", pa.int32()), ("class", pa.int32()), ("order", pa.int64()), ("names", pa.binary())])
+MESSAGES = "bucket int, slice long, piece int, class int, order long, names binary"
 
 
 def meet(exact: bool):
-    """What a bucket answers: is a name in several pieces (of the sampled tuples), or in an earlier slice (of the starts)?"""
+    """What a bucket answers: is a name in several pieces (of the sampled tuples), or in an earlier document (of the starts)?"""
 
     def run(table: pa.Table) -> pa.Table:
-        slices, each = table.column("slice").to_numpy(), [decode(x) for x in table.column("names").to_pylist()]
+        orders, each = table.column("order").to_numpy(), [decode(x) for x in table.column("names").to_pylist()]
         sizes = [len(x) for x in each]
         keys = np.concatenate(each)
         del each
-        rank = np.unique(slices, return_inverse=True)[1].astype(np.int32)
+        rank = np.unique(orders, return_inverse=True)[1].astype(np.int32)
         of = np.repeat(rank, sizes)
         order = np.argsort(keys)
         k = keys[order]
@@ -278,15 +299,15 @@ def meet(exact: bool):
         bit[order] = bit_sorted
         ends = np.cumsum([0, *sizes])
         bits = [np.packbits(bit[a:z]).tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
-        return pa.table({"slice": table.column("slice"), "piece": table.column("piece"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        return pa.table({c: table.column(c) for c in ("slice", "piece", "class", "bucket")} | {"bits": pa.array(bits, pa.binary())})
 
     return run
 
 
-def by_piece(table: pa.Table) -> dict[int, dict[int, bytes]]:
-    out: dict[int, dict[int, bytes]] = {}
+def by_piece(table: pa.Table) -> dict[int, dict[tuple[int, int], bytes]]:
+    out: dict[int, dict[tuple[int, int], bytes]] = {}
     for r in table.to_pylist():
-        out.setdefault(r["piece"], {})[r["bucket"]] = r["bits"]
+        out.setdefault(r["piece"], {})[r["bucket"], r["class"]] = r["bits"]
     return out
 
 
@@ -316,7 +337,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for k, (_, piece) in enumerate(pieces(unpack(r))):
                     yield pa.RecordBatch.from_pylist(sent(r["slice"], k, tuple_names(piece, buckets)[1], 2, 12), SENT)
 
-    names = packed.mapInArrow(sample, "bucket int, slice long, piece int, names binary")
+    names = packed.mapInArrow(sample, MESSAGES)
     alive = work.keep("alive", names.groupBy("bucket").applyInArrow(meet(False), ANSWERS))
 
     def merge(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -324,10 +345,10 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         answers, out = by_piece(right), []
         for k, (_, piece) in enumerate(pieces(row)):
             at, names = tuple_names(piece, buckets)
-            out += sent(number, k, start_names(piece, at, names, answers.get(k, {}), buckets, wide)[1], wide - 1, 8)
+            out += sent(number, k, start_names(piece, at, names, answers.get(k, {}), buckets, wide, row["edges"])[1], wide - 1, 8)
         return pa.Table.from_pylist(out, SENT)
 
-    starts = packed.groupBy("slice").cogroup(alive.groupBy("slice")).applyInArrow(merge, "bucket int, slice long, piece int, names binary")
+    starts = packed.groupBy("slice").cogroup(alive.groupBy("slice")).applyInArrow(merge, MESSAGES)
     marks = work.keep("marks", starts.groupBy("bucket").applyInArrow(meet(True), ANSWERS))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -337,7 +358,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         change = np.zeros(len(row["data"]) + LENGTH + 1, np.int32)
         for k, (begin, piece) in enumerate(pieces(row)):
             at, names = tuple_names(piece, buckets)
-            where, names = start_names(piece, at, names, alive.get(k, {}), buckets, wide)
+            where, names = start_names(piece, at, names, alive.get(k, {}), buckets, wide, row["edges"])
             own = piece.ids[piece.row[where]]
             hit = where[names.answer(marks.get(k, {}))[names.group] | (names.first_doc[names.group] < own)] + begin
             change[hit] += 1
