@@ -6,7 +6,7 @@ right, and a document's posterior probability of being good replaces "must pass
 covers all documents and has at most 3**len(RULES) rows, whatever the corpus, so the driver may hold it.
 
 Cases: null or empty text has no words, all counts 0, and fails the base rules; very long texts are counted
-whole; repeated rows get equal results; an empty table gives an empty result; other columns pass untouched.
+whole; a count right at a rule's limit abstains, a posterior right at the threshold keeps; repeated rows get equal results; an empty table gives an empty result; other columns pass untouched.
 """
 
 from __future__ import annotations
@@ -103,15 +103,16 @@ def coded(patterns: list[str]) -> np.ndarray:
     return np.eye(3)[at]
 
 
-def fit(patterns: list[tuple[str, int]], rounds: int = 500, weight: float = 0.02) -> tuple[float, np.ndarray]:
+def fit(patterns: list[tuple[str, int]], rounds: int = 500, weight: float = 0.02, least: float = 20.0, most: float = 1000.0) -> tuple[float, np.ndarray]:
     """The share of good documents and how[class, rule, vote], the chance of each vote on good and on bad documents, by EM.
 
-    The belief counts as much as `weight` of all documents (at least 20), which also fixes which class is "good".
+    The belief counts as much as `weight` of all documents, between `least` and `most` documents, so enough data outweigh
+    it; it also fixes which class is "good".
     how[0, :, 0] is a rule's accuracy on good documents, how[1, :, 2] its accuracy on bad ones.
     """
     cast = coded([p for p, _ in patterns])
     n = np.array([k for _, k in patterns], float)
-    strength = max(20.0, weight * n.sum())
+    strength = min(most, max(least, weight * n.sum()))
     share, how = 0.8, np.repeat(BELIEF[:, None, :], len(RULES), axis=1)
     for _ in range(rounds):
         p = posterior(cast, share, how)
@@ -148,7 +149,7 @@ def judged(counted: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: the counts, base_failed, p_good and kept. Texts are read once."""
-    return judged(common.cut(counts(docs)), threshold).select("doc_id", *COUNTS, "base_failed", "kept", "p_good", "vote_pattern")
+    return judged(common.cut(counts(docs), "quality-rules"), threshold).select("doc_id", *COUNTS, "base_failed", "kept", "p_good", "vote_pattern")
 
 
 def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
