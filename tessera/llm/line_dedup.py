@@ -3,9 +3,9 @@
 Each line's key (stripped, A-Z lower-cased) becomes a 128-bit hash. Rows (hash, document, position) are partitioned by
 range over hash *and* document and sorted, so a line that a third of all documents hold spreads over as many range
 partitions as it fills. One stream over each partition meets the occurrences of a key in order of document and position,
-holds at most `min_docs` documents of a run, and emits the lines to drop. Only a run at a partition's edge can
-continue in its neighbours: its rows are emitted as open, with one summary row a key and edge; the summaries (at
-most two a partition, whatever the corpus) settle them. The result is a compressed keep bitmap per document that
+holds at most HELD rows of an undecided run, and emits the lines to drop. A run at a partition's edge, which can
+continue in its neighbours, and one that is longer than HELD but still in few documents are emitted as open, with one summary
+row a key and partition; the summaries (two a partition, and one for every HELD rows at most) settle them. The result is a compressed keep bitmap per document that
 loses a line; no text is ever shuffled by line, and texts move once if the bitmaps are applied.
 
 Cases: null or empty text is one empty line; blank keys (under min_chars code points) never go; a null doc_id
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 DROP, OPEN, OPEN_FIRST, SUMMARY = 0, 1, 2, 3
+HELD = 1 << 16
 NO_ID = -(1 << 63)
 
 
@@ -123,15 +124,22 @@ class Stream:
             self.key, self.kind, self.docs, self.last = (rows[last, 0], rows[last, 1]), DROP, int(docs[-1]), rows[-1, 2]
         else:
             self.held = rows[last:].copy()
+            if len(self.held) > HELD:
+                self.open_held()
+
+    def open_held(self) -> None:
+        """Emit an undecided run as open; the rows that continue it follow as they come."""
+        h, self.held = self.held, self.held[:0]
+        self.key, self.kind, self.last = (h[0, 0], h[0, 1]), OPEN, h[-1, 2]
+        self.docs = int((h[1:, 2] != h[:-1, 2]).sum()) + 1
+        self.emit(h[:1], OPEN_FIRST)
+        self.emit(h[1:], OPEN)
 
     def end(self) -> None:
         if self.key is not None:
             self.summary()
         elif len(self.held):
-            h = self.held
-            self.key, self.docs = (h[0, 0], h[0, 1]), int((h[1:, 2] != h[:-1, 2]).sum()) + 1
-            self.emit(h[:1], OPEN_FIRST)
-            self.emit(h[1:], OPEN)
+            self.open_held()
             self.summary()
 
     def taken(self) -> Iterator[pa.RecordBatch]:
@@ -162,11 +170,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
         yield from s.taken()
 
     rows = occurrences(docs, min_chars).repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "th", "pos")
-    found = common.cut(rows.mapInArrow(stream, "h1 long, h2 long, doc long, th long, pos int, kind byte, part int, docs long"))
+    found = common.cut(rows.mapInArrow(stream, "h1 long, h2 long, doc long, th long, pos int, kind byte, part int, docs long"), "line-dedup")
     totals = found.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.min("part").alias("first_part")).where(F.col("total") >= min_docs)
     spared = (F.lit(first)) & (F.col("kind") == OPEN_FIRST) & (F.col("part") == F.col("first_part"))
-    # At most two summaries a partition: bounded by the number of partitions, not by the documents.
-    settled = found.where(F.col("kind").isin(OPEN, OPEN_FIRST)).join(F.broadcast(totals), ["h1", "h2"]).where(~spared)
+    settled = found.where(F.col("kind").isin(OPEN, OPEN_FIRST)).join(totals, ["h1", "h2"]).where(~spared)  # few on both sides
     drops = found.where(F.col("kind") == DROP).select("doc", "th", "pos").unionByName(settled.select("doc", "th", "pos"))
     by_doc = drops.groupBy("doc", "th").agg(F.collect_list("pos").alias("at"))
 
