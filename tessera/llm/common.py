@@ -40,12 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run df once and keep its rows in the shared folder: lineage ends, lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Work:
     """The tables between the steps of one run, as Parquet in the shared folder.
 
@@ -73,6 +67,11 @@ class Work:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Run df once and keep its rows in the shared folder: lineage ends, lost executors cost nothing."""
+    return Work(df.sparkSession, name).keep("rows", df)
+
+
 @dataclass
 class Renamed:
     """A DataFrame under neutral column names, so that columns an operator adds can't clash with a user's."""

@@ -96,16 +96,20 @@ def offset(turn: Column | int) -> Column:
 
 def mixing_report(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """doc_id, size, source, source_size, target, taken (words the mix takes of the document, repeats counted)."""
-    out = copies(common.cut(with_sizes(docs)), weights, most)
+    out = copies(common.cut(with_sizes(docs), "mixing"), weights, most)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source", "source_size", F.round("target", 4).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, copy: str = "copy") -> DataFrame:
-    """The mixed documents: each row of docs as often as the mix takes it, numbered from 1 in a further column `copy`.
+    """The mixed documents: each row of docs as often as the mix takes it, numbered from 1 in a further column.
+
+    It is named `copy`, with as many underscores as make it differ from the columns that are there.
 
     Rows of one doc_id share their number of copies by (source, size), so a repeated row is mixed like its twin.
     """
-    plan = copies(common.cut(with_sizes(docs)), weights, most).where("copies > 0")
+    while copy.lower() in map(str.lower, docs.columns):
+        copy += "_"
+    plan = copies(common.cut(with_sizes(docs), "mixing"), weights, most).where("copies > 0")
     plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.max("copies").alias("m_copies"))
     inner = common.renamed(docs)
     size = F.expr(rf"coalesce(regexp_count({inner.of('text')}, '{common.WORD_CLASS}'), 0)".replace("\\", "\\\\")).cast("long")
