@@ -41,7 +41,7 @@ STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++\z", "")  # tried once a run of white space
 
 
 def is_blank(text: Column) -> Column:

@@ -3,15 +3,36 @@
 from __future__ import annotations
 
 import sys
+import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 
 # Functions of these modules travel by value, so executors need no copy of this repository.
 cloudpickle.register_pickle_by_value(sys.modules["tessera.operators"])
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own on a single machine (tests)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+    return f"{named or tempfile.mkdtemp(prefix='tessera-')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Run df once and keep its rows in the shared folder: lineage ends, and Spark knows the size."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equal lengths as an n x d matrix of doubles."""
     if not len(column):

@@ -57,24 +57,38 @@ def fixed(docs: DataFrame, size: int = 300, overlap: int = 50, keep: tuple[str,
 def boundary(docs: DataFrame, size: int = 50, overlap: int = 5, ahead: int = 10, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Windows that reach on to the next sentence end within `ahead` characters.
 
-    Blank windows are skipped; the first other window that reaches the text's end is the last.
+    Blank windows are skipped; the first other window that reaches the text's end is the last. A window can be blank only in a text with
+    a run of white space as long as a step, or one that ends with white space: only there are windows tried
+    one by one. The windows themselves become rows at once and are worked on as plain columns.
     """
-    w = _windows(computed(docs, "__n", F.length("text")), "text", size, overlap, ahead)
-    w = computed(w, "__blank", F.transform("w", lambda x: T.is_blank(x["text"])))
-    last = F.array_min(F.transform(F.filter("w", lambda x, i: (x["start"] + size >= F.col("__n")) & ~F.get("__blank", i)), lambda x: x["start"]))
-    w = computed(w, "__last", F.coalesce(last, F.lit(2**31 - 1)))
-    kept = w.withColumn("w", F.filter("w", lambda x, i: ~F.get("__blank", i) & (x["start"] <= F.col("__last"))))
-
-    def extended(x: Column) -> Column:
-        more = F.regexp_extract(x["ahead"], r"^[^.!?]*[.!?]", 0)
-        inside = (x["start"] > 0) & (x["start"] + size < F.col("__n"))
-        return F.concat(x["text"], F.when(inside, more).otherwise(F.lit("")))
-
-    kept = kept.withColumn("w", F.transform("w", lambda x: F.struct(x["start"].alias("start"), extended(x).alias("text"))))
-    out = kept.select(*keep, T.file_type(F.col("text")).alias("file_type"), F.posexplode("w").alias("chunk_index", "c"))
-    start, text = F.col("c.start"), F.col("c.text")
-    end = start + F.length(text)
-    return out.select(*keep, T.span_name(start, end).alias("chunk_id"), "chunk_index", start.alias("start_position"), end.alias("end_position"), F.length(text).alias("chunk_size"), "file_type", text.alias("text"))
+    step = size - overlap
+    if step <= 0:
+        raise ValueError("the overlap must be smaller than the window")
+    text, n = F.col("text"), F.col("__n")
+    head = docs.select(*keep, "text", F.length("text").alias("__n"), T.file_type(text).alias("file_type"))
+    head = computed(head, "__blocks", blocks(text, step))
+    more = range(1, -(-(overlap + ahead) // step) + 1)
+    reach = lambda b, i: F.concat(b, *[F.coalesce(F.get("__blocks", i + k), F.lit("")) for k in more])
+    tried = F.filter(F.transform("__blocks", lambda b, i: F.when(T.is_blank(F.substring(reach(b, i), 1, size)), i)), lambda i: i.isNotNull())
+    suspect = F.rlike(text, F.lit(rf"(?U)\s{{{step}}}|\s\z"))
+    head = computed(head, "__blank", F.when(suspect, tried).otherwise(F.array().cast("array<int>")))
+    reaches = F.greatest(F.lit(0), F.ceil((n - size) / step)).cast("int")
+    ends = F.when(reaches < F.size("__blocks"), F.sequence(reaches, F.size("__blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    last = F.when(F.size("__blank") == 0, reaches).otherwise(F.array_min(F.array_except(ends, "__blank")))
+    shifted = [F.slice("__blocks", F.lit(k + 1), F.greatest(F.size("__blocks"), F.lit(1))).alias(f"b{k}") for k in (0, *more)]
+    rows = head.select(*keep, "__n", "file_type", "__blank", F.coalesce(last, F.lit(2**31 - 1)).alias("__last"), F.posexplode(F.arrays_zip(*shifted)).alias("__i", "__w"))
+    blank = F.size("__blank") > 0
+    rows = rows.where((F.col("__i") <= F.col("__last")) & ~(blank & F.array_contains("__blank", F.col("__i"))))
+    index = F.when(blank, F.col("__i") - F.size(F.filter("__blank", lambda x: x < F.col("__i")))).otherwise(F.col("__i"))
+    start = F.col("__i") * step
+    whole = F.concat(*[F.coalesce(F.col(f"__w.b{k}"), F.lit("")) for k in (0, *more)])
+    rows = rows.select(*keep, "file_type", index.alias("chunk_index"), start.alias("start_position"), "__n", whole.alias("__reach"))
+    start = F.col("start_position")
+    rest = F.regexp_extract(F.substring("__reach", size + 1, ahead), r"^[^.!?]*[.!?]", 0)
+    inside = (start > 0) & (start + size < n)
+    rows = rows.withColumn("text", F.concat(F.substring("__reach", 1, size), F.when(inside, rest).otherwise(F.lit(""))))
+    end = start + F.length("text")
+    return rows.select(*keep, T.span_name(start, end).alias("chunk_id"), "chunk_index", "start_position", end.alias("end_position"), F.length("text").alias("chunk_size"), "file_type", "text")
 
 
 def packed(paragraphs: Column, size: int, separator: str) -> Column:

@@ -6,22 +6,22 @@ x dimensions) reach the driver between two rounds of expectation-maximisation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.arrow import lists, matrix
-from tessera.operators.search import blocks
+from tessera.operators.arrow import cut, lists, matrix
 
 FLOOR = 1e-6
+#: Tasks' sums are added in so many groups before they are added up.
+SALTS = 32
 LOG_2PI = float(np.log(2 * np.pi))
 
 # ---- choosing the number of clusters
@@ -118,9 +118,58 @@ class Mixture:
         return np.exp(z - ll[:, None]), ll
 
 
-def sums(rows: DataFrame, models: list[Mixture], vector: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float, int]]:
-    """For each model the sums of an M-step: responsibilities, their x and x^2, the log-likelihood, the rows."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)  # starts x k x d numbers
+    def partial(self, x: np.ndarray) -> np.ndarray:
+        """The sums of an M-step over rows: responsibilities, their x and x^2, the log-likelihood, the rows."""
+        r, ll = self.responsibilities(x)
+        return np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel(), [ll.sum(), len(x)]])
+
+    def updated(self, s: np.ndarray) -> Mixture:
+        k, d = self.means.shape
+        w, means = np.maximum(s[:k], 1e-10)[:, None], s[k : k + k * d].reshape(k, d)
+        means, squares = means / w, s[k + k * d : k + 2 * k * d].reshape(k, d) / w
+        return Mixture(s[:k] / s[-1], means, squares - means**2)
+
+
+class FullMixture(Mixture):
+    """Weights (k), means (k x d) and covariances (k x d x d) of Gaussians."""
+
+    def __init__(self, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray):
+        self.weights, self.means, self.covariances = weights, means, covariances
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(self.weights)))
+        for i, (mean, cov) in enumerate(zip(self.means, self.covariances, strict=True)):
+            values, axes = np.linalg.eigh(cov)
+            values = np.maximum(values, FLOOR)
+            far = (((x - mean) @ axes) ** 2 / values).sum(1)
+            out[:, i] = -0.5 * (far + np.log(values).sum() + x.shape[1] * LOG_2PI)
+        return out + np.log(np.maximum(self.weights, 1e-300))
+
+    def partial(self, x: np.ndarray) -> np.ndarray:
+        r, ll = self.responsibilities(x)
+        squares = [((x * r[:, [i]]).T @ x).ravel() for i in range(r.shape[1])]
+        return np.concatenate([r.sum(0), (r.T @ x).ravel(), *squares, [ll.sum(), len(x)]])
+
+    def updated(self, s: np.ndarray) -> FullMixture:
+        k, d = self.means.shape
+        w, means = np.maximum(s[:k], 1e-10), s[k : k + k * d].reshape(k, d)
+        means = means / w[:, None]
+        squares = s[k + k * d : -2].reshape(k, d, d) / w[:, None, None]
+        return FullMixture(s[:k] / s[-1], means, squares - means[:, :, None] * means[:, None, :] + FLOOR * np.eye(d))
+
+
+def added(table: pa.Table) -> pa.Table:
+    """One row: the sum of the vectors of all rows."""
+    total = None
+    for chunk in table.column("sums").chunks:
+        part = matrix(chunk).sum(0)
+        total = part if total is None else total + part
+    return pa.Table.from_arrays([table.column("start").slice(0, 1), lists(total[None])], ["start", "sums"])
+
+
+def sums(rows: DataFrame, models: list[Mixture], vector: str) -> list[np.ndarray]:
+    """For each model the sums of an M-step. A task sends one vector a model; they are added in two steps, SALTS at first."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)  # starts x the size of a model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = shared.value
@@ -130,27 +179,21 @@ def sums(rows: DataFrame, models: list[Mixture], vector: str) -> list[tuple[np.n
             if not len(x):
                 continue
             for i, m in enumerate(models):
-                r, ll = m.responsibilities(x)
-                part = np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel(), [ll.sum(), len(x)]])
+                part = m.partial(x)
                 total[i] = part if total[i] is None else total[i] + part
         found = [(i, t) for i, t in enumerate(total) if t is not None]
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), lists(np.stack([t for _, t in found]))], ["start", "sums"])
 
-    part = rows.select(vector).mapInArrow(run, "start int, sums array<double>")
-    added = part.select("start", F.posexplode("sums").alias("at", "x")).groupBy("start", "at").agg(F.sum("x").alias("x")).groupBy("start").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s")).collect()
-    out = []
-    for row in sorted(added, key=lambda r: r["start"]):
-        s = np.array([e["x"] for e in row["s"]])
-        k, d = models[row["start"]].means.shape
-        out.append((s[:k], s[k : k + k * d].reshape(k, d), s[k + k * d : k + 2 * k * d].reshape(k, d), float(s[-2]), int(s[-1])))
-    return out
+    part = rows.select(vector).mapInArrow(run, "start int, sums array<double>").withColumn("salt", F.spark_partition_id() % SALTS)
+    few = part.groupBy("start", "salt").applyInArrow(added, "start int, sums array<double>").groupBy("start").applyInArrow(added, "start int, sums array<double>")
+    return [np.array(r["sums"]) for r in sorted(few.collect(), key=lambda r: r["start"])]
 
 
-def fit_diagonal(rows: DataFrame, k: int, starts: int = 5, rounds: int = 200, tolerance: float = 1e-3, seed: int = 42, vector: str = "embedding", key: str = "vec_id", sample: int = 2000) -> tuple[Mixture, float, list[float]]:
+def fit(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray], Mixture], k: int, starts: int, rounds: int, tolerance: float, seed: int, vector: str, key: str, sample: int) -> tuple[Mixture, float, list[float]]:
     """The best of several EM runs by likelihood: model, mean log-likelihood, its history. All starts share each pass.
 
-    Starts: k-means++ centres of a bounded sample (the smallest hashes of the key), unit variances scaled to the data.
+    Starts: k-means++ centres of a bounded sample (the smallest hashes of the key), and its variances.
     """
     known = rows.where(F.col(vector).isNotNull()).select(vector, key).persist()
     try:
@@ -159,23 +202,32 @@ def fit_diagonal(rows: DataFrame, k: int, starts: int = 5, rounds: int = 200, to
         if not len(x):
             raise ValueError("no vectors")
         spread = np.maximum(x.var(0), FLOOR)
-        models = [Mixture(np.full(k, 1 / k), centres(x, k, np.random.default_rng(seed + i)), np.tile(spread, (k, 1))) for i in range(starts)]
-        history: list[list[float]] = [[] for _ in models]
+        models = [made(centres(x, k, np.random.default_rng(seed + i)), spread) for i in range(starts)]
+        measured, history = list(models), [[] for _ in models]  # the models that the likelihoods belong to
         open_ = list(range(starts))
         for _ in range(rounds):
-            for i, (n, sx, sxx, ll, count) in zip(open_, sums(known, [models[i] for i in open_], vector), strict=True):
-                w = np.maximum(n, 1e-10)[:, None]
-                models[i] = Mixture(n / count, sx / w, sxx / w - (sx / w) ** 2)
-                history[i].append(ll / count)
+            for i, s in zip(open_, sums(known, [models[i] for i in open_], vector), strict=True):
+                measured[i], models[i] = models[i], models[i].updated(s)
+                history[i].append(float(s[-2] / s[-1]))
             open_ = [i for i in open_ if len(history[i]) < 2 or history[i][-1] - history[i][-2] >= tolerance]
             if not open_:
                 break
         best = max(range(starts), key=lambda i: (history[i][-1], -i))
-        return models[best], history[best][-1], history[best]
+        return measured[best], history[best][-1], history[best]
     finally:
         known.unpersist()
 
 
+def fit_diagonal(rows: DataFrame, k: int, starts: int = 5, rounds: int = 200, tolerance: float = 1e-3, seed: int = 42, vector: str = "embedding", key: str = "vec_id", sample: int = 2000) -> tuple[Mixture, float, list[float]]:
+    made = lambda means, spread: Mixture(np.full(k, 1 / k), means, np.tile(spread, (k, 1)))
+    return fit(rows, made, k, starts, rounds, tolerance, seed, vector, key, sample)
+
+
+def fit_full(rows: DataFrame, k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-3, seed: int = 42, vector: str = "embedding", key: str = "vec_id", sample: int = 2000) -> tuple[FullMixture, float, list[float]]:
+    made = lambda means, spread: FullMixture(np.full(k, 1 / k), means, np.tile(np.diag(spread), (k, 1, 1)))
+    return fit(rows, made, k, starts, rounds, tolerance, seed, vector, key, sample)
+
+
 def centres(x: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
     chosen = [x[r.integers(len(x))]]
     far = ((x - chosen[0]) ** 2).sum(1)
@@ -210,78 +262,127 @@ def by_label(rows: DataFrame, label: str = "label", vector: str = "embedding") -
     return m, [r[label] for r in got]
 
 
-def criteria(log_likelihood: float, n: int, k: int, d: int, full: bool = False) -> tuple[float, float]:
-    """AIC, BIC."""
+def criteria(log_likelihood, n, k: int, d: int, full: bool = False) -> tuple:
+    """AIC, BIC; of numbers, or of columns."""
     p = k * d + k * d * (d + 1) // 2 + k - 1 if full else 2 * k * d + k - 1
-    return 2 * p - 2 * log_likelihood, p * float(np.log(n)) - 2 * log_likelihood
+    log_n = F.log(n.cast("double")) if isinstance(n, Column) else float(np.log(n))
+    return 2 * p - 2 * log_likelihood, p * log_n - 2 * log_likelihood
 
 
-def fit_full(rows: DataFrame, k: int, starts: int = 10, rounds: int = 300, seed: int = 42, vector: str = "embedding"):
-    """Spark's own mixture with full covariances, the best of several seeds by likelihood."""
-    x = rows.where(F.col(vector).isNotNull()).withColumn("features", array_to_vector(V.doubles(F.col(vector)))).persist()
-    try:
-        models = [GaussianMixture(k=k, maxIter=rounds, seed=seed + i).fit(x) for i in range(starts)]
-        return max(models, key=lambda m: m.summary.logLikelihood)
-    finally:
-        x.unpersist()
+# ---- silhouette
 
 
-# ---- silhouette
+def packed(rows: DataFrame, label: str, vector: str, key: str, block: int) -> DataFrame:
+    """block (numbered from 0), labels and vectors (as bytes), keys: `block` rows at most in each."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, block):
+                part = b.slice(i, block)
+                keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (part.column(1).to_numpy().astype(np.int64), matrix(part.column(2)))]
+                yield pa.RecordBatch.from_arrays([keys, *blobs], ["keys", "labels", "vectors"])
+
+    made = rows.where(F.col(vector).isNotNull()).select(key, F.col(label).cast("long"), vector).mapInArrow(run, f"keys array<{kind}>, labels binary, vectors binary")
+    made = cut(made.withColumn("at", F.monotonically_increasing_id()), "silhouette-blocks")
+    number = made.select("at", (F.row_number().over(Window.orderBy("at")) - 1).alias("block"))  # a row a block
+    return made.join(number, "at").drop("at")
+
 
+def silhouettes(rows: DataFrame, label: str = "label", vector: str = "embedding", key: str = "vec_id", block: int = 2000) -> DataFrame:
+    """key, label, s of each row with a vector: exact, Euclidean.
 
-def silhouettes(rows: DataFrame, label: str = "label", vector: str = "embedding", key: str = "vec_id", block: int = 10_000) -> DataFrame:
-    """key, label, s of each row: exact, Euclidean. All rows meet all rows, one bounded block of them at a time."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    labels = sorted(sizes)
-    spark, kind, part = rows.sparkSession, rows.schema[key].dataType.simpleString(), None
-    own = rows.select(key, label, vector)
-    for ids, q in blocks(own.select(F.col(label).cast("long"), vector), block):
-        shared = spark.sparkContext.broadcast((ids, q, np.array(labels)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, labels = shared.value
-            member = (ids[:, None] == labels[None]).astype(np.float64)
-            for b in batches:
-                x = matrix(b.column(2))
-                if len(x):
-                    both = (x * x).sum(1)[:, None] + (q * q).sum(1)[None]
-                    far = both - 2 * x @ q.T
-                    far[far < 1e-12 * both] = 0  # a row with itself
-                    far = np.sqrt(far)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists(far @ member)], [key, label, "sums"])
-
-        one = own.mapInArrow(run, f"{key} {kind}, {label} int, sums array<double>")
-        part = one if part is None else part.unionByName(one)
-    if part is None:
-        return spark.createDataFrame([], f"{key} {kind}, {label} int, s double")
-    added = part.groupBy(key, label).agg(*[F.sum(F.col("sums")[i]).alias(f"d{i}") for i in range(len(labels))])
-    index = {v: i for i, v in enumerate(labels)}
-    inside = F.coalesce(*[F.when(F.col(label) == v, F.col(f"d{i}") / max(sizes[v] - 1, 1)) for v, i in index.items()])
-    others = [F.when(F.col(label) != v, F.col(f"d{i}") / sizes[v]) for v, i in index.items()]
-    nearest = F.array_min(F.array(*others))
-    single = F.coalesce(*[F.when(F.col(label) == v, F.lit(sizes[v] == 1)) for v in labels])
-    s = F.when(single | nearest.isNull() | (F.greatest(inside, nearest) == 0), 0.0).otherwise((nearest - inside) / F.greatest(inside, nearest))
-    return added.select(key, label, s.alias("s"))
+    By nature all rows meet all rows: blocks of rows are joined with blocks on the executors, whose memory holds two
+    at a time; a block's sums of distances to each label are added up before they leave their task.
+    """
+    sizes = {r[0]: r[1] for r in rows.where(F.col(vector).isNotNull()).groupBy(F.col(label).cast("long")).count().collect()}
+    labels, kind = sorted(sizes), rows.schema[key].dataType.simpleString()
+    blocks = packed(rows, label, vector, key, block)
+    n = blocks.count()
+    other = blocks.select(F.col("block").alias("other"), F.col("labels").alias("o_labels"), F.col("vectors").alias("o_vectors"))
+    own = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("other"))
+    pairs = own.join(other, "other").repartition("block").sortWithinPartitions("block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, mine, sums = None, None, None, None
+        counts = np.array([sizes[v] for v in labels], float)
+
+        def finished() -> pa.RecordBatch:
+            at = np.searchsorted(labels, mine)
+            rows = np.arange(len(at))
+            inside = sums[rows, at] / np.maximum(counts[at] - 1, 1)
+            away = sums / counts
+            away[rows, at] = np.inf
+            nearest = away.min(1)
+            top = np.maximum(inside, nearest)
+            with np.errstate(invalid="ignore"):
+                s = np.where((counts[at] == 1) | np.isinf(nearest) | (top == 0), 0.0, (nearest - inside) / np.where(top == 0, 1, top))
+            return pa.RecordBatch.from_arrays([keys, pa.array(mine.astype(np.int32)), pa.array(s)], [key, label, "s"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                if r["block"].as_py() != now:
+                    if now is not None:
+                        yield finished()
+                    now, keys, mine = r["block"].as_py(), r["keys"].values, np.frombuffer(r["labels"].as_py(), np.int64)
+                    sums = np.zeros((len(mine), len(labels)))
+                theirs = np.frombuffer(r["o_labels"].as_py(), np.int64)
+                x, q = np.frombuffer(r["vectors"].as_py()).reshape(len(mine), -1), np.frombuffer(r["o_vectors"].as_py()).reshape(len(theirs), -1)
+                both = (x * x).sum(1)[:, None] + (q * q).sum(1)[None]
+                far = both - 2 * x @ q.T
+                far[far < 1e-12 * both] = 0  # a row with itself
+                sums += np.sqrt(far) @ (theirs[:, None] == np.array(labels)[None]).astype(float)
+        if now is not None:
+            yield finished()
+
+    columns = ["block", "keys", "labels", "vectors", "o_labels", "o_vectors"]
+    return pairs.select(*columns).mapInArrow(run, f"{key} {kind}, {label} int, s double")
 
 
 # ---- average linkage
 
 
 def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by average linkage on cosine distance; numbered by first member."""
+    """Labels of k clusters by average linkage on cosine distance; numbered by first member.
+
+    Chains of nearest neighbours find all merges in time and memory of the square of the rows; the lowest make the clusters.
+    """
     n = len(x)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     u = x / np.where(norm == 0, 1, norm)
-    d = 1 - u @ u.T
+    d = (1 - u @ u.T).round(12)
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(n), np.arange(n), n
-    while alive > max(k, 1):
-        i, j = divmod(int(d.argmin()), n)
+    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        i = chain[-1]
+        j = int(d[i].argmin())
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        del chain[-2:]
         i, j = min(i, j), max(i, j)
-        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        merges.append((d[i, j], i, j))
+        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i] = d[:, i] = row
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
         size[i] += size[j]
-        label[label == j] = i
-        alive -= 1
-    return pd.factorize(label)[0]
+        alive[j] = False
+    merges.sort(key=lambda m: m[0])  # stable: of equal ones the earlier first, so members come before their cluster
+    root = np.arange(n)
+    for _, i, j in merges[: max(0, n - max(k, 1))]:
+        a, b = i, j
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    while (root[root] != root).any():
+        root = root[root]
+    return pd.factorize(root)[0]

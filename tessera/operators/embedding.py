@@ -30,6 +30,14 @@ def hashed_words(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     return out / np.where(n == 0, 1, n)
 
 
+def letters(texts: list[str]) -> np.ndarray:
+    """Counts of the letters a to z at unit length; simple enough that SQL can say it too."""
+    signs = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    out = np.array([[t.count(c) + t.count(c.upper()) for c in signs] for t in texts], float).reshape(len(texts), len(signs))
+    n = np.sqrt((out * out).sum(1, keepdims=True))
+    return out / np.where(n == 0, 1, n)
+
+
 def embedded(rows: DataFrame, embedder: Embedder = hashed_words, text: str = "text", into: str = "embedding") -> DataFrame:
     """rows with a further column of vectors; a null text is embedded as an empty one."""
     at = rows.columns.index(text)

@@ -17,7 +17,7 @@ from tessera.operators.reports import cluster_sources
 from tessera.operators.summaries import summaries
 
 LEAST = 3
-HISTORY = "level int, n_clusters int, silhouette double, n_items long, improvement double, converged boolean, stop_reason string"
+HISTORY = "level int, n_clusters int, silhouette double, n_items long, summaries map<int,string>, improvement double, converged boolean, stop_reason string"
 
 
 def k_for(n: int) -> int:
@@ -47,7 +47,8 @@ def run(spark: SparkSession, chunks: DataFrame, folder: str, most_levels: int =
     """Build the hierarchy over chunks (chunk_key, text, source, embedding); returns its history.
 
     Writes under folder/run_id: chunks (by level), assignments and summaries. Stops at an improvement under least_gain
-    (converged), at a level under LEAST rows, or after most_levels.
+    (converged), at a level under LEAST rows, or after most_levels. The history's summaries are those of the level's
+    clusters, eight at most.
     """
     at = f"{folder}/{run_id or uuid.uuid4().hex}"
     level_rows = chunks.select("chunk_key", "text", F.array(F.coalesce("source", F.lit("unknown"))).alias("sources"), F.col("embedding").cast("array<float>").alias("embedding"))
@@ -70,9 +71,10 @@ def run(spark: SparkSession, chunks: DataFrame, folder: str, most_levels: int =
         made = summaries(both.select("cluster_id", "chunk_key", "text"), "cluster_id", "chunk_key", model).join(sources, "cluster_id").join(confidence, "cluster_id")
         made = made.withColumn("summary_id", F.format_string("level_%d_cluster_%d", F.lit(level), F.col("cluster_id"))).withColumn("silhouette_score", F.lit(result["silhouette"])).withColumn("created_at", F.current_timestamp())
         made.write.mode("overwrite").parquet(f"{at}/summaries/level={level}")
+        texts = {r["cluster_id"]: r["summary"] for r in spark.read.parquet(f"{at}/summaries/level={level}").select("cluster_id", "summary").collect()}
         gain = result["silhouette"] - before if level else 1.0
         stop = level > 0 and gain < least_gain
-        history.append((level, result["k"], result["silhouette"], result["n"], gain, stop, "converged" if stop else None))
+        history.append((level, result["k"], result["silhouette"], result["n"], texts, gain, stop, "converged" if stop else None))
         if stop:
             break
         before = result["silhouette"]

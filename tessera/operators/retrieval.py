@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.embedding import Embedder, embedded, hashed_words
+from tessera.operators.generation import extractive
+from tessera.operators.search import top_k
 
 # The texts of the prompt, in its order.
 SYSTEM = (
@@ -77,12 +80,6 @@ def prompt(history: bool = False) -> Column:
     return F.concat_ws("\n", F.lit(SYSTEM), source, topics, content, *past, F.concat(F.lit(QUESTION), F.col("question")), F.lit(ANSWER))
 
 
-def extractive(prompt_text: str) -> str:
-    """The default generator: the first sentence of the first chunk. A stand-in, not a language model."""
-    body = prompt_text.partition("\n[1] ")[2].partition("\n")[2]
-    return body.partition(". ")[0].strip()[:500]
-
-
 def answers(context_rows: DataFrame, model: Callable[[str], str] = extractive, history: bool = False) -> DataFrame:
     """A record a question: answer, sources, context_chunks, relevance_scores, tokens_generated, response_time.
 
@@ -111,3 +108,21 @@ def answers(context_rows: DataFrame, model: Callable[[str], str] = extractive, h
 def displayed(hits: DataFrame, n: int = 3) -> DataFrame:
     """The first n hits of each question as shown: rank, percent, the source's first 40 characters."""
     return hits.where(F.col("rank") <= n).select("query_id", "rank", T.percent(F.col("score")).alias("relevance"), F.substring(F.coalesce("source", F.lit("Unknown")), 1, 40).alias("source"))
+
+
+def found(questions: DataFrame, chunks: DataFrame, k: int = 5, embedder: Embedder = hashed_words, metric: str = "cosine", key: str = "chunk_key") -> DataFrame:
+    """query_id, rank, score, text, source, cluster_id of the k chunks nearest to each question (query_id, question).
+
+    The questions are embedded here; chunks carry key, text, source, embedding and, where they are clustered, cluster_id.
+    Only the rows found are joined with their texts.
+    """
+    asked = embedded(questions.where("question IS NOT NULL").select("query_id", F.col("question").alias("text")), embedder)
+    near = top_k(chunks, asked.select("query_id", "embedding"), k, metric, key)
+    cluster = F.col("cluster_id") if "cluster_id" in chunks.columns else F.lit(None).cast("int").alias("cluster_id")
+    return near.join(chunks.select(key, "text", "source", cluster), key).select("query_id", "rank", "score", "text", "source", "cluster_id")
+
+
+def ask(questions: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, k: int = 5, embedder: Embedder = hashed_words, model: Callable[[str], str] = extractive, metric: str = "cosine", key: str = "chunk_key") -> DataFrame:
+    """From questions to records (see answers): embed, search, attach summaries, build the prompt, generate."""
+    hits = found(questions, chunks, k, embedder, metric, key)
+    return answers(contexts(questions, hits, summaries), model)

@@ -1,12 +1,11 @@
 """Nearest neighbours: exact top-k of given queries against all rows, and approximate search by random projections.
 
 Exact search goes through the rows once for each block of queries: a block is broadcast (its size is bounded), each
-Arrow batch keeps its own k best a query by one matrix product, and only those reach the final ranking.
+Arrow batch keeps its own k best a query by matrix products of AT_ONCE queries, and only those reach the final ranking.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +15,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.arrow import matrix
+from tessera.operators.arrow import cut, matrix
 
 BLOCK = 10_000
+AT_ONCE = 256
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -33,9 +33,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine
         part = _block(rows.select(row_id, vector), ids, q, k, metric, row_id, query_id)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        return rows.sparkSession.createDataFrame([], f"{query_id} long, rank int, {row_id} long, score double")
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return rows.sparkSession.createDataFrame([], f"{query_id} long, rank int, {row_id} {rows.schema[row_id].dataType.simpleString()}, score double")
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
+    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(query_id, "rank", row_id, "score")
 
 
@@ -53,19 +53,25 @@ def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray,
         yield np.array(ids, np.int64), np.array(vectors, np.float64)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run df once and keep its rows in the shared folder; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def unit(m: np.ndarray) -> np.ndarray:
     n = np.sqrt((m * m).sum(1, keepdims=True))
     return m / np.where(n == 0, 1, n)
 
 
+def best(s: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The rows of the k largest scores of each column, best first; of equal ones those with the smaller place."""
+    k = min(k, len(s))
+    if k == len(s):
+        return np.lexsort((np.broadcast_to(place[:, None], s.shape), -s), axis=0)
+    some = np.argpartition(-s, k - 1, axis=0)[:k]
+    least = np.take_along_axis(s, some, 0).min(0)
+    out = np.take_along_axis(some, np.lexsort((place[some], -np.take_along_axis(s, some, 0)), axis=0), 0)
+    for c in np.flatnonzero((s >= least).sum(0) > k):  # the k-th score stands outside too
+        at = np.flatnonzero(s[:, c] >= least[c])
+        out[:, c] = at[np.lexsort((place[at], -s[at, c]))][:k]
+    return out
+
+
 def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str, row_id: str, query_id: str) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((ids, unit(q) if metric == "cosine" else q))
 
@@ -75,14 +81,18 @@ def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str,
             b = b.filter(b.column(1).is_valid())
             if not b.num_rows:
                 continue
-            own, x = b.column(0).to_numpy().astype(np.int64), matrix(b.column(1))
-            s = unit(x) @ q.T if metric == "cosine" else -((x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * x @ q.T)
-            s = s.round(9) + 0.0
-            order = np.lexsort((np.broadcast_to(own[:, None], s.shape), -s), axis=0)[:k]
-            n, cols = len(order), np.arange(s.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, n)), pa.array(own[order].ravel()), pa.array(s[order, cols].ravel())], [query_id, row_id, "score"])
+            own, x = b.column(0), matrix(b.column(1))
+            place = np.unique(np.array(own.to_pylist()), return_inverse=True)[1]
+            x, far = (unit(x), None) if metric == "cosine" else (x, (x * x).sum(1)[:, None])
+            for i in range(0, len(ids), AT_ONCE):
+                part = q[i : i + AT_ONCE]
+                s = x @ part.T if metric == "cosine" else -(far + (part * part).sum(1)[None] - 2 * x @ part.T)
+                s = s.round(9) + 0.0
+                order = best(s, place, k)
+                at = pa.array(order.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[i : i + AT_ONCE], len(order))), own.take(at), pa.array(np.take_along_axis(s, order, 0).ravel())], [query_id, row_id, "score"])
 
-    return rows.mapInArrow(run, f"{query_id} long, {row_id} long, score double")
+    return rows.mapInArrow(run, f"{query_id} long, {row_id} {rows.schema[row_id].dataType.simpleString()}, score double")
 
 
 def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", bucket: float = 0.6, tables: int = 8, near: float = 1.2, seed: int = 42) -> DataFrame:
@@ -95,8 +105,8 @@ def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: s
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(a)
     pairs = model.approxSimilarityJoin(a, b, near, distCol="distance")
     found = pairs.select(F.col("datasetB.id").alias(query_id), F.col("datasetA.id").alias(row_id), F.round(1 - F.col("distance") ** 2 / 2, 6).alias("score"))
-    best = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    ranked = cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "score"))
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
+    ranked = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "score"))
     whole = ranked.groupBy(query_id).count().where(F.col("count") >= k)
     rest = top_k(rows, queries.join(whole, query_id, "left_anti"), k, row_id=row_id, query_id=query_id, vector=vector)
     return ranked.join(whole.select(query_id), query_id, "left_semi").select(*ranked.columns).unionByName(rest.withColumn("score", F.round("score", 6)))

@@ -21,14 +21,24 @@ FIRST_TEXTS, MOST_CHARS, SAMPLE_CHARS, KEYWORDS, SHOWN = 15, 4000, 200, 10, 8
 
 
 def keywords(rows: DataFrame, by: str, order: str, k: int = KEYWORDS, text: str = "text") -> DataFrame:
-    """by, rank, word, n: the k most frequent words over 3 letters that aren't stop words; ties by first occurrence."""
+    """by, rank, word, n: the k most frequent words over 3 letters that aren't stop words; ties by first occurrence.
+
+    Words are counted a text first and then a group: both steps keep numbers only, so they hash and need no sort, and
+    all of them combine before they shuffle.
+    """
     each = rows.select(by, order, F.posexplode(T.words(F.col(text))).alias("at", "word"))
     each = each.where((F.length("word") > 3) & ~F.col("word").isin(T.STOP_WORDS))
-    counted = each.groupBy(by, "word").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
-    best = Window.partitionBy(by).orderBy(F.desc("n"), "first")
+    in_text = each.groupBy(by, order, "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    counted = in_text.groupBy(by, "word").agg(F.sum("n").alias("n"), F.min(order).alias("__order"), F.min_by("at", order).alias("at"))
+    best = Window.partitionBy(by).orderBy(F.desc("n"), "__order", "at")
     return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(by, "rank", "word", "n")
 
 
+def null_safe(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """A left join in which the null group meets itself."""
+    return left.join(right.withColumnRenamed(by, "__key"), F.col(by).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
 def first_texts(rows: DataFrame, by: str, order: str, n: int, text: str = "text") -> DataFrame:
     """by, order, at, text of the first n texts of each group."""
     w = Window.partitionBy(by).orderBy(order)
@@ -46,7 +56,7 @@ def fallback_summaries(rows: DataFrame, by: str, order: str, text: str = "text")
     """by, chunks_count, summary: the summary made without a model."""
     words = keywords(rows, by, order, KEYWORDS, text).where(F.col("rank") <= SHOWN).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("themes"))
     sample = first_texts(rows, by, order, 1, text).select(F.col(by).alias("__by"), F.substring(text, 1, SAMPLE_CHARS).alias("sample"))
-    out = rows.groupBy(by).agg(F.count("*").alias("chunks_count")).join(words, by, "left").join(sample, F.col(by).eqNullSafe(F.col("__by")), "left")
+    out = null_safe(null_safe(rows.groupBy(by).agg(F.count("*").alias("chunks_count")), words, by), sample.withColumnRenamed("__by", by), by)
     summary = F.concat(F.lit(SUMMARY[0]), F.col("chunks_count").cast("string"), F.lit(SUMMARY[1]), F.coalesce("themes", F.lit("")), F.lit(SUMMARY[2]), F.col("sample"), F.lit(SUMMARY[3]))
     return out.select(by, "chunks_count", T.strip(summary).alias("summary"))
 
@@ -56,7 +66,7 @@ def summaries(rows: DataFrame, by: str, order: str, model: Callable[[str], str]
     default = fallback_summaries(rows, by, order, text)
     if model is None:
         return default
-    both = default.join(summary_input(rows, by, order, text=text), by, "left")
+    both = null_safe(default, summary_input(rows, by, order, text=text), by)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

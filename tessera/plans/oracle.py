@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.operators.retrieval import ANSWER, CONTENT, HISTORY as PAST, QUESTION, SOURCES, SYSTEM, TOPICS
+# The prompt's texts, said here a second time so that a wrong one in the engine shows.
+SYSTEM = (
+    "You are a knowledgeable assistant. Answer the question based ONLY on the provided context.\n\nINSTRUCTIONS:\n"
+    "- Answer based only on the information in the context\n"
+    '- If the context doesn\'t contain the answer, say "I don\'t have enough information to answer that"\n'
+    "- Be concise but thorough\n- When quoting sources, mention the document name\n- Use a helpful, friendly tone\n"
+)
+SOURCES, TOPICS, CONTENT, PAST, QUESTION, ANSWER = "\n📚 SOURCES: ", "\n📊 HIGH-LEVEL TOPIC SUMMARIES:", "\n📄 RELEVANT CONTENT:", "\n💬 CONVERSATION HISTORY:", "\n❓ QUESTION: ", "\n✅ ANSWER:"
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 NL = "chr(10)"
@@ -82,7 +89,7 @@ FROM ({SLIDING})
 CLEAN_SPACES = f"SELECT doc_id, {strip("regexp_replace(text, '\\s+', ' ', 'g')")} AS clean FROM documents"
 _LATEX = f"""
 SELECT doc_id, '\\documentclass{{article}}' || {NL} || '\\usepackage{{amsmath}}' || {NL} || '% a comment' || {NL} || '\\ProvidesPackage{{' || source || '}}' || {NL} || '\\RequirePackage{{graphics}}' || {NL}
-  || '\\newcommand{{\\' || lang || '}}' || {NL} || '\\begin{{document}}' || {NL} || '\\section{{' || source || '}}' || {NL} || substr(text, 1, 300) || ' 50\\% % rest' || {NL} || {NL} || '  ' || {NL}
+  || '\\newcommand{{\\' || lang || '}}' || {NL} || '\\begin{{document}}' || {NL} || '\\section{{' || source || '}}' || {NL} || text || ' 50\\% % rest' || {NL} || {NL} || '  ' || {NL}
   || '\\subsection{{Part ' || lang || '}} \\textbf{{bold}} \\emph{{' || lang || '}} \\cite{{a1}} \\ref{{b2}} \\label{{c3}} \\item[x]{{y}} end' || {NL} || '\\end{{document}}' || {NL} AS text
 FROM documents
 """
@@ -182,7 +189,7 @@ COSINE_FILTERED = _nearest("SELECT * FROM embeddings WHERE label = 3", 5)
 L2 = """
 SELECT query_id, vec_id, round(d, 6) AS distance FROM (
   SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) ** 2, 9) AS d
-  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id % 100 <> 0)
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id)
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) = 1
 """
 PAIRS = """
@@ -257,7 +264,7 @@ WITH {_CLUSTERED}, c AS (SELECT cluster_id, count(*) AS n FROM clustered GROUP B
 SELECT cluster_id, n, round(p, 6) AS percent, repeat('█', CAST(floor(p / 2) AS INTEGER)) AS bar FROM (SELECT *, 100.0::DOUBLE * n / sum(n) OVER () AS p FROM c)
 """
 CLUSTER_SOURCES = f"WITH {_CLUSTERED} SELECT cluster_id, count(*) AS n, round(avg(confidence), 6) AS avg_confidence, list_sort(list(DISTINCT CASE WHEN vec_id % 7 <> 0 THEN source ELSE 'unknown' END)) AS sources FROM clustered GROUP BY cluster_id"
-FULL_TEXT = "SELECT e.vec_id, e.label AS cluster_id, CASE WHEN e.vec_id % 3 <> 0 THEN substr(d.text, 1, 60) ELSE 'N/A' END AS full_text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
+FULL_TEXT = "SELECT e.vec_id, e.label AS cluster_id, d.text AS full_text FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
 MAPPING = f"WITH {_CLUSTERED} SELECT chunk_id, cluster_id, printf('%.3f', confidence) AS confidence, preview FROM clustered ORDER BY chunk_index, chunk_id LIMIT 20"
 WRITEBACK = f"""
 WITH {_ESTEP}, best AS (SELECT vec_id, arg_max(component, p) AS cluster_id, round(max(p), 4) AS cluster_confidence FROM r GROUP BY vec_id)
@@ -292,7 +299,7 @@ h0 AS (
     FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)
   QUALIFY rank <= 5
 ), hits AS (
-  SELECT h0.*, CASE WHEN doc_id % 7 <> 0 THEN source END AS source, substr(text, 1, 120) AS text FROM h0 LEFT JOIN documents ON doc_id = vec_id
+  SELECT h0.*, CASE WHEN doc_id % 7 <> 0 THEN source END AS source, text FROM h0 LEFT JOIN documents ON doc_id = vec_id
 ), asked AS (
   SELECT vec_id AS query_id, 'What does ' || vec_id || ' say?' AS question FROM embeddings WHERE vec_id % 100 = 0 UNION ALL SELECT -1, 'Nothing?'
 )
@@ -337,6 +344,34 @@ a AS (SELECT *, substr({strip(f"string_split(substr(rest, strpos(rest, {NL}) + 1
 SELECT query_id, question, CASE WHEN n IS NULL THEN 'Error: No relevant chunks found' ELSE said END AS answer, coalesce(sources, '') AS sources, coalesce(n, 0) AS context_chunks,
        CASE WHEN n IS NOT NULL THEN CAST(len({words('said')}) AS BIGINT) END AS tokens_generated FROM a
 """
+_LETTERS = "[chr(c) FOR c IN range(97, 123)]"
+
+
+def _embedded(x: str) -> str:
+    counts = f"list_transform({_LETTERS}, lambda c: CAST(length({x}) - length(replace(replace({x}, c, ''), upper(c), '')) AS DOUBLE))"
+    return f"(SELECT CASE WHEN n = 0 THEN CAST(v AS FLOAT[]) ELSE CAST(list_transform(v, lambda y: y / n) AS FLOAT[]) END FROM (SELECT v, sqrt(list_inner_product(v, v)) AS n FROM (SELECT {counts} AS v)))"
+
+
+ASK = f"""
+WITH chunks AS (
+  SELECT c.doc_id || '_' || c.chunk_id AS chunk_key, c.text, d.source, CAST({_embedded("c.text")} AS DOUBLE[]) AS v FROM ({SLIDING}) c JOIN documents d ON d.doc_id = c.doc_id
+), asked AS (
+  SELECT item_id AS query_id, text AS question, CAST({_embedded("b.text")} AS DOUBLE[]) AS q FROM benchmark b
+), lengths AS (
+  SELECT chunk_key, text, source, v, sqrt(list_inner_product(v, v)) AS n FROM chunks
+), near AS (
+  SELECT query_id, chunk_key, text, source, round(CASE WHEN n = 0 THEN 0 ELSE list_inner_product(v, q) / n / sqrt(list_inner_product(q, q)) END, 9) AS raw FROM asked, lengths
+), hits AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, chunk_key) AS INTEGER) AS rank FROM near QUALIFY rank <= 5
+), g AS (
+  SELECT query_id, count(*) AS n, coalesce(string_agg(DISTINCT source, ',' ORDER BY source), '') AS sources,
+         string_agg({NL} || '[' || rank || '] (Source: ' || coalesce(source, 'Unknown') || ', Relevance: ' || printf('%.2f%%', raw * 100) || ')' || {NL} || text, {NL} ORDER BY rank) AS content
+  FROM hits GROUP BY query_id
+), p AS (SELECT query_id, question, n, sources, {_prompt(False)} AS prompt FROM asked LEFT JOIN g USING (query_id)),
+b AS (SELECT *, substr(prompt, strpos(prompt, {NL} || '[1] ') + 5) AS rest FROM p),
+a AS (SELECT *, substr({strip(f"string_split(substr(rest, strpos(rest, {NL}) + 1), '. ')[1]")}, 1, 500) AS said FROM b)
+SELECT query_id, question, said AS answer, sources, n AS context_chunks, CAST(len({words('said')}) AS BIGINT) AS tokens_generated FROM a
+"""
 _EXCHANGES = """
 n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 x AS (SELECT conv_id, turn, text AS question, answer FROM n WHERE role = 'user' AND next_role = 'assistant'),

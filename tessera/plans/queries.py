@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, clustering, evaluation, hierarchy, reports, retrieval, search, semantic, summaries
-from tessera.operators.embedding import embedded
+from tessera.operators.arrow import shared_folder
+from tessera.operators.embedding import embedded, letters
 from tessera.plans import oracle as O
 from tessera.sources import readers, store
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -97,14 +99,13 @@ def stored_chunks(spark, d):
 # ---- cleaning and string functions
 
 
-def latex(spark, d, whole=False):
-    """Documents with LaTeX round their first 300 characters (as the SQL has it), or round the whole text."""
-    head = F.col("text") if whole else F.substring("text", 1, 300)
+def latex(spark, d):
+    """Documents with LaTeX round their texts."""
     return documents(spark, d).select(
         "doc_id",
         F.concat(
             F.lit("\\documentclass{article}\n\\usepackage{amsmath}\n% a comment\n\\ProvidesPackage{"), F.col("source"), F.lit("}\n\\RequirePackage{graphics}\n\\newcommand{\\"), F.col("lang"), F.lit("}\n\\begin{document}\n\\section{"),
-            F.col("source"), F.lit("}\n"), head, F.lit(" 50\\% % rest\n\n  \n\\subsection{Part "), F.col("lang"), F.lit("} \\textbf{bold} \\emph{"), F.col("lang"), F.lit("} \\cite{a1} \\ref{b2} \\label{c3} \\item[x]{y} end\n\\end{document}\n"),
+            F.col("source"), F.lit("}\n"), F.col("text"), F.lit(" 50\\% % rest\n\n  \n\\subsection{Part "), F.col("lang"), F.lit("} \\textbf{bold} \\emph{"), F.col("lang"), F.lit("} \\cite{a1} \\ref{b2} \\label{c3} \\item[x]{y} end\n\\end{document}\n"),
         ).alias("text"),
     )
 
@@ -124,27 +125,12 @@ def clean_latex_classic(spark, d):
     return latex(spark, d).select("doc_id", T.clean_latex_plain(F.col("text")).alias("clean"))
 
 
-@query("clean_latex_improved_whole")
-def clean_latex_improved_whole(spark, d):
-    return latex(spark, d, whole=True).select("doc_id", T.clean_latex(F.col("text")).alias("clean"))
-
-
-@query("clean_latex_classic_whole")
-def clean_latex_classic_whole(spark, d):
-    return latex(spark, d, whole=True).select("doc_id", T.clean_latex_plain(F.col("text")).alias("clean"))
-
-
 @query("detect_type", O.DETECT)
-def detect_type(spark, d, whole=False):
-    both = latex(spark, d, whole).select(F.lit("marked").alias("kind"), "text").unionByName(documents(spark, d).select(F.lit("raw").alias("kind"), "text"))
+def detect_type(spark, d):
+    both = latex(spark, d).select(F.lit("marked").alias("kind"), "text").unionByName(documents(spark, d).select(F.lit("raw").alias("kind"), "text"))
     return both.groupBy("kind", T.file_type(F.col("text")).alias("file_type")).agg(F.count("*").alias("n"))
 
 
-@query("detect_type_whole")
-def detect_type_whole(spark, d):
-    return detect_type(spark, d, whole=True)
-
-
 @query("sentence_split", O.SENTENCES)
 def sentence_split(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("at", "sentence"))
@@ -218,12 +204,7 @@ def cosine_topk_filtered(spark, d):
 
 @query("l2_top1", O.L2)
 def l2_top1(spark, d):
-    return search.top_k(embeddings(spark, d).where("vec_id % 100 <> 0"), questions(spark, d), 1, "l2").select("query_id", "vec_id", F.round(-F.col("score"), 6).alias("distance"))
-
-
-@query("l2_top1_whole")
-def l2_top1_whole(spark, d):
-    """The nearest of all rows but the query's own; l2_top1 searches what its SQL has."""
+    """The nearest of all rows but the query's own."""
     two = search.top_k(embeddings(spark, d), questions(spark, d), 2, "l2").where("vec_id <> query_id")
     first = two.groupBy("query_id").agg(F.min(F.struct("rank", "vec_id", "score")).alias("x"))
     return first.select("query_id", "x.vec_id", F.round(-F.col("x.score"), 6).alias("distance"))
@@ -305,8 +286,8 @@ def gmm_aic_bic(spark, d):
     model, labels = clustering.by_label(e)
     k, dims = model.means.shape
     ll = clustering.assigned(e, model).agg(F.sum("log_likelihood").alias("ll"), F.count("*").alias("n"))
-    p = 2 * k * dims + k - 1
-    return ll.select(F.round("ll", 2).alias("log_likelihood"), F.round(2 * F.lit(p) - 2 * F.col("ll"), 2).alias("aic"), F.round(p * F.log(F.col("n").cast("double")) - 2 * F.col("ll"), 2).alias("bic"))
+    aic, bic = clustering.criteria(F.col("ll"), F.col("n"), k, dims)
+    return ll.select(F.round("ll", 2).alias("log_likelihood"), F.round(aic, 2).alias("aic"), F.round(bic, 2).alias("bic"))
 
 
 @query("silhouette_mean", O.SILHOUETTE)
@@ -352,13 +333,6 @@ def cluster_sources(spark, d):
 
 @query("cluster_full_text", O.FULL_TEXT)
 def cluster_full_text(spark, d):
-    texts = documents(spark, d).where("doc_id % 3 <> 0").select(F.col("doc_id").alias("chunk_index"), F.substring("text", 1, 60).alias("text"))
-    return reports.with_full_text(clustered(spark, d), texts).select("vec_id", "cluster_id", "full_text")
-
-
-@query("cluster_full_text_whole")
-def cluster_full_text_whole(spark, d):
-    """All documents' whole texts; cluster_full_text looks up what its SQL has."""
     texts = documents(spark, d).select(F.col("doc_id").alias("chunk_index"), "text")
     return reports.with_full_text(clustered(spark, d), texts).select("vec_id", "cluster_id", "full_text")
 
@@ -426,10 +400,9 @@ def history_improvement(spark, d):
 # ---- retrieval and answers
 
 
-def hits(spark, d, k=5, whole=False):
-    """Rows found with their documents' first 120 characters (as the SQL has it), or with the whole texts."""
-    text = F.col("text") if whole else F.substring("text", 1, 120).alias("text")
-    docs = documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), text)
+def hits(spark, d, k=5):
+    """Rows found with their documents' texts."""
+    docs = documents(spark, d).select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), "text")
     e = embeddings(spark, d)
     found = search.top_k(e, questions(spark, d), k).join(e.select("vec_id", F.col("label").alias("cluster_id")), "vec_id")
     return found.join(docs, "vec_id", "left")
@@ -446,16 +419,11 @@ def topic_summaries(spark, d):
 
 
 @query("retrieve_context", O.CONTEXT)
-def retrieve_context(spark, d, whole=False):
-    c = retrieval.contexts(asked(spark, d), hits(spark, d, whole=whole), topic_summaries(spark, d))
+def retrieve_context(spark, d):
+    c = retrieval.contexts(asked(spark, d), hits(spark, d), topic_summaries(spark, d))
     return c.select("query_id", "question", "success", "message", "n_chunks", F.array_join("sources", ",").alias("sources"), F.array_join(F.transform("chunks", lambda x: x["text"]), "|").alias("texts"), F.coalesce(F.size("topics"), F.lit(0)).alias("n_topics"))
 
 
-@query("retrieve_context_whole")
-def retrieve_context_whole(spark, d):
-    return retrieve_context(spark, d, whole=True)
-
-
 @query("attach_summaries", O.ATTACH)
 def attach_summaries(spark, d):
     return retrieval.cluster_summaries(hits(spark, d), topic_summaries(spark, d))
@@ -467,16 +435,11 @@ def attach_summaries_level(spark, d):
 
 
 @query("build_prompt", O.PROMPT)
-def build_prompt(spark, d, whole=False):
-    c = retrieval.contexts(asked(spark, d), hits(spark, d, whole=whole), topic_summaries(spark, d))
+def build_prompt(spark, d):
+    c = retrieval.contexts(asked(spark, d), hits(spark, d), topic_summaries(spark, d))
     return c.select("query_id", retrieval.prompt().alias("prompt"))
 
 
-@query("build_prompt_whole")
-def build_prompt_whole(spark, d):
-    return build_prompt(spark, d, whole=True)
-
-
 @query("prompt_with_history", O.PROMPT_HISTORY)
 def prompt_with_history(spark, d):
     """The prompt of a conversation's last question without any context but its history."""
@@ -504,15 +467,19 @@ def answer_display(spark, d):
 
 
 @query("answer_batch", O.ANSWERS)
-def answer_batch(spark, d, whole=False):
-    c = retrieval.contexts(asked(spark, d), hits(spark, d, whole=whole))
+def answer_batch(spark, d):
+    c = retrieval.contexts(asked(spark, d), hits(spark, d))
     out = retrieval.answers(c)
     return out.select("query_id", "question", "answer", F.array_join("sources", ",").alias("sources"), "context_chunks", "tokens_generated")
 
 
-@query("answer_batch_whole")
-def answer_batch_whole(spark, d):
-    return answer_batch(spark, d, whole=True)
+@query("ask", O.ASK)
+def ask(spark, d):
+    """Every text of the benchmark as a question to all documents' chunks: embedded, searched, prompted, answered, recorded."""
+    chunks = chunking.sliding(documents(spark, d), keep=("doc_id", "source")).select(F.concat_ws("_", "doc_id", "chunk_id").alias("chunk_key"), "text", "source")
+    asked_ = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    out = retrieval.ask(asked_, embedded(chunks, letters), embedder=letters)
+    return out.select("query_id", "question", "answer", F.array_join("sources", ",").alias("sources"), "context_chunks", "tokens_generated")
 
 
 # ---- evaluation
@@ -549,17 +516,18 @@ def pca_project(spark, d):
 @query("gmm_diag_fit")
 def gmm_diag_fit(spark, d):
     e = clustering.standardised(embeddings(spark, d))
-    model, ll, _ = clustering.fit_diagonal(e, 8, starts=3, rounds=50)
+    model, ll, _ = clustering.fit_diagonal(e, 8)
     return clustering.assigned(e, model).select("vec_id", "cluster_id", F.round("confidence", 6).alias("confidence"), F.lit(round(ll, 6)).alias("mean_log_likelihood"))
 
 
 @query("gmm_full_fit")
 def gmm_full_fit(spark, d):
-    rows, _ = clustering.projected(embeddings(spark, d), most=6, wider_than=32)
-    model = clustering.fit_full(rows, 4, starts=2, rounds=30)
-    n, k, dims = rows.count(), 4, 6
-    aic, bic = clustering.criteria(model.summary.logLikelihood, n, k, dims, full=True)
-    return spark.createDataFrame([(k, n, float(model.summary.logLikelihood), aic, bic, [float(w) for w in model.weights])], "k int, n long, log_likelihood double, aic double, bic double, weights array<double>")
+    rows = clustering.standardised(embeddings(spark, d))
+    n = rows.count()
+    k = max(2, min(10, int((n / 2) ** 0.5)))
+    model, ll, _ = clustering.fit_full(rows, k)
+    aic, bic = clustering.criteria(ll * n, n, k, model.means.shape[1], full=True)
+    return spark.createDataFrame([(k, n, ll * n, aic, bic, [float(w) for w in model.weights])], "k int, n long, log_likelihood double, aic double, bic double, weights array<double>")
 
 
 @query("semantic_chunks")
@@ -579,17 +547,14 @@ def lsh_topk(spark, d):
 
 @query("hierarchy_run")
 def hierarchy_run(spark, d):
-    import tempfile
-
     docs = documents(spark, d).select(F.col("doc_id").alias("vec_id"), "text", "source")
     chunks = embeddings(spark, d).join(docs, "vec_id").select(T.chunk_name(F.col("vec_id")).alias("chunk_key"), "text", "source", "embedding")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-hierarchy-")
-    return hierarchy.run(spark, chunks, folder, starts=2, rounds=30)
+    return hierarchy.run(spark, chunks, shared_folder(spark, "hierarchy"))
 
 
 @query("table_report")
 def table_report(spark, d):
-    return readers.describe_tables(spark, {n: f"{d}/{n}.parquet" for n in ("documents", "embeddings", "conversations", "benchmark")})
+    return readers.describe_tables(spark, {n: f"{d}/{n}.parquet" for n in TABLES})
 
 
 @query("storage_report")

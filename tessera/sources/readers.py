@@ -18,7 +18,7 @@ def kind(path: Column) -> Column:
     return F.when(ext.isin(*TEXT), "text").when(ext.isin(*LATEX), "latex").when(ext.isin(*PDF), "pdf").otherwise(F.raise_error(F.concat(F.lit("Unsupported file type: "), ext)).cast("string"))
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, text: whole UTF-8 files. A missing path raises, as Spark does."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
@@ -30,12 +30,12 @@ def read_decoded(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.when(valid, F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
 
 
-def read_latex(spark: SparkSession, path: str, plain: bool = False) -> DataFrame:
+def read_latex(spark: SparkSession, path: str | list[str], plain: bool = False) -> DataFrame:
     clean = T.clean_latex_plain if plain else T.clean_latex
     return read_texts(spark, path).withColumn("text", clean(F.col("text")))
 
 
-def read_pdf(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
+def read_pdf(spark: SparkSession, path: str | list[str], pages_of: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
     """path, text: the pages' texts one after another, without what is empty. `pages_of` extracts them on the executors."""
     if pages_of is None:
         raise ValueError("give a function from a PDF's bytes to its pages' texts")
@@ -51,16 +51,16 @@ def read_pdf(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[st
 
 
 def read_documents(spark: SparkSession, paths: list[str], pages_of: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
-    """source, kind, text of files of several kinds. Unknown extensions raise before anything is read."""
-    out = None
-    for suffixes, reader in ((TEXT, read_texts), (LATEX, read_latex), (PDF, lambda s, p: read_pdf(s, p, pages_of))):
-        for p in paths:
-            if p.lower().endswith(suffixes):
-                part = reader(spark, p).select(T.basename(F.col("path")).alias("source"), F.lit({TEXT: "text", LATEX: "latex", PDF: "pdf"}[suffixes]).alias("kind"), "text")
-                out = part if out is None else out.unionByName(part)
+    """source, kind, text of files of several kinds, one scan a kind. Unknown extensions raise before anything is read."""
     unknown = [p for p in paths if not p.lower().endswith(TEXT + LATEX + PDF)]
-    if unknown or out is None:
+    if unknown or not paths:
         raise ValueError(f"Unsupported file type: {unknown}")
+    out = None
+    for suffixes, name, reader in ((TEXT, "text", read_texts), (LATEX, "latex", read_latex), (PDF, "pdf", lambda s, p: read_pdf(s, p, pages_of))):
+        own = [p for p in paths if p.lower().endswith(suffixes)]
+        if own:
+            part = reader(spark, own).select(T.basename(F.col("path")).alias("source"), F.lit(name).alias("kind"), "text")
+            out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -1,15 +1,18 @@
 """The store: Parquet tables of chunks (partitioned by level), assignments and summaries, and files for export.
 
-A failed write fails its job. Chunk keys are made from document, position and text, so adding a document again replaces
-its rows instead of doubling them.
+A failed write fails its job. Chunk keys are made from document, position and text, so adding a document again
+changes nothing.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.embedding import Embedder, embedded
 
 
 def chunk_key(source: Column, chunk_id: Column, text: Column) -> Column:
@@ -22,24 +25,53 @@ def stored_chunks(chunks: DataFrame, document: str = "source") -> DataFrame:
     return out.withColumn("chunk_preview", T.preview(F.col("text"))).withColumn("added_timestamp", F.current_timestamp()).dropDuplicates(["chunk_key"])
 
 
+#: What a collection is searched by, unless it was created otherwise. The search is exact, so the index settings are only kept.
+COLLECTIONS = {"chunks": {"space": "cosine", "ef_search": 200, "max_neighbors": 32}, "summaries": {"space": "cosine", "ef_search": 100, "max_neighbors": 16}}
+SETTINGS = "name string, space string, ef_search int, max_neighbors int"
+
+
 class Store:
-    """Tables under one folder."""
+    """Tables under one folder. With an embedder, chunks get their vectors as they are added."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder | None = None):
+        self.spark, self.folder, self.embedder = spark, folder, embedder
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def exists(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def collection(self, name: str, **settings) -> dict:
+        """The settings of a collection, which is created with those given (and the defaults) unless it is there."""
+        if self.exists("collections"):
+            known = self.read("collections").where(F.col("name") == name).first()
+            if known:
+                return known.asDict()
+        made = {"space": "cosine", "ef_search": 100, "max_neighbors": 16} | COLLECTIONS.get(name, {}) | settings
+        if made["space"] not in ("cosine", "l2"):
+            raise ValueError(made["space"])
+        self.write("collections", self.spark.createDataFrame([(name, made["space"], made["ef_search"], made["max_neighbors"])], SETTINGS), "append")
+        return {"name": name} | made
+
     def append_chunks(self, chunks: DataFrame) -> None:
+        """Add chunks whose keys their level doesn't have yet, so a batch that runs twice adds nothing.
+
+        Only the keys of what is stored are read. Chunks without a level are of level 0.
+        """
         rows = chunks if "level" in chunks.columns else chunks.withColumn("level", F.lit(0))
-        rows.withColumn("level", F.coalesce("level", F.lit(0))).write.mode("append").partitionBy("level").parquet(self.path("chunks"))
+        rows = rows.withColumn("level", F.coalesce("level", F.lit(0))).dropDuplicates(["level", "chunk_key"])
+        if self.exists("chunks"):
+            rows = rows.join(self.read("chunks").select("level", "chunk_key"), ["level", "chunk_key"], "left_anti")
+        if self.embedder and "embedding" not in rows.columns:
+            rows = embedded(rows, self.embedder)
+        rows.write.mode("append").partitionBy("level").parquet(self.path("chunks"))
 
     def chunks(self, level: int | None = None) -> DataFrame:
-        """All chunks, or a level's: its partition alone is read. Of rows with equal keys one is returned."""
+        """All chunks, or a level's: its partition alone is read."""
         rows = self.spark.read.parquet(self.path("chunks"))
-        rows = rows if level is None else rows.where(F.col("level") == level)
-        return rows.dropDuplicates(["level", "chunk_key"])
+        return rows if level is None else rows.where(F.col("level") == level)
 
     def write(self, name: str, rows: DataFrame, mode: str = "overwrite") -> None:
         rows.write.mode(mode).parquet(self.path(name))
@@ -77,3 +109,8 @@ def session_export(records: DataFrame, session: str, model: str) -> DataFrame:
     """One row: session, model, total_queries and the conversation in order. A session is bounded by its user's patience."""
     turns = F.array_sort(F.collect_list(F.struct("query_id", "question", "answer", "sources")))
     return records.agg(F.lit(session).alias("session"), F.lit(model).alias("model"), F.count("*").alias("total_queries"), turns.alias("conversation"))
+
+
+def default_name(kind: str, now: datetime | None = None) -> str:
+    """The name of an export that wasn't given one: its kind and the time."""
+    return f"{kind}_{(now or datetime.now()).strftime('%Y%m%d_%H%M%S')}.json"

@@ -1,7 +1,10 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking
+from tessera.operators.embedding import hashed_words
 from tessera.sources import readers, store
 from tessera.streaming.ingest import ingest
 
@@ -39,7 +42,30 @@ def test_store_round_trip(spark, tmp_path):
     store.export_csv(rows, str(tmp_path / "csv"))
     assert store.import_csv(spark, str(tmp_path / "csv"), "i long, t string, l string").first().t == 'a "quoted"\nline'
     r = readers.describe_tables(spark, {"chunks": s.path("chunks")}).first()
-    assert r.n_rows == 2 * n and len(r["sample"]) == min(3, 2 * n)
+    assert r.n_rows == n and len(r["sample"]) == min(3, n)
+
+
+def test_store_embeds_and_adds_what_is_new(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path), hashed_words)
+    rows = lambda *keys: spark.createDataFrame([(k, f"text {k}") for k in keys], "chunk_key string, text string")
+    s.append_chunks(rows("a", "b", "b"))
+    s.append_chunks(rows("b", "c"))
+    s.append_chunks(rows("a").withColumn("level", F.lit(1)))
+    assert sorted((r.chunk_key, r.level) for r in s.chunks().collect()) == [("a", 0), ("a", 1), ("b", 0), ("c", 0)]
+    assert all(len(r.embedding) == 64 for r in s.chunks().collect())
+
+
+def test_collections_are_made_once(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    assert s.collection("chunks")["ef_search"] == 200 and s.collection("other", space="l2")["space"] == "l2"
+    assert s.collection("other")["space"] == "l2" and s.collection("chunks", space="l2")["space"] == "cosine"
+    assert s.read("collections").count() == 2
+    with pytest.raises(ValueError):
+        s.collection("third", space="manhattan")
+
+
+def test_default_names():
+    assert store.default_name("conversation", datetime(2024, 5, 6, 7, 8, 9)) == "conversation_20240506_070809.json"
 
 
 def test_stream(spark, tmp_path):

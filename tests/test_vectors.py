@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import clustering as C
-from tessera.operators import evaluation, hierarchy, reports, retrieval, search, semantic
+from tessera.operators import chunking, evaluation, hierarchy, reports, retrieval, search, semantic, summaries
 from tessera.operators.embedding import embedded, hashed_words
 
 
@@ -71,6 +71,98 @@ def test_linkage():
     assert C.average_linkage(x, 9).tolist() == [0, 1, 2, 3, 4]
 
 
+def slow_linkage(x, k):
+    """Merges the two nearest clusters, all pairs looked at."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    groups = [[i] for i in range(len(x))]
+    while len(groups) > k:
+        far = lambda a, b: np.mean([1 - u[i] @ u[j] for i in a for j in b])
+        _, a, b = min((far(groups[a], groups[b]), a, b) for a in range(len(groups)) for b in range(a))
+        groups[b] += groups.pop(a)
+    label = {i: n for n, g in enumerate(sorted(groups, key=min)) for i in g}
+    return [label[i] for i in range(len(x))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_linkage_by_brute_force(seed):
+    x = np.random.default_rng(seed).normal(0, 1, (25, 5))
+    for k in (1, 3, 8, 24):
+        assert C.average_linkage(x, k).tolist() == slow_linkage(x, k)
+
+
+def test_best_with_ties():
+    r = np.random.default_rng(1)
+    s, place = r.integers(0, 4, (40, 7)).astype(float), r.permutation(40)
+    for k in (1, 5, 39, 40, 60):
+        want = np.lexsort((np.broadcast_to(place[:, None], s.shape), -s), axis=0)[:k]
+        assert (search.best(s, place, k) == want).all()
+
+
+def test_full_mixture(blobs):
+    x, df = blobs
+    model, ll, history = C.fit_full(df, 3, starts=2, rounds=25)
+    assert all(b >= a - 1e-9 for a, b in zip(history, history[1:], strict=False))
+    x = x.astype(np.float32).astype(float)
+    density = sum(w * np.exp(-0.5 * np.einsum("ni,ij,nj->n", x - m, np.linalg.inv(c), x - m)) / np.sqrt(np.linalg.det(2 * np.pi * c)) for w, m, c in zip(model.weights, model.means, model.covariances, strict=True))
+    assert ll == pytest.approx(np.log(density).mean(), abs=1e-6)
+    labels = np.arange(180) // 60
+    assert len(set(zip(labels, model.responsibilities(x)[0].argmax(1), strict=True))) == 3
+
+
+def test_likelihood_belongs_to_the_model(blobs):
+    x, df = blobs
+    model, ll, _ = C.fit_diagonal(df, 3, starts=1, rounds=2)
+    assert ll == pytest.approx(model.responsibilities(x.astype(np.float32).astype(float))[1].mean(), abs=1e-9)
+
+
+def test_projection(blobs):
+    x, df = blobs
+    rows, explained = C.projected(df, most=2, wider_than=3)
+    got = np.array([r.embedding for r in rows.orderBy("vec_id").collect()])
+    x = x.astype(np.float32).astype(float)
+    values, axes = np.linalg.eigh(np.cov(x.T))
+    want = x @ axes[:, ::-1][:, :2]
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6) and explained == pytest.approx(values[::-1][:2].sum() / values.sum())
+    assert C.projected(df, wider_than=100)[1] is None
+
+
+def test_summaries_of_the_null_group(spark):
+    rows = spark.createDataFrame([(None, 1, "river river water"), (None, 2, "river boats"), ("a", 3, "stone wall stone")], "source string, doc_id long, text string")
+    got = {r.source: r.summary for r in summaries.fallback_summaries(rows, "source", "doc_id").collect()}
+    assert "Key themes: river, water, boats" in got[None] and "Key themes: stone, wall" in got["a"] and "river river water" in got[None]
+    asked = {r.source: r.summary for r in summaries.summaries(rows, "source", "doc_id", lambda t: t[:11]).collect()}
+    assert asked == {None: "river river", "a": "stone wall"}
+    ties = spark.createDataFrame([("x", 2, "later words here"), ("x", 1, "here first later")], "source string, doc_id long, text string")
+    assert [r.word for r in summaries.keywords(ties, "source", "doc_id").orderBy("rank").collect()] == ["here", "later", "first", "words"]
+    plan = summaries.keywords(rows, "source", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_boundary_windows_by_brute_force(spark):
+    r = np.random.default_rng(2)
+    texts = ["", " ", "x", "a. b", " " * 120, "word " * 30 + " " * 100 + "tail. end", "x" * 50, "x" * 45 + " " * 5, "x" * 95, "ab. " * 40 + "\n" * 60, " " * 46 + "x" * 44 + " " * 46]
+    texts += ["".join(r.choice(list("ab. !\n "), p=[0.3, 0.2, 0.1, 0.1, 0.05, 0.05, 0.2])  for _ in range(r.integers(1, 400))) for _ in range(30)]
+    texts += ["".join("  " * int(r.integers(0, 60)) + "ab" * int(r.integers(0, 40)) for _ in range(4)) for _ in range(30)]
+    got = {}
+    for x in chunking.boundary(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(x.doc_id, []).append((x.chunk_index, x.start_position, x.end_position, x.text))
+    for i, t in enumerate(texts):
+        want = []
+        for start in range(0, len(t), 45):
+            window = t[start : start + 50]
+            if not window.strip():
+                continue
+            reaches = start + 50 >= len(t)
+            if start > 0 and not reaches:
+                ahead = t[start + 50 : start + 60]
+                stops = [k for k, c in enumerate(ahead) if c in ".!?"]
+                window += ahead[: stops[0] + 1] if stops else ""
+            want.append((len(want), start, start + len(window), window))
+            if reaches:
+                break
+        assert sorted(got.get(i, [])) == want, repr(t)
+
+
 def test_semantic_chunks_keep_sentences(spark):
     df = spark.createDataFrame([(1, "A cat sat. A dog ran! A cat slept. Rain fell?"), (2, ""), (3, None)], "doc_id long, text string")
     got = semantic.semantic_chunks(df, 2).collect()
@@ -82,6 +174,7 @@ def test_hierarchy(spark, blobs, tmp_path):
     chunks = df.select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_key"), F.concat(F.lit("words about topic"), F.col("label").cast("string")).alias("text"), F.lit("s").alias("source"), "embedding")
     h = hierarchy.run(spark, chunks, str(tmp_path), starts=1, rounds=10, run_id="r").collect()
     assert h[0].level == 0 and h[0].n_items == 180 and -1 <= h[0].silhouette <= 1 and h[-1].stop_reason
+    assert h[0].summaries.keys() == set(range(h[0].n_clusters)) and all("Key themes" in x for x in h[0].summaries.values())
     assert spark.read.parquet(f"{tmp_path}/r/summaries").where("level = 0").agg(F.sum("chunks_count")).first()[0] == 180
 
 
