@@ -1,7 +1,13 @@
 """A training corpus from raw documents in five stages; each one's rows are written as Parquet and read again by the next.
 
-Each stage takes (spark, docs, sf_dir) and returns documents with all their columns; the last one adds `copy`, which
-numbers the copies that the mix takes of a document.
+Each stage takes (spark, docs, sf_dir) and returns documents with all their columns; the last one adds `copy` (with underscores
+where that name is taken), which numbers the copies that the mix takes of a document.
+
+Cases: null or empty texts fail the rules and go in the first stage; a null doc_id is a document without a number, judged by
+its text; a null source is a source of its own in the mix; very long texts are read whole by every stage; rows that repeat a
+doc_id are judged by their own text, but are one document for near duplicates; exact ties stand as the operators
+define them; a document whose lines all go stays with an empty text; an empty table, and one whose documents all go, give an empty
+result with the same columns; further columns pass all stages, whatever their names.
 """
 
 from __future__ import annotations
