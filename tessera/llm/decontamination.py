@@ -25,7 +25,7 @@ whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +41,8 @@ PIECE, SHARED = 512, 32
 #: A region begins BACK tokens before its first hit, ends AHEAD after its last, and spans REGION places of hits; hits farther
 #: apart than AHEAD are in different ones. ENOUGH equal tokens with a score above 0 lie within 17; a short item has 15.
 BACK, AHEAD, REGION = 15, 32, 4096
-#: Bits of the bitmap: 16 a seed, between these powers of 2.
-LEAST_BITS, MOST_BITS = 16, 28
+#: Bits of the bitmap: 64 a seed, between these powers of 2.
+LEAST_BITS, MOST_BITS = 18, 28
 
 
 def beginnings(weight: int) -> tuple[str, ...]:
@@ -127,14 +127,19 @@ def needed(n: int, enough: int = ENOUGH, share: float = SHARE) -> int:
     return n if n < LEAST else max(LEAST, min(enough, int(np.ceil(share * n))))
 
 
-def masks_for(n: int) -> tuple[str, ...]:
-    return ("1" * n,) if n < LEAST else SHORT if short(n) else MASKS
+def kind_of(n: int) -> int:
+    """What tells which masks an item of n tokens has: n itself, or LEAST (short) or more."""
+    return min(n, LEAST) if short(n) else LEAST + 1
 
 
-def all_masks() -> dict[str, list[str]]:
-    """root: its masks, of items of any length."""
+def masks_of(kind: int) -> tuple[str, ...]:
+    return ("1" * kind,) if kind < LEAST else SHORT if kind == LEAST else MASKS
+
+
+def all_masks(kinds: Iterable[int]) -> dict[str, list[str]]:
+    """root: its masks, of items of these kinds."""
     out: dict[str, list[str]] = {}
-    for m in dict.fromkeys([*("1" * n for n in range(1, LEAST)), *SHORT, *MASKS]):
+    for m in dict.fromkeys(m for kind in sorted(kinds) for m in masks_of(kind)):
         out.setdefault(root(m), []).append(m)
     return out
 
@@ -172,11 +177,11 @@ def equal_tokens(doc: np.ndarray, piece: np.ndarray, is_short: bool) -> int:
 
 
 class Finder:
-    """Looks for places of texts whose seeds a bitmap of 2**bits bits has."""
+    """Looks for places of texts whose seeds a bitmap of 2**bits bits has; kinds are those of the items."""
 
-    def __init__(self, bitmap: np.ndarray, bits: int):
+    def __init__(self, bitmap: np.ndarray, bits: int, kinds: Iterable[int]):
         self.bitmap, self.shift = bitmap, U64(64 - bits)
-        self.masks = [(r, salt(r, "root"), [(m, salt(m)) for m in own]) for r, own in all_masks().items()]
+        self.masks = [(r, salt(r, "root"), [(m, salt(m)) for m in own]) for r, own in all_masks(kinds).items()]
 
     def maybe(self, keys: np.ndarray) -> np.ndarray:
         at = keys >> self.shift
@@ -198,7 +203,7 @@ class Finder:
                 there = self.maybe(k)
                 places.append(p[there])
                 keys.append(k[there])
-        p, k = np.concatenate(places), np.concatenate(keys)
+        p, k = (np.concatenate(x) if x else np.empty(0, U64) for x in (places, keys))
         if not len(p):
             return
         order = np.argsort(p, kind="stable")
@@ -216,7 +221,7 @@ class Finder:
 
 
 def items(benchmark: DataFrame, work: common.Work) -> DataFrame:
-    """k, item_id, tokens, is_short, enough, seeds, roots of each piece of each item."""
+    """k, item_id, tokens, is_short, enough, kind, seeds, roots of each piece of each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -225,27 +230,27 @@ def items(benchmark: DataFrame, work: common.Work) -> DataFrame:
             for i, text in zip(b.column("item_id").to_pylist(), common.column_bytes(b.column("text")), strict=True):
                 tokens = words(text)
                 for piece in pieces_of(tokens) if len(tokens) else ():
-                    found = keys_of(piece, masks_for(len(tokens)))
-                    out.append((i, piece.tobytes(), short(len(tokens)), needed(len(tokens)), *[x.view(np.int64) for x in found]))
-            kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = ["item_id", "tokens", "is_short", "enough", "seeds", "roots"]
+                    found = keys_of(piece, masks_of(kind_of(len(tokens))))
+                    out.append((i, piece.tobytes(), short(len(tokens)), needed(len(tokens)), kind_of(len(tokens)), *[x.view(np.int64) for x in found]))
+            kinds = [pa.int64(), pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["item_id", "tokens", "is_short", "enough", "kind", "seeds", "roots"]
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], names)
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    made = rows.mapInArrow(run, "item_id long, tokens binary, is_short boolean, enough int, seeds array<long>, roots array<long>")
+    made = rows.mapInArrow(run, "item_id long, tokens binary, is_short boolean, enough int, kind int, seeds array<long>, roots array<long>")
     return work.keep("items", made.select(F.monotonically_increasing_id().alias("k"), "*"))
 
 
 def finder(pieces: DataFrame) -> Finder:
     """The bitmap of all seeds and roots, made by the executors in blocks of 4 KB."""
-    n = pieces.agg(F.sum(F.size("seeds") + F.size("roots"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(16 * n).bit_length()))
+    by_kind = pieces.groupBy("kind").agg(F.sum(F.size("seeds") + F.size("roots"))).collect()  # LEAST + 1 kinds at most
+    bits = min(MOST_BITS, max(LEAST_BITS, int(64 * sum(r[1] for r in by_kind)).bit_length()))
     at = pieces.select(F.explode(F.concat("seeds", "roots")).alias("key")).select(F.shiftrightunsigned("key", 64 - bits).alias("at"))
     block = at.groupBy(F.shiftright("at", 15).alias("block")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(1 << 15))).alias("bits"))
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for r in block.collect():  # at most 2**(MOST_BITS - 15) blocks
         bitmap[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return Finder(bitmap, bits)
+    return Finder(bitmap, bits, [r[0] for r in by_kind])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -397,12 +397,12 @@ def found_by_seeds(items, docs, bits=20):
     pieces = [(i, p, len(t)) for i, t in enumerate(items) for p in decontamination.pieces_of(t)]
     whole, bitmap, by_key = [], np.zeros(1 << bits, bool), collections.defaultdict(set)
     for j, (_, p, n) in enumerate(pieces):
-        both = decontamination.keys_of(p, decontamination.masks_for(n))
+        both = decontamination.keys_of(p, decontamination.masks_of(decontamination.kind_of(n)))
         bitmap[np.concatenate(both) >> np.uint64(64 - bits)] = True
         for k in both[0].tolist():
             by_key[k].add(j)
         whole.append(n)
-    finder, out = decontamination.Finder(np.packbits(bitmap, bitorder="little"), bits), {}
+    finder, out = decontamination.Finder(np.packbits(bitmap, bitorder="little"), bits, {decontamination.kind_of(n) for n in whole}), {}
     for row, _, tokens, keys in finder.regions(docs):
         for j in {j for k in keys.tolist() for j in by_key.get(k, ())}:
             i, p, n = pieces[j]
