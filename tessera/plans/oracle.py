@@ -344,7 +344,7 @@ a AS (SELECT *, substr({strip(f"string_split(substr(rest, strpos(rest, {NL}) + 1
 SELECT query_id, question, CASE WHEN n IS NULL THEN 'Error: No relevant chunks found' ELSE said END AS answer, coalesce(sources, '') AS sources, coalesce(n, 0) AS context_chunks,
        CASE WHEN n IS NOT NULL THEN CAST(len({words('said')}) AS BIGINT) END AS tokens_generated FROM a
 """
-_LETTERS = "[chr(c) FOR c IN range(97, 123)]"
+_LETTERS = "[chr(CAST(c AS INTEGER)) FOR c IN range(97, 123)]"
 
 
 def _embedded(x: str) -> str:
