@@ -170,10 +170,12 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
         yield from s.taken()
 
     rows = occurrences(docs, min_chars).repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "th", "pos")
-    found = common.cut(rows.mapInArrow(stream, "h1 long, h2 long, doc long, th long, pos int, kind byte, part int, docs long"), "line-dedup")
+    work = common.Work(docs.sparkSession, "line-dedup")
+    found = work.keep("found", rows.mapInArrow(stream, "h1 long, h2 long, doc long, th long, pos int, kind byte, part int, docs long"))
     totals = found.where(F.col("kind") == SUMMARY).groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.min("part").alias("first_part")).where(F.col("total") >= min_docs)
+    totals = work.keep("totals", totals)  # a written table has a known size: small ones are broadcast, so a frequent line's rows stay where they are
     spared = (F.lit(first)) & (F.col("kind") == OPEN_FIRST) & (F.col("part") == F.col("first_part"))
-    settled = found.where(F.col("kind").isin(OPEN, OPEN_FIRST)).join(totals, ["h1", "h2"]).where(~spared)  # few on both sides
+    settled = found.where(F.col("kind").isin(OPEN, OPEN_FIRST)).join(totals, ["h1", "h2"]).where(~spared)
     drops = found.where(F.col("kind") == DROP).select("doc", "th", "pos").unionByName(settled.select("doc", "th", "pos"))
     by_doc = drops.groupBy("doc", "th").agg(F.collect_list("pos").alias("at"))
 
