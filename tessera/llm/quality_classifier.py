@@ -120,7 +120,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]]) -> Model:
     if not rows:
         return Model(np.zeros((2, 1 << BITS)), np.zeros((2, SHAPES)), logit(np.array([0.5, 0.1])), np.array([0.5, 0.1]))
     words = [r[0] for r in rows]
-    row, word = np.repeat(np.arange(len(rows)), [len(w) for w in words]), np.concatenate(words)
+    row, word = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in words]), np.concatenate(words)
     often = np.bincount(word, minlength=1 << BITS) >= 3
     row, word = row[often[word]], word[often[word]]
     shapes = np.array([r[1] for r in rows])
@@ -151,8 +151,8 @@ def packed(words: np.ndarray) -> bytes:
 
 def unpacked(blob: bytes) -> np.ndarray:
     if blob[:1] == b"n":
-        return np.frombuffer(blob, "<i4", offset=1).astype(np.int64)
-    return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=1)))
+        return np.frombuffer(blob, "<i4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=1))).astype(np.int32)
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -172,8 +172,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple
     chosen = settled(labels).sort(draw, "doc_id").limit(most)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("name"), "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows
     made = rows.select("doc_id", "name", "quality", "toxic", "text").mapInArrow(run, "doc_id long, name long, quality int, toxic int, words binary, shape array<double>")
-    got = made.sort(draw, "doc_id", "name").limit(most).collect()
-    return [(unpacked(bytes(r["words"])), np.array(r["shape"]), r["quality"], r["toxic"]) for r in got]
+    got = made.sort(draw, "doc_id", "name").limit(most).select("words", "shape", "quality", "toxic").toArrow()
+    return [(unpacked(w.as_py()), np.array(s.as_py()), q, t) for w, s, q, t in zip(got["words"], got["shape"], got["quality"].to_pylist(), got["toxic"].to_pylist(), strict=True)]
 
 
 def evidence(docs: DataFrame, model: Model, host: str, path: str) -> DataFrame:
