@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op10_minhash": minhash.ORACLE}
+    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op10_minhash": minhash.ORACLE}

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -43,6 +43,7 @@ TUPLE = LENGTH - PERIOD + 1
 SLICE = 1 << 20
 NAMES_IN_BUCKET = 1_500_000
 NO_ID = -(1 << 63)
+SALTS = 32
 U64 = np.uint64
 MULTIPLIERS = [U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0xD6E8FEB86659FD93), U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53), U64(0x2545F4914F6CDD1D)]
 ANSWERS = "slice long, piece int, class int, bucket int, bits binary"
@@ -61,10 +62,15 @@ def text_names(docs: DataFrame) -> DataFrame:
 
 
 def whole_copies(named: DataFrame) -> DataFrame:
-    """doc, x, y of each row whose whole text a smaller doc_id has: all its bytes go."""
-    narrow = named.where(F.octet_length("text") >= LENGTH).select("doc", "x", "y")
-    classes = narrow.groupBy("x", "y").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    return narrow.join(classes, ["x", "y"]).where("doc > low").select("doc", "x", "y").distinct()
+    """doc, x, y of each row whose whole text a smaller doc_id has: all its bytes go.
+
+    A text that a third of all rows have meets itself by salt first, then once a salt.
+    """
+    narrow = named.where(F.octet_length("text") >= LENGTH).select("doc", "x", "y", F.pmod(F.xxhash64(F.lit(3), "doc"), F.lit(SALTS)).alias("salt")).distinct()
+    parts = narrow.groupBy("x", "y", "salt").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    whole = Window.partitionBy("x", "y")  # at most SALTS rows
+    parts = parts.select("x", "y", "salt", F.min("low").over(whole).alias("low"), "high").where("low < high")
+    return narrow.join(parts, ["x", "y", "salt"]).where("doc > low").select("doc", "x", "y")
 
 
 def pack_documents(docs: DataFrame, work: common.Work, size: int = SLICE) -> DataFrame:
@@ -380,3 +386,34 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(common.table(spark, sf_dir, "documents"))
+
+
+#: Every string of LENGTH bytes of every text, as hexadecimal digits (cut in parts first: a long text is not searched from its start each time).
+ORACLE = r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), cut AS (
+  SELECT doc_id, n, h, list_transform(range(0, n, 4000), lambda a: substr(h, CAST(2 * a + 1 AS BIGINT), 8098)) AS parts FROM bytes
+), part AS (
+  SELECT doc_id, unnest(parts) AS p, unnest(range(len(parts))) AS k FROM cut
+), starts AS (
+  SELECT doc_id, 4000 * k + i AS pos, substr(p, CAST(2 * i + 1 AS BIGINT), 100) AS s
+  FROM (SELECT doc_id, k, p, unnest(range(0, least(4000, len(p) // 2 - 49))) AS i FROM part)
+), first AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY s) < doc_id AS gone FROM starts
+), marked AS (
+  SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM first WHERE gone
+), numbered AS (
+  SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM marked
+), spans AS (
+  SELECT doc_id, span, min(pos) AS a, max(pos) + 50 AS z FROM numbered GROUP BY doc_id, span
+), between_ AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM spans
+), kept AS (
+  SELECT s.doc_id, sum(z - a) AS gone, count(*) AS n_spans, string_agg(substr(h, CAST(2 * b + 1 AS BIGINT), CAST(2 * (a - b) AS BIGINT)), '' ORDER BY a) AS head, max(z) AS last
+  FROM between_ s JOIN bytes USING (doc_id) GROUP BY s.doc_id
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""
