@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,6 @@ from tessera.functions import vectors as V
 from tessera.operators.arrow import cut, lists, matrix
 
 FLOOR = 1e-6
-#: Tasks' sums are added in so many groups before they are added up.
-SALTS = 32
 LOG_2PI = float(np.log(2 * np.pi))
 
 # ---- choosing the number of clusters
@@ -73,7 +72,8 @@ def covariance(rows: DataFrame, vector: str = "embedding") -> DataFrame:
             d = len(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(d, dtype=np.int32), d)), pa.array(np.tile(np.arange(d, dtype=np.int32), d)), pa.array(total.ravel())], ["i", "j", "s"])
 
-    sums = rows.where(F.col(vector).isNotNull()).select(vector).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    # Kept, since all that follows names it: one pass over the rows.
+    sums = cut(rows.where(F.col(vector).isNotNull()).select(vector).mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")), "covariance")
     last = sums.agg(F.max("i").alias("d"))
     ones = sums.join(F.broadcast(last), F.col("j") == F.col("d")).select(F.col("i").alias("r"), F.col("s").alias("r_sum"))  # d + 1 rows
     n = F.broadcast(ones.join(F.broadcast(last), F.col("r") == F.col("d")).select(F.col("r_sum").alias("n"), F.col("r").alias("d")))
@@ -158,17 +158,8 @@ class FullMixture(Mixture):
         return FullMixture(s[:k] / s[-1], means, squares - means[:, :, None] * means[:, None, :] + FLOOR * np.eye(d))
 
 
-def added(table: pa.Table) -> pa.Table:
-    """One row: the sum of the vectors of all rows."""
-    total = None
-    for chunk in table.column("sums").chunks:
-        part = matrix(chunk).sum(0)
-        total = part if total is None else total + part
-    return pa.Table.from_arrays([table.column("start").slice(0, 1), lists(total[None])], ["start", "sums"])
-
-
 def sums(rows: DataFrame, models: list[Mixture], vector: str) -> list[np.ndarray]:
-    """For each model the sums of an M-step. A task sends one vector a model; they are added in two steps, SALTS at first."""
+    """For each model the sums of an M-step. A task makes one vector a model; Spark adds them as they come."""
     shared = rows.sparkSession.sparkContext.broadcast(models)  # starts x the size of a model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +176,9 @@ def sums(rows: DataFrame, models: list[Mixture], vector: str) -> list[np.ndarray
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int32()), lists(np.stack([t for _, t in found]))], ["start", "sums"])
 
-    part = rows.select(vector).mapInArrow(run, "start int, sums array<double>").withColumn("salt", F.spark_partition_id() % SALTS)
-    few = part.groupBy("start", "salt").applyInArrow(added, "start int, sums array<double>").groupBy("start").applyInArrow(added, "start int, sums array<double>")
-    return [np.array(r["sums"]) for r in sorted(few.collect(), key=lambda r: r["start"])]
+    part = rows.select(vector).mapInArrow(run, "start int, sums array<double>").select("start", array_to_vector("sums").alias("sums"))
+    added = part.groupBy("start").agg(Summarizer.sum(F.col("sums")).alias("sums")).collect()
+    return [r["sums"].toArray() for r in sorted(added, key=lambda r: r["start"])]
 
 
 def fit(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray], Mixture], k: int, starts: int, rounds: int, tolerance: float, seed: int, vector: str, key: str, sample: int) -> tuple[Mixture, float, list[float]]:

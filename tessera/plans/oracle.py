@@ -86,6 +86,14 @@ SELECT doc_id, doc_id || '_' || chunk_id || '_' || substr(md5(doc_id || '|' || c
        replace(substr(text, 1, 50), {NL}, ' ') AS chunk_preview
 FROM ({SLIDING})
 """
+STORE_SCAN = f"""
+SELECT doc_id, doc_id || '_' || chunk_id || '_' || substr(md5(doc_id || '|' || chunk_id || '|' || text), 1, 8) AS chunk_key, chunk_index, CAST(doc_id % 2 AS INTEGER) AS level, text
+FROM ({SLIDING})
+"""
+INGESTED = f"""
+SELECT DISTINCT source, source || '_' || chunk_id || '_' || substr(md5(source || '|' || chunk_id || '|' || c.text), 1, 8) AS chunk_key, chunk_id, replace(substr(c.text, 1, 50), {NL}, ' ') AS chunk_preview
+FROM ({SLIDING}) c JOIN documents d ON d.doc_id = c.doc_id
+"""
 CLEAN_SPACES = f"SELECT doc_id, {strip("regexp_replace(text, '\\s+', ' ', 'g')")} AS clean FROM documents"
 _LATEX = f"""
 SELECT doc_id, '\\documentclass{{article}}' || {NL} || '\\usepackage{{amsmath}}' || {NL} || '% a comment' || {NL} || '\\ProvidesPackage{{' || source || '}}' || {NL} || '\\RequirePackage{{graphics}}' || {NL}
@@ -372,6 +380,10 @@ b AS (SELECT *, substr(prompt, strpos(prompt, {NL} || '[1] ') + 5) AS rest FROM
 a AS (SELECT *, substr({strip(f"string_split(substr(rest, strpos(rest, {NL}) + 1), '. ')[1]")}, 1, 500) AS said FROM b)
 SELECT query_id, question, said AS answer, sources, n AS context_chunks, CAST(len({words('said')}) AS BIGINT) AS tokens_generated FROM a
 """
+EMBED_LETTERS = f"""
+SELECT doc_id, CAST(dim AS INTEGER) AS dim, round(CAST(x AS DOUBLE), 6) AS x
+FROM (SELECT doc_id, unnest(range(26)) AS dim, unnest(v) AS x FROM (SELECT doc_id, {_embedded("documents.text")} AS v FROM documents))
+"""
 _EXCHANGES = """
 n AS (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 x AS (SELECT conv_id, turn, text AS question, answer FROM n WHERE role = 'user' AND next_role = 'assistant'),
@@ -383,6 +395,10 @@ WITH {_EXCHANGES}, h AS (SELECT conv_id, string_agg('Q: ' || question || {NL} ||
 SELECT conv_id, concat_ws({NL}, {lit(SYSTEM)}, {lit(CONTENT)}, {lit(PAST)} || {NL} || past, {lit(QUESTION)} || 'And now?', {lit(ANSWER)}) AS prompt FROM h
 """
 SESSION = f"WITH {_EXCHANGES} SELECT conv_id, count(*) AS n_queries FROM x GROUP BY conv_id"
+SESSION_JSON = f"""
+WITH {_EXCHANGES}
+SELECT 'today' AS session, 'none' AS model, count(*) OVER () AS total_queries, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS INTEGER) AS place, question, answer FROM x
+"""
 DISPLAY = f"WITH {_HITS} SELECT query_id, rank, printf('%.2f%%', raw * 100) AS relevance, substr(coalesce(source, 'Unknown'), 1, 40) AS source FROM hits WHERE rank <= 3"
 F1 = f"""
 SELECT item_id, round(coalesce(2.0 * len(list_intersect(a, r)) / nullif(len(a) + len(r), 0), 0.0)::DOUBLE, 6) AS f1
@@ -395,3 +411,7 @@ u AS (SELECT conv_id, turn, known, said, unnest(CASE WHEN len(said) > 0 THEN sai
 f AS (SELECT conv_id, turn, one IS NOT NULL AS real, len(list_intersect(list_distinct({words('one')}), known)) < 0.3 * len(list_distinct({words('one')})) AS bare FROM u)
 SELECT conv_id, turn, round(coalesce(count(*) FILTER (WHERE real AND bare) / nullif(count(*) FILTER (WHERE real), 0), 0.0)::DOUBLE, 6) AS unsupported FROM f GROUP BY ALL
 """
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+TABLE_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_columns" for t in _TABLES)
+READ_FILES = "SELECT how, item_id, text FROM benchmark, (SELECT unnest(['plain', 'decoded']) AS how)"
+READ_QUESTIONS = f"SELECT {strip(f"replace(text, {NL}, ' ')")} AS question FROM benchmark"

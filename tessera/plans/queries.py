@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.engine import chunked
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, clustering, evaluation, hierarchy, reports, retrieval, search, semantic, summaries
@@ -96,6 +97,23 @@ def stored_chunks(spark, d):
     return store.stored_chunks(chunking.sliding(documents(spark, d)), "doc_id").select("doc_id", "chunk_key", "chunk_index", "chunk_preview")
 
 
+@query("ingest_chunks", O.INGESTED)
+def ingest_chunks(spark, d):
+    """What an ingest stores of documents: those with text, cut, keyed by source, each chunk once."""
+    return chunked(documents(spark, d)).select("source", "chunk_key", "chunk_id", "chunk_preview")
+
+
+@query("store_scan", O.STORE_SCAN)
+def store_scan(spark, d):
+    """Chunks of two levels, added twice to a store in the shared folder and read back."""
+    s = store.Store(spark, shared_folder(spark, "store"))
+    made = chunking.sliding(documents(spark, d)).withColumn("level", (F.col("doc_id") % 2).cast("int"))
+    rows = store.stored_chunks(made, "doc_id")
+    s.append_chunks(rows)
+    s.append_chunks(rows)
+    return s.chunks().select("doc_id", "chunk_key", "chunk_index", "level", "text")
+
+
 # ---- cleaning and string functions
 
 
@@ -389,6 +407,15 @@ def hierarchy_view(spark, d):
     return flat.select("level", "n_clusters", F.posexplode("clusters").alias("at", "c")).select("level", "n_clusters", "at", "c.cluster_id", "c.chunks_count", "c.silhouette", "c.preview")
 
 
+@query("summaries_csv", O.TREE)
+def summaries_csv(spark, d):
+    """The summary tree, exported as CSV and read back."""
+    tree, folder = reports.summary_tree(made_summaries(spark, d)), shared_folder(spark, "csv")
+    store.export_csv(tree, folder)
+    back = store.import_csv(spark, folder, ", ".join(f"{c} {k}" for c, k in tree.dtypes))
+    return back.withColumn("created_at", F.coalesce("created_at", F.lit("")))  # CSV knows no empty string
+
+
 @query("history_improvement", O.IMPROVEMENT)
 def history_improvement(spark, d):
     rows = reports.level_history(leveled(spark, d).where("level IS NOT NULL").withColumn("cluster_id", F.col("source")))
@@ -461,6 +488,17 @@ def session_queries(spark, d):
     return retrieval.exchanges(table(spark, d, "conversations")).groupBy("conv_id").agg(F.count("*").alias("n_queries"))
 
 
+@query("session_json", O.SESSION_JSON)
+def session_json(spark, d):
+    """One conversation as it is exported: a JSON file, read back."""
+    x = retrieval.exchanges(table(spark, d, "conversations"))
+    records = x.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question", "answer", F.array(F.lit("book")).alias("sources"))
+    folder = shared_folder(spark, "json")
+    store.export_json(store.session_export(records, "today", "none"), folder)
+    back = spark.read.schema("session string, model string, total_queries long, conversation array<struct<query_id:long,question:string,answer:string,sources:array<string>>>").json(folder)
+    return back.select("session", "model", "total_queries", F.posexplode("conversation").alias("place", "c")).select("session", "model", "total_queries", "place", "c.question", "c.answer")
+
+
 @query("answer_display", O.DISPLAY)
 def answer_display(spark, d):
     return retrieval.displayed(hits(spark, d))
@@ -540,6 +578,12 @@ def embed_texts(spark, d):
     return embedded(documents(spark, d).select("doc_id", "text")).select("doc_id", "embedding")
 
 
+@query("embed_letters", O.EMBED_LETTERS)
+def embed_letters(spark, d):
+    rows = embedded(documents(spark, d).select("doc_id", "text"), letters)
+    return rows.select("doc_id", F.posexplode("embedding").alias("dim", "x")).select("doc_id", "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
 @query("lsh_topk")
 def lsh_topk(spark, d):
     return search.approximate_top_k(embeddings(spark, d), questions(spark, d))
@@ -557,6 +601,30 @@ def table_report(spark, d):
     return readers.describe_tables(spark, {n: f"{d}/{n}.parquet" for n in TABLES})
 
 
+@query("table_counts", O.TABLE_COUNTS)
+def table_counts(spark, d):
+    return table_report(spark, d).select("name", "n_rows", F.size("columns").alias("n_columns"))
+
+
+@query("read_files", O.READ_FILES)
+def read_files(spark, d):
+    """The benchmark's texts as files, a folder an item, by the plain reader and the one that finds the encoding."""
+    folder = shared_folder(spark, "files")
+    table(spark, d, "benchmark").select("text", "item_id").write.partitionBy("item_id").text(folder)
+    item = F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("item_id")
+    own = lambda how, rows: rows.select(F.lit(how).alias("how"), item, F.regexp_replace("text", "\n\\z", "").alias("text"))
+    return own("plain", readers.read_texts(spark, folder)).unionByName(own("decoded", readers.read_decoded(spark, f"{folder}/*/*.txt")))
+
+
+@query("read_questions", O.READ_QUESTIONS)
+def read_questions(spark, d):
+    """Questions from a file: the benchmark's texts with white space round them and blank lines between."""
+    folder = shared_folder(spark, "questions")
+    lines = table(spark, d, "benchmark").select(F.concat(F.lit(" \t"), F.regexp_replace("text", "\n", " "), F.lit("  \n \n")).alias("value"))
+    lines.write.text(folder)
+    return readers.read_questions(spark, folder)
+
+
 @query("storage_report")
 def storage_report(spark, d):
     return readers.storage_sizes(spark, d).agg(F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import pdf
+
+# Functions of these modules travel by value, so executors need no copy of this repository.
+cloudpickle.register_pickle_by_value(sys.modules["tessera.sources"])
 
 TEXT, LATEX, PDF = (".txt", ".md"), (".sty", ".tex"), (".pdf",)
 
@@ -36,9 +42,11 @@ def read_latex(spark: SparkSession, path: str | list[str], plain: bool = False)
 
 
 def read_pdf(spark: SparkSession, path: str | list[str], pages_of: Callable[[bytes], list[str | None]] | None = None) -> DataFrame:
-    """path, text: the pages' texts one after another, without what is empty. `pages_of` extracts them on the executors."""
-    if pages_of is None:
-        raise ValueError("give a function from a PDF's bytes to its pages' texts")
+    """path, text: the pages' texts one after another, without what is empty.
+
+    `pages_of` extracts them on the executors, from a file's bytes; without one, `pdf.pages_of` reads simple files.
+    """
+    pages_of = pages_of or pdf.pages_of
 
     def run(batches):
         import pyarrow as pa

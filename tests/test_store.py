@@ -1,3 +1,4 @@
+import zlib
 from datetime import datetime
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import chunking
 from tessera.operators.embedding import hashed_words
-from tessera.sources import readers, store
+from tessera.sources import pdf, readers, store
 from tessera.streaming.ingest import ingest
 
 
@@ -26,6 +27,41 @@ def test_readers(spark, tmp_path):
     assert readers.storage_sizes(spark, str(tmp_path)).agg(F.sum("files")).first()[0] == 5
 
 
+def small_pdf():
+    """Two pages with text and an empty one; the second page's objects are compressed, its font has a map."""
+    flate = lambda text: b"<< /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (len(zlib.compress(text)), zlib.compress(text))
+    plain = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) w\\366rld) Tj 0 -14 Td [(Kern) -20 (ed) -300 (words)] TJ ET"
+    cmap = b"2 beginbfchar <01> <0041> <02> <00E9> endbfchar 1 beginbfrange <03> <05> <0062> endbfrange"
+    packed = [(6, b"<< /Type /Page /Parent 2 0 R /Contents [7 0 R] >>"), (9, b"<< /Type /Page /Parent 2 0 R >>")]
+    head, body = [], b""
+    for n, b in packed:
+        head.append(b"%d %d" % (n, len(body)))
+        body += b + b" "
+    head = b" ".join(head) + b" "
+    inside = zlib.compress(head + body)
+    return b"%PDF-1.5\n" + b"\n".join(
+        b"%d 0 obj\n%s\nendobj" % x
+        for x in [
+            (1, b"<< /Type /Catalog /Pages 2 0 R >>"),
+            (2, b"<< /Type /Pages /Kids [3 0 R 6 0 R 9 0 R] /Count 3 /Resources << /Font << /F1 5 0 R /F2 8 0 R >> >> >>"),
+            (3, b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"),
+            (4, b"<< /Length %d >>\nstream\n%s\nendstream" % (len(plain), plain)),
+            (5, b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>"),
+            (7, flate(b"BT /F2 10 Tf <0102030405> Tj T* (\\001) ' ET")),
+            (8, b"<< /Type /Font /ToUnicode 10 0 R >>"),
+            (10, flate(cmap)),
+            (11, b"<< /Type /ObjStm /N 2 /First %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(head), inside)),
+        ]
+    )
+
+
+def test_pdf(spark, tmp_path):
+    assert pdf.pages_of(small_pdf()) == ["Hello (PDF) wörld\nKerned words", "Aébcd\n\nA", ""]
+    assert pdf.pages_of(b"no pdf") == []
+    (tmp_path / "x.pdf").write_bytes(small_pdf())
+    assert readers.read_documents(spark, [str(tmp_path / "x.pdf")]).first().text == "Hello (PDF) wörld\nKerned wordsAébcd\n\nA"
+
+
 def test_store_round_trip(spark, tmp_path):
     docs = spark.createDataFrame([(1, "s1", "some text " * 90), (2, "s2", "other")], "doc_id long, source string, text string")
     s = store.Store(spark, str(tmp_path))
