@@ -8,7 +8,7 @@ the document. The network is trained here, in numpy, on the driver, from a bound
 WINDOWS windows each; the smallest hashes of doc_id, ties by doc_id and text hash, so reruns agree).
 
 Cases: null text, or text without a letter, is `und` with score 0; a null lang is never learned; a null doc_id is never
-learned from and never held out; very long texts are read whole, in bounded pieces; repeated rows get equal results;
+learned from and never held out; very long texts are read whole, in bounded pieces; of languages that score alike the first by name is said; repeated rows get equal results;
 without any labelled document every text is `und`; an empty table gives an empty result; other columns are not read.
 """
 

@@ -200,7 +200,7 @@ def test_language_id(spark, nothing):
     word = {"aa": "bakolimeru", "bb": "stzchpfwkg"}
     rows = [(i, " ".join("".join(r.choice(word[lang]) for _ in range(5)) for _ in range(r.randint(3, 120))), lang) for i in range(300) for lang in [("aa", "bb")[i % 2]]]
     rows += [(900, None, "aa"), (901, "123 !?", "aa"), (902, "", "bb"), (903, "text", None), (None, "bakoli meru", "aa")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", F.lit(1)).withColumn("lang_pred", F.lit("x")).withColumn("row", F.lit(2))
     got = {x.doc_id: x for x in language_id.language_id(df, per_lang=80).collect()}
     for i, _, lang in rows[:300]:
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= got[i].score <= 1
