@@ -92,9 +92,9 @@ def with_labels(chunks: DataFrame, assigned: DataFrame, key: str = "chunk_key")
 
 
 def export_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; nested columns as JSON. Quotes and line breaks survive a read with multiLine."""
+    """CSV with a header; nested columns as JSON. Quotes, line breaks and white space at the ends survive a read with multiLine."""
     flat = [F.to_json(c).alias(c) if kind.startswith(("array", "struct", "map")) else F.col(c) for c, kind in rows.dtypes]
-    rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def import_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

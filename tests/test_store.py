@@ -74,9 +74,9 @@ def test_store_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(level" in plan
     found = s.chunks().select("chunk_key", F.lit(3).alias("cluster_id"), F.lit(0.5).alias("confidence")).limit(1)
     assert s.label_chunks(found).where("cluster_id = 3").count() == 1
-    rows = spark.createDataFrame([(1, 'a "quoted"\nline', ["x"])], "i long, t string, l array<string>")
+    rows = spark.createDataFrame([(1, ' a "quoted"\nline  ', ["x"])], "i long, t string, l array<string>")
     store.export_csv(rows, str(tmp_path / "csv"))
-    assert store.import_csv(spark, str(tmp_path / "csv"), "i long, t string, l string").first().t == 'a "quoted"\nline'
+    assert store.import_csv(spark, str(tmp_path / "csv"), "i long, t string, l string").first().t == ' a "quoted"\nline  '
     r = readers.describe_tables(spark, {"chunks": s.path("chunks")}).first()
     assert r.n_rows == n and len(r["sample"]) == min(3, n)
 
