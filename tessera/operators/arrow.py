@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Functions of these modules travel by value, so executors need no copy of this repository.
 cloudpickle.register_pickle_by_value(sys.modules["tessera.operators"])
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of an object and its class, for `opened`; a plain one names the class, which executors would have to import."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own on a single machine (tests)."""
     sc = spark.sparkContext

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.arrow import cut, lists, matrix
+from tessera.operators.arrow import cut, lists, matrix, opened, share
 
 FLOOR = 1e-6
 LOG_2PI = float(np.log(2 * np.pi))
@@ -160,10 +160,10 @@ class FullMixture(Mixture):
 
 def sums(rows: DataFrame, models: list[Mixture], vector: str) -> list[np.ndarray]:
     """For each model the sums of an M-step. A task makes one vector a model; Spark adds them as they come."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)  # starts x the size of a model
+    shared = share(rows.sparkSession, models)  # starts x the size of a model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        models = opened(shared)
         total = [None] * len(models)
         for b in batches:
             x = matrix(b.column(0))
@@ -231,12 +231,13 @@ def centres(x: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
 
 def assigned(rows: DataFrame, model: Mixture, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """key, cluster_id, confidence, probabilities, log_likelihood of each row with a vector."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = share(rows.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(shared)
         for b in batches:
             if b.num_rows:
-                r, ll = shared.value.responsibilities(matrix(b.column(1)))
+                r, ll = model.responsibilities(matrix(b.column(1)))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(r.argmax(1).astype(np.int32)), pa.array(r.max(1)), lists(r), pa.array(ll)], [key, "cluster_id", "confidence", "probabilities", "log_likelihood"])
 
     kind = rows.schema[key].dataType.simpleString()
