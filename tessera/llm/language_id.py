@@ -167,10 +167,10 @@ def predict(network: Network, texts: list[bytes]) -> np.ndarray:
 def language_id(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row of docs. One narrow pass over the texts."""
     langs, network = train(sample(docs, per_lang))
-    shared = docs.sparkSession.sparkContext.broadcast((langs, network))  # 256 bytes, 48 filters, an output a language
+    shared = common.share(docs.sparkSession, (langs, network))  # 256 bytes, 48 filters, an output a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, network = shared.value
+        langs, network = common.opened(shared)
         for b in common.slices(batches, most=2 << 20):
             texts = b.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if t and network and any(c.isalpha() for c in t)]
