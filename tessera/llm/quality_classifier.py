@@ -178,11 +178,11 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[tuple
 
 def evidence(docs: DataFrame, model: Model, host: str, path: str) -> DataFrame:
     """doc_id, host, path and the log-odds of good and toxic that each row's text gives."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 x 2**BITS weights, whatever the corpus
+    shared = common.share(docs.sparkSession, model)  # 2 x 2**BITS weights, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, tuple[int, ...]] = {}
-        model = shared.value
+        model = common.opened(shared)
         for b in common.slices(batches):
             if len(known) > 500_000:
                 known = {}
