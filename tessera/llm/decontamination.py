@@ -257,10 +257,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, x, y (128-bit name of the text), item_id, n_equal (in one region) for each text and each item of which it holds enough."""
     work = common.Work(docs.sparkSession, "decontamination")
     pieces = items(benchmark, work)
-    shared = docs.sparkSession.sparkContext.broadcast(finder(pieces))  # 2**(MOST_BITS - 3) bytes at most
+    shared = common.share(docs.sparkSession, finder(pieces))  # 2**(MOST_BITS - 3) bytes at most
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, finder = Words(), shared.value
+        words, finder = Words(), common.opened(shared)
         for b in common.slices(batches):
             found = list(finder.regions([words(t) for t in common.column_bytes(b.column("text"))]))
             if found:
