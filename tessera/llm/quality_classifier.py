@@ -85,16 +85,33 @@ def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def tally(word: np.ndarray, weight: np.ndarray | None = None, row: np.ndarray | None = None, block: int = 1 << 20) -> np.ndarray:
+    """How often each number under 2**BITS is there, or its sum of weight[row]; in blocks, as numpy works on copies of 8 bytes a number."""
+    out = np.zeros(1 << BITS)
+    for i in range(0, len(word), block):
+        out += np.bincount(word[i : i + block], None if weight is None else weight[row[i : i + block]], 1 << BITS)
+    return out
+
+
+def marked(word: np.ndarray, those: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """those[word], in blocks."""
+    out = np.empty(len(word), bool)
+    for i in range(0, len(word), block):
+        out[i : i + block] = those[word[i : i + block]]
+    return out
+
+
 def fit_one(row: np.ndarray, word: np.ndarray, shapes: np.ndarray, y: np.ndarray, steps: int = 600, rate: float = 0.05, l1: float = 5e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression, classes weighted alike, by proximal Adam: the l1 penalty leaves few words with weight."""
     n, size = len(y), 1 << BITS
-    held = np.bincount(word, minlength=size)
-    with_y = np.bincount(word, y[row], size)
-    surprise = (with_y - held * y.mean()) ** 2 / np.maximum(held, 1)
+    held = tally(word)
+    surprise = (tally(word, y, row) - held * y.mean()) ** 2 / np.maximum(held, 1)
     told = np.zeros(size, bool)
     told[np.argsort(-surprise, kind="stable")[:TELLING]] = True
-    row, word = row[told[word]], word[told[word]]
-    seen, at = np.unique(word, return_inverse=True)
+    told &= held > 0
+    kept = marked(word, told)
+    row, word = row[kept], word[kept]
+    seen, at = np.flatnonzero(told), (np.cumsum(told) - 1)[word]
     w, s, b = np.zeros(len(seen)), np.zeros(SHAPES), 0.0
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     m, v = np.zeros(len(seen) + SHAPES + 1), np.zeros(len(seen) + SHAPES + 1)
@@ -121,8 +138,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int, int]]) -> Model:
         return Model(np.zeros((2, 1 << BITS)), np.zeros((2, SHAPES)), logit(np.array([0.5, 0.1])), np.array([0.5, 0.1]))
     words = [r[0] for r in rows]
     row, word = np.repeat(np.arange(len(rows), dtype=np.int32), [len(w) for w in words]), np.concatenate(words)
-    often = np.bincount(word, minlength=1 << BITS) >= 3
-    row, word = row[often[word]], word[often[word]]
+    often = marked(word, tally(word) >= 3)
+    row, word = row[often], word[often]
     shapes = np.array([r[1] for r in rows])
     fits = [fit_one(row, word, shapes, y[:, k]) for k in (0, 1)]
     # Trained on classes of equal weight, the log-odds are evidence beside any base rate; the bias moves it to ours.

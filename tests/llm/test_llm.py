@@ -285,6 +285,17 @@ def test_packed_words():
         assert len(blob) <= 1 + (1 << 15) and (quality_classifier.unpacked(blob) == words).all()
 
 
+def test_sums_in_blocks():
+    r = np.random.default_rng(1)
+    size = 1 << quality_classifier.BITS
+    for n in (0, 1, 6, 7, 100):
+        word, row, y = r.integers(0, 50, n).astype(np.int32), r.integers(0, 9, n).astype(np.int32), r.integers(0, 2, 9).astype(float)
+        those = r.random(size) < 0.5
+        assert (quality_classifier.tally(word, block=7) == np.bincount(word, minlength=size)).all()
+        assert (quality_classifier.tally(word, y, row, block=7) == np.bincount(word, y[row], size)).all()
+        assert (quality_classifier.marked(word, those, block=7) == those[word]).all()
+
+
 def test_site_rates_by_brute_force(spark):
     """Each document's rate from all others, one after another."""
     r = np.random.default_rng(5)
