@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, language_id, line_dedup, minhash, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, url_filters
+from tessera.llm import decontamination, language_id, line_dedup, minhash, mixing, packing, quality_classifier, quality_rules, resampling, source_divergence, suffix_dedup, token_counts, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": suffix_dedup.query,
         "op9_quality_rules": quality_rules.query,
         "op10_minhash": minhash.query,
+        "op11_source_divergence": source_divergence.query,
+        "op12_best_fit_packing": packing.query,
+        "op13_importance_resampling": resampling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_suffix_dedup": suffix_dedup.ORACLE, "op10_minhash": minhash.ORACLE}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE,
+        "op6_mixing": mixing.ORACLE,
+        "op8_suffix_dedup": suffix_dedup.ORACLE,
+        "op10_minhash": minhash.ORACLE,
+        "op11_source_divergence": source_divergence.ORACLE,
+        "op13_importance_resampling": resampling.ORACLE,
+    }
