@@ -247,12 +247,12 @@ def cells(inside: DataFrame, found: DataFrame) -> DataFrame:
     """bucket, i, j, role, node, component: what is left to compare after `found` (u, v: a node and its component).
 
     Those outside a bucket's largest component are dealt over i and stand in all j, in role ASKS; the members the other
-    way round, in role HOME or AWAY. There are as many parts as keep a cell's sets to about CELL shingles a side.
+    way round, in role HOME or AWAY. Of equally large components the one with the largest number is home. There are as many parts as keep a cell's sets to about CELL shingles a side.
     """
     weight = F.greatest(F.col("n"), F.lit(LIGHTEST))
     now = inside.join(found.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = now.groupBy("bucket", "component").agg(F.sum(weight).alias("weight"))
-    open_ = parts.groupBy("bucket").agg(F.count("*").alias("many"), F.sum("weight").alias("all"), F.max("weight").alias("most"), F.max_by("component", "weight").alias("home")).where("many > 1")
+    open_ = parts.groupBy("bucket").agg(F.count("*").alias("many"), F.sum("weight").alias("all"), F.max("weight").alias("most"), F.max_by("component", F.struct("weight", "component")).alias("home")).where("many > 1")
     open_ = open_.select("bucket", "home", F.ceil(F.col("all") / CELL).cast("int").alias("js"), F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("is"))
     rows = now.join(open_, "bucket")
     deal = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(parts)).cast("int")

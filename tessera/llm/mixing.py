@@ -14,12 +14,14 @@ many documents it has) are summed along each source, and only then are documents
 A third of all rows in one source, or in copies of one document, thus spreads over its hash buckets.
 
 Cases: null or empty text has size 0 and is taken 0 words (its copies count for the order only); null source is
-a source of its own, last in order; rows that repeat a doc_id and size are interchangeable; if all sizes are 0
+a source of its own, last in order; rows that repeat a doc_id, or have none, are documents of their own, and ties in the order among them
+decide only which of them goes; if all sizes are 0
 every target is 0; an empty table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +62,11 @@ def targets(buckets: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     return level.select("source", F.col("source_size").cast("long").alias("source_size"), F.least("ceiling", F.coalesce(F.col("weight") * F.col("level"), F.col("ceiling"))).alias("target"))
 
 
-def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """sized (see with_sizes) with source_size, target and copies, the number of times the mix emits the row."""
+def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, ties: tuple[str, ...] = ()) -> DataFrame:
+    """sized (see with_sizes) with source_size, target and copies, the number of times the mix emits the row.
+
+    ties: further columns that set rows apart whose doc_id and size are the same.
+    """
     buckets = sized.groupBy("source", "root", "part", "size").agg(F.count("*").alias("n"))
     goals = targets(buckets.groupBy("source", "size").agg(F.sum("n").alias("n")), weights, most)
     along = Window.partitionBy("source").orderBy("root", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +74,7 @@ def copies(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float =
     starts = starts.withColumnsRenamed({"source": "s_source", "root": "s_root", "part": "s_part"}).drop("n")
     goals = goals.withColumnRenamed("source", "g_source")
     starts = starts.join(goals, F.col("s_source").eqNullSafe(F.col("g_source"))).drop("g_source")
-    inside = Window.partitionBy("source", "root", "part").orderBy("size", "draw", "doc_id")
+    inside = Window.partitionBy("source", "root", "part").orderBy("size", "draw", "doc_id", *ties)
     ranked = sized.withColumn("rank", F.row_number().over(inside))
     on = F.col("source").eqNullSafe(F.col("s_source")) & (F.col("root") == F.col("s_root")) & (F.col("part") == F.col("s_part"))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -100,22 +105,33 @@ def mixing_report(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source", "source_size", F.round("target", 4).alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, copy: str = "copy") -> DataFrame:
-    """The mixed documents: each row of docs as often as the mix takes it, numbered from 1 in a further column.
+def identified(docs: DataFrame, work: common.Work, scanned: bool) -> tuple[DataFrame, list[str]]:
+    """docs with columns that name each row, the same whenever it is read; and their names."""
+    if scanned:
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias("file__"), F.col("_metadata.row_index").alias("row__")), ["file__", "row__"]
+        except AnalysisException:
+            pass
+    return work.keep("documents", docs.withColumn("row__", F.monotonically_increasing_id())), ["row__"]
 
-    It is named `copy`, with as many underscores as make it differ from the columns that are there.
 
-    Rows of one doc_id share their number of copies by (source, size), so a repeated row is mixed like its twin.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, copy: str = "copy", scanned: bool = False) -> DataFrame:
+    """The mixed documents: each row of docs as often as the mix takes it, numbered from 1 in a further column.
+
+    It is named `copy`, with as many underscores as make it differ from the columns that are there. Rows are told apart by where
+    they stand, so that rows that repeat a doc_id, or have none, are taken each by itself. `scanned` says that docs is a table as
+    read from files, whose rows their files and places name; others are written first.
     """
     while copy.lower() in map(str.lower, docs.columns):
         copy += "_"
-    plan = copies(common.cut(with_sizes(docs), "mixing"), weights, most).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size")).agg(F.max("copies").alias("m_copies"))
+    work = common.Work(docs.sparkSession, "mix")
     inner = common.renamed(docs)
-    size = F.expr(rf"coalesce(regexp_count({inner.of('text')}, '{common.WORD_CLASS}'), 0)".replace("\\", "\\\\")).cast("long")
-    on = inner.col("doc_id").eqNullSafe(F.col("m_id")) & inner.col("source").eqNullSafe(F.col("m_source")) & (F.col("m_size") == F.col("d_size"))
-    out = inner.df.withColumn("d_size", size).join(plan, on)
-    return out.select(*inner.restored(), F.explode(F.sequence(F.lit(1), F.col("m_copies"))).alias(copy))
+    rows, names = identified(inner.df, work, scanned)
+    known = rows.select(inner.col("doc_id").alias("doc_id"), inner.col("source").alias("source"), inner.col("text").alias("text"), *names)
+    sized = work.keep("sizes", with_sizes(known, ["doc_id", "source", *names]))
+    plan = work.keep("plan", copies(sized, weights, most, tuple(names)).where("copies > 0").select(*names, "copies"))
+    out = rows.join(plan, names)
+    return out.select(*inner.restored(), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,8 @@ LENGTH = 50
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 TUPLE = LENGTH - PERIOD + 1
 SLICE = 1 << 20
+#: Documents of a slice, and whole copies beside them, at most: texts can be empty.
+IDS = 100_000
 NAMES_IN_BUCKET = 1_500_000
 NO_ID = -(1 << 63)
 SALTS = 32
@@ -103,7 +105,7 @@ def pack_documents(docs: DataFrame, work: common.Work, size: int = SLICE) -> Dat
                     marked = (doc, x, y)
                     continue
                 text = text or b""
-                if (ids and held + len(text) > size) or len(copies) > 100_000:
+                if (ids and held + len(text) > size) or len(ids) >= IDS or len(copies) >= 2 * IDS:
                     yield packed(doc)
                     before = ids[-1] if ids else before
                     ids, texts, copies, held, k = [], [], [], 0, k + 1

@@ -366,6 +366,24 @@ def test_mixing(spark, docs, nothing):
     assert mixing.mixing_report(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+@pytest.mark.parametrize("doc", ["null", "7", "id"])
+@pytest.mark.parametrize("scanned", [False, True])
+def test_mix_takes_each_row_by_itself(spark, tmp_path, doc, scanned):
+    """Rows without a doc_id, with the same one, and with their own: the mix takes what the report says, by source."""
+    rows = spark.range(1000).selectExpr(f"cast({doc} as long) doc_id", "repeat('w ', 10) text", "'c' source", "id other")
+    rows = rows.unionByName(spark.range(500).selectExpr("id + 5000 doc_id", "repeat('w ', cast(id % 30 as int)) text", "if(id % 2 = 0, 'a', 'b') source", "id other"))
+    rows.repartition(3).write.parquet(str(tmp_path / "rows"))
+    docs = spark.read.parquet(str(tmp_path / "rows"))
+    report = {r.source: (r.target, r.taken) for r in mixing.mixing_report(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    mixed = mixing.mix(docs, scanned=scanned)
+    assert mixed.columns == [*docs.columns, "copy"]
+    got = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    for source, (target, taken) in report.items():
+        assert abs(taken - target) <= 30 and abs(got[source] - target) <= 30 + 500 * (source != "c"), source  # a text without words has one empty part
+    each = mixed.groupBy("source", "other").agg(F.count("*").alias("n"), F.max("copy").alias("last")).collect()
+    assert all(r.n == r["last"] <= 3 for r in each)
+
+
 def test_decontamination(spark, nothing):
     r = random.Random(4)
     items = [prose(r, n) for n in (40, 15, 8, 3, 25)] + [None, "", "?!"]
@@ -553,6 +571,31 @@ def minhash_rows(df):
     return collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in minhash.report(df).collect())
 
 
+def test_slices_of_empty_texts(spark):
+    docs = spark.range(300_000).selectExpr("id doc_id", "if(id % 3 = 0, null, '') text").coalesce(2)
+    packed = suffix_dedup.pack_documents(docs, suffix_dedup.common.Work(spark, "test"))
+    sizes = [len(r.ids) // 8 for r in packed.select("ids").collect()]
+    assert sum(sizes) == 300_000 and max(sizes) <= suffix_dedup.IDS
+    got = suffix_dedup.repeats(docs.unionByName(spark.createDataFrame([(1, "a" * 60), (2, "b" + "a" * 60)], docs.schema)))
+    assert got.count() == 300_002 and [tuple(r)[:3] for r in got.where("n_removed > 0").collect()] == [(2, 61, 60)]
+
+
+def test_home_of_a_bucket_is_the_same_for_any_order(spark):
+    """Components of equal weight: both branches of the cells name the same home, whatever order rows come in."""
+    rows = [(b, n, 10, 0) for b in range(40) for n in range(4 * b, 4 * b + 4)]
+    want = {b: 4 * b + 3 for b in range(40)}
+    for seed in range(3):
+        inside = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "bucket long, node long, n long, pivot long").repartition(5, F.rand(seed))
+        found = spark.createDataFrame([], "u long, v long")
+        got = minhash.cells(inside, found).collect()
+        home = {r.bucket: r.component for r in got if r.role == minhash.HOME}
+        asked = collections.defaultdict(set)
+        for r in got:
+            if r.role == minhash.ASKS:
+                asked[r.bucket].add(r.component)
+        assert home == want and all(asked[b] == {4 * b, 4 * b + 1, 4 * b + 2} for b in range(40))
+
+
 def test_minhash(spark, docs, rows, nothing):
     got = minhash.report(docs).collect()
     assert collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == components_of(rows)
