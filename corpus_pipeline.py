@@ -5,7 +5,7 @@ where that name is taken), which numbers the copies that the mix takes of a docu
 
 Cases: null or empty texts fail the rules and go in the first stage; a null doc_id is a document without a number, judged by
 its text; a null source is a source of its own in the mix; very long texts are read whole by every stage; rows that repeat a
-doc_id are judged by their own text, but are one document for near duplicates; exact ties stand as the operators
+doc_id are judged by their own text and mixed each by itself, but are one document for near duplicates; exact ties stand as the operators
 define them; a document whose lines all go stays with an empty text; an empty table, and one whose documents all go, give an empty
 result with the same columns; further columns pass all stages, whatever their names.
 """
@@ -43,7 +43,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, scanned=True)
 
 
 STAGES = [
