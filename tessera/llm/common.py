@@ -45,27 +45,32 @@ class Work:
     """The tables between the steps of one run, as Parquet in the shared folder.
 
     Lineage ends at each; Spark knows their sizes, so it broadcasts the small ones by its own threshold; the shuffle
-    files of a step go when its table is written, and a table that is no longer read is dropped by its path.
+    files of a step go when its table is written, and a table that is no longer read is dropped by its path. What is left, which a
+    result may still read, goes when the session's JVM ends.
     """
 
     CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        spark.conf.set(self.CLEANUP, "true")  # for good: turned back, it would be off for a query of another thread
+        path, files = self.at("")
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def at(self, name: str) -> tuple:
+        """The path of a table, and its file system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
-        path, before = f"{self.folder}/{name}", self.spark.conf.get(self.CLEANUP)
-        self.spark.conf.set(self.CLEANUP, "true")
-        try:
-            df.write.parquet(path)
-        finally:
-            self.spark.conf.set(self.CLEANUP, before)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self.at(name)
+            files.delete(path, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
