@@ -12,8 +12,6 @@ result with the same columns; further columns pass all stages, whatever their na
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,13 +58,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what lies between them is in the shared folder, one stage at a time."""
-    folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    docs = common.table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
-        if i:
-            old = path(f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    work, docs = common.Work(spark, "pipeline"), common.table(spark, sf_dir, "documents")
+    names = [f"{i}-{name}" for i, (name, _) in enumerate(STAGES)]
+    for i, (_, stage) in enumerate(STAGES):
+        docs = work.keep(names[i], stage(spark, docs, sf_dir))
+        work.drop(*names[max(0, i - 1) : i])
     return docs

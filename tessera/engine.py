@@ -21,6 +21,7 @@ from tessera.functions import text as T
 from tessera.operators import chunking, hierarchy, reports, retrieval
 from tessera.operators.embedding import Embedder, embedded, hashed_words
 from tessera.operators.generation import Model, extractive
+from tessera.operators.models import Kept
 from tessera.sources import readers
 from tessera.sources.store import Store, default_name, export_csv, stored_chunks
 
@@ -51,9 +52,12 @@ class Engine:
         self.store.append_chunks(chunked(readers.read_documents(self.spark, paths, pages_of), how))
         return self.n_chunks(0) - before
 
-    def build(self, most_levels: int = 3, least_gain: float = 0.05, **options) -> DataFrame:
-        """Run the level loop over the stored chunks; its history. The newest run is what questions see."""
-        run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # names sort by time
+    def build(self, most_levels: int = 3, least_gain: float = 0.05, run: str | None = None, **options) -> DataFrame:
+        """Run the level loop over the stored chunks; its history. The newest run is what questions see.
+
+        `run` names a run that was broken off, which then goes on.
+        """
+        run = run or f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # names sort by time
         rows = self.store.chunks(0).select("chunk_key", "text", "source", "embedding")
         history = hierarchy.run(self.spark, rows, self.store.path("runs"), most_levels, least_gain, self.embedder, run_id=run, **options)
         self.store.write("history", history.select(F.lit(run).alias("run"), "*"), "append")
@@ -62,6 +66,10 @@ class Engine:
     def newest(self) -> str | None:
         return self.store.read("history").agg(F.max("run")).first()[0] if self.store.exists("history") else None
 
+    def assign(self, chunks: DataFrame, level: int = 0) -> DataFrame:
+        """chunk_key, cluster_id, confidence, ... of chunks (chunk_key, embedding) by the model that the newest run kept of a level."""
+        return Kept.load(self.spark, self.store.path(f"runs/{self.newest()}/models/level={level}")).assign(chunks, key="chunk_key")
+
     # ---- asking
 
     def chunks(self) -> DataFrame:

@@ -26,19 +26,27 @@ def opened(shared: Broadcast) -> object:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own on a single machine (tests)."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or one of our own on a single machine (tests).
+
+    It goes when the session's JVM ends.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and not sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc._jsc.sc().getCheckpointDir().get()
     if named is None and not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-    return f"{named or tempfile.mkdtemp(prefix='tessera-')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{named or tempfile.mkdtemp(prefix='tessera-')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Run df once and keep its rows in the shared folder: lineage ends, and Spark knows the size."""
-    path = shared_folder(df.sparkSession, name)
+    path = f"{shared_folder(df.sparkSession, name)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -86,13 +86,18 @@ def projected(rows: DataFrame, most: int = 50, wider_than: int = 100, more_than:
 
     Only if vectors have more than `wider_than` dimensions and there are more than `more_than` rows; else rows and None.
     """
+    return projected_with_axes(rows, most, wider_than, more_than, vector)[:2]
+
+
+def projected_with_axes(rows: DataFrame, most: int = 50, wider_than: int = 100, more_than: int = 50, vector: str = "embedding") -> tuple[DataFrame, float | None, np.ndarray | None]:
+    """As `projected`, and the axes of the components."""
     n = rows.count()
     first = rows.select(vector).first()
     if first is None or len(first[0]) <= wider_than or n <= more_than:
-        return rows, None
+        return rows, None, None
     with_vector = rows.withColumn("__v", array_to_vector(V.doubles(F.col(vector))))
     model = PCA(k=min(most, n // 2, len(first[0])), inputCol="__v", outputCol="__p").fit(with_vector)
-    return model.transform(with_vector).withColumn(vector, vector_to_array("__p")).drop("__v", "__p"), float(model.explainedVariance.toArray().sum())
+    return model.transform(with_vector).withColumn(vector, vector_to_array("__p")).drop("__v", "__p"), float(model.explainedVariance.toArray().sum()), model.pc.toArray().T
 
 
 # ---- Gaussian mixtures
@@ -181,19 +186,22 @@ def sums(rows: DataFrame, models: list[Mixture], vector: str) -> list[np.ndarray
     return [r["sums"].toArray() for r in sorted(added, key=lambda r: r["start"])]
 
 
-def fit(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray], Mixture], k: int, starts: int, rounds: int, tolerance: float, seed: int, vector: str, key: str, sample: int) -> tuple[Mixture, float, list[float]]:
+def fit(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray], Mixture], k: int, starts: int, rounds: int, tolerance: float, seed: int, vector: str, key: str, sample: int, begin: Mixture | None = None) -> tuple[Mixture, float, list[float]]:
     """The best of several EM runs by likelihood: model, mean log-likelihood, its history. All starts share each pass.
 
-    Starts: k-means++ centres of a bounded sample (the smallest hashes of the key), and its variances.
+    Starts: k-means++ centres of a bounded sample (the smallest hashes of the key), and its variances; or the one model `begin`.
     """
     known = rows.where(F.col(vector).isNotNull()).select(vector, key).persist()
     try:
-        head = known.sort(F.xxhash64(F.lit(seed), key), key).limit(sample).select(vector).collect()
-        x = np.array([r[0] for r in head], np.float64)
-        if not len(x):
-            raise ValueError("no vectors")
-        spread = np.maximum(x.var(0), FLOOR)
-        models = [made(centres(x, k, np.random.default_rng(seed + i)), spread) for i in range(starts)]
+        if begin is None:
+            head = known.sort(F.xxhash64(F.lit(seed), key), key).limit(sample).select(vector).collect()
+            x = np.array([r[0] for r in head], np.float64)
+            if not len(x):
+                raise ValueError("no vectors")
+            spread = np.maximum(x.var(0), FLOOR)
+            models = [made(centres(x, k, np.random.default_rng(seed + i)), spread) for i in range(starts)]
+        else:
+            models, starts = [begin], 1
         measured, history = list(models), [[] for _ in models]  # the models that the likelihoods belong to
         open_ = list(range(starts))
         for _ in range(rounds):
@@ -209,14 +217,14 @@ def fit(rows: DataFrame, made: Callable[[np.ndarray, np.ndarray], Mixture], k: i
         known.unpersist()
 
 
-def fit_diagonal(rows: DataFrame, k: int, starts: int = 5, rounds: int = 200, tolerance: float = 1e-3, seed: int = 42, vector: str = "embedding", key: str = "vec_id", sample: int = 2000) -> tuple[Mixture, float, list[float]]:
+def fit_diagonal(rows: DataFrame, k: int, starts: int = 5, rounds: int = 200, tolerance: float = 1e-3, seed: int = 42, vector: str = "embedding", key: str = "vec_id", sample: int = 2000, begin: Mixture | None = None) -> tuple[Mixture, float, list[float]]:
     made = lambda means, spread: Mixture(np.full(k, 1 / k), means, np.tile(spread, (k, 1)))
-    return fit(rows, made, k, starts, rounds, tolerance, seed, vector, key, sample)
+    return fit(rows, made, k, starts, rounds, tolerance, seed, vector, key, sample, begin)
 
 
-def fit_full(rows: DataFrame, k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-3, seed: int = 42, vector: str = "embedding", key: str = "vec_id", sample: int = 2000) -> tuple[FullMixture, float, list[float]]:
+def fit_full(rows: DataFrame, k: int, starts: int = 10, rounds: int = 300, tolerance: float = 1e-3, seed: int = 42, vector: str = "embedding", key: str = "vec_id", sample: int = 2000, begin: Mixture | None = None) -> tuple[FullMixture, float, list[float]]:
     made = lambda means, spread: FullMixture(np.full(k, 1 / k), means, np.tile(np.diag(spread), (k, 1, 1)))
-    return fit(rows, made, k, starts, rounds, tolerance, seed, vector, key, sample)
+    return fit(rows, made, k, starts, rounds, tolerance, seed, vector, key, sample, begin)
 
 
 def centres(x: np.ndarray, k: int, r: np.random.Generator) -> np.ndarray:
@@ -333,39 +341,129 @@ def silhouettes(rows: DataFrame, label: str = "label", vector: str = "embedding"
     return pairs.select(*columns).mapInArrow(run, f"{key} {kind}, {label} int, s double")
 
 
+def silhouette_estimate(rows: DataFrame, label: str = "label", vector: str = "embedding", key: str = "vec_id", per_label: int = 400, seed: int = 42) -> tuple[float, float]:
+    """The mean silhouette by a sample of each label, and half its 95 % confidence interval; one pass over the rows.
+
+    A label's `per_label` rows with the smallest hashes of the key are held against all rows, so each one's silhouette is exact and the
+    work grows as the rows, not as their square. Labels of at most per_label rows count whole; if all do, the mean is exact and the interval 0.
+    """
+    known = rows.where(F.col(vector).isNotNull()).select(F.col(label).cast("long").alias("l"), vector, key)
+    sizes = {r[0]: r[1] for r in known.groupBy("l").count().collect()}
+    if len(sizes) < 2:
+        return 0.0, 0.0
+    labels = sorted(sizes)
+    draw = Window.partitionBy("l").orderBy(F.xxhash64(F.lit(seed), key), key)
+    drawn = known.withColumn("i", F.row_number().over(draw)).where(F.col("i") <= per_label).select("l", vector).collect()  # per_label a label
+    mine, x = np.array([r[0] for r in drawn]), np.array([r[1] for r in drawn], np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((x, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, labels = shared.value
+        sums, own = np.zeros((len(x), len(labels))), (x * x).sum(1)[:, None]
+        for b in batches:
+            if b.num_rows:
+                theirs, q = np.searchsorted(labels, b.column(0).to_numpy()), matrix(b.column(1))
+                one = (theirs[:, None] == np.arange(len(labels))[None]).astype(float)
+                for i in range(0, len(x), 256):
+                    both = own[i : i + 256] + (q * q).sum(1)[None]
+                    far = both - 2 * x[i : i + 256] @ q.T
+                    far[far < 1e-12 * both] = 0  # a row with itself
+                    sums[i : i + 256] += np.sqrt(far) @ one
+        yield pa.RecordBatch.from_arrays([lists(sums.reshape(1, -1))], ["sums"])
+
+    part = known.select("l", vector).mapInArrow(run, "sums array<double>").select(array_to_vector("sums").alias("sums"))
+    sums = part.agg(Summarizer.sum(F.col("sums"))).first()[0].toArray().reshape(len(x), len(labels))
+    counts, at, each = np.array([sizes[v] for v in labels], float), np.searchsorted(labels, mine), np.arange(len(x))
+    inside, away = sums[each, at] / np.maximum(counts[at] - 1, 1), sums / counts
+    away[each, at] = np.inf
+    nearest = away.min(1)
+    top = np.maximum(inside, nearest)
+    s = np.where((counts[at] == 1) | (top == 0), 0.0, (nearest - inside) / np.where(top == 0, 1, top))
+    share, mean, variance = counts / counts.sum(), 0.0, 0.0
+    for i in range(len(labels)):
+        own = s[at == i]
+        mean += share[i] * own.mean()
+        if len(own) < counts[i]:
+            variance += share[i] ** 2 * own.var(ddof=1) / len(own) * (1 - len(own) / counts[i])
+    return float(mean), float(1.96 * np.sqrt(variance))
+
+
 # ---- average linkage
 
 
+#: Numbers that a block of similarities holds at most; rounds of merges go on while they merge a SHARE of what is left.
+AT_ONCE, SHARE = 1 << 22, 1 / 16
+
+
 def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
     """Labels of k clusters by average linkage on cosine distance; numbered by first member.
 
-    Chains of nearest neighbours find all merges in time and memory of the square of the rows; the lowest make the clusters.
+    The mean cosine of two clusters is the product of their sums of unit vectors over both sizes, so n x d numbers are
+    enough and no n x n matrix is made. Equal rows merge first; then all pairs that are each other's nearest merge in rounds,
+    which average linkage allows (a merge brings no cluster nearer to a third one); where rounds find few pairs, chains of nearest neighbours
+    finish in time of the square. The n - k lowest merges make the clusters.
     """
     n = len(x)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
-    u = x / np.where(norm == 0, 1, norm)
-    d = (1 - u @ u.T).round(12)
-    np.fill_diagonal(d, np.inf)
-    size, alive, chain, merges = np.ones(n), np.ones(n, bool), [], []
-    while len(merges) < n - 1:
+    sums = x / np.where(norm == 0, 1, norm)
+    size, alive, merges = np.ones(n), np.ones(n, bool), []
+    _, first, same = np.unique(sums, axis=0, return_index=True, return_inverse=True)
+    first = first[same.ravel()]
+    for i in np.flatnonzero((first != np.arange(n)) & (norm[:, 0] > 0)).tolist():
+        merges.append((0.0, int(first[i]), i))
+        sums[first[i]] += sums[i]
+        size[first[i]] += 1
+        alive[i] = False
+
+    def nearest(rows: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of the clusters `rows` the nearest other one of `among` (sorted), and its distance."""
+        near, far = np.empty(len(rows), np.int64), np.empty(len(rows))
+        means = sums[among] / size[among][:, None]
+        step = max(1, AT_ONCE // len(among))
+        for i in range(0, len(rows), step):
+            own = rows[i : i + step]
+            d = (1 - (sums[own] / size[own][:, None]) @ means.T).round(12)
+            d[np.arange(len(own)), np.searchsorted(among, own)] = np.inf
+            at = d.argmin(1)
+            near[i : i + step], far[i : i + step] = among[at], d[np.arange(len(own)), at]
+        return near, far
+
+    def merge(d: float, i: int, j: int) -> None:
+        merges.append((d, i, j))
+        sums[i] += sums[j]
+        size[i] += size[j]
+        alive[j] = False
+
+    near, far, stale = np.zeros(n, np.int64), np.zeros(n), alive.copy()
+    while (left := np.flatnonzero(alive)).size > 1:
+        again = np.flatnonzero(stale & alive)
+        near[again], far[again] = nearest(again, left)
+        pairs = left[(near[near[left]] == left) & (left < near[left])]
+        if len(pairs) < SHARE * len(left):
+            break
+        changed = np.zeros(n, bool)
+        for i in pairs.tolist():
+            changed[[i, near[i]]] = True
+            merge(far[i], i, int(near[i]))
+        stale = changed | changed[near]
+    chain: list[int] = []
+    left = np.flatnonzero(alive)
+    while len(left) > 1:
         if not chain:
-            chain.append(int(alive.argmax()))
+            chain.append(int(left[0]))
         i = chain[-1]
-        j = int(d[i].argmin())
-        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
-            j = chain[-2]
+        d = (1 - sums[left] @ sums[i] / (size[left] * size[i])).round(12)
+        d[np.searchsorted(left, i)] = np.inf
+        at = int(d.argmin())
+        if len(chain) > 1 and d[np.searchsorted(left, chain[-2])] <= d[at]:
+            at = int(np.searchsorted(left, chain[-2]))
+        j = int(left[at])
         if len(chain) < 2 or j != chain[-2]:
             chain.append(j)
             continue
         del chain[-2:]
-        i, j = min(i, j), max(i, j)
-        merges.append((d[i, j], i, j))
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i] = d[:, i] = row
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        size[i] += size[j]
-        alive[j] = False
+        merge(d[at], min(i, j), max(i, j))
+        left = np.delete(left, np.searchsorted(left, max(i, j)))
     merges.sort(key=lambda m: m[0])  # stable: of equal ones the earlier first, so members come before their cluster
     root = np.arange(n)
     for _, i, j in merges[: max(0, n - max(k, 1))]:

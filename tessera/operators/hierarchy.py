@@ -1,84 +1,126 @@
 """The level loop: cluster a level's chunks, summarise the clusters, make the summaries the next level's chunks, repeat.
 
-The driver holds a level's model and one history row; chunks, assignments and summaries are tables in the store. A run
-has its own run_id, so a repeated run leaves no rows of an earlier one behind.
+The driver holds a level's model and one history row; chunks, assignments, models and summaries are tables in the store. A run
+has its own run_id, so a repeated run leaves no rows of an earlier one behind. What a step has found is noted last, in the
+run's manifest; a run that was killed goes on, under its run_id, after the last step noted there.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import clustering as C
 from tessera.operators.embedding import Embedder, embedded, hashed_words
+from tessera.operators.models import Kept, scaled_by
 from tessera.operators.reports import cluster_sources
 from tessera.operators.summaries import summaries
 
 LEAST = 3
-HISTORY = "level int, n_clusters int, silhouette double, n_items long, summaries map<int,string>, improvement double, converged boolean, stop_reason string"
+HISTORY = "level int, n_clusters int, silhouette double, silhouette_within double, n_items long, summaries map<int,string>, improvement double, converged boolean, stop_reason string"
 
 
 def k_for(n: int) -> int:
     return max(2, min(8, n // 50))
 
 
-def cluster_level(level_rows: DataFrame, k: int | None = None, starts: int = 5, rounds: int = 200, seed: int = 42, key: str = "chunk_key") -> dict | None:
-    """Model, assignments and mean silhouette of rows (key, embedding); None under LEAST rows."""
+def cluster_level(level_rows: DataFrame, k: int | None = None, starts: int = 5, rounds: int = 200, seed: int = 42, key: str = "chunk_key", estimate_above: int | None = None) -> dict | None:
+    """Model, assignments and mean silhouette of rows (key, embedding); None under LEAST rows.
+
+    The silhouette is exact, so its work grows as the square of the rows; above `estimate_above` rows, if that is given, it is
+    estimated from a sample of each cluster. `within` is then half its 95 % confidence interval.
+    """
     n = level_rows.count()
     if n < LEAST:
         return None
-    rows, explained = C.projected(level_rows.select(key, "embedding"))
+    rows, explained, axes = C.projected_with_axes(level_rows.select(key, "embedding"))
+    mean, std = scaled_by(rows)
     scaled = C.standardised(rows).persist()
     try:
-        model, ll, _ = C.fit_diagonal(scaled, k or k_for(n), starts=starts, rounds=rounds, seed=seed, key=key)
-        found = C.assigned(scaled, model, key=key).persist()
-        score = 0.0
+        mixture, ll, _ = C.fit_diagonal(scaled, k or k_for(n), starts=starts, rounds=rounds, seed=seed, key=key)
+        found = C.assigned(scaled, mixture, key=key).persist()
+        score, within = 0.0, 0.0
         if found.select("cluster_id").distinct().count() > 1:
             labelled = scaled.join(found.select(key, "cluster_id"), key)
-            score = C.silhouettes(labelled, "cluster_id", "embedding", key).agg(F.avg("s")).first()[0]
-        return {"n": n, "k": len(model.weights), "model": model, "log_likelihood": ll * n, "assigned": found, "silhouette": float(score), "explained": explained}
+            if estimate_above is not None and n > estimate_above:
+                score, within = C.silhouette_estimate(labelled, "cluster_id", "embedding", key)
+            else:
+                score = C.silhouettes(labelled, "cluster_id", "embedding", key).agg(F.avg("s")).first()[0]
+        model = Kept(mixture, mean, std, axes)
+        return {"n": n, "k": len(mixture.weights), "model": model, "log_likelihood": ll * n, "assigned": found, "silhouette": float(score), "within": within, "explained": explained}
     finally:
         scaled.unpersist()
 
 
-def run(spark: SparkSession, chunks: DataFrame, folder: str, most_levels: int = 5, least_gain: float = 0.05, embedder: Embedder = hashed_words, model=None, starts: int = 5, rounds: int = 200, run_id: str | None = None) -> DataFrame:
+class Manifest:
+    """What the steps of a run have found, by level and step: a one-row table each, written when the step's tables are."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def once(self, level: int, step: str, make: Callable[[], dict]) -> dict:
+        """What the step found when it was done, now or in an earlier attempt."""
+        at = f"{self.folder}/level={level}/{step}"
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            self.spark.createDataFrame([(json.dumps(make()),)], "found string").coalesce(1).write.mode("overwrite").parquet(at)
+        return json.loads(self.spark.read.parquet(at).first()[0])
+
+
+def run(
+    spark: SparkSession, chunks: DataFrame, folder: str, most_levels: int = 5, least_gain: float = 0.05, embedder: Embedder = hashed_words, model=None, starts: int = 5, rounds: int = 200, run_id: str | None = None, estimate_above: int | None = None
+) -> DataFrame:
     """Build the hierarchy over chunks (chunk_key, text, source, embedding); returns its history.
 
-    Writes under folder/run_id: chunks (by level), assignments and summaries. Stops at an improvement under least_gain
+    Writes under folder/run_id: chunks (by level), assignments, models and summaries. Stops at an improvement under least_gain
     (converged), at a level under LEAST rows, or after most_levels. The history's summaries are those of the level's
-    clusters, eight at most.
+    clusters, eight at most. With the run_id of a run that didn't end, its finished steps aren't done again.
     """
     at = f"{folder}/{run_id or uuid.uuid4().hex}"
+    noted = Manifest(spark, f"{at}/manifest")
     level_rows = chunks.select("chunk_key", "text", F.array(F.coalesce("source", F.lit("unknown"))).alias("sources"), F.col("embedding").cast("array<float>").alias("embedding"))
     history, before = [], 0.0
     for level in range(most_levels):
-        level_rows.write.mode("overwrite").parquet(f"{at}/chunks/level={level}")
-        rows = spark.read.parquet(f"{at}/chunks/level={level}")
-        result = cluster_level(rows, starts=starts, rounds=rounds)
-        if result is None:
+        own = lambda name, level=level: f"{at}/{name}/level={level}"
+        put = lambda name, rows, own=own: rows.write.mode("overwrite").parquet(own(name))
+
+        def clustered() -> dict:
+            result = cluster_level(spark.read.parquet(own("chunks")), starts=starts, rounds=rounds, estimate_above=estimate_above)
+            if result is None:
+                return {}
+            put("assignments", result["assigned"].select("chunk_key", "cluster_id", "confidence"))
+            result["assigned"].unpersist()
+            result["model"].save(spark, own("models"))
+            return {c: result[c] for c in ("k", "n", "silhouette", "within")}
+
+        def summarised() -> dict:
+            found = spark.read.parquet(own("assignments"))
+            both = spark.read.parquet(own("chunks")).join(found, "chunk_key")
+            sources = cluster_sources(both.select("cluster_id", "confidence", F.explode("sources").alias("source"))).select("cluster_id", "sources")
+            confidence = found.groupBy("cluster_id").agg(F.avg("confidence").alias("avg_confidence"))
+            made = summaries(both.select("cluster_id", "chunk_key", "text"), "cluster_id", "chunk_key", model).join(sources, "cluster_id").join(confidence, "cluster_id")
+            made = made.withColumn("summary_id", F.format_string("level_%d_cluster_%d", F.lit(level), F.col("cluster_id"))).withColumn("silhouette_score", F.lit(result["silhouette"])).withColumn("created_at", F.current_timestamp())
+            put("summaries", made)
+            return {r["cluster_id"]: r["summary"] for r in spark.read.parquet(own("summaries")).select("cluster_id", "summary").collect()}
+
+        noted.once(level, "chunks", lambda: put("chunks", level_rows) or {})
+        result = noted.once(level, "clusters", clustered)
+        if not result:
             if history:
                 history[-1] = (*history[-1][:-1], "too few items above")
             break
-        result["assigned"].select("chunk_key", "cluster_id", "confidence").write.mode("overwrite").parquet(f"{at}/assignments/level={level}")
-        result["assigned"].unpersist()
-        own = spark.read.parquet(f"{at}/assignments/level={level}")
-        both = rows.join(own, "chunk_key")
-        lineage = both.select("cluster_id", "confidence", F.explode("sources").alias("source"))
-        sources = cluster_sources(lineage).select("cluster_id", "sources")
-        confidence = own.groupBy("cluster_id").agg(F.avg("confidence").alias("avg_confidence"))
-        made = summaries(both.select("cluster_id", "chunk_key", "text"), "cluster_id", "chunk_key", model).join(sources, "cluster_id").join(confidence, "cluster_id")
-        made = made.withColumn("summary_id", F.format_string("level_%d_cluster_%d", F.lit(level), F.col("cluster_id"))).withColumn("silhouette_score", F.lit(result["silhouette"])).withColumn("created_at", F.current_timestamp())
-        made.write.mode("overwrite").parquet(f"{at}/summaries/level={level}")
-        texts = {r["cluster_id"]: r["summary"] for r in spark.read.parquet(f"{at}/summaries/level={level}").select("cluster_id", "summary").collect()}
+        texts = {int(c): t for c, t in noted.once(level, "summaries", summarised).items()}
         gain = result["silhouette"] - before if level else 1.0
         stop = level > 0 and gain < least_gain
-        history.append((level, result["k"], result["silhouette"], result["n"], texts, gain, stop, "converged" if stop else None))
+        history.append((level, result["k"], result["silhouette"], result["within"], result["n"], texts, gain, stop, "converged" if stop else None))
         if stop:
             break
         before = result["silhouette"]
-        nxt = spark.read.parquet(f"{at}/summaries/level={level}").select(F.concat(F.lit("summary_"), "summary_id").alias("chunk_key"), F.col("summary").alias("text"), "sources")
+        nxt = spark.read.parquet(own("summaries")).select(F.concat(F.lit("summary_"), "summary_id").alias("chunk_key"), F.col("summary").alias("text"), "sources")
         level_rows = embedded(nxt, embedder)
     else:
         if history:

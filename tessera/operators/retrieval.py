@@ -29,8 +29,15 @@ NOTHING = "No relevant chunks found"
 SUMMARY_CHARS, ANSWER_CHARS, TURNS = 500, 200, 3
 
 
-def cluster_summaries(hits: DataFrame, summaries: DataFrame, level: int | None = None) -> DataFrame:
-    """query_id, cluster_id, level, chunks_count, summary: for each cluster among the hits its newest run's lowest summary."""
+def cluster_summaries(hits: DataFrame, summaries: DataFrame, level: int | None = None, mode: str = "assigned") -> DataFrame:
+    """query_id, cluster_id, level, chunks_count, summary: for each cluster among the hits its newest run's lowest summary.
+
+    mode "assigned": the clusters that the hits were assigned to; "strict": only those of hits that are summaries themselves
+    (column is_summary).
+    """
+    if mode not in ("assigned", "strict"):
+        raise ValueError(mode)
+    hits = hits.where("is_summary") if mode == "strict" else hits
     clusters = hits.where("cluster_id IS NOT NULL").select("query_id", "cluster_id").distinct()
     best = Window.partitionBy("cluster_id").orderBy(F.desc("run"), "level", "summary_id")
     one = (summaries if level is None else summaries.where(F.col("level") == level)).withColumn("__i", F.row_number().over(best)).where("__i = 1")
@@ -50,16 +57,17 @@ def last_exchanges(turns: DataFrame, n: int = TURNS) -> DataFrame:
     return exchanges(turns).withColumn("back", F.row_number().over(latest)).where(F.col("back") <= n)
 
 
-def contexts(questions: DataFrame, hits: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+def contexts(questions: DataFrame, hits: DataFrame, summaries: DataFrame | None = None, mode: str = "assigned") -> DataFrame:
     """A row a question: success, message, n_chunks, sources, and arrays of chunks and topics in order.
 
-    hits: query_id, rank, score, text, source, cluster_id. A question without hits is kept, with success false.
+    hits: query_id, rank, score, text, source, cluster_id (and is_summary, for mode "strict"; see cluster_summaries). A question
+    without hits is kept, with success false.
     """
     chunk = F.struct("rank", "score", F.coalesce("source", F.lit("Unknown")).alias("source"), "text")
     got = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(chunk)).alias("chunks"), F.array_sort(F.collect_set("source")).alias("sources"))
     out = questions.join(got, "query_id", "left")
     if summaries is not None:
-        topics = cluster_summaries(hits, summaries).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "level", "chunks_count", "summary"))).alias("topics"))
+        topics = cluster_summaries(hits, summaries, mode=mode).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "level", "chunks_count", "summary"))).alias("topics"))
         out = out.join(topics, "query_id", "left")
     else:
         out = out.withColumn("topics", F.lit(None).cast("array<struct<cluster_id:int,level:int,chunks_count:bigint,summary:string>>"))

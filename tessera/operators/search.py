@@ -1,7 +1,8 @@
 """Nearest neighbours: exact top-k of given queries against all rows, and approximate search by random projections.
 
 Exact search goes through the rows once for each block of queries: a block is broadcast (its size is bounded), each
-Arrow batch keeps its own k best a query by matrix products of AT_ONCE queries, and only those reach the final ranking.
+task keeps the k best a query that it has met, by matrix products of AT_ONCE queries, and only those reach the final ranking.
+What several blocks have found is written before the next ones start, so a plan never holds more than TOGETHER of them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from tessera.operators.arrow import cut, matrix
 
 BLOCK = 10_000
 AT_ONCE = 256
+TOGETHER = 8
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -28,15 +30,22 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(metric)
-    out = None
+    out, n = None, 0
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
+    best_of = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query_id, "rank", row_id, "score")
+    done: list[DataFrame] = []
     for ids, q in blocks(queries.select(query_id, vector)):
         part = _block(rows.select(row_id, vector), ids, q, k, metric, row_id, query_id)
-        out = part if out is None else out.unionByName(part)
+        if n == TOGETHER:
+            done.append(cut(best_of(out), "top-k"))
+            out, n = None, 0
+        out, n = part if out is None else out.unionByName(part), n + 1
     if out is None:
         return rows.sparkSession.createDataFrame([], f"{query_id} long, rank int, {row_id} {rows.schema[row_id].dataType.simpleString()}, score double")
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)
-    ranked = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(query_id, "rank", row_id, "score")
+    found = best_of(out)
+    for part in done:
+        found = found.unionByName(part)
+    return found
 
 
 def blocks(queries: DataFrame, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -77,24 +86,38 @@ def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, metric: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = shared.value
+        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * -(-len(ids) // AT_ONCE)  # scores and rows, best first, of each AT_ONCE queries
+        kind = None
         for b in batches:
             b = b.filter(b.column(1).is_valid())
             if not b.num_rows:
                 continue
-            own, x = b.column(0), matrix(b.column(1))
-            place = np.unique(np.array(own.to_pylist()), return_inverse=True)[1]
+            kind, own, x = b.column(0).type, np.array(b.column(0).to_pylist()), matrix(b.column(1))
+            place = np.unique(own, return_inverse=True)[1]
             x, far = (unit(x), None) if metric == "cosine" else (x, (x * x).sum(1)[:, None])
             for i in range(0, len(ids), AT_ONCE):
                 part = q[i : i + AT_ONCE]
                 s = x @ part.T if metric == "cosine" else -(far + (part * part).sum(1)[None] - 2 * x @ part.T)
                 s = s.round(9) + 0.0
                 order = best(s, place, k)
-                at = pa.array(order.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[i : i + AT_ONCE], len(order))), own.take(at), pa.array(np.take_along_axis(s, order, 0).ravel())], [query_id, row_id, "score"])
+                now = np.take_along_axis(s, order, 0), own[order]
+                held[i // AT_ONCE] = now if held[i // AT_ONCE] is None else merged(held[i // AT_ONCE], now, k)
+        for i, found in enumerate(held):
+            if found is not None:
+                s, own = found
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids[i * AT_ONCE : (i + 1) * AT_ONCE], len(s))), pa.array(own.ravel().tolist(), kind), pa.array(s.ravel())], [query_id, row_id, "score"])
 
     return rows.mapInArrow(run, f"{query_id} long, {row_id} {rows.schema[row_id].dataType.simpleString()}, score double")
 
 
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two lists of scores and rows a query (a column each)."""
+    s, own = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    place = np.unique(own, return_inverse=True)[1].reshape(own.shape)
+    order = np.lexsort((place, -s), axis=0)[:k]
+    return np.take_along_axis(s, order, 0), np.take_along_axis(own, order, 0)
+
+
 def approximate_top_k(rows: DataFrame, queries: DataFrame, k: int = 5, row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", bucket: float = 0.6, tables: int = 8, near: float = 1.2, seed: int = 42) -> DataFrame:
     """query_id, rank, row_id, score by locality-sensitive hashing of unit vectors (|a - b|^2 = 2 - 2 cos).
 

@@ -13,7 +13,7 @@ from tessera.operators.embedding import Embedder, hashed_words
 
 
 def semantic_chunks(docs: DataFrame, k: int = 8, embedder: Embedder = hashed_words, key: str = "doc_id") -> DataFrame:
-    """key, chunk_index, n_sentences, text. One document is one unit of work: its sentences are compared pairwise.
+    """key, chunk_index, n_sentences, text. One document is one unit of work: memory for its sentences' vectors, time of their square.
 
     Clusters are numbered by their first sentence, so chunks stand in order of their beginnings.
     """

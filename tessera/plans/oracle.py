@@ -194,6 +194,12 @@ QUALIFY rank <= {k}
 
 COSINE = _nearest("SELECT * FROM embeddings", 5)
 COSINE_FILTERED = _nearest("SELECT * FROM embeddings WHERE label = 3", 5)
+IVF_ALL = """
+SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9) AS s,
+         CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, v.vec_id) AS INTEGER) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) WHERE rank <= 5
+"""
 L2 = """
 SELECT query_id, vec_id, round(d, 6) AS distance FROM (
   SELECT q.vec_id AS query_id, v.vec_id, round(list_distance(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) ** 2, 9) AS d
@@ -229,11 +235,24 @@ r AS (SELECT z.vec_id, component, exp(z - ll) AS p FROM z JOIN ll ON z.vec_id =
 """
 ESTEP = f"WITH {_ESTEP} SELECT vec_id, component, round(p, 4) AS p FROM r"
 CONFIDENCE = f"WITH {_ESTEP} SELECT vec_id, arg_max(component, p) AS cluster_id, round(max(p), 4) AS confidence FROM r GROUP BY vec_id"
+ASSIGNED_NEW = f"""
+WITH raw AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(unnest(range(len(embedding))) AS INTEGER) AS dim FROM embeddings),
+s AS (SELECT dim, avg(v) AS mu, stddev_pop(v) AS sd FROM raw WHERE vec_id % 2 = 0 GROUP BY dim),
+x AS (SELECT vec_id, label, raw.dim, (v - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS v FROM raw JOIN s ON s.dim = raw.dim),
+m AS (SELECT label, dim, avg(v) AS mean, greatest(var_pop(v), 1e-6) AS var FROM x WHERE vec_id % 2 = 0 GROUP BY ALL),
+w AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS component, count(*) / sum(count(*)) OVER () AS weight FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label),
+z AS (
+  SELECT x.vec_id, w.component, ln(any_value(w.weight)) + sum(-0.5 * ((x.v - m.mean) ** 2 / m.var + ln(m.var) + ln(2 * pi()))) AS z
+  FROM x JOIN m ON x.dim = m.dim JOIN w ON w.label = m.label WHERE x.vec_id % 2 = 1 GROUP BY ALL
+), top AS (SELECT vec_id, max(z) AS t FROM z GROUP BY vec_id),
+ll AS (SELECT z.vec_id, t + ln(sum(exp(z - t))) AS ll FROM z JOIN top ON z.vec_id = top.vec_id GROUP BY z.vec_id, t)
+SELECT z.vec_id, arg_max(component, z) AS cluster_id, round(max(exp(z - ll)), 4) AS confidence FROM z JOIN ll ON z.vec_id = ll.vec_id GROUP BY z.vec_id
+"""
 AIC_BIC = f"""
 WITH {_ESTEP}, s AS (SELECT sum(ll) AS ll, count(*) AS n, (SELECT count(*) FROM w) AS k, (SELECT count(DISTINCT dim) FROM x) AS d FROM ll)
 SELECT round(ll, 2) AS log_likelihood, round(2 * (2 * k * d + k - 1) - 2 * ll, 2) AS aic, round((2 * k * d + k - 1) * ln(n) - 2 * ll, 2) AS bic FROM s
 """
-SILHOUETTE = """
+_SILHOUETTES = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 sizes AS (SELECT label, count(*) AS n FROM e GROUP BY label),
 d AS (SELECT a.vec_id, a.label, b.label AS other, sum(CASE WHEN a.vec_id = b.vec_id THEN 0 ELSE list_distance(a.v, b.v) END) AS s FROM e a, e b GROUP BY ALL),
@@ -241,8 +260,11 @@ f AS (
   SELECT d.vec_id, d.label, min(s / sizes.n) FILTER (WHERE other <> d.label) AS b, max(s / greatest(sizes.n - 1, 1)) FILTER (WHERE other = d.label) AS a, max(sizes.n) FILTER (WHERE other = d.label) AS n
   FROM d JOIN sizes ON sizes.label = other GROUP BY ALL
 )
-SELECT label, count(*) AS n, round(avg(CASE WHEN n = 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM f GROUP BY label
 """
+_SILHOUETTE_OF = "CASE WHEN n = 1 OR b IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END"
+SILHOUETTE = f"{_SILHOUETTES} SELECT label, count(*) AS n, round(avg({_SILHOUETTE_OF}), 6) AS silhouette FROM f GROUP BY label"
+# No label of the given tables is larger than the sample, so the estimate is exact and its interval 0.
+SILHOUETTE_ESTIMATED = f"{_SILHOUETTES} SELECT round(avg({_SILHOUETTE_OF}), 4) AS silhouette, 0.0 :: DOUBLE AS within FROM f"
 CHOOSE_K = """
 SELECT source, n, CAST(greatest(2, least(8, n // 50)) AS INTEGER) AS k_hierarchy, CAST(greatest(2, least(8, n // 100)) AS INTEGER) AS k_hundredth,
        CAST(greatest(2, least(10, floor(sqrt(n / 2)))) AS INTEGER) AS k_root, CAST(least(10, greatest(3, n // 500)) AS INTEGER) AS k_pages, n >= 3 AS enough
@@ -285,8 +307,8 @@ _SUMMARIES = """
 made AS (
   SELECT 's_' || level || '_' || cluster_id AS summary_id, level, cluster_id, CASE WHEN cluster_id % 5 <> 0 THEN n END AS chunks_count,
          CASE WHEN cluster_id % 4 <> 0 THEN first / 1000.0::DOUBLE END AS silhouette_score, summary, first % 3 AS run
-  FROM (SELECT CAST(doc_id % 4 - 1 AS INTEGER) AS level, CAST(substr(source, 4) AS INTEGER) AS cluster_id, count(*) AS n, min(doc_id) AS first, arg_min(text, doc_id) AS summary
-        FROM documents WHERE doc_id % 4 > 0 GROUP BY 1, 2)
+  FROM (SELECT CAST(greatest(doc_id % 4 - 1, 0) AS INTEGER) AS level, CAST(substr(source, 4) AS INTEGER) AS cluster_id, count(*) AS n, min(doc_id) AS first, arg_min(text, doc_id) AS summary
+        FROM documents GROUP BY 1, 2)
 )
 """
 TREE = f"WITH {_SUMMARIES} SELECT summary_id, level, cluster_id, coalesce(chunks_count, 0) AS chunks_count, coalesce(silhouette_score, 0.0) AS silhouette_score, substr(summary, 1, 100) AS summary_preview, '' AS created_at FROM made"
@@ -296,7 +318,7 @@ SELECT level, count(*) OVER (PARTITION BY level) AS n_clusters, CAST(row_number(
        printf('%.3f', coalesce(silhouette_score, 0.0)) AS silhouette, substr(summary, 1, 80) || '...' AS preview FROM made
 """
 IMPROVEMENT = """
-WITH h AS (SELECT CAST(doc_id % 4 - 1 AS INTEGER) AS level, count(DISTINCT source) AS n_clusters, count(*) AS n_items, round(avg(length(text)) / 10000, 6) AS silhouette FROM documents WHERE doc_id % 4 > 0 GROUP BY 1),
+WITH h AS (SELECT CAST(greatest(doc_id % 4 - 1, 0) AS INTEGER) AS level, count(DISTINCT source) AS n_clusters, count(*) AS n_items, round(avg(length(text)) / 10000, 6) AS silhouette FROM documents GROUP BY 1),
 i AS (SELECT *, coalesce(silhouette - lag(silhouette) OVER (ORDER BY level), 1.0::DOUBLE) AS gain FROM h)
 SELECT level, n_clusters, n_items, silhouette, round(gain, 6) AS improvement, gain < 0.05 AS stop FROM i
 """
@@ -320,6 +342,12 @@ _ATTACHED = f"""
 )
 """
 ATTACH = f"WITH {_ATTACHED} SELECT * FROM attached"
+ATTACH_STRICT = f"""
+WITH {_HITS}, {_SUMMARIES}, one AS (
+  SELECT cluster_id, level, coalesce(chunks_count, 0) AS chunks_count, substr(summary, 1, 500) AS summary FROM made QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY run DESC, level, summary_id) = 1
+)
+SELECT query_id, one.cluster_id, level, chunks_count, summary FROM (SELECT DISTINCT query_id, cluster_id FROM hits WHERE vec_id % 3 = 0) h JOIN one ON one.cluster_id = h.cluster_id
+"""
 ATTACH_LEVEL = f"WITH {_HITS}, {_SUMMARIES} SELECT query_id, made.cluster_id, level, coalesce(chunks_count, 0) AS chunks_count, substr(summary, 1, 500) AS summary FROM (SELECT DISTINCT query_id, cluster_id FROM hits) h JOIN made ON made.cluster_id = h.cluster_id AND level = 1"
 _CONTEXT = f"""
 {_ATTACHED}, g AS (
@@ -397,7 +425,7 @@ SELECT conv_id, concat_ws({NL}, {lit(SYSTEM)}, {lit(CONTENT)}, {lit(PAST)} || {N
 SESSION = f"WITH {_EXCHANGES} SELECT conv_id, count(*) AS n_queries FROM x GROUP BY conv_id"
 SESSION_JSON = f"""
 WITH {_EXCHANGES}
-SELECT 'today' AS session, 'none' AS model, count(*) OVER () AS total_queries, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS INTEGER) AS place, question, answer FROM x
+SELECT CAST(conv_id AS VARCHAR) AS session, 'none' AS model, count(*) OVER w AS total_queries, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS place, question, answer FROM x WINDOW w AS (PARTITION BY conv_id)
 """
 DISPLAY = f"WITH {_HITS} SELECT query_id, rank, printf('%.2f%%', raw * 100) AS relevance, substr(coalesce(source, 'Unknown'), 1, 40) AS source FROM hits WHERE rank <= 3"
 F1 = f"""
@@ -405,12 +433,21 @@ SELECT item_id, round(coalesce(2.0 * len(list_intersect(a, r)) / nullif(len(a) +
 FROM (SELECT item_id, list_distinct({words('d.text')}) AS a, list_distinct({words('b.text')}) AS r FROM benchmark b JOIN documents d ON doc_id = item_id)
 """
 RELEVANCE = f"WITH {_HITS} SELECT query_id, round(avg(CASE WHEN hits.cluster_id = e.label THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS relevance FROM hits JOIN embeddings e ON e.vec_id = query_id GROUP BY query_id"
-HALLUCINATION = f"""
-WITH {_EXCHANGES}, s AS (SELECT conv_id, turn, list_distinct({words('question')}) AS known, {sentences('answer')} AS said FROM x),
-u AS (SELECT conv_id, turn, known, said, unnest(CASE WHEN len(said) > 0 THEN said ELSE [NULL] END) AS one FROM s),
-f AS (SELECT conv_id, turn, one IS NOT NULL AS real, len(list_intersect(list_distinct({words('one')}), known)) < 0.3 * len(list_distinct({words('one')})) AS bare FROM u)
-SELECT conv_id, turn, round(coalesce(count(*) FILTER (WHERE real AND bare) / nullif(count(*) FILTER (WHERE real), 0), 0.0)::DOUBLE, 6) AS unsupported FROM f GROUP BY ALL
+_CLAIMS = f"""
+{_HITS}, s AS (SELECT doc_id - 1 AS query_id, {sentences('text')} AS said FROM documents WHERE doc_id - 1 IN (SELECT query_id FROM asked WHERE query_id >= 0)),
+claims AS (SELECT query_id, CAST(unnest(range(len(said))) AS INTEGER) AS claim, unnest(said) AS sentence FROM s),
+own AS (SELECT DISTINCT query_id, claim, unnest({words('sentence')}) AS word FROM claims),
+sizes AS (SELECT query_id, claim, count(*) AS n FROM own GROUP BY ALL),
+held AS (SELECT DISTINCT query_id, rank, unnest({words('text')}) AS word FROM hits WHERE text IS NOT NULL),
+rare AS (SELECT query_id, word FROM held WHERE length(word) > 3 GROUP BY ALL HAVING count(*) <= 3),
+meet AS (SELECT query_id, claim, rank, count(*) AS shared, count(*) FILTER (rare.word IS NOT NULL) AS n_rare FROM own JOIN held USING (query_id, word) LEFT JOIN rare USING (query_id, word) GROUP BY ALL),
+best AS (
+  SELECT query_id, claim, rank, round(shared / n :: DOUBLE, 6) AS score FROM meet JOIN sizes USING (query_id, claim) WHERE n_rare > 0
+  QUALIFY row_number() OVER (PARTITION BY query_id, claim ORDER BY score DESC, rank) = 1
+)
 """
+ALIGNED = f"WITH {_CLAIMS} SELECT query_id, claim, sentence, rank, coalesce(score, 0.0) AS score FROM claims LEFT JOIN best USING (query_id, claim)"
+HALLUCINATION = f"WITH {_CLAIMS} SELECT query_id, count(*) AS n_claims, round(avg(CASE WHEN coalesce(score, 0.0) < 0.3 THEN 1.0 ELSE 0.0 END) :: DOUBLE, 6) AS unsupported FROM claims LEFT JOIN best USING (query_id, claim) GROUP BY query_id"
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 TABLE_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM {t}) AS n_rows, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {t})) AS n_columns" for t in _TABLES)
 READ_FILES = "SELECT how, item_id, text FROM benchmark, (SELECT unnest(['plain', 'decoded']) AS how)"

@@ -16,6 +16,8 @@ from tessera.functions import vectors as V
 from tessera.operators import chunking, clustering, evaluation, hierarchy, reports, retrieval, search, semantic, summaries
 from tessera.operators.arrow import shared_folder
 from tessera.operators.embedding import embedded, letters
+from tessera.operators.index import Index
+from tessera.operators.models import Kept, scaled_by
 from tessera.plans import oracle as O
 from tessera.sources import readers, store
 
@@ -308,6 +310,13 @@ def gmm_aic_bic(spark, d):
     return ll.select(F.round("ll", 2).alias("log_likelihood"), F.round(aic, 2).alias("aic"), F.round(bic, 2).alias("bic"))
 
 
+@query("silhouette_estimated", O.SILHOUETTE_ESTIMATED)
+def silhouette_estimated(spark, d):
+    """The mean silhouette by a sample of each label; labels up to the sample's size count whole."""
+    mean, within = clustering.silhouette_estimate(embeddings(spark, d))
+    return spark.range(1).select(F.round(F.lit(mean), 4).alias("silhouette"), F.round(F.lit(within), 4).alias("within"))
+
+
 @query("silhouette_mean", O.SILHOUETTE)
 def silhouette_mean(spark, d):
     s = clustering.silhouettes(embeddings(spark, d))
@@ -384,6 +393,11 @@ def leveled(spark, d):
     return documents(spark, d).select("doc_id", "source", level.alias("level"), "text")
 
 
+def at_levels(spark, d):
+    """leveled, a missing level being 0."""
+    return leveled(spark, d).withColumn("level", F.coalesce("level", F.lit(0)))
+
+
 @query("level_filter_scan", O.LEVEL_SCAN)
 def level_filter_scan(spark, d):
     return reports.at_level(leveled(spark, d), 0).select("doc_id", "source")
@@ -391,7 +405,7 @@ def level_filter_scan(spark, d):
 
 def made_summaries(spark, d):
     """Summaries by source and level in two runs, some fields missing."""
-    rows = leveled(spark, d).where("level IS NOT NULL").groupBy("level", F.expr("cast(substr(source, 4) as int)").alias("cluster_id")).agg(F.count("*").alias("chunks_count"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text"))["text"].alias("summary"))
+    rows = at_levels(spark, d).groupBy("level", F.expr("cast(substr(source, 4) as int)").alias("cluster_id")).agg(F.count("*").alias("chunks_count"), F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "text"))["text"].alias("summary"))
     rows = rows.select(F.concat_ws("_", F.lit("s"), "level", "cluster_id").alias("summary_id"), "level", "cluster_id", F.when(F.col("cluster_id") % 5 != 0, F.col("chunks_count")).alias("chunks_count"), F.when(F.col("cluster_id") % 4 != 0, F.col("first") / 1000).alias("silhouette_score"), "summary", F.lit(None).cast("string").alias("created_at"), (F.col("first") % 3).alias("run"))
     return rows
 
@@ -418,8 +432,8 @@ def summaries_csv(spark, d):
 
 @query("history_improvement", O.IMPROVEMENT)
 def history_improvement(spark, d):
-    rows = reports.level_history(leveled(spark, d).where("level IS NOT NULL").withColumn("cluster_id", F.col("source")))
-    score = leveled(spark, d).where("level IS NOT NULL").groupBy("level").agg(F.round(F.avg(F.length("text")) / 10000, 6).alias("silhouette"))
+    rows = reports.level_history(at_levels(spark, d).withColumn("cluster_id", F.col("source")))
+    score = at_levels(spark, d).groupBy("level").agg(F.round(F.avg(F.length("text")) / 10000, 6).alias("silhouette"))
     out = reports.improvements(rows.join(score, "level"))
     return out.select("level", "n_clusters", "n_items", "silhouette", F.round("improvement", 6).alias("improvement"), "stop")
 
@@ -456,6 +470,13 @@ def attach_summaries(spark, d):
     return retrieval.cluster_summaries(hits(spark, d), topic_summaries(spark, d))
 
 
+@query("attach_summaries_strict", O.ATTACH_STRICT)
+def attach_summaries_strict(spark, d):
+    """Summaries only for hits that are summaries themselves: here, those whose number three divides."""
+    found = hits(spark, d).withColumn("is_summary", F.col("vec_id") % 3 == 0)
+    return retrieval.cluster_summaries(found, topic_summaries(spark, d), mode="strict")
+
+
 @query("attach_summaries_level", O.ATTACH_LEVEL)
 def attach_summaries_level(spark, d):
     return retrieval.cluster_summaries(hits(spark, d), topic_summaries(spark, d), 1)
@@ -490,11 +511,11 @@ def session_queries(spark, d):
 
 @query("session_json", O.SESSION_JSON)
 def session_json(spark, d):
-    """One conversation as it is exported: a JSON file, read back."""
+    """Each conversation as it is exported: JSON files, read back."""
     x = retrieval.exchanges(table(spark, d, "conversations"))
-    records = x.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question", "answer", F.array(F.lit("book")).alias("sources"))
+    records = x.select(F.col("conv_id").alias("session"), F.col("turn").alias("query_id"), "question", "answer", F.array(F.lit("book")).alias("sources"))
     folder = shared_folder(spark, "json")
-    store.export_json(store.session_export(records, "today", "none"), folder)
+    store.export_json(store.session_export(records), folder)
     back = spark.read.schema("session string, model string, total_queries long, conversation array<struct<query_id:long,question:string,answer:string,sources:array<string>>>").json(folder)
     return back.select("session", "model", "total_queries", F.posexplode("conversation").alias("place", "c")).select("session", "model", "total_queries", "place", "c.question", "c.answer")
 
@@ -536,10 +557,21 @@ def context_relevance(spark, d):
     return evaluation.context_relevance(found).withColumn("relevance", F.round("relevance", 6))
 
 
+def said(spark, d):
+    """Answers to check: to each question, the text of the document after the one that it is about."""
+    q = questions(spark, d).select("query_id")
+    return documents(spark, d).select((F.col("doc_id") - 1).alias("query_id"), F.col("text").alias("answer")).join(q, "query_id")
+
+
+@query("claims_aligned", O.ALIGNED)
+def claims_aligned(spark, d):
+    """Each sentence of an answer beside the retrieved passage that supports it best."""
+    return evaluation.aligned(said(spark, d), hits(spark, d)).withColumn("score", F.round("score", 6))
+
+
 @query("hallucination_rate", O.HALLUCINATION)
 def hallucination_rate(spark, d):
-    x = retrieval.exchanges(table(spark, d, "conversations"))
-    return x.select("conv_id", "turn", F.round(evaluation.unsupported_share(F.col("answer"), F.col("question"), 0.3), 6).alias("unsupported"))
+    return evaluation.hallucination_rate(said(spark, d), hits(spark, d)).withColumn("unsupported", F.round("unsupported", 6))
 
 
 # ---- models and stores, beyond SQL
@@ -568,6 +600,17 @@ def gmm_full_fit(spark, d):
     return spark.createDataFrame([(k, n, ll * n, aic, bic, [float(w) for w in model.weights])], "k int, n long, log_likelihood double, aic double, bic double, weights array<double>")
 
 
+@query("assign_new", O.ASSIGNED_NEW)
+def assign_new(spark, d):
+    """A model of half the rows, kept as tables; loaded again, it places the other half."""
+    e, folder = embeddings(spark, d), shared_folder(spark, "model")
+    old = e.where("vec_id % 2 = 0")
+    mean, std = scaled_by(old)
+    Kept(clustering.by_label(clustering.standardised(old))[0], mean, std).save(spark, folder)
+    new = Kept.load(spark, folder).assign(e.where("vec_id % 2 = 1"))
+    return new.select("vec_id", "cluster_id", F.round("confidence", 4).alias("confidence"))
+
+
 @query("semantic_chunks")
 def semantic_chunks(spark, d):
     return semantic.semantic_chunks(documents(spark, d))
@@ -589,6 +632,23 @@ def lsh_topk(spark, d):
     return search.approximate_top_k(embeddings(spark, d), questions(spark, d))
 
 
+@query("ivf_topk")
+def ivf_topk(spark, d):
+    """An index kept in the shared folder, built over all rows, asked with every row."""
+    e = embeddings(spark, d)
+    kept = Index(spark, shared_folder(spark, "index")).create(e)
+    return kept.search_all(e, e.select(F.col("vec_id").alias("query_id"), "embedding"))
+
+
+@query("ivf_topk_added", O.IVF_ALL)
+def ivf_topk_added(spark, d):
+    """An index of the first half of the rows to which the others are added; with all its cells probed and every row ranked again it is exact."""
+    e, q = embeddings(spark, d), questions(spark, d)
+    kept = Index(spark, shared_folder(spark, "index")).create(e.where("vec_id % 2 = 0"), cells=16)
+    kept.add(e.where("vec_id % 2 = 1"))
+    return kept.search(e, q, ef=200, probes=16).withColumn("score", F.round("score", 6))
+
+
 @query("hierarchy_run")
 def hierarchy_run(spark, d):
     docs = documents(spark, d).select(F.col("doc_id").alias("vec_id"), "text", "source")
@@ -609,7 +669,7 @@ def table_counts(spark, d):
 @query("read_files", O.READ_FILES)
 def read_files(spark, d):
     """The benchmark's texts as files, a folder an item, by the plain reader and the one that finds the encoding."""
-    folder = shared_folder(spark, "files")
+    folder = f"{shared_folder(spark, 'files')}/items"
     table(spark, d, "benchmark").select("text", "item_id").write.partitionBy("item_id").text(folder)
     item = F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("item_id")
     own = lambda how, rows: rows.select(F.lit(how).alias("how"), item, F.regexp_replace("text", "\n\\z", "").alias("text"))
@@ -619,7 +679,7 @@ def read_files(spark, d):
 @query("read_questions", O.READ_QUESTIONS)
 def read_questions(spark, d):
     """Questions from a file: the benchmark's texts with white space round them and blank lines between."""
-    folder = shared_folder(spark, "questions")
+    folder = f"{shared_folder(spark, 'questions')}/lines"
     lines = table(spark, d, "benchmark").select(F.concat(F.lit(" \t"), F.regexp_replace("text", "\n", " "), F.lit("  \n \n")).alias("value"))
     lines.write.text(folder)
     return readers.read_questions(spark, folder)

@@ -105,10 +105,14 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def session_export(records: DataFrame, session: str, model: str) -> DataFrame:
-    """One row: session, model, total_queries and the conversation in order. A session is bounded by its user's patience."""
+def session_export(records: DataFrame, session: str = "session", model: str = "none") -> DataFrame:
+    """A row a session (the column of records that names it): session, model, total_queries and the conversation in order.
+
+    A session is bounded by its user's patience; sessions are as many rows.
+    """
     turns = F.array_sort(F.collect_list(F.struct("query_id", "question", "answer", "sources")))
-    return records.agg(F.lit(session).alias("session"), F.lit(model).alias("model"), F.count("*").alias("total_queries"), turns.alias("conversation"))
+    out = records.groupBy(F.col(session).cast("string").alias("session")).agg(F.count("*").alias("total_queries"), turns.alias("conversation"))
+    return out.select("session", F.lit(model).alias("model"), "total_queries", "conversation")
 
 
 def default_name(kind: str, now: datetime | None = None) -> str:
