@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking, hierarchy, reports, retrieval
+from tessera.operators.calls import Answers
 from tessera.operators.embedding import Embedder, embedded, hashed_words
 from tessera.operators.generation import Model, extractive
 from tessera.operators.models import Kept
@@ -35,15 +36,20 @@ def chunked(documents: DataFrame, how: str = "paragraphs") -> DataFrame:
 
 
 class Engine:
-    """A store, an embedder, a generator and one conversation."""
+    """A store, an embedder, a generator and one conversation. With `keep`, answers to equal prompts are kept in the store, by model_name."""
 
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = hashed_words, model: Model = extractive, k: int = 5, with_summaries: bool = True, model_name: str = "extractive"):
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = hashed_words, model: Model = extractive, k: int = 5, with_summaries: bool = True, model_name: str = "extractive", keep: bool = False):
         self.spark, self.store = spark, Store(spark, folder, embedder)
-        self.embedder, self.model, self.k, self.with_summaries, self.model_name = embedder, model, k, with_summaries, model_name
+        self.embedder, self.k, self.with_summaries, self.model_name = embedder, k, with_summaries, model_name
+        self.model = self.kept(model, "answers") if keep else model
         self.conversation: list[dict] = []
         self.session = datetime.now().strftime("%Y-%m-%d %H:%M:%S")
         self.settings = self.store.collection("chunks")
 
+    def kept(self, model: Model, name: str) -> Answers:
+        """The model with its answers kept in a table of the store."""
+        return Answers(self.spark, self.store.path(name), model, self.model_name)
+
     # ---- building
 
     def ingest(self, paths: list[str], pages_of: Callable | None = None, how: str = "paragraphs") -> int:

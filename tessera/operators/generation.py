@@ -20,14 +20,24 @@ def extractive(prompt_text: str) -> str:
     return body.partition(". ")[0].strip()[:500]
 
 
+# What a server is asked for beside the temperature. num_predict -1 sets no limit; summaries have one.
+OPTIONS = {"num_predict": -1, "top_k": 40, "top_p": 0.9}
+SUMMARY_TOKENS = 500
+
+
 class HttpModel:
-    """A model of a server; instances travel to the executors."""
+    """A model of a server; instances travel to the executors. `options` replace those of OPTIONS; None leaves one out."""
+
+    def __init__(self, url: str, name: str, temperature: float = 0.3, timeout: float = 60, **options):
+        self.url, self.name, self.timeout = url.rstrip("/"), name, timeout
+        self.options = {k: v for k, v in ({"temperature": temperature} | OPTIONS | options).items() if v is not None}
 
-    def __init__(self, url: str, name: str, temperature: float = 0.3, timeout: float = 60):
-        self.url, self.name, self.temperature, self.timeout = url.rstrip("/"), name, temperature, timeout
+    def for_summaries(self) -> HttpModel:
+        """The same model as summaries are asked for: a limited length, no other choices than the temperature."""
+        return HttpModel(self.url, self.name, self.options.get("temperature"), self.timeout, num_predict=SUMMARY_TOKENS, top_k=None, top_p=None)
 
     def __call__(self, prompt_text: str) -> str:
-        body = {"model": self.name, "prompt": prompt_text, "stream": False, "options": {"temperature": self.temperature}}
+        body = {"model": self.name, "prompt": prompt_text, "stream": False, "options": self.options}
         request = urllib.request.Request(f"{self.url}/api/generate", json.dumps(body).encode(), {"Content-Type": "application/json"})
         with urllib.request.urlopen(request, timeout=self.timeout) as answer:
             return json.load(answer).get("response", "").strip()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.calls import Answers, tried
 from tessera.operators.embedding import Embedder, embedded, hashed_words
 from tessera.operators.generation import extractive
 from tessera.operators.search import top_k
@@ -88,29 +89,50 @@ def prompt(history: bool = False) -> Column:
     return F.concat_ws("\n", F.lit(SYSTEM), source, topics, content, *past, F.concat(F.lit(QUESTION), F.col("question")), F.lit(ANSWER))
 
 
-def answers(context_rows: DataFrame, model: Callable[[str], str] = extractive, history: bool = False) -> DataFrame:
+RECORD = "query_id long, question string, answer string, sources array<string>, context_chunks long, relevance_scores array<double>, tokens_generated long, response_time double"
+
+
+def answers(context_rows: DataFrame, model: Callable[[str], str] | Answers = extractive, history: bool = False, failures: bool = False) -> DataFrame:
     """A record a question: answer, sources, context_chunks, relevance_scores, tokens_generated, response_time.
 
-    A question without context, or a failing model, gives an answer that begins with "Error: " and null details.
+    A question without context, or a failing model, gives an answer that begins with "Error: " and null details; with
+    `failures` a column of that name says which: no_context, timeout or error. Answers ask equal prompts once and keep
+    what is said.
     """
     rows = context_rows.withColumn("prompt", prompt(history)).withColumn("scores", F.transform("chunks", lambda c: c["score"])).select("query_id", "question", "success", "message", "prompt", "sources", "n_chunks", "scores")
+    if isinstance(model, Answers):
+        return kept_answers(rows, model, failures)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
                 began = time.time()
-                try:
-                    if not r["success"]:
-                        raise RuntimeError(r["message"])
-                    said = model(r["prompt"])
-                    out.append((r["query_id"], r["question"], said, r["sources"], r["n_chunks"], r["scores"], len(said.split()), time.time() - began))
-                except Exception as e:
-                    out.append((r["query_id"], r["question"], f"Error: {e}", [], 0, None, None, time.time() - began))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["query_id", "question", "answer", "sources", "context_chunks", "relevance_scores", "tokens_generated", "response_time"]) if out else b.slice(0, 0)
-
-    return rows.mapInArrow(run, "query_id long, question string, answer string, sources array<string>, context_chunks long, relevance_scores array<double>, tokens_generated long, response_time double")
+                if r["success"]:
+                    said, kind, message = tried(model, r["prompt"], 1, 0)
+                else:
+                    said, kind, message = None, "no_context", r["message"]
+                details = (r["sources"], r["n_chunks"], r["scores"], len(said.split())) if kind is None else ([], 0, None, None)
+                out.append((r["query_id"], r["question"], said if kind is None else f"Error: {message}", *details, time.time() - began, kind))
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.float64()), pa.int64(), pa.float64(), pa.string()]
+            names = ["query_id", "question", "answer", "sources", "context_chunks", "relevance_scores", "tokens_generated", "response_time", "failures"]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    records = rows.mapInArrow(run, RECORD + ", failures string")
+    return records if failures else records.drop("failures")
+
+
+def kept_answers(rows: DataFrame, model: Answers, failures: bool) -> DataFrame:
+    """The records of `answers` by a model whose answers are kept."""
+    got = model.ask(rows.withColumn("prompt", F.when(F.col("success"), F.col("prompt"))).withColumnRenamed("message", "missing"))
+    kind = F.when(~F.col("success"), F.lit("no_context")).otherwise(F.col("failure"))
+    ok = lambda c, other: F.when(kind.isNull(), F.col(c)).otherwise(other)
+    out = got.select(
+        "query_id", "question", ok("answer", F.concat(F.lit("Error: "), F.coalesce("message", "missing", F.lit("")))).alias("answer"), ok("sources", F.array().cast("array<string>")).alias("sources"),
+        ok("n_chunks", F.lit(0)).cast("long").alias("context_chunks"), ok("scores", F.lit(None)).alias("relevance_scores"), F.col("tokens").alias("tokens_generated"), F.coalesce("response_time", F.lit(0.0)).alias("response_time"), kind.alias("failures"),
+    )
+    return out if failures else out.drop("failures")
 
 
 def displayed(hits: DataFrame, n: int = 3) -> DataFrame:
@@ -130,7 +152,7 @@ def found(questions: DataFrame, chunks: DataFrame, k: int = 5, embedder: Embedde
     return near.join(chunks.select(key, "text", "source", cluster), key).select("query_id", "rank", "score", "text", "source", "cluster_id")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, k: int = 5, embedder: Embedder = hashed_words, model: Callable[[str], str] = extractive, metric: str = "cosine", key: str = "chunk_key") -> DataFrame:
+def ask(questions: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, k: int = 5, embedder: Embedder = hashed_words, model: Callable[[str], str] | Answers = extractive, metric: str = "cosine", key: str = "chunk_key") -> DataFrame:
     """From questions to records (see answers): embed, search, attach summaries, build the prompt, generate."""
     hits = found(questions, chunks, k, embedder, metric, key)
     return answers(contexts(questions, hits, summaries), model)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.calls import Answers
 
 # The texts of the summariser's prompt and of the summary made without one.
 SEPARATOR = "\n\n---\n\n"
@@ -61,12 +62,17 @@ def fallback_summaries(rows: DataFrame, by: str, order: str, text: str = "text")
     return out.select(by, "chunks_count", T.strip(summary).alias("summary"))
 
 
-def summaries(rows: DataFrame, by: str, order: str, model: Callable[[str], str] | None = None, text: str = "text") -> DataFrame:
-    """by, chunks_count, summary. `model` maps an input to a summary; if it fails or says nothing, the default stands in."""
+def summaries(rows: DataFrame, by: str, order: str, model: Callable[[str], str] | Answers | None = None, text: str = "text") -> DataFrame:
+    """by, chunks_count, summary. `model` maps an input to a summary; if it fails or says nothing, the default stands in.
+
+    With Answers, equal inputs are asked once, several at a time, and never again once they are answered.
+    """
     default = fallback_summaries(rows, by, order, text)
     if model is None:
         return default
     both = null_safe(default, summary_input(rows, by, order, text=text), by)
+    if isinstance(model, Answers):
+        return model.ask(both, "input").select(by, "chunks_count", F.coalesce(F.nullif("answer", F.lit("")), "summary").alias("summary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -15,7 +15,9 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import chunking, clustering, evaluation, hierarchy, reports, retrieval, search, semantic, summaries
 from tessera.operators.arrow import shared_folder
+from tessera.operators.calls import Answers
 from tessera.operators.embedding import embedded, letters
+from tessera.operators.generation import extractive
 from tessera.operators.index import Index
 from tessera.operators.models import Kept, scaled_by
 from tessera.plans import oracle as O
@@ -532,6 +534,16 @@ def answer_batch(spark, d):
     return out.select("query_id", "question", "answer", F.array_join("sources", ",").alias("sources"), "context_chunks", "tokens_generated")
 
 
+@query("answers_kept", O.ANSWERS)
+def answers_kept(spark, d):
+    """The same through kept answers: the first round asks the model, the second only what the first wasn't told."""
+    c = retrieval.contexts(asked(spark, d), hits(spark, d))
+    kept = Answers(spark, shared_folder(spark, "answers"), extractive, "extractive")
+    retrieval.answers(c, kept)
+    out = retrieval.answers(c, kept)
+    return out.select("query_id", "question", "answer", F.array_join("sources", ",").alias("sources"), "context_chunks", "tokens_generated")
+
+
 @query("ask", O.ASK)
 def ask(spark, d):
     """Every text of the benchmark as a question to all documents' chunks: embedded, searched, prompted, answered, recorded."""
