@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators.arrow import cut, lists, matrix, opened, share
+from tessera.operators.projection import components
 
 FLOOR = 1e-6
+WIDE = 4096
 LOG_2PI = float(np.log(2 * np.pi))
 
 # ---- choosing the number of clusters
@@ -89,12 +91,19 @@ def projected(rows: DataFrame, most: int = 50, wider_than: int = 100, more_than:
     return projected_with_axes(rows, most, wider_than, more_than, vector)[:2]
 
 
-def projected_with_axes(rows: DataFrame, most: int = 50, wider_than: int = 100, more_than: int = 50, vector: str = "embedding") -> tuple[DataFrame, float | None, np.ndarray | None]:
-    """As `projected`, and the axes of the components."""
+def projected_with_axes(rows: DataFrame, most: int = 50, wider_than: int = 100, more_than: int = 50, vector: str = "embedding", share_of: float | None = None) -> tuple[DataFrame, float | None, np.ndarray | None]:
+    """As `projected`, and the axes of the components.
+
+    With `share_of`, as many components as explain that share of the variance. These, and those of vectors of more than WIDE
+    dimensions, come from projection.components, which makes no matrix of all pairs of dimensions.
+    """
     n = rows.count()
     first = rows.select(vector).first()
     if first is None or len(first[0]) <= wider_than or n <= more_than:
         return rows, None, None
+    if share_of is not None or len(first[0]) > WIDE:
+        found = components(rows, share_of or 1.0, None if share_of else min(most, n // 2), vector)
+        return found.project(rows, vector), float(found.ratios.sum()), found.axes
     with_vector = rows.withColumn("__v", array_to_vector(V.doubles(F.col(vector))))
     model = PCA(k=min(most, n // 2, len(first[0])), inputCol="__v", outputCol="__p").fit(with_vector)
     return model.transform(with_vector).withColumn(vector, vector_to_array("__p")).drop("__v", "__p"), float(model.explainedVariance.toArray().sum()), model.pc.toArray().T

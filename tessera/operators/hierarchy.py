@@ -28,16 +28,17 @@ def k_for(n: int) -> int:
     return max(2, min(8, n // 50))
 
 
-def cluster_level(level_rows: DataFrame, k: int | None = None, starts: int = 5, rounds: int = 200, seed: int = 42, key: str = "chunk_key", estimate_above: int | None = None) -> dict | None:
+def cluster_level(level_rows: DataFrame, k: int | None = None, starts: int = 5, rounds: int = 200, seed: int = 42, key: str = "chunk_key", estimate_above: int | None = None, share_of: float | None = None) -> dict | None:
     """Model, assignments and mean silhouette of rows (key, embedding); None under LEAST rows.
 
     The silhouette is exact, so its work grows as the square of the rows; above `estimate_above` rows, if that is given, it is
-    estimated from a sample of each cluster. `within` is then half its 95 % confidence interval.
+    estimated from a sample of each cluster. `within` is then half its 95 % confidence interval. With `share_of`, wide vectors are projected
+    on as many components as explain that share of their variance, instead of 50.
     """
     n = level_rows.count()
     if n < LEAST:
         return None
-    rows, explained, axes = C.projected_with_axes(level_rows.select(key, "embedding"))
+    rows, explained, axes = C.projected_with_axes(level_rows.select(key, "embedding"), share_of=share_of)
     mean, std = scaled_by(rows)
     scaled = C.standardised(rows).persist()
     try:
@@ -72,7 +73,7 @@ class Manifest:
 
 
 def run(
-    spark: SparkSession, chunks: DataFrame, folder: str, most_levels: int = 5, least_gain: float = 0.05, embedder: Embedder = hashed_words, model=None, starts: int = 5, rounds: int = 200, run_id: str | None = None, estimate_above: int | None = None
+    spark: SparkSession, chunks: DataFrame, folder: str, most_levels: int = 5, least_gain: float = 0.05, embedder: Embedder = hashed_words, model=None, starts: int = 5, rounds: int = 200, run_id: str | None = None, estimate_above: int | None = None, share_of: float | None = None
 ) -> DataFrame:
     """Build the hierarchy over chunks (chunk_key, text, source, embedding); returns its history.
 
@@ -89,7 +90,7 @@ def run(
         put = lambda name, rows, own=own: rows.write.mode("overwrite").parquet(own(name))
 
         def clustered() -> dict:
-            result = cluster_level(spark.read.parquet(own("chunks")), starts=starts, rounds=rounds, estimate_above=estimate_above)
+            result = cluster_level(spark.read.parquet(own("chunks")), starts=starts, rounds=rounds, estimate_above=estimate_above, share_of=share_of)
             if result is None:
                 return {}
             put("assignments", result["assigned"].select("chunk_key", "cluster_id", "confidence"))

@@ -218,6 +218,12 @@ _X = "x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(u
 STATS = f"WITH {_X} SELECT dim, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM x GROUP BY dim"
 STANDARD_ROWS = f"WITH {_X}, s AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY dim) SELECT vec_id, x.dim, round((v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 4) + 0.0 AS x FROM x JOIN s ON x.dim = s.dim"
 COVARIANCE = f"WITH {_X} SELECT a.dim AS i, b.dim AS j, round(covar_pop(a.v, b.v), 6) + 0.0 AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL"
+VARIANCES = f"""
+WITH {_X}, c AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.v, b.v) AS cov FROM x a JOIN x b ON a.vec_id = b.vec_id GROUP BY ALL),
+c2 AS (SELECT a.i, b.j, sum(a.cov * b.cov) AS cov FROM c a JOIN c b ON a.j = b.i GROUP BY ALL)
+SELECT (SELECT count(*) FROM c WHERE i = j) AS n_components, (SELECT round(sum(cov), 9) FROM c WHERE i = j) AS variance,
+       (SELECT round(sum(cov * cov), 9) FROM c) AS squares, (SELECT round(sum(c2.cov * c.cov), 9) FROM c2 JOIN c ON c2.i = c.j AND c2.j = c.i) AS cubes
+"""
 CENTROIDS = f"WITH {_X} SELECT label, dim, round(avg(v), 6) AS mean FROM x GROUP BY ALL"
 MSTEP = f"""
 WITH {_X}, w AS (SELECT label, count(*) / sum(count(*)) OVER () AS weight FROM embeddings GROUP BY label)

@@ -20,6 +20,7 @@ from tessera.operators.embedding import embedded, letters
 from tessera.operators.generation import extractive
 from tessera.operators.index import Index
 from tessera.operators.models import Kept, scaled_by
+from tessera.operators.projection import components
 from tessera.plans import oracle as O
 from tessera.sources import readers, store
 
@@ -595,6 +596,22 @@ def pca_project(spark, d):
     return rows.select("vec_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("projection"), F.lit(explained).alias("explained"))
 
 
+@query("variance_moments", O.VARIANCES)
+def variance_moments(spark, d):
+    """All components' variances, by their sums of powers, which are the traces of the covariance's powers."""
+    found = components(embeddings(spark, d), share_of=1.0)
+    sums = [float(round((found.variances**p).sum(), 9)) for p in (1, 2, 3)]
+    return spark.createDataFrame([(len(found.variances), *sums)], "n_components long, variance double, squares double, cubes double")
+
+
+@query("explained_components")
+def explained_components(spark, d):
+    """The components that explain nine tenths of the variance, and what each adds."""
+    found = components(embeddings(spark, d), share_of=0.9, block=32)
+    rows = [(i, float(round(r, 6)), float(round(found.ratios[: i + 1].sum(), 6))) for i, r in enumerate(found.ratios)]
+    return spark.createDataFrame(rows, "component int, ratio double, explained double")
+
+
 @query("gmm_diag_fit")
 def gmm_diag_fit(spark, d):
     e = clustering.standardised(embeddings(spark, d))
