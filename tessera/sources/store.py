@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.arrow import cut
 from tessera.operators.embedding import Embedder, embedded
+from tessera.sources.keys import Keys
 
 
 def chunk_key(source: Column, chunk_id: Column, text: Column) -> Column:
@@ -55,18 +57,24 @@ class Store:
         self.write("collections", self.spark.createDataFrame([(name, made["space"], made["ef_search"], made["max_neighbors"])], SETTINGS), "append")
         return {"name": name} | made
 
+    def keys(self) -> Keys:
+        """The keys of the stored chunks, filters before them."""
+        read = lambda: self.spark.read.schema("chunk_key string, level int").parquet(self.path("chunks")).select("level", "chunk_key")
+        return Keys(self.spark, self.path("keys"), lambda: read() if self.exists("chunks") else None)
+
     def append_chunks(self, chunks: DataFrame) -> None:
         """Add chunks whose keys their level doesn't have yet, so a batch that runs twice adds nothing.
 
-        Only the keys of what is stored are read. Chunks without a level are of level 0.
+        Of the keys that are stored only those are read that filters can't rule out (see Keys); one writer at a time. Chunks
+        without a level are of level 0.
         """
         rows = chunks if "level" in chunks.columns else chunks.withColumn("level", F.lit(0))
-        rows = rows.withColumn("level", F.coalesce("level", F.lit(0))).dropDuplicates(["level", "chunk_key"])
-        if self.exists("chunks"):
-            rows = rows.join(self.read("chunks").select("level", "chunk_key"), ["level", "chunk_key"], "left_anti")
-        if self.embedder and "embedding" not in rows.columns:
-            rows = embedded(rows, self.embedder)
-        rows.write.mode("append").partitionBy("level").parquet(self.path("chunks"))
+        rows = cut(rows.withColumn("level", F.coalesce("level", F.lit(0))).dropDuplicates(["level", "chunk_key"]), "append")  # named several times below
+        keys = self.keys()
+        new = keys.unknown(rows)
+        if self.embedder and "embedding" not in new.columns:
+            new = embedded(new, self.embedder)
+        keys.added(new, lambda: new.write.mode("append").partitionBy("level").parquet(self.path("chunks")))
 
     def chunks(self, level: int | None = None) -> DataFrame:
         """All chunks, or a level's: its partition alone is read."""
