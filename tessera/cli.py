@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--no-summaries", action="store_true", help="leave the clusters' summaries out")
     p.add_argument("--temperature", type=float, default=0.3, help="the model's temperature")
     p.add_argument("--keep-answers", action="store_true", help="ask the model no prompt twice: keep its answers in the store")
+    p.add_argument("--approximate", action="store_true", help="search a kept index instead of all chunks")
     p.add_argument("--quiet", action="store_true", help="say less")
     p.add_argument("--query", help="one question")
     p.add_argument("--batch", help="a file of questions, one a line")
@@ -100,9 +101,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, lines
     if not there or not a.quiet:
         say(why)
     spark = spark or SparkSession.builder.appName("tessera").getOrCreate()
-    engine = Engine(spark, a.db_path, model=model, k=a.chunks, with_summaries=not a.no_summaries, model_name=f"{a.model} at {a.temperature}" if a.keep_answers else a.model, keep=a.keep_answers)
+    engine = Engine(spark, a.db_path, model=model, k=a.chunks, with_summaries=not a.no_summaries, model_name=f"{a.model} at {a.temperature}" if a.keep_answers else a.model, keep=a.keep_answers, approximate=a.approximate)
     if a.ingest:
         say(f"Added {engine.ingest(a.ingest)} chunks")
+    elif engine.n_chunks():
+        engine.reindex()  # of a store that had none
     if not engine.n_chunks():
         say("The store is empty. Add documents first: --ingest FILE ...")
         return 0

@@ -22,6 +22,7 @@ from tessera.operators import chunking, hierarchy, reports, retrieval
 from tessera.operators.calls import Answers
 from tessera.operators.embedding import Embedder, embedded, hashed_words
 from tessera.operators.generation import Model, extractive
+from tessera.operators.index import Index
 from tessera.operators.models import Kept
 from tessera.sources import readers
 from tessera.sources.store import Store, default_name, export_csv, stored_chunks
@@ -36,15 +37,22 @@ def chunked(documents: DataFrame, how: str = "paragraphs") -> DataFrame:
 
 
 class Engine:
-    """A store, an embedder, a generator and one conversation. With `keep`, answers to equal prompts are kept in the store, by model_name."""
+    """A store, an embedder, a generator and one conversation. With `keep`, answers to equal prompts are kept in the store, by model_name.
 
-    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = hashed_words, model: Model = extractive, k: int = 5, with_summaries: bool = True, model_name: str = "extractive", keep: bool = False):
+    With `approximate`, questions go through a kept index of the chunks (cosine only): the collection's ef_search is the
+    number of candidates compared by their vectors. max_neighbors belongs to graph indexes and is only kept.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = hashed_words, model: Model = extractive, k: int = 5, with_summaries: bool = True, model_name: str = "extractive", keep: bool = False, approximate: bool = False):
         self.spark, self.store = spark, Store(spark, folder, embedder)
         self.embedder, self.k, self.with_summaries, self.model_name = embedder, k, with_summaries, model_name
         self.model = self.kept(model, "answers") if keep else model
         self.conversation: list[dict] = []
         self.session = datetime.now().strftime("%Y-%m-%d %H:%M:%S")
         self.settings = self.store.collection("chunks")
+        self.index = Index(spark, self.store.path("index"), "chunk_key") if approximate else None
+        if approximate and self.settings["space"] != "cosine":
+            raise ValueError(self.settings["space"])
 
     def kept(self, model: Model, name: str) -> Answers:
         """The model with its answers kept in a table of the store."""
@@ -56,8 +64,14 @@ class Engine:
         """Read files, clean and chunk them, embed and store what is new; how many chunks that is."""
         before = self.n_chunks(0)
         self.store.append_chunks(chunked(readers.read_documents(self.spark, paths, pages_of), how))
+        self.reindex()
         return self.n_chunks(0) - before
 
+    def reindex(self) -> None:
+        """Bring the index, if there is to be one, up to the stored chunks."""
+        if self.index is not None and self.n_chunks(0):
+            self.index.update(self.store.chunks(0))
+
     def build(self, most_levels: int = 3, least_gain: float = 0.05, run: str | None = None, **options) -> DataFrame:
         """Run the level loop over the stored chunks; its history. The newest run is what questions see.
 
@@ -97,12 +111,12 @@ class Engine:
     def ask(self, questions: list[str] | DataFrame) -> DataFrame:
         """A record a question (query_id, question), all in one pass and without history."""
         rows = self.questions(questions) if isinstance(questions, list) else questions
-        return retrieval.ask(rows, self.chunks(), self.summaries() if self.with_summaries else None, self.k, self.embedder, self.model, self.settings["space"])
+        return retrieval.ask(rows, self.chunks(), self.summaries() if self.with_summaries else None, self.k, self.embedder, self.model, self.settings["space"], index=self.index, ef=self.settings["ef_search"])
 
     def chat(self, question: str) -> dict:
         """Answer in the light of the conversation so far, and add to it."""
         began, rows = time.time(), self.questions([question])
-        hits = retrieval.found(rows, self.chunks(), self.k, self.embedder, self.settings["space"])
+        hits = retrieval.found(rows, self.chunks(), self.k, self.embedder, self.settings["space"], index=self.index, ef=self.settings["ef_search"])
         context = retrieval.contexts(rows, hits, self.summaries() if self.with_summaries else None)
         past = self.spark.createDataFrame([([(x["question"], x["answer"]) for x in self.conversation[-retrieval.TURNS :]],)], "history array<struct<question:string,answer:string>>")
         record = retrieval.answers(context.join(F.broadcast(past)), self.model, history=True).first().asDict()  # one row each

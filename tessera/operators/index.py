@@ -102,6 +102,22 @@ class Index:
         """Further rows: they are assigned and appended, nothing else is read or moved."""
         self._write(rows.where(F.col(self.vector).isNotNull()).select(self.key, self.vector), "append")
 
+    def exists(self) -> bool:
+        """Whether an index was made here, to its end."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rows/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+
+    def keys(self) -> DataFrame:
+        """The keys of all indexed rows; no codes are read."""
+        return self.spark.read.schema(f"keys array<{self.settings()['kind']}>").parquet(f"{self.folder}/rows").select(F.explode("keys").alias(self.key))
+
+    def update(self, rows: DataFrame) -> None:
+        """Make the index of rows or, where there is one, add those that it lacks: keys are compared, so it may break off and run again."""
+        if self.exists():
+            self.add(cut(rows.select(self.key, self.vector).join(self.keys(), self.key, "left_anti"), "index-new"))
+        else:
+            self.create(rows)
+
     def centres(self) -> np.ndarray:
         """As large as MOST_CELLS vectors at most."""
         got = self.spark.read.parquet(f"{self.folder}/centres").orderBy("cell").collect()

@@ -16,6 +16,7 @@ from tessera.functions import text as T
 from tessera.operators.calls import Answers, tried
 from tessera.operators.embedding import Embedder, embedded, hashed_words
 from tessera.operators.generation import extractive
+from tessera.operators.index import Index
 from tessera.operators.search import top_k
 
 # The texts of the prompt, in its order.
@@ -140,19 +141,24 @@ def displayed(hits: DataFrame, n: int = 3) -> DataFrame:
     return hits.where(F.col("rank") <= n).select("query_id", "rank", T.percent(F.col("score")).alias("relevance"), F.substring(F.coalesce("source", F.lit("Unknown")), 1, 40).alias("source"))
 
 
-def found(questions: DataFrame, chunks: DataFrame, k: int = 5, embedder: Embedder = hashed_words, metric: str = "cosine", key: str = "chunk_key") -> DataFrame:
+def found(questions: DataFrame, chunks: DataFrame, k: int = 5, embedder: Embedder = hashed_words, metric: str = "cosine", key: str = "chunk_key", index: Index | None = None, ef: int = 50) -> DataFrame:
     """query_id, rank, score, text, source, cluster_id of the k chunks nearest to each question (query_id, question).
 
+    With an index (cosine only), the cells nearest to a question are searched and its `ef` best candidates compared by their vectors; a
+    question for which they hold fewer than k is searched exactly.
     The questions are embedded here; chunks carry key, text, source, embedding and, where they are clustered, cluster_id.
     Only the rows found are joined with their texts.
     """
     asked = embedded(questions.where("question IS NOT NULL").select("query_id", F.col("question").alias("text")), embedder)
-    near = top_k(chunks, asked.select("query_id", "embedding"), k, metric, key)
+    if index is not None and metric != "cosine":
+        raise ValueError(metric)
+    asked = asked.select("query_id", "embedding")
+    near = top_k(chunks, asked, k, metric, key) if index is None else index.search_all(chunks, asked, k, ef)
     cluster = F.col("cluster_id") if "cluster_id" in chunks.columns else F.lit(None).cast("int").alias("cluster_id")
     return near.join(chunks.select(key, "text", "source", cluster), key).select("query_id", "rank", "score", "text", "source", "cluster_id")
 
 
-def ask(questions: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, k: int = 5, embedder: Embedder = hashed_words, model: Callable[[str], str] | Answers = extractive, metric: str = "cosine", key: str = "chunk_key") -> DataFrame:
-    """From questions to records (see answers): embed, search, attach summaries, build the prompt, generate."""
-    hits = found(questions, chunks, k, embedder, metric, key)
+def ask(questions: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None, k: int = 5, embedder: Embedder = hashed_words, model: Callable[[str], str] | Answers = extractive, metric: str = "cosine", key: str = "chunk_key", index: Index | None = None, ef: int = 50) -> DataFrame:
+    """From questions to records (see answers): embed, search (see found), attach summaries, build the prompt, generate."""
+    hits = found(questions, chunks, k, embedder, metric, key, index, ef)
     return answers(contexts(questions, hits, summaries), model)

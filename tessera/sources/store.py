@@ -27,7 +27,7 @@ def stored_chunks(chunks: DataFrame, document: str = "source") -> DataFrame:
     return out.withColumn("chunk_preview", T.preview(F.col("text"))).withColumn("added_timestamp", F.current_timestamp()).dropDuplicates(["chunk_key"])
 
 
-#: What a collection is searched by, unless it was created otherwise. The search is exact, so the index settings are only kept.
+# What a collection is searched by, unless it was created otherwise. An exact search needs no ef_search.
 COLLECTIONS = {"chunks": {"space": "cosine", "ef_search": 200, "max_neighbors": 32}, "summaries": {"space": "cosine", "ef_search": 100, "max_neighbors": 16}}
 SETTINGS = "name string, space string, ef_search int, max_neighbors int"
 
