@@ -87,10 +87,17 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def label_chunks(self, assigned: DataFrame, into: str = "chunks_labelled") -> DataFrame:
-        """Chunks with cluster_id and cluster_confidence written beside them, as a new table."""
-        self.write(into, with_labels(self.chunks(), assigned))
-        return self.read(into)
+    def label_chunks(self, assigned: DataFrame, run: str = "labels") -> DataFrame:
+        """Write a run's labels (chunk_key, cluster_id, confidence) and return the chunks with them.
+
+        Labels are a narrow table of their own, so texts and vectors aren't written again; labelling a run again replaces its labels only.
+        """
+        assigned.select("chunk_key", "cluster_id", "confidence").write.mode("overwrite").parquet(self.path(f"labels/run={run}"))
+        return self.labelled(run)
+
+    def labelled(self, run: str = "labels", level: int | None = None) -> DataFrame:
+        """Chunks (of a level) with the labels of a run; null where it has none."""
+        return with_labels(self.chunks(level), self.read(f"labels/run={run}"))
 
 
 def with_labels(chunks: DataFrame, assigned: DataFrame, key: str = "chunk_key") -> DataFrame:

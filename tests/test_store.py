@@ -1,5 +1,6 @@
 import zlib
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,10 @@ def test_store_round_trip(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(level" in plan
     found = s.chunks().select("chunk_key", F.lit(3).alias("cluster_id"), F.lit(0.5).alias("confidence")).limit(1)
     assert s.label_chunks(found).where("cluster_id = 3").count() == 1
+    files = lambda: sorted(str(p) for p in Path(s.folder).rglob("chunks/**/*.parquet"))
+    before = files()
+    assert s.label_chunks(found.withColumn("cluster_id", F.lit(4)), "second").where("cluster_id = 4").count() == 1
+    assert s.labelled().where("cluster_id = 3").count() == 1 and s.labelled("second", 0).count() == s.chunks(0).count() and files() == before
     rows = spark.createDataFrame([(1, ' a "quoted"\nline  ', ["x"])], "i long, t string, l array<string>")
     store.export_csv(rows, str(tmp_path / "csv"))
     assert store.import_csv(spark, str(tmp_path / "csv"), "i long, t string, l string").first().t == ' a "quoted"\nline  '
