@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators.arrow import cut
 from tessera.operators.embedding import Embedder, embedded
-from tessera.sources.keys import Keys
+from tessera.sources.keys import KEY, Keys
 
 
 def chunk_key(source: Column, chunk_id: Column, text: Column) -> Column:
@@ -66,15 +66,17 @@ class Store:
         """Add chunks whose keys their level doesn't have yet, so a batch that runs twice adds nothing.
 
         Of the keys that are stored only those are read that filters can't rule out (see Keys); one writer at a time. Chunks
-        without a level are of level 0.
+        without a level are of level 0; one without a key is an error. What is compared and noted are keys alone: texts are
+        moved once, and only if there is anything new among them.
         """
         rows = chunks if "level" in chunks.columns else chunks.withColumn("level", F.lit(0))
-        rows = cut(rows.withColumn("level", F.coalesce("level", F.lit(0))).dropDuplicates(["level", "chunk_key"]), "append")  # named several times below
+        rows = rows.withColumn("level", F.coalesce("level", F.lit(0))).withColumn("chunk_key", F.coalesce("chunk_key", F.raise_error(F.lit("a chunk without a key"))))
         keys = self.keys()
-        new = keys.unknown(rows)
-        if self.embedder and "embedding" not in new.columns:
-            new = embedded(new, self.embedder)
-        keys.added(new, lambda: new.write.mode("append").partitionBy("level").parquet(self.path("chunks")))
+        new = cut(keys.unknown(cut(rows.select(*KEY).distinct(), "append")), "new")
+        wanted = rows.join(new, KEY, "left_semi").dropDuplicates(KEY)
+        if self.embedder and "embedding" not in wanted.columns:
+            wanted = embedded(wanted, self.embedder)
+        keys.added(new, lambda: wanted.write.mode("append").partitionBy("level").parquet(self.path("chunks")))
 
     def chunks(self, level: int | None = None) -> DataFrame:
         """All chunks, or a level's: its partition alone is read."""
