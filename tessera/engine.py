@@ -90,6 +90,10 @@ class Engine:
         """chunk_key, cluster_id, confidence, ... of chunks (chunk_key, embedding) by the model that the newest run kept of a level."""
         return Kept.load(self.spark, self.store.path(f"runs/{self.newest()}/models/level={level}")).assign(chunks, key="chunk_key")
 
+    def keywords(self, level: int = 0, k: int = 10, counted: bool = False) -> DataFrame:
+        """cluster_id, rank, word, n: the most frequent words under each cluster of a level of the newest run."""
+        return hierarchy.level_keywords(self.spark, self.store.path(f"runs/{self.newest()}"), level, k, counted)
+
     # ---- asking
 
     def chunks(self) -> DataFrame:

@@ -11,14 +11,15 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import clustering as C
+from tessera.operators import keywords as W
 from tessera.operators.embedding import Embedder, embedded, hashed_words
 from tessera.operators.models import Kept, scaled_by
 from tessera.operators.reports import cluster_sources
-from tessera.operators.summaries import summaries
+from tessera.operators.summaries import SHOWN, summaries
 
 LEAST = 3
 HISTORY = "level int, n_clusters int, silhouette double, silhouette_within double, n_items long, summaries map<int,string>, improvement double, converged boolean, stop_reason string"
@@ -57,6 +58,10 @@ def cluster_level(level_rows: DataFrame, k: int | None = None, starts: int = 5,
         scaled.unpersist()
 
 
+def summary_id(level: int) -> Column:
+    return F.format_string("level_%d_cluster_%d", F.lit(level), F.col("cluster_id"))
+
+
 class Manifest:
     """What the steps of a run have found, by level and step: a one-row table each, written when the step's tables are."""
 
@@ -77,7 +82,8 @@ def run(
 ) -> DataFrame:
     """Build the hierarchy over chunks (chunk_key, text, source, embedding); returns its history.
 
-    Writes under folder/run_id: chunks (by level), assignments, models and summaries. Stops at an improvement under least_gain
+    Writes under folder/run_id: chunks (by level), assignments, models, keywords and summaries. Texts are read for words once, at level 0;
+    higher levels merge the keyword sketches of their parts. Stops at an improvement under least_gain
     (converged), at a level under LEAST rows, or after most_levels. The history's summaries are those of the level's
     clusters, eight at most. With the run_id of a run that didn't end, its finished steps aren't done again.
     """
@@ -98,13 +104,23 @@ def run(
             result["model"].save(spark, own("models"))
             return {c: result[c] for c in ("k", "n", "silhouette", "within")}
 
+        def worded() -> dict:
+            found = spark.read.parquet(own("assignments")).select("chunk_key", "cluster_id")
+            if level:
+                parts = spark.read.parquet(f"{at}/keywords/level={level - 1}").withColumn("chunk_key", F.concat(F.lit("summary_"), summary_id(level - 1))).drop("cluster_id")
+                put("keywords", W.merged(parts.join(F.broadcast(found), "chunk_key"), "chunk_key", "cluster_id"))  # a level above the first has few rows
+            else:
+                put("keywords", W.sketch(spark.read.parquet(own("chunks")).select("chunk_key", "text").join(found, "chunk_key"), "cluster_id", "chunk_key"))
+            return {}
+
         def summarised() -> dict:
             found = spark.read.parquet(own("assignments"))
             both = spark.read.parquet(own("chunks")).join(found, "chunk_key")
             sources = cluster_sources(both.select("cluster_id", "confidence", F.explode("sources").alias("source"))).select("cluster_id", "sources")
             confidence = found.groupBy("cluster_id").agg(F.avg("confidence").alias("avg_confidence"))
-            made = summaries(both.select("cluster_id", "chunk_key", "text"), "cluster_id", "chunk_key", model).join(sources, "cluster_id").join(confidence, "cluster_id")
-            made = made.withColumn("summary_id", F.format_string("level_%d_cluster_%d", F.lit(level), F.col("cluster_id"))).withColumn("silhouette_score", F.lit(result["silhouette"])).withColumn("created_at", F.current_timestamp())
+            counted = None if level else W.ranked(spark.read.parquet(own("keywords")), "cluster_id", SHOWN)  # the words of summaries aren't those of what they sum up
+            made = summaries(both.select("cluster_id", "chunk_key", "text"), "cluster_id", "chunk_key", model, counted=counted).join(sources, "cluster_id").join(confidence, "cluster_id")
+            made = made.withColumn("summary_id", summary_id(level)).withColumn("silhouette_score", F.lit(result["silhouette"])).withColumn("created_at", F.current_timestamp())
             put("summaries", made)
             return {r["cluster_id"]: r["summary"] for r in spark.read.parquet(own("summaries")).select("cluster_id", "summary").collect()}
 
@@ -114,6 +130,7 @@ def run(
             if history:
                 history[-1] = (*history[-1][:-1], "too few items above")
             break
+        noted.once(level, "keywords", worded)
         texts = {int(c): t for c, t in noted.once(level, "summaries", summarised).items()}
         gain = result["silhouette"] - before if level else 1.0
         stop = level > 0 and gain < least_gain
@@ -127,3 +144,25 @@ def run(
         if history:
             history[-1] = (*history[-1][:-1], history[-1][-1] or "most levels")
     return spark.createDataFrame(history, HISTORY)
+
+
+def beneath(spark: SparkSession, at: str, level: int) -> DataFrame:
+    """chunk_key, cluster_id: the chunks of level 0 under each cluster of a level, in the run at a folder."""
+    found = spark.read.parquet(f"{at}/assignments/level={level}").select("chunk_key", "cluster_id")
+    for lower in range(level - 1, -1, -1):
+        parts = spark.read.parquet(f"{at}/assignments/level={lower}").select(F.col("chunk_key").alias("__part"), "cluster_id")
+        parts = parts.select("__part", F.concat(F.lit("summary_"), summary_id(lower)).alias("chunk_key"))
+        found = parts.join(F.broadcast(found), "chunk_key").select(F.col("__part").alias("chunk_key"), "cluster_id")  # a row a cluster of the level below
+    return found
+
+
+def level_keywords(spark: SparkSession, at: str, level: int, k: int = W.KEYWORDS, counted: bool = False) -> DataFrame:
+    """cluster_id, rank, word, n: the most frequent words of all chunks under each cluster of a level.
+
+    From the sketches alone, n is what is known for sure. `counted` counts the words that may be among the first in the texts.
+    """
+    sketched = spark.read.parquet(f"{at}/keywords/level={level}")
+    if not counted:
+        return W.ranked(sketched, "cluster_id", k)
+    rows = spark.read.parquet(f"{at}/chunks/level=0").select("chunk_key", "text").join(beneath(spark, at, level), "chunk_key")
+    return W.exact(rows, sketched, "cluster_id", "chunk_key", k)

@@ -1,7 +1,7 @@
 """Summaries of groups of texts: keywords, the input and the default of a summariser, and the summariser's plug.
 
 `by` names the group, `order` the columns that put a group's texts in order. Only the first texts of a group are ever
-brought together; counts are aggregated.
+brought together; counts are aggregated (see `keywords`).
 """
 
 from __future__ import annotations
@@ -14,25 +14,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.calls import Answers
+from tessera.operators.keywords import keywords
 
 # The texts of the summariser's prompt and of the summary made without one.
 SEPARATOR = "\n\n---\n\n"
 SUMMARY = ("Cluster Summary:\n- Total chunks: ", "\n- Key themes: ", "\n- Sample content: ", "...\n\nThis cluster contains content related to these key concepts.")
-FIRST_TEXTS, MOST_CHARS, SAMPLE_CHARS, KEYWORDS, SHOWN = 15, 4000, 200, 10, 8
-
-
-def keywords(rows: DataFrame, by: str, order: str, k: int = KEYWORDS, text: str = "text") -> DataFrame:
-    """by, rank, word, n: the k most frequent words over 3 letters that aren't stop words; ties by first occurrence.
-
-    Words are counted a text first and then a group: both steps keep numbers only, so they hash and need no sort, and
-    all of them combine before they shuffle.
-    """
-    each = rows.select(by, order, F.posexplode(T.words(F.col(text))).alias("at", "word"))
-    each = each.where((F.length("word") > 3) & ~F.col("word").isin(T.STOP_WORDS))
-    in_text = each.groupBy(by, order, "word").agg(F.count("*").alias("n"), F.min("at").alias("at"))
-    counted = in_text.groupBy(by, "word").agg(F.sum("n").alias("n"), F.min(order).alias("__order"), F.min_by("at", order).alias("at"))
-    best = Window.partitionBy(by).orderBy(F.desc("n"), "__order", "at")
-    return counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(by, "rank", "word", "n")
+FIRST_TEXTS, MOST_CHARS, SAMPLE_CHARS, SHOWN = 15, 4000, 200, 8
 
 
 def null_safe(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
@@ -53,21 +40,21 @@ def summary_input(rows: DataFrame, by: str, order: str, n: int = FIRST_TEXTS, mo
     return head.groupBy(by).agg(joined.alias("input")).select(by, T.truncated(F.col("input"), most).alias("input"))
 
 
-def fallback_summaries(rows: DataFrame, by: str, order: str, text: str = "text") -> DataFrame:
-    """by, chunks_count, summary: the summary made without a model."""
-    words = keywords(rows, by, order, KEYWORDS, text).where(F.col("rank") <= SHOWN).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("themes"))
+def fallback_summaries(rows: DataFrame, by: str, order: str, text: str = "text", counted: DataFrame | None = None) -> DataFrame:
+    """by, chunks_count, summary: the summary made without a model. `counted` has the groups' keywords, if they are known."""
+    words = (keywords(rows, by, order, SHOWN, text) if counted is None else counted).where(F.col("rank") <= SHOWN).groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("themes"))
     sample = first_texts(rows, by, order, 1, text).select(F.col(by).alias("__by"), F.substring(text, 1, SAMPLE_CHARS).alias("sample"))
     out = null_safe(null_safe(rows.groupBy(by).agg(F.count("*").alias("chunks_count")), words, by), sample.withColumnRenamed("__by", by), by)
     summary = F.concat(F.lit(SUMMARY[0]), F.col("chunks_count").cast("string"), F.lit(SUMMARY[1]), F.coalesce("themes", F.lit("")), F.lit(SUMMARY[2]), F.col("sample"), F.lit(SUMMARY[3]))
     return out.select(by, "chunks_count", T.strip(summary).alias("summary"))
 
 
-def summaries(rows: DataFrame, by: str, order: str, model: Callable[[str], str] | Answers | None = None, text: str = "text") -> DataFrame:
+def summaries(rows: DataFrame, by: str, order: str, model: Callable[[str], str] | Answers | None = None, text: str = "text", counted: DataFrame | None = None) -> DataFrame:
     """by, chunks_count, summary. `model` maps an input to a summary; if it fails or says nothing, the default stands in.
 
     With Answers, equal inputs are asked once, several at a time, and never again once they are answered.
     """
-    default = fallback_summaries(rows, by, order, text)
+    default = fallback_summaries(rows, by, order, text, counted)
     if model is None:
         return default
     both = null_safe(default, summary_input(rows, by, order, text=text), by)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera.engine import chunked
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import chunking, clustering, evaluation, hierarchy, reports, retrieval, search, semantic, summaries
-from tessera.operators.arrow import shared_folder
+from tessera.operators import chunking, clustering, evaluation, hierarchy, keywords, reports, retrieval, search, semantic, summaries
+from tessera.operators.arrow import cut, shared_folder
 from tessera.operators.calls import Answers
 from tessera.operators.embedding import embedded, letters
 from tessera.operators.generation import extractive
@@ -189,7 +189,16 @@ def extension_dispatch(spark, d):
 
 @query("keyword_topk", O.KEYWORDS)
 def keyword_topk(spark, d):
-    return summaries.keywords(documents(spark, d), "source", "doc_id")
+    return keywords.keywords(documents(spark, d), "source", "doc_id")
+
+
+@query("keywords_merged", O.KEYWORDS)
+def keywords_merged(spark, d):
+    """The same from sketches of each source's languages, merged; texts are read again for the words that may be among the first."""
+    docs = documents(spark, d).withColumn("part", F.to_json(F.struct("source", "lang")))
+    parts = cut(keywords.sketch(docs, "part", "doc_id"), "sketches")
+    parts = parts.withColumn("source", F.from_json("part", "source string, lang string")["source"])
+    return keywords.exact(docs, cut(keywords.merged(parts, "part", "source"), "merged"), "source", "doc_id")
 
 
 @query("fallback_summary", O.FALLBACK)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import clustering as C
-from tessera.operators import chunking, evaluation, hierarchy, reports, retrieval, search, semantic, summaries
+from tessera.operators import chunking, evaluation, hierarchy, keywords, reports, retrieval, search, semantic, summaries
 from tessera.operators.embedding import embedded, hashed_words
 
 
@@ -133,8 +133,8 @@ def test_summaries_of_the_null_group(spark):
     asked = {r.source: r.summary for r in summaries.summaries(rows, "source", "doc_id", lambda t: t[:11]).collect()}
     assert asked == {None: "river river", "a": "stone wall"}
     ties = spark.createDataFrame([("x", 2, "later words here"), ("x", 1, "here first later")], "source string, doc_id long, text string")
-    assert [r.word for r in summaries.keywords(ties, "source", "doc_id").orderBy("rank").collect()] == ["here", "later", "first", "words"]
-    plan = summaries.keywords(rows, "source", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert [r.word for r in keywords.keywords(ties, "source", "doc_id").orderBy("rank").collect()] == ["here", "later", "first", "words"]
+    plan = keywords.keywords(rows, "source", "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan
 
 
