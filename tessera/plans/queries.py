@@ -113,7 +113,7 @@ def store_scan(spark, d):
     """Chunks of two levels, added twice to a store in the shared folder and read back."""
     s = store.Store(spark, shared_folder(spark, "store"))
     made = chunking.sliding(documents(spark, d)).withColumn("level", (F.col("doc_id") % 2).cast("int"))
-    rows = store.stored_chunks(made, "doc_id")
+    rows = store.stored_chunks(made, "doc_id", once=False)
     s.append_chunks(rows)
     s.append_chunks(rows)
     return s.chunks().select("doc_id", "chunk_key", "chunk_index", "level", "text")

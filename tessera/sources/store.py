@@ -21,10 +21,14 @@ def chunk_key(source: Column, chunk_id: Column, text: Column) -> Column:
     return F.concat_ws("_", source, chunk_id, F.substring(F.md5(F.concat_ws("|", source, chunk_id, text)), 1, 8))
 
 
-def stored_chunks(chunks: DataFrame, document: str = "source") -> DataFrame:
-    """Chunks as they are stored (`document` is the column that names theirs): key, preview and time beside what they have; once each."""
+def stored_chunks(chunks: DataFrame, document: str = "source", once: bool = True) -> DataFrame:
+    """Chunks as they are stored (`document` is the column that names theirs): key, preview and time beside what they have.
+
+    Each stands once; an append sees to that by itself, so what is only appended needn't be shuffled for it (`once`).
+    """
     out = chunks.withColumn("chunk_key", chunk_key(F.col(document).cast("string"), F.col("chunk_id").cast("string"), F.col("text")))
-    return out.withColumn("chunk_preview", T.preview(F.col("text"))).withColumn("added_timestamp", F.current_timestamp()).dropDuplicates(["chunk_key"])
+    out = out.withColumn("chunk_preview", T.preview(F.col("text"))).withColumn("added_timestamp", F.current_timestamp())
+    return out.dropDuplicates(["chunk_key"]) if once else out
 
 
 # What a collection is searched by, unless it was created otherwise. An exact search needs no ef_search.
@@ -73,6 +77,8 @@ class Store:
         rows = rows.withColumn("level", F.coalesce("level", F.lit(0))).withColumn("chunk_key", F.coalesce("chunk_key", F.raise_error(F.lit("a chunk without a key"))))
         keys = self.keys()
         new = cut(keys.unknown(cut(rows.select(*KEY).distinct(), "append")), "new")
+        if new.isEmpty():
+            return
         wanted = rows.join(new, KEY, "left_semi").dropDuplicates(KEY)
         if self.embedder and "embedding" not in wanted.columns:
             wanted = embedded(wanted, self.embedder)

@@ -19,5 +19,5 @@ def chunk_stream(spark: SparkSession, folder: str, schema: str = SCHEMA, files_a
 
 def ingest(spark: SparkSession, folder: str, store: Store, checkpoint: str) -> StreamingQuery:
     """Append chunks of all files that are there, then stop. A batch that runs twice is made good by the chunks' keys."""
-    write = lambda batch, _: store.append_chunks(stored_chunks(batch, "doc_id"))
+    write = lambda batch, _: store.append_chunks(stored_chunks(batch, "doc_id", once=False))
     return chunk_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
