@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def shown(engine: Engine, record: dict, say: Callable[[str], None], quiet: bool) -> None:
-    say(record["answer"])
+    say(record["answer"] or "")
     if record["sources"]:
         say(f"Sources: {', '.join(record['sources'])}")
     if not quiet and record["relevance_scores"]:

@@ -125,8 +125,8 @@ class Engine:
         past = self.spark.createDataFrame([([(x["question"], x["answer"]) for x in self.conversation[-retrieval.TURNS :]],)], "history array<struct<question:string,answer:string>>")
         record = retrieval.answers(context.join(F.broadcast(past)), self.model, history=True).first().asDict()  # one row each
         record |= {"response_time": time.time() - began}
-        if not record["answer"].startswith("Error: "):
-            self.conversation.append({"question": question, "answer": record["answer"], "timestamp": datetime.now().isoformat(), "sources": record["sources"]})
+        if not (record["answer"] or "").startswith("Error: "):
+            self.conversation.append({"question": question, "answer": record["answer"] or "", "timestamp": datetime.now().isoformat(), "sources": record["sources"]})
             record["conversation_turns"] = len(self.conversation)
         return record
 

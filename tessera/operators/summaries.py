@@ -59,7 +59,7 @@ def summaries(rows: DataFrame, by: str, order: str, model: Callable[[str], str]
         return default
     both = null_safe(default, summary_input(rows, by, order, text=text), by)
     if isinstance(model, Answers):
-        return model.ask(both, "input").select(by, "chunks_count", F.coalesce(F.nullif("answer", F.lit("")), "summary").alias("summary"))
+        return model.ask(both, "input").select(by, "chunks_count", F.coalesce(F.nullif(T.strip(F.col("answer")), F.lit("")), "summary").alias("summary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -146,3 +146,14 @@ def test_engine_keeps_answers(spark, server, tmp_path):
     first, second = (e.ask(["What flows?"]).select("answer", "sources").first() for _ in range(2))
     assert first == second and sum(server.asked.values()) == 1
     assert e.chat("What flows?")["answer"].startswith("re ") and e.store.read("answers/answers").where(F.col("tokens") > 0).count() >= 1
+
+
+def test_answers_end_where_they_are_cut(spark, tmp_path):
+    """An answer of 500 characters that ends with a space keeps it; a best hit without text has no answer, which isn't an empty one."""
+    text = "w" * 499 + " and on"
+    hits = spark.createDataFrame([(1, 1, 0.9, text, "s", None), (2, 1, 0.9, None, "s", None), (2, 2, 0.8, "second", "s", None)], "query_id long, rank int, score double, text string, source string, cluster_id int")
+    rows = retrieval.contexts(spark.createDataFrame([(1, "a?"), (2, "b?")], "query_id long, question string"), hits)
+    kept = Answers(spark, str(tmp_path / "kept"), generation.extractive, "extractive")
+    for model in (generation.extractive, kept, kept):
+        got = {r.query_id: (r.answer, r.context_chunks, r.tokens_generated) for r in retrieval.answers(rows, model).collect()}
+        assert got == {1: (text[:500], 1, 1), 2: (None, 2, None)}
