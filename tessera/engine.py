@@ -25,15 +25,15 @@ from tessera.operators.generation import Model, extractive
 from tessera.operators.index import Index
 from tessera.operators.models import Kept
 from tessera.sources import readers
-from tessera.sources.store import Store, default_name, export_csv, stored_chunks
+from tessera.sources.store import SHORT, Store, default_name, export_csv, stored_chunks
 
 CHUNKERS = {"paragraphs": chunking.paragraphs, "sliding": chunking.sliding}
 
 
-def chunked(documents: DataFrame, how: str = "paragraphs", once: bool = True) -> DataFrame:
+def chunked(documents: DataFrame, how: str = "paragraphs", once: bool = True, digits: int = SHORT) -> DataFrame:
     """Documents (source, text) that have any text, as chunks ready to be stored."""
     texts = documents.where(F.col("text").isNotNull() & ~T.is_blank(F.col("text")))
-    return stored_chunks(CHUNKERS[how](texts, keep=("source",)), once=once)
+    return stored_chunks(CHUNKERS[how](texts, keep=("source",)), once=once, digits=digits)
 
 
 class Engine:
@@ -63,7 +63,7 @@ class Engine:
     def ingest(self, paths: list[str], pages_of: Callable | None = None, how: str = "paragraphs") -> int:
         """Read files, clean and chunk them, embed and store what is new; how many chunks that is."""
         before = self.n_chunks(0)
-        self.store.append_chunks(chunked(readers.read_documents(self.spark, paths, pages_of), how, once=False))
+        self.store.append_chunks(chunked(readers.read_documents(self.spark, paths, pages_of), how, once=False, digits=self.store.digits()))
         self.reindex()
         return self.n_chunks(0) - before
 

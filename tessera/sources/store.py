@@ -6,6 +6,7 @@ changes nothing.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,18 +18,23 @@ from tessera.operators.embedding import Embedder, embedded
 from tessera.sources.keys import KEY, Keys
 
 
-def chunk_key(source: Column, chunk_id: Column, text: Column) -> Column:
-    return F.concat_ws("_", source, chunk_id, F.substring(F.md5(F.concat_ws("|", source, chunk_id, text)), 1, 8))
+#: Hexadecimal digits of a key's hash. SHORT ones of different texts meet by chance once a document's name has some 100,000 texts.
+SHORT, LONG = 8, 32
 
 
-def stored_chunks(chunks: DataFrame, document: str = "source", once: bool = True) -> DataFrame:
+def chunk_key(source: Column, chunk_id: Column, text: Column, digits: int = SHORT) -> Column:
+    return F.concat_ws("_", source, chunk_id, F.substring(F.md5(F.concat_ws("|", source, chunk_id, text)), 1, digits))
+
+
+def stored_chunks(chunks: DataFrame, document: str = "source", once: bool = True, digits: int = SHORT) -> DataFrame:
     """Chunks as they are stored (`document` is the column that names theirs): key, preview and time beside what they have.
 
-    Each stands once; an append sees to that by itself, so what is only appended needn't be shuffled for it (`once`).
+    Each stands once, told by document, chunk_id and text, since different texts may share a short key. An append sees to that
+    by itself, but by the key alone: what is only appended needn't be shuffled for it (`once`), and wants LONG `digits`.
     """
-    out = chunks.withColumn("chunk_key", chunk_key(F.col(document).cast("string"), F.col("chunk_id").cast("string"), F.col("text")))
+    out = chunks.withColumn("chunk_key", chunk_key(F.col(document).cast("string"), F.col("chunk_id").cast("string"), F.col("text"), digits))
     out = out.withColumn("chunk_preview", T.preview(F.col("text"))).withColumn("added_timestamp", F.current_timestamp())
-    return out.dropDuplicates(["chunk_key"]) if once else out
+    return out.dropDuplicates(["chunk_key", document, "chunk_id", "text"]) if once else out
 
 
 # What a collection is searched by, unless it was created otherwise. An exact search needs no ef_search.
@@ -66,6 +72,11 @@ class Store:
         read = lambda: self.spark.read.schema("chunk_key string, level int").parquet(self.path("chunks")).select("level", "chunk_key")
         return Keys(self.spark, self.path("keys"), lambda: read() if self.exists("chunks") else None)
 
+    def digits(self) -> int:
+        """Digits of the keys' hashes: LONG, but SHORT in a store that was begun with such, so that a chunk keeps its key."""
+        first = self.chunks().select("chunk_key").first() if self.exists("chunks") else None
+        return LONG if first is None or re.search(rf"_[0-9a-f]{{{LONG}}}\Z", first[0]) else SHORT
+
     def append_chunks(self, chunks: DataFrame) -> None:
         """Add chunks whose keys their level doesn't have yet, so a batch that runs twice adds nothing.
 

@@ -5,8 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.engine import chunked
 from tessera.operators import chunking
 from tessera.operators.embedding import hashed_words
+from tessera.plans import queries as Q
 from tessera.sources import pdf, readers, store
 from tessera.streaming.ingest import ingest
 
@@ -122,3 +124,20 @@ def test_entry_and_queries(spark):
 
     assert e.entry(spark).count() == 25
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_chunks_whose_short_keys_meet(spark, tmp_path):
+    """Two texts with the same 8 digits of a hash are two chunks, in the query as in a store."""
+    docs = spark.createDataFrame([(1, "text 47335", "s"), (2, "text 86592", "s"), (3, "text 86592", "s")], "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = Q.queries()["ingest_chunks"](spark, str(tmp_path)).collect()
+    assert {r.chunk_key for r in got} == {"s_chunk_000000_fc517414"} and sorted(r.chunk_preview for r in got) == ["text 47335", "text 86592"]
+    assert chunked(docs).count() == 2
+    s = store.Store(spark, str(tmp_path / "store"))
+    for _ in range(2):
+        s.append_chunks(chunked(docs, once=False, digits=s.digits()))
+        assert sorted(r.text for r in s.chunks().collect()) == ["text 47335", "text 86592"]
+    old = store.Store(spark, str(tmp_path / "old"))
+    old.append_chunks(chunked(docs.where("doc_id = 1")))
+    old.append_chunks(chunked(docs.where("doc_id = 1"), once=False, digits=old.digits()))
+    assert [r.chunk_key for r in old.chunks().collect()] == ["s_chunk_000000_fc517414"]
