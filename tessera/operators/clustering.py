@@ -281,44 +281,61 @@ def criteria(log_likelihood, n, k: int, d: int, full: bool = False) -> tuple:
 # ---- silhouette
 
 
+#: Groups of blocks that all blocks are sent past, while no group has over HELD numbers of its own (vectors and sums).
+GROUPS, HELD = 24, 1 << 23
+
+
 def packed(rows: DataFrame, label: str, vector: str, key: str, block: int) -> DataFrame:
-    """block (numbered from 0), labels and vectors (as bytes), keys: `block` rows at most in each."""
-    kind = rows.schema[key].dataType.simpleString()
+    """block (numbered from 0), labels and vectors (as bytes, of the vectors' own type), keys: `block` rows at most in each."""
+    kind, exact = rows.schema[key].dataType.simpleString(), real(rows, vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, block):
                 part = b.slice(i, block)
                 keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (part.column(1).to_numpy().astype(np.int64), matrix(part.column(2)))]
+                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (part.column(1).to_numpy().astype(np.int64), matrix(part.column(2)).astype(exact))]
                 yield pa.RecordBatch.from_arrays([keys, *blobs], ["keys", "labels", "vectors"])
 
     made = rows.where(F.col(vector).isNotNull()).select(key, F.col(label).cast("long"), vector).mapInArrow(run, f"keys array<{kind}>, labels binary, vectors binary")
     made = cut(made.withColumn("at", F.monotonically_increasing_id()), "silhouette-blocks")
     number = made.select("at", (F.row_number().over(Window.orderBy("at")) - 1).alias("block"))  # a row a block
-    return made.join(number, "at").drop("at")
+    return made.join(F.broadcast(number), "at").drop("at")
+
+
+def real(rows: DataFrame, vector: str) -> type:
+    """The numbers of a vector column as numpy has them."""
+    return np.float32 if rows.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+
+
+def passes(rows: DataFrame, label: str = "label", vector: str = "embedding", key: str = "vec_id", block: int = 2000) -> tuple[DataFrame, dict[int, int]]:
+    """group, passes, keys, labels, vectors: each group's own blocks (0), then all blocks (1), a task a group; and the labels' sizes."""
+    sizes = {r[0]: r[1] for r in rows.where(F.col(vector).isNotNull()).groupBy(F.col(label).cast("long")).count().collect()}
+    kind, exact = rows.schema[key].dataType.simpleString(), real(rows, vector)
+    blocks = packed(rows, label, vector, key, min(block, max(100, sum(sizes.values()) // GROUPS + 1)))
+    n, numbers = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("vectors")), F.lit(0))).first()
+    numbers = numbers // np.dtype(exact).itemsize + sum(sizes.values()) * len(sizes)
+    groups = max(1, min(n, max(GROUPS, -(-numbers // HELD))))
+    own = blocks.select((F.col("block") % groups).cast("int").alias("group"), F.lit(0).alias("passes"), "keys", "labels", "vectors")
+    other = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("passes"), F.lit(None).cast(f"array<{kind}>").alias("keys"), "labels", "vectors")
+    return own.unionByName(other).repartitionByRange(groups, "group").sortWithinPartitions("group", "passes"), sizes
 
 
 def silhouettes(rows: DataFrame, label: str = "label", vector: str = "embedding", key: str = "vec_id", block: int = 2000) -> DataFrame:
     """key, label, s of each row with a vector: exact, Euclidean.
 
-    By nature all rows meet all rows: blocks of rows are joined with blocks on the executors, whose memory holds two
-    at a time; a block's sums of distances to each label are added up before they leave their task.
+    By nature all rows meet all rows, so the time grows as their square. A task holds a group of blocks and the sums of distances to each
+    label of their rows, and all blocks go past it, one at a time. With GROUPS groups what is moved grows as the rows; a group may
+    not have over HELD numbers, so very many rows (2.6 million of 64 dimensions) make more groups.
     """
-    sizes = {r[0]: r[1] for r in rows.where(F.col(vector).isNotNull()).groupBy(F.col(label).cast("long")).count().collect()}
-    labels, kind = sorted(sizes), rows.schema[key].dataType.simpleString()
-    blocks = packed(rows, label, vector, key, block)
-    n = blocks.count()
-    other = blocks.select(F.col("block").alias("other"), F.col("labels").alias("o_labels"), F.col("vectors").alias("o_vectors"))
-    own = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("other"))
-    pairs = own.join(other, "other").repartition("block").sortWithinPartitions("block")
+    met, sizes = passes(rows, label, vector, key, block)
+    labels, kind, exact = sorted(sizes), rows.schema[key].dataType.simpleString(), real(rows, vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, mine, sums = None, None, None, None
+        now, held = None, []  # keys, labels' places, vectors, their squares and sums of each block of the group
         counts = np.array([sizes[v] for v in labels], float)
 
-        def finished() -> pa.RecordBatch:
-            at = np.searchsorted(labels, mine)
+        def finished(keys: pa.Array, at: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
             rows = np.arange(len(at))
             inside = sums[rows, at] / np.maximum(counts[at] - 1, 1)
             away = sums / counts
@@ -327,27 +344,35 @@ def silhouettes(rows: DataFrame, label: str = "label", vector: str = "embedding"
             top = np.maximum(inside, nearest)
             with np.errstate(invalid="ignore"):
                 s = np.where((counts[at] == 1) | np.isinf(nearest) | (top == 0), 0.0, (nearest - inside) / np.where(top == 0, 1, top))
-            return pa.RecordBatch.from_arrays([keys, pa.array(mine.astype(np.int32)), pa.array(s)], [key, label, "s"])
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.array(labels)[at].astype(np.int32)), pa.array(s)], [key, label, "s"])
 
         for b in batches:
             for i in range(b.num_rows):
-                r = {c: b.column(c)[i] for c in b.schema.names}
-                if r["block"].as_py() != now:
-                    if now is not None:
-                        yield finished()
-                    now, keys, mine = r["block"].as_py(), r["keys"].values, np.frombuffer(r["labels"].as_py(), np.int64)
-                    sums = np.zeros((len(mine), len(labels)))
-                theirs = np.frombuffer(r["o_labels"].as_py(), np.int64)
-                x, q = np.frombuffer(r["vectors"].as_py()).reshape(len(mine), -1), np.frombuffer(r["o_vectors"].as_py()).reshape(len(theirs), -1)
-                both = (x * x).sum(1)[:, None] + (q * q).sum(1)[None]
-                far = both - 2 * x @ q.T
-                far[far < 1e-12 * both] = 0  # a row with itself
-                sums += np.sqrt(far) @ (theirs[:, None] == np.array(labels)[None]).astype(float)
-        if now is not None:
-            yield finished()
-
-    columns = ["block", "keys", "labels", "vectors", "o_labels", "o_vectors"]
-    return pairs.select(*columns).mapInArrow(run, f"{key} {kind}, {label} int, s double")
+                group, passes = b.column("group")[i].as_py(), b.column("passes")[i].as_py()
+                if group != now:
+                    for keys, at, _, _, sums in held:
+                        yield finished(keys, at, sums)
+                    now, held = group, []
+                at = np.searchsorted(labels, np.frombuffer(b.column("labels")[i].as_buffer(), np.int64))
+                q = np.frombuffer(b.column("vectors")[i].as_buffer(), exact).reshape(len(at), -1).astype(float)
+                squares = (q * q).sum(1)
+                if not passes:
+                    keys = pa.concat_arrays([b.column("keys")[i].values])
+                    held.append((keys, at, q, squares, np.zeros((len(at), len(labels)))))
+                    continue
+                one = (at[:, None] == np.arange(len(labels))[None]).astype(float)
+                for _, _, x, own, sums in held:
+                    both = own[:, None] + squares[None]
+                    far = x @ q.T
+                    far *= -2
+                    far += both
+                    both *= 1e-12
+                    far[far < both] = 0  # a row with itself
+                    sums += np.sqrt(far, out=far) @ one
+        for keys, at, _, _, sums in held:
+            yield finished(keys, at, sums)
+
+    return met.mapInArrow(run, f"{key} {kind}, {label} int, s double")
 
 
 def silhouette_estimate(rows: DataFrame, label: str = "label", vector: str = "embedding", key: str = "vec_id", per_label: int = 400, seed: int = 42) -> tuple[float, float]:

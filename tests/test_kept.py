@@ -139,6 +139,16 @@ def test_kept_full_and_projected_models(spark, blobs, tmp_path):
 # ---- silhouettes
 
 
+def test_what_silhouettes_move(spark):
+    """All blocks go past a fixed number of groups: the rows that are moved grow as the table, not as its square."""
+    moved = []
+    for n in (3000, 12000):
+        df = spark.range(n).select(F.col("id").alias("vec_id"), (F.col("id") % 3).cast("int").alias("label"), F.array((F.col("id") % 7).cast("float"), (F.col("id") % 11).cast("float")).alias("embedding")).repartition(8)
+        assert C.silhouettes(df, block=100).count() == n
+        moved.append(sum(len(v) for v in C.passes(df, block=100)[0].select("vectors").toPandas()["vectors"]))
+    assert moved[1] <= 4.2 * moved[0]
+
+
 def test_silhouette_estimate(spark, blobs):
     x, df = blobs
     exact = C.silhouettes(df).agg(F.avg("s")).first()[0]
