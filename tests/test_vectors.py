@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.ml.feature import BucketedRandomProjectionLSHModel
 from pyspark.sql import functions as F
 
 from tessera.operators import clustering as C
@@ -26,6 +27,20 @@ def test_top_k(blobs):
     assert search.top_k(df, q.where("query_id < 0"), 4).count() == 0
 
 
+def test_approximate_top_k_moves_no_pairs(spark, monkeypatch):
+    """Copies make no pairs that are moved: rows meet the queries where they lie, and each query keeps its k best there."""
+    monkeypatch.setattr(search, "BucketedRandomProjectionLSH", type("Hashes", (search.BucketedRandomProjectionLSH,), {"_create_model": lambda self, java: Hashing(java)}))
+    e = spark.range(900).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 600, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.cos("id"), F.sin("id"))).cast("array<float>").alias("embedding"))
+    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in search.approximate_top_k(e, q).collect()}
+    assert len(got) == 45 and all(got[(i, n)] == n - 1 for i in range(0, 600, 100) for n in range(1, 6)) and all(got[(i, 1)] == i for i in (600, 700, 800))
+
+
+class Hashing(BucketedRandomProjectionLSHModel):
+    def approxSimilarityJoin(self, *_, **__):
+        raise AssertionError("all pairs of a bucket")
+
+
 def test_approximate_top_k_recall(spark):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
