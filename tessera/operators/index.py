@@ -12,8 +12,8 @@ How many cells a search must read depends on how the vectors lie, so it is measu
 nearest neighbours of some of them should be in their nearest cells in RECALL of all cases. Rows of the whole table
 lie closer together than the sample's, so their neighbours are found at least as often.
 
-A cell that many rows share (copies, say) is many blocks: writing balances them over tasks, and each pair of a block and a block
-of queries is a row of a join, which Spark broadcasts or splits. So no task holds a cell.
+A cell that many rows share (copies, say) is many blocks: writing balances them over tasks, and a search sends its queries, a bounded
+number at a time, to the blocks. So no task holds a cell.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from tessera.operators.arrow import cut, lists, matrix
 from tessera.operators.clustering import centres as spread_out
-from tessera.operators.search import top_k, unit
+from tessera.operators.search import in_blocks, top_k, unit
 
-#: Rows of a block of the index, queries of a block, and cells at most.
+#: Rows of a block of the index, queries compared with one at once, and cells at most.
 BLOCK, QUERIES, MOST_CELLS = 1024, 256, 4096
+#: Queries sent to the index at once, and candidates that a task keeps of them, at most.
+ASKED_AT_ONCE, KEPT = 10_000, 2_000_000
 #: Vectors that centres are made from, and rounds of k-means over them.
 SAMPLE, ROUNDS = 40_000, 12
 #: Share of neighbours that the probed cells should hold, measured with so many rows and neighbours of each.
@@ -164,38 +166,56 @@ class Index:
         return self.spark.read.schema(schema).parquet(f"{self.folder}/rows").where(F.col("cell").isin(cells))
 
     def candidates(self, queries: DataFrame, ef: int, probes: int | None = None, query_id: str = "query_id") -> DataFrame:
-        """query_id, key and the score by codes of the best `ef` rows in the `probes` cells nearest to each query."""
-        known, id_kind = self.settings(), queries.schema[query_id].dataType.simpleString()
-        kind = known["kind"]
-        key, shared = self.key, self.spark.sparkContext.broadcast(self.centres())
-        asked = self.nearest(queries.where(F.col(self.vector).isNotNull()).select(query_id, self.vector), probes or known["probes"])
+        """query_id, key and the score by codes of the best `ef` rows in the `probes` cells nearest to each query.
 
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for cell, ids, x in runs(batches, QUERIES):
-                yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["cell", "ids", "asked"])
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    cell, keys, ids = b.column("cell")[i].as_py(), b.column("keys")[i].values, b.column("ids")[i].values
-                    x = decoded(np.frombuffer(b.column("codes")[i].as_py(), np.int8).reshape(len(keys), -1), shared.value[cell].astype(np.float32))
-                    s = np.frombuffer(b.column("asked")[i].as_py(), np.float32).reshape(len(ids), -1) @ x.T
-                    n = min(ef, len(keys))
-                    at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), n))), keys.take(pa.array(at.ravel())), pa.array(np.take_along_axis(s, at, 1).ravel())], [query_id, key, "by_code"])
-
-        asked = asked.hint("rebalance", "cell").sortWithinPartitions("cell").mapInArrow(packed, f"cell int, ids array<{id_kind}>, asked binary")
-        cells = [r[0] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
-        found = self.blocks(cells).join(asked, "cell").mapInArrow(compare, f"{query_id} {id_kind}, {key} {kind}, by_code float")
-        best = Window.partitionBy(query_id).orderBy(F.desc("by_code"), key)
-        return found.withColumn("i", F.row_number().over(best)).where(F.col("i") <= ef).drop("i")
+        A block of queries is sent to the index, whose tasks keep the best `ef` of each as they go: neither queries nor codes are
+        moved for the pairs that they make.
+        """
+        known, made = self.settings(), self.centres()
+        key, kind, n_probes = self.key, known["kind"], min(probes or known["probes"], len(made))
+
+        def searched(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+            asked = unit(q)
+            wanted = np.zeros((len(made), len(ids)), bool)  # of each cell, the queries that probe it
+            for i in range(0, len(ids) if n_probes else 0, QUERIES):
+                cell = np.argpartition(-(asked[i : i + QUERIES] @ made.T), n_probes - 1, axis=1)[:, :n_probes]
+                wanted[cell.ravel(), i + np.repeat(np.arange(len(cell)), n_probes)] = True
+            shared = self.spark.sparkContext.broadcast((ids, asked.astype(np.float32), made.astype(np.float32), np.packbits(wanted, axis=1)))
+
+            def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                ids, asked, made, bits = shared.value
+                best, own, id_type = np.full((len(ids), ef), -np.inf, np.float32), np.zeros((len(ids), ef), object), None
+                for b in batches:
+                    for i in range(b.num_rows):
+                        cell, keys = b.column("cell")[i].as_py(), b.column("keys")[i].values
+                        id_type, names = keys.type, np.array(keys.to_pylist(), object)
+                        x = decoded(np.frombuffer(b.column("codes")[i].as_py(), np.int8).reshape(len(keys), -1), made[cell])
+                        whom = np.flatnonzero(np.unpackbits(bits[cell], count=len(ids)))
+                        for j in range(0, len(whom), QUERIES):
+                            at = whom[j : j + QUERIES]
+                            s = asked[at] @ x.T
+                            n = min(ef, len(keys))
+                            top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                            both, named = np.concatenate([best[at], np.take_along_axis(s, top, 1)], 1), np.concatenate([own[at], names[top]], 1)
+                            top = np.argpartition(-both, ef - 1, axis=1)[:, :ef]
+                            best[at], own[at] = np.take_along_axis(both, top, 1), np.take_along_axis(named, top, 1)
+                at, place = np.nonzero(np.isfinite(best))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(own[at, place].tolist(), id_type), pa.array(best[at, place].astype(float))], [query_id, key, "score"])
+
+            return self.blocks(np.flatnonzero(wanted.any(1)).tolist()).mapInArrow(compare, f"{query_id} long, {key} {kind}, score double")
+
+        found = in_blocks(queries.where(F.col(self.vector).isNotNull()).select(query_id, self.vector), searched, ef, key, query_id, max(QUERIES, min(ASKED_AT_ONCE, KEPT // ef)))
+        if found is None:
+            return self.spark.createDataFrame([], f"{query_id} long, {key} {kind}, by_code double")
+        return found.select(query_id, key, F.col("score").alias("by_code"))
 
     def search(self, rows: DataFrame, queries: DataFrame, k: int = 5, ef: int = 50, probes: int | None = None, query_id: str = "query_id") -> DataFrame:
         """query_id, rank, key, score of the k nearest rows of each query among its candidates, by their vectors in `rows`.
 
         Rows that were indexed but are no longer in `rows` are not found. A query may find fewer than k; see `search_all`.
         """
-        found = self.candidates(queries, max(ef, k), probes, query_id)
+        found = cut(self.candidates(queries, max(ef, k), probes, query_id), "candidates")
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
         length = lambda v: F.sqrt(dot(v, v))
         own = rows.select(self.key, F.col(self.vector).alias("v"), length(F.col(self.vector)).alias("v_length"))

@@ -136,6 +136,17 @@ def test_kept_full_and_projected_models(spark, blobs, tmp_path):
     assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-6) for i in want)
 
 
+def test_a_search_moves_no_pairs(spark, tmp_path, monkeypatch):
+    """A query's candidates are its best of each task, however many cells and blocks the task reads; queries aren't sent once a cell."""
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(*[F.sin((F.col("id") + 1) * (i + 1.7)) for i in range(8)]).cast("array<float>").alias("embedding")).coalesce(1)
+    kept = Index(spark, str(tmp_path / "few")).create(rows, cells=12)
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    monkeypatch.setattr(Index, "nearest", None)
+    got = kept.search(rows, asked, ef=200, probes=12).collect()
+    want = search.top_k(rows, asked).collect()
+    assert {(r.query_id, r["rank"], r.vec_id) for r in got} == {(r.query_id, r["rank"], r.vec_id) for r in want} and len(got) == 150
+
+
 # ---- silhouettes
 
 
