@@ -441,8 +441,8 @@ def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     sums = x / np.where(norm == 0, 1, norm)
     size, alive, merges = np.ones(n), np.ones(n, bool), []
-    _, first, same = np.unique(sums, axis=0, return_index=True, return_inverse=True)
-    first = first[same.ravel()]
+    seen: dict[bytes, int] = {}
+    first = np.array([seen.setdefault(row.tobytes(), i) for i, row in enumerate(sums + 0.0)], np.int64)  # of equal rows; -0.0 is 0.0
     for i in np.flatnonzero((first != np.arange(n)) & (norm[:, 0] > 0)).tolist():
         merges.append((0.0, int(first[i]), i))
         sums[first[i]] += sums[i]
@@ -482,11 +482,12 @@ def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
         stale = changed | changed[near]
     chain: list[int] = []
     left = np.flatnonzero(alive)
+    held, sizes = sums[left], size[left]
     while len(left) > 1:
         if not chain:
             chain.append(int(left[0]))
         i = chain[-1]
-        d = (1 - sums[left] @ sums[i] / (size[left] * size[i])).round(12)
+        d = (1 - held @ sums[i] / (sizes * size[i])).round(12)
         d[np.searchsorted(left, i)] = np.inf
         at = int(d.argmin())
         if len(chain) > 1 and d[np.searchsorted(left, chain[-2])] <= d[at]:
@@ -497,16 +498,20 @@ def average_linkage(x: np.ndarray, k: int) -> np.ndarray:
             continue
         del chain[-2:]
         merge(d[at], min(i, j), max(i, j))
-        left = np.delete(left, np.searchsorted(left, max(i, j)))
+        kept, gone = np.searchsorted(left, [min(i, j), max(i, j)])
+        held[kept], sizes[kept] = sums[min(i, j)], size[min(i, j)]
+        for a in (left, held, sizes):
+            a[gone:-1] = a[gone + 1 :]
+        left, held, sizes = left[:-1], held[:-1], sizes[:-1]
     merges.sort(key=lambda m: m[0])  # stable: of equal ones the earlier first, so members come before their cluster
-    root = np.arange(n)
-    for _, i, j in merges[: max(0, n - max(k, 1))]:
-        a, b = i, j
-        while root[a] != a:
-            a = root[a]
-        while root[b] != b:
-            b = root[b]
-        root[max(a, b)] = min(a, b)
+    up = list(range(n))
+    for _, a, b in merges[: max(0, n - max(k, 1))]:
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    root = np.array(up, np.int64)
     while (root[root] != root).any():
         root = root[root]
     return pd.factorize(root)[0]

@@ -22,9 +22,11 @@ def hashed_words(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Signed counts of hashed words, root-scaled, at unit length."""
     out = np.zeros((len(texts), dimensions))
     for i, t in enumerate(texts):
+        counts = [0] * dimensions
         for w in t.lower().split():
             h = zlib.crc32(w.encode())
-            out[i, h % dimensions] += 1 if h >> 31 else -1
+            counts[h % dimensions] += 1 if h >> 31 else -1
+        out[i] = counts
     out = np.sign(out) * np.sqrt(np.abs(out))
     n = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(n == 0, 1, n)

@@ -220,3 +220,10 @@ def test_embedding_is_unit(spark):
     n = {r.i: sum(v * v for v in r.embedding) for r in df.collect()}
     assert n[1] == pytest.approx(1, abs=1e-5) and n[2] == 0
     assert (hashed_words(["x"]) == hashed_words(["X"])).all()
+
+
+def test_average_linkage_of_equal_rows(monkeypatch):
+    """Equal rows are found by one pass over them, not by sorting rows; a zero with a sign is a zero."""
+    monkeypatch.setattr(C.np, "unique", None)
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, -0.0], [0.0, 2.0], [-1.0, 0.0]])
+    assert C.average_linkage(x, 3).tolist() == [0, 1, 0, 1, 2]
