@@ -82,15 +82,22 @@ class Store:
 
         Of the keys that are stored only those are read that filters can't rule out (see Keys); one writer at a time. Chunks
         without a level are of level 0; one without a key is an error. What is compared and noted are keys alone: texts are
-        moved once, and only if there is anything new among them.
+        moved once, and only if there is anything new among them; not at all if each is new and stands once.
         """
         rows = chunks if "level" in chunks.columns else chunks.withColumn("level", F.lit(0))
         rows = rows.withColumn("level", F.coalesce("level", F.lit(0))).withColumn("chunk_key", F.coalesce("chunk_key", F.raise_error(F.lit("a chunk without a key"))))
         keys = self.keys()
-        new = cut(keys.unknown(cut(rows.select(*KEY).distinct(), "append")), "new")
-        if new.isEmpty():
+        given = cut(rows.groupBy(*KEY).agg(F.count("*").alias("n")), "append")
+        new = keys.unknown(given)
+        if new is not given:
+            new = cut(new, "new")
+        n_given, n_rows = given.agg(F.count("*"), F.sum("n")).first()
+        n_new = new.count()
+        if not n_new:
             return
-        wanted = rows.join(new, KEY, "left_semi").dropDuplicates(KEY)
+        wanted = rows if n_new == n_given else rows.join(new.select(*KEY), KEY, "left_semi")
+        if n_new < n_given or n_rows > n_given:
+            wanted = wanted.dropDuplicates(KEY)
         if self.embedder and "embedding" not in wanted.columns:
             wanted = embedded(wanted, self.embedder)
         keys.added(new, lambda: wanted.write.mode("append").partitionBy("level").parquet(self.path("chunks")))

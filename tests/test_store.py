@@ -3,6 +3,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.engine import chunked
@@ -141,3 +142,17 @@ def test_chunks_whose_short_keys_meet(spark, tmp_path):
     old.append_chunks(chunked(docs.where("doc_id = 1")))
     old.append_chunks(chunked(docs.where("doc_id = 1"), once=False, digits=old.digits()))
     assert [r.chunk_key for r in old.chunks().collect()] == ["s_chunk_000000_fc517414"]
+
+
+def test_first_append_moves_no_texts(spark, tmp_path, monkeypatch):
+    """Chunks that are all new and stand once are written where they are made; others are still kept once."""
+    s = store.Store(spark, str(tmp_path / "s"))
+    rows = lambda *keys: spark.createDataFrame([(k, f"text {k}") for k in keys], "chunk_key string, text string")
+    once, joined = DataFrame.dropDuplicates, DataFrame.join
+    monkeypatch.setattr(DataFrame, "dropDuplicates", lambda df, *a: 1 / 0 if "text" in df.columns else once(df, *a))
+    monkeypatch.setattr(DataFrame, "join", lambda df, *a: 1 / 0 if "text" in df.columns else joined(df, *a))
+    s.append_chunks(rows("a", "b"))
+    s.append_chunks(rows("b", "a"))
+    monkeypatch.undo()
+    s.append_chunks(rows("b", "c", "c"))
+    assert sorted((r.chunk_key, r.text) for r in s.chunks().collect()) == [(k, f"text {k}") for k in "abc"]
