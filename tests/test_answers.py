@@ -5,7 +5,7 @@ from tessera.plans import oracle as O
 from tessera.plans import queries as Q
 
 
-@pytest.mark.parametrize("name", ["answer_batch"])
+@pytest.mark.parametrize("name", ["answer_batch", "answers_kept"])
 def test_answers_equal_their_sql(spark, tmp_path, name):
     """Best hits whose 500th character is a space, one of 500 characters, one with spaces before it, one without text, and one without a document."""
     texts = {0: "w" * 499 + " and on", 100: ("ab " * 200).strip(), 200: "x" * 500, 300: " \n First one. Second", 400: None, 600: "a" * 498 + "  . " + "b" * 9, 1: "Other", 2: None, 3: "y" * 600}
