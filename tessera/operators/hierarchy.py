@@ -110,7 +110,7 @@ def run(
                 parts = spark.read.parquet(f"{at}/keywords/level={level - 1}").withColumn("chunk_key", F.concat(F.lit("summary_"), summary_id(level - 1))).drop("cluster_id")
                 put("keywords", W.merged(parts.join(F.broadcast(found), "chunk_key"), "chunk_key", "cluster_id"))  # a level above the first has few rows
             else:
-                put("keywords", W.sketch(spark.read.parquet(own("chunks")).select("chunk_key", "text").join(found, "chunk_key"), "cluster_id", "chunk_key"))
+                put("keywords", W.sketch(spark.read.parquet(own("chunks")).select("chunk_key", "text").join(W.placed(found, "chunk_key"), "chunk_key"), "cluster_id", "place"))
             return {}
 
         def summarised() -> dict:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from tessera.functions import text as T
+from tessera.operators.arrow import cut
 
 KEYWORDS, SHORTEST = 10, 4
 #: Words that a group's sketch holds, and rows of candidates that are sent to all executors.
@@ -44,6 +45,15 @@ def counted(each: DataFrame, by: str, order: str) -> DataFrame:
     return out.select(by, "word", "n", F.struct("__order", "at").alias("first"))
 
 
+def placed(rows: DataFrame, order: str) -> DataFrame:
+    """rows and `place`, an integer for each order key, greater for a greater key: counting by it takes one shuffle of numbers.
+
+    Keys are dealt by range and numbered where they lie. Made for narrow rows (no texts), which are written.
+    """
+    keys = rows.select(order).distinct().repartitionByRange(order).sortWithinPartitions(order)
+    return cut(rows.join(keys.withColumn("place", F.monotonically_increasing_id()), order), "places")
+
+
 def ranked(counts: DataFrame, by: str, k: int) -> DataFrame:
     """by, rank, word, n of the k most frequent."""
     best = Window.partitionBy(by).orderBy(F.desc("n"), "first")
