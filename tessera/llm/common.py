@@ -29,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to a Python worker, or comes back, in the operators that move whole texts and sets.
+BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound batches by their bytes, not by 10,000 rows alone: the JVM and the worker both hold them outside the heap, for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH))  # for good, as rows are made later
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own on a single machine (tests)."""
     sc = spark.sparkContext

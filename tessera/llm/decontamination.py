@@ -41,6 +41,8 @@ PIECE, SHARED = 512, 32
 #: A region begins BACK tokens before its first hit, ends AHEAD after its last, and spans REGION places of hits; hits farther
 #: apart than AHEAD are in different ones. ENOUGH equal tokens with a score above 0 lie within 17; a short item has 15.
 BACK, AHEAD, REGION = 15, 32, 4096
+#: Places that are looked at together: working memory follows this, not the texts.
+WINDOW = 1 << 17
 #: Bits of the bitmap: 64 a seed, between these powers of 2.
 LEAST_BITS, MOST_BITS = 18, 28
 
@@ -66,7 +68,7 @@ def root(mask: str) -> str:
 class Words:
     """Hashes of normalised tokens; remembers a bounded number of spellings. 0 stands for no token."""
 
-    def __init__(self, remembered: int = 500_000):
+    def __init__(self, remembered: int = 150_000):
         import xxhash
 
         self.hash, self.known, self.most = xxhash.xxh3_64_intdigest, {}, remembered
@@ -187,22 +189,32 @@ class Finder:
         at = keys >> self.shift
         return (self.bitmap[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
 
-    def regions(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, first token's place in it, tokens, distinct hashes of the hits) of each region."""
-        ends = np.cumsum([len(d) for d in docs])
-        every = np.concatenate(docs) if docs else np.empty(0, U64)
-        places, keys = [], []
+    def hits(self, every: np.ndarray, ends: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of hits among WINDOW places from `low` on, and their hashes; ends are those of the texts in `every`."""
         for first, by, own in self.masks:
-            s = seeds(every, first)
+            s = seeds(every[low : low + WINDOW + len(first) - 1], first)
             at = np.flatnonzero(self.maybe(scattered(s, by)))
-            s, row = s[at], np.searchsorted(ends, at, "right")
+            if not len(at):
+                continue
+            s, at = s[at], at + low
+            row = np.searchsorted(ends, at, "right")
             for mask, seed_by in own:
-                inside = at + len(mask) <= ends[row] if len(at) else np.zeros(0, bool)
+                inside = at + len(mask) <= ends[row]
                 p = at[inside]
                 k = scattered(seeds(every, mask, p, (first, s[inside])), seed_by)
                 there = self.maybe(k)
-                places.append(p[there])
-                keys.append(k[there])
+                if there.any():
+                    yield p[there], k[there]
+
+    def regions(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(row, first token's place in it, tokens, distinct hashes of the hits) of each region."""
+        ends = np.cumsum([len(d) for d in docs])
+        every = np.concatenate(docs) if docs else np.empty(0, U64)
+        places, keys = [], []
+        for low in range(0, len(every), WINDOW):
+            for p, k in self.hits(every, ends, low):
+                places.append(p)
+                keys.append(k)
         p, k = (np.concatenate(x) if x else np.empty(0, U64) for x in (places, keys))
         if not len(p):
             return
@@ -255,6 +267,7 @@ def finder(pieces: DataFrame) -> Finder:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, x, y (128-bit name of the text), item_id, n_equal (in one region) for each text and each item of which it holds enough."""
+    common.bounded_batches(docs.sparkSession)
     work = common.Work(docs.sparkSession, "decontamination")
     pieces = items(benchmark, work)
     shared = common.share(docs.sparkSession, finder(pieces))  # 2**(MOST_BITS - 3) bytes at most

@@ -158,6 +158,7 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     """
     if keep not in ("none", "first"):
         raise ValueError(keep)
+    common.bounded_batches(docs.sparkSession)
     first = keep == "first"
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +214,7 @@ def joined(docs: DataFrame, bitmaps: DataFrame) -> tuple[common.Renamed, DataFra
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with the lines that the bitmaps drop taken out of text; null texts stay null."""
+    common.bounded_batches(docs.sparkSession)
     inner, both = joined(docs, bitmaps)
     text = inner.names.index("text")
 

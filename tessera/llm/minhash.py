@@ -73,7 +73,7 @@ def around(p: np.ndarray, shift: np.ndarray) -> np.ndarray:
 class Shingler:
     """Shingle sets of texts as sorted arrays of 64-bit hashes; remembers words' hashes, a bounded number of them."""
 
-    def __init__(self, size: int = SHINGLE, remembered: int = 500_000):
+    def __init__(self, size: int = SHINGLE, remembered: int = 150_000):
         import xxhash
 
         self.hash, self.size, self.words, self.most = xxhash.xxh3_64_intdigest, size, {}, remembered
@@ -347,6 +347,7 @@ def rest(inside: DataFrame, found: DataFrame, sets: DataFrame, work: common.Work
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, n_bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """doc, x, y (128-bit name of the text), n, component (the smallest doc_id that links lead to) and kept of each row of docs."""
+    common.bounded_batches(docs.sparkSession)
     work = common.Work(docs.sparkSession, "minhash")
     members = work.keep("members", classes(work.keep("sketches", sketches(docs, n_bands, rows, shingle))))
     work.drop("sketches")

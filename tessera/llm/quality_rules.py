@@ -72,6 +72,7 @@ def count(text: bytes | None) -> tuple[int, ...]:
 
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id and all counts of each row of docs; one pass, no shuffle."""
+    common.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -158,6 +159,7 @@ def filter_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     The counts are made twice (once for the histogram, once beside the text), which is cheaper than moving the texts.
     """
     spark = docs.sparkSession
+    common.bounded_batches(spark)
     good = verdicts(spark, counts(docs)).where(f"p_good >= {threshold}").select("vote_pattern")
     inner = common.renamed(docs)
     text, extra = inner.of("text"), ", ".join(f"{c} long" for c in COUNTS + MORE)
